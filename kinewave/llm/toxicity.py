@@ -175,7 +175,20 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> tuple[list[
     votes = np.concatenate([voters.votes(counts), known[:, None]], axis=1)  # the label is one voter more
     denies = np.array([0.0] * len(terms) + [1.0, 0.0, 0.0, 0.0, 1.0])  # the pattern of any hit, and the label
     model = LabelModel(votes, 0.02 + 0.96 * known, denies)
-    return terms, logistic(voters.features(counts), model.posterior(votes))
+    weights = logistic(voters.features(counts), model.posterior(votes))
+    z = voters.features(counts) @ weights[:-1] + weights[-1]
+    weights[-1] += math.log(THRESHOLD / (1 - THRESHOLD)) - best_cut(z, known)
+    return terms, weights
+
+
+def best_cut(z: np.ndarray, known: np.ndarray) -> float:
+    """The middle of the widest gap around the cut of best F1, so that the threshold stands where the labels part."""
+    order = np.argsort(-z, kind="stable")
+    z, hits = z[order], np.cumsum(known[order])
+    f1 = 2 * hits / (np.arange(1, len(z) + 1) + known.sum())
+    f1[:-1][z[:-1] == z[1:]] = -1  # equal scores go together
+    best = int(np.argmax(f1))
+    return float((z[best] + z[best + 1]) / 2) if best + 1 < len(z) else float(z[best]) - 1.0
 
 
 def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
