@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import sys
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,14 +20,21 @@ COVER = (1, 2, 4, 13, 21, 35, 39, 82, 89, 95, 105, 110)
 SHARD_BYTES = 4 << 20
 #: Entries that one task sorts, and suffixes of a block as a share of all bytes.
 BUCKET_ENTRIES = 3_000_000
-BLOCK_SHARE = 0.07
+BLOCK_SHARE = 0.1
 REPEATED = np.uint32(1 << 31)
 
 _BASE = 0x9E3779B97F4A7C15
 _TABLE = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64)
 
 
-WINDOW_BYTES = 1 << 21
+WINDOW_BYTES = 1 << 16
+
+
+@cache
+def powers(base: int) -> np.ndarray:
+    x = np.full(WINDOW_BYTES + PERIOD + LENGTH + 1, base, np.uint64)
+    x[0] = 1
+    return np.cumprod(x)
 
 
 class Hashes:
@@ -39,11 +47,7 @@ class Hashes:
 
     def __init__(self, data: np.ndarray) -> None:
         self.data = data
-        size = min(len(data), WINDOW_BYTES + self.longest) + 1
-        self.power, self.back = (np.full(size, base, np.uint64) for base in (_BASE, pow(_BASE, -1, 1 << 64)))
-        for x in (self.power, self.back):
-            x[0] = 1
-            np.cumprod(x, out=x)
+        self.power, self.back = powers(_BASE), powers(pow(_BASE, -1, 1 << 64))
 
     def at(self, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
         """Hashes of data[start:stop] for ascending starts."""
@@ -108,22 +112,19 @@ def deal(shard: int, hashes: np.ndarray, positions: np.ndarray, buckets: int) ->
     marked REPEATED, stands for them all. So a bucket gets one entry of a shard for a string, however common it is.
     """
     rows: dict[str, list] = {"bucket": [], "shard": [], "h": [], "p": []}
-    order = np.argsort(hashes, kind="stable")
+    order = np.argsort(hashes)
     h, p = hashes[order], positions[order].astype(np.uint32)
     if not len(h):
         return rows
     first = np.concatenate([[True], h[1:] != h[:-1]])
-    last = np.concatenate([first[1:], [True]])
-    inside = ~(first & last)
+    inside = ~(first & np.concatenate([first[1:], [True]]))
     if inside.any():
         rows["bucket"].append(shard % buckets)
         rows["shard"].append(shard)
         rows["h"].append(b"")
         rows["p"].append(np.sort(p[inside]).tobytes())
     h, p = h[first], np.where(inside, p | REPEATED, p)[first]
-    bucket = ((h >> np.uint64(11)) % np.uint64(buckets)).astype(np.int32)
-    order = np.argsort(bucket, kind="stable")
-    h, p, bucket = h[order], p[order], bucket[order]
+    bucket = (h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)  # ranges of the order just made
     cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
     for s, e in zip(cuts, np.append(cuts[1:], len(bucket)), strict=True):
         rows["bucket"].append(int(bucket[s]))
@@ -154,11 +155,10 @@ def rank_bucket(table: pa.Table) -> pa.Table:
     if hs:
         h, p, owner = np.concatenate(hs), np.concatenate(ps), np.concatenate(owners)
         del hs, ps, owners
-        order = np.lexsort((p, owner, h))
+        order = np.argsort(h)
         h, p, owner = h[order], p[order], owner[order]
         first = np.concatenate([[True], h[1:] != h[:-1]])
-        last = np.concatenate([first[1:], [True]])
-        hit = ~(first & last) | (p >= REPEATED)
+        hit = ~(first & np.concatenate([first[1:], [True]])) | (p >= REPEATED)
         first, p, owner = first[hit], p[hit] & ~REPEATED, owner[hit]
         for kind, on in ((0, slice(None)), (1, first)):
             o, q = owner[on], p[on]
@@ -177,14 +177,27 @@ def positions_of(found: pa.Table, kind: int) -> np.ndarray:
 
 
 def interval_mask(n: int, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    """True where any interval [first, stop) lies; empty intervals are skipped."""
+    """True where any interval [first, stop) lies; `first` ascends, empty intervals are skipped."""
     on = stop > first
-    steps = np.bincount(first[on], minlength=n + 1) - np.bincount(stop[on], minlength=n + 1)
-    return np.cumsum(steps[:n]) > 0
+    first, stop = first[on], np.maximum.accumulate(stop[on])
+    steps = np.zeros(n + 1, np.int8)
+    if len(first):
+        new = np.concatenate([[True], first[1:] > stop[:-1]])
+        steps[first[new]] = 1
+        steps[stop[np.append(new[1:], True)]] = -1
+    return np.cumsum(steps[:n], dtype=np.int8).view(bool)
+
+
+def leading(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """A number of some of a suffix's first bytes, which decides its block; equal suffixes are in one block."""
+    x = np.zeros(len(starts), np.uint32)
+    for k in (0, 3, 7, 12, 20, 33):
+        x = (x ^ data[starts + k]) * np.uint32(0x9E3779B1)
+    return x >> np.uint32(8)
 
 
-def open_suffixes(shard: Shard, found: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Starts that still need sorting, and starts that are known to be repeated.
+def open_suffixes(shard: Shard, found: pa.Table) -> np.ndarray:
+    """Starts that still need sorting, ascending.
 
     Found kinds: 0 cover samples with an equal one, 10 those whose whole context is repeated, 11 one of these for each
     context. A repeated context settles its suffixes; the suffixes of one such context stay open, for others to meet.
@@ -194,7 +207,7 @@ def open_suffixes(shard: Shard, found: pa.Table) -> tuple[np.ndarray, np.ndarray
         first, last = shard.context(positions_of(found, kind))
         masks.append(interval_mask(shard.n, first, last + 1))
     sampled, settled, standing = masks
-    return np.flatnonzero(sampled & (~settled | standing)), np.flatnonzero(settled)
+    return np.flatnonzero(sampled & (~settled | standing))
 
 
 class Repeats:
@@ -250,18 +263,18 @@ class Repeats:
         known = ranks.unionByName(settled)
 
         def count(texts: pa.Table, found: pa.Table) -> pa.Table:
-            n = len(open_suffixes(Shard(texts), found)[0]) if texts.num_rows else 0
+            n = len(open_suffixes(Shard(texts), found)) if texts.num_rows else 0
             return pa.table({"n": pa.array([n], pa.int64())})
 
-        total = self.texts.groupBy("_shard").cogroup(known.groupBy("shard")).applyInArrow(count, "n long").agg(F.sum("n")).first()[0] or 0
+        counts = written(self.texts.groupBy("_shard").cogroup(known.groupBy("shard")).applyInArrow(count, "n long"), "open-suffixes")
+        total = counts.agg(F.sum("n")).first()[0] or 0
         blocks = int(total // max(1.0, BLOCK_SHARE * self.size)) + 1
         for block in range(blocks):
 
             def suffixes(shard: Shard, found: pa.Table, block=block):
-                at = open_suffixes(shard, found)[0]
-                h = Hashes(shard.data).at(at, at + LENGTH)
-                on = (h >> np.uint64(40)) % np.uint64(blocks) == block
-                return h[on], at[on]
+                at = open_suffixes(shard, found)
+                at = at[leading(shard.data, at) % np.uint32(blocks) == block]
+                return Hashes(shard.data).at(at, at + LENGTH), at
 
             rest = self.step(f"block-{block}", ranks.unionByName(settled), total / blocks, suffixes).where("kind = 0")
             known = known.unionByName(rest.select("shard", F.lit(20).alias("kind"), "p"))
@@ -274,9 +287,8 @@ class Repeats:
             shard = Shard(texts)
             first, last = shard.context(positions_of(known, 10))
             more = positions_of(known, 20)
-            starts = np.concatenate([first, more])
-            stops = np.concatenate([np.where(last >= first, last + LENGTH, first), more + LENGTH])
-            return each(shard, interval_mask(shard.n, starts, stops))
+            mask = interval_mask(shard.n, first, np.where(last >= first, last + LENGTH, first))
+            return each(shard, mask | interval_mask(shard.n, more, more + LENGTH))
 
         return rows.groupBy("_shard").cogroup(found.groupBy("shard")).applyInArrow(run, schema)
 
