@@ -37,6 +37,20 @@ def powers(base: int) -> np.ndarray:
     return np.cumprod(x)
 
 
+def packed(positions: np.ndarray) -> bytes:
+    """Ascending positions as gaps of a byte each; 255 stands for a gap that follows behind, in four bytes."""
+    gaps = np.diff(positions, prepend=0).astype(np.uint32)
+    long = gaps >= 255
+    return np.uint32(len(gaps)).tobytes() + np.minimum(gaps, 255).astype(np.uint8).tobytes() + gaps[long].tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    n = int(np.frombuffer(data, np.uint32, 1)[0])
+    gaps = np.frombuffer(data, np.uint8, n, 4).astype(np.int64)
+    gaps[gaps == 255] = np.frombuffer(data, np.uint32, -1, 4 + n)
+    return np.cumsum(gaps)
+
+
 class Hashes:
     """Hashes of the substrings of a buffer, from prefix sums modulo 2**64, a window of the buffer at a time.
 
@@ -122,7 +136,7 @@ def deal(shard: int, hashes: np.ndarray, positions: np.ndarray, buckets: int) ->
         rows["bucket"].append(shard % buckets)
         rows["shard"].append(shard)
         rows["h"].append(b"")
-        rows["p"].append(np.sort(p[inside]).tobytes())
+        rows["p"].append(packed(np.sort(p[inside])))
     h, p = h[first], np.where(inside, p | REPEATED, p)[first]
     bucket = (h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)  # ranges of the order just made
     cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
@@ -166,14 +180,14 @@ def rank_bucket(table: pa.Table) -> pa.Table:
             o, q = o[order], q[order]
             cuts = np.flatnonzero(np.concatenate([[True], o[1:] != o[:-1]])) if len(o) else []
             for s, e in zip(cuts, np.append(cuts[1:], len(o)) if len(o) else [], strict=True):
-                for key, value in (("shard", int(o[s])), ("kind", kind), ("p", q[s:e].astype(np.uint32).tobytes())):
+                for key, value in (("shard", int(o[s])), ("kind", kind), ("p", packed(np.sort(q[s:e])))):
                     out[key].append(value)
     return pa.table(out, schema=_FOUND)
 
 
 def positions_of(found: pa.Table, kind: int) -> np.ndarray:
-    parts = [p for k, p in zip(found["kind"].to_pylist(), found["p"].to_pylist(), strict=True) if k == kind]
-    return np.unique(np.frombuffer(b"".join(parts), np.uint32)).astype(np.int64)
+    parts = [unpacked(p) for k, p in zip(found["kind"].to_pylist(), found["p"].to_pylist(), strict=True) if k == kind]
+    return np.unique(np.concatenate(parts)) if parts else np.empty(0, np.int64)
 
 
 def interval_mask(n: int, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
