@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from kinewave.llm import packing, secrets, simhash, substring_dedup, toxicity
 from kinewave.llm.common import written
 
-#: Near-duplicates of the pipeline: shingles of five words.
-SHINGLE = 5
+#: Near-duplicates of the pipeline: shingles of five words, and fingerprints that differ in 8 of 64 bits at most, as those
+#: of texts with a similarity of 0.8 or more differ in about 5 to 13.
+SHINGLE, RADIUS = 5, 8
 
 
 def toxic_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,7 +20,7 @@ def toxic_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest doc_id stays; texts without words are no group."""
-    found = simhash.clustered(docs, shingle=SHINGLE)
+    found = simhash.clustered(docs, RADIUS, SHINGLE)
     gone = found.where("fp != 0 and doc_id != component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 

@@ -15,8 +15,12 @@ from .common import map_rows, partitions, small_batches, text_of, written
 SHINGLE, SEED, RADIUS = 4, 42, 4
 #: Entries (a half's variant, a fingerprint) that one task sorts at a time.
 BUCKET_ENTRIES = 4_000_000
-#: Members of a variant beyond which its pairs are not compared one by one but by whole balls.
-LARGE = 512
+#: Entries that are dealt to buckets at a time.
+BATCH_ENTRIES = 2_000_000
+#: Members of a variant beyond which sets, not members, are compared.
+LARGE = 64
+EMITTED = "bucket int, upper int, fps binary, owners binary, masks binary"
+_EMITTED = pa.schema([("bucket", pa.int32()), ("upper", pa.int32()), ("fps", pa.binary()), ("owners", pa.binary()), ("masks", pa.binary())])
 
 
 def fingerprint(text: str, shingle: int = SHINGLE) -> int:
@@ -55,127 +59,130 @@ def ball(bits: int, radius: int) -> np.ndarray:
     return np.array([sum(1 << b for b in c) for r in range(radius + 1) for c in combinations(range(bits), r)], np.uint64)
 
 
-def variants(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and owners: each half of each fingerprint with every variant within half of what a half may differ.
+def masks_of(radius: int) -> np.ndarray:
+    """Masks of a half: each half of each fingerprint is emitted with every variant within half of what a half may differ.
 
     Of two fingerprints within the radius, one half differs in radius // 2 bits at most, so the two share a variant of it
-    within half of that, rounded up. The top bit of the key says which half it is.
+    within half of that, rounded up.
     """
-    masks = ball(32, (radius // 2 + 1) // 2)
-    halves = ((fps & np.uint64(0xFFFFFFFF)), (fps >> np.uint64(32)) | np.uint64(1 << 32))
-    keys = np.concatenate([(h[:, None] ^ masks[None, :]).ravel() for h in halves])
-    return keys, np.tile(np.repeat(fps, len(masks)), 2)
+    return ball(32, (radius // 2 + 1) // 2).astype(np.uint32)
 
 
-def star(members: np.ndarray, radius: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Links among distinct fingerprints, exact, without all pairs of a large set.
-
-    Whole balls: who shares a variant within half the radius is within the radius of each other, so all are linked to the
-    first of them.
-    """
-    links = []
-    masks = ball(64, radius // 2)
-    blocks = len(members) * len(masks) // BUCKET_ENTRIES + 1
-    mixed = np.uint64(0x9E3779B97F4A7C15)
-    for b in range(blocks):
-        keys, owners = [], []
-        for a in range(0, len(members), 256):
-            some = members[a : a + 256]
-            k = (some[:, None] ^ masks[None, :]).ravel()
-            o = np.repeat(some, len(masks))
-            on = (k * mixed >> np.uint64(33)) % np.uint64(blocks) == b
-            keys.append(k[on])
-            owners.append(o[on])
-        k, o = np.concatenate(keys), np.concatenate(owners)
-        order = np.lexsort((o, k))
-        k, o = k[order], o[order]
-        first = np.concatenate([[True], k[1:] != k[:-1]])
-        heads = o[np.maximum.accumulate(np.where(first, np.arange(len(k)), 0))]
-        links.append((heads[heads != o], o[heads != o]))
-    return links
+def half(fps: np.ndarray, upper: int) -> np.ndarray:
+    return (fps >> np.uint64(32 * upper)).astype(np.uint32)
 
 
 def near(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
     return np.bitwise_count(a ^ b) <= radius
 
 
-def bucket_links(keys: np.ndarray, owners: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Verified links (smaller, larger) among fingerprints that share a key."""
-    order = np.lexsort((owners, keys))
+class Sets:
+    """Disjoint sets of the numbers below n; each is known by its smallest member."""
+
+    def __init__(self, n: int) -> None:
+        self.top = np.arange(n)
+
+    def join(self, x: np.ndarray, y: np.ndarray) -> None:
+        x, y = self.top[x], self.top[y]
+        while (apart := x != y).any():
+            x, y = x[apart], y[apart]
+            np.minimum.at(self.top, np.maximum(x, y), np.minimum(x, y))
+            while (up := self.top[self.top] != self.top).any():
+                self.top[up] = self.top[self.top[up]]
+            x, y = self.top[x], self.top[y]
+
+
+def join_large(fps: np.ndarray, members: np.ndarray, sets: Sets, radius: int) -> None:
+    """Join what is near within a large group: a set grows by those of the rest that are near its new members.
+
+    Who is in the same set already is never compared, so a dense group costs one look at its sets.
+    """
+    while len(members):
+        tops = sets.top[members]
+        in_set = tops == tops[0]
+        fresh, rest = members[in_set], members[~in_set]
+        while len(rest) and len(fresh):
+            reached = np.zeros(len(rest), bool)
+            for s in range(0, len(fresh), 256):
+                reached |= near(fps[rest][:, None], fps[fresh[s : s + 256]][None, :], radius).any(axis=1)
+            new = np.isin(sets.top[rest], sets.top[rest[reached]])  # with all of their sets
+            sets.join(rest[reached], np.full(int(reached.sum()), members[0]))
+            fresh, rest = rest[new], rest[~new]
+        members = rest
+
+
+def bucket_links(keys: np.ndarray, owners: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (smaller, larger) that connect what verified links connect, among fingerprints fps[owners] that share a key."""
+    order = np.argsort(keys)
     keys, owners = keys[order], owners[order]
-    fresh = np.concatenate([[True], (keys[1:] != keys[:-1]) | (owners[1:] != owners[:-1])])
-    keys, owners = keys[fresh], owners[fresh]
-    heads = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    new = np.concatenate([[True], keys[1:] != keys[:-1]])
+    shared = ~(new & np.concatenate([new[1:], [True]]))
+    keys, owners, new = keys[shared], owners[shared], new[shared]
+    sets = Sets(len(fps))
+    heads = np.flatnonzero(new)
     sizes = np.diff(np.append(heads, len(keys)))
     left = np.repeat(heads + sizes, sizes) - np.arange(len(keys))  # members from here to the end of the key
     live = np.flatnonzero(np.repeat(sizes <= LARGE, sizes) & (left > 1))
-    found: list[tuple[np.ndarray, np.ndarray]] = []
     step = 1
     while len(live):
         x, y = owners[live], owners[live + step]
-        ok = near(x, y, radius)
-        found.append((x[ok], y[ok]))
+        ok = sets.top[x] != sets.top[y]
+        x, y = x[ok], y[ok]
+        ok = near(fps[x], fps[y], radius)
+        sets.join(x[ok], y[ok])
         step += 1
         live = live[left[live] > step]
-    done: set[bytes] = set()
     for g in np.flatnonzero(sizes > LARGE):
-        members = owners[heads[g] : heads[g] + sizes[g]]
-        if (mark := members.tobytes()) not in done:
-            done.add(mark)
-            found += star(members, radius)
-    return forest(found)
-
-
-def forest(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """As many links as connect what the given links connect: from each node to the smallest of its set."""
-    top: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while (up := top.setdefault(x, x)) != x:
-            top[x] = x = top[up]
-        return x
-
-    for xs, ys in found:
-        if len(xs):
-            for x, y in zip(*np.unique(np.stack([xs, ys]), axis=1).tolist(), strict=True):
-                a, b = find(x), find(y)
-                if a != b:
-                    top[max(a, b)] = min(a, b)
-    pairs = np.array([(find(x), x) for x in list(top) if find(x) != x], np.uint64).reshape(-1, 2)
-    return pairs[:, 0], pairs[:, 1]
+        join_large(fps, owners[heads[g] : heads[g] + sizes[g]], sets, radius)
+    child = np.flatnonzero(sets.top != np.arange(len(fps)))
+    return fps[sets.top[child]], fps[child]
 
 
 def links(fps: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
     """a, b: verified links between distinct fingerprints (column fp), enough to connect all that are within the radius.
 
-    Every fingerprint emits its variants, packed by bucket in each Arrow batch; a bucket is sorted in one task, its size
-    held by the number of buckets, which grows with n, the number of fingerprints.
+    Every fingerprint emits its variants, as numbers of fingerprint and mask, packed by bucket in each Arrow batch; a
+    bucket is sorted in one task, its size held by the number of buckets, which grows with n, the number of fingerprints.
     """
     spark = fps.sparkSession
-    each = 2 * len(ball(32, (radius // 2 + 1) // 2))
-    buckets = max(partitions(spark), n * each // BUCKET_ENTRIES + 1)
+    masks = masks_of(radius)
+    buckets = max(partitions(spark), n * 2 * len(masks) // BUCKET_ENTRIES + 1)
+    each = min(1 << 16, max(1, BATCH_ENTRIES // len(masks)))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys, owners = variants(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), radius)
-            bucket = (keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(35)) % np.uint64(buckets)
-            order = np.argsort(bucket, kind="stable")
-            bucket, keys, owners = bucket[order], keys[order], owners[order]
-            cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-            ends = np.append(cuts[1:], len(bucket))
-            yield pa.RecordBatch.from_pydict(
-                {"bucket": bucket[cuts].astype(np.int32), "keys": [keys[s:e].tobytes() for s, e in zip(cuts, ends, strict=True)], "owners": [owners[s:e].tobytes() for s, e in zip(cuts, ends, strict=True)]}
-            )
+            every = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            for s in range(0, len(every), each):
+                some = every[s : s + each]
+                rows: dict[str, list] = {"bucket": [], "upper": [], "fps": [], "owners": [], "masks": []}
+                for upper in (0, 1):
+                    keys = (half(some, upper)[:, None] ^ masks[None, :]).ravel()
+                    bucket = ((keys * np.uint32(0x9E3779B1)).astype(np.uint64) * np.uint64(buckets) >> np.uint64(32)).astype(np.uint16 if buckets < 1 << 16 else np.uint32)
+                    order = np.argsort(bucket, kind="stable")
+                    bucket = bucket[order]
+                    owner, mask = order // len(masks), (order % len(masks)).astype(np.uint16)
+                    cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+                    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(bucket)], strict=True):
+                        own, place = np.unique(owner[a:b], return_inverse=True)
+                        for column, value in zip(rows.values(), (int(bucket[a]), upper, some[own].tobytes(), place.astype(np.uint16).tobytes(), mask[a:b].tobytes()), strict=True):
+                            column.append(value)
+                yield pa.RecordBatch.from_pydict(rows, schema=_EMITTED)
 
     def join(table: pa.Table) -> pa.Table:
-        keys, owners = (np.frombuffer(b"".join(table[c].to_pylist()), np.uint64) for c in ("keys", "owners"))
-        a, b = bucket_links(keys, owners, radius)
+        known, keys, owners, at = [], [], [], 0
+        for row in table.to_batches():
+            for upper, fp, owner, mask in zip(*(row.column(c).to_pylist() for c in ("upper", "fps", "owners", "masks")), strict=True):
+                own, place = np.frombuffer(fp, np.uint64), np.frombuffer(owner, np.uint16)
+                known.append(own)
+                keys.append((half(own, upper)[place] ^ masks[np.frombuffer(mask, np.uint16)]).astype(np.uint64) | np.uint64(upper << 32))
+                owners.append((place + np.int64(at)).astype(np.int32))
+                at += len(own)
+        distinct, number = np.unique(np.concatenate(known), return_inverse=True)
+        a, b = bucket_links(np.concatenate(keys), number[np.concatenate(owners)], distinct, radius)
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
-    packed = fps.select("fp").mapInArrow(emit, "bucket int, keys binary, owners binary")
+    packed = fps.select("fp").mapInArrow(emit, EMITTED)
     return packed.groupBy("bucket").applyInArrow(join, "a long, b long").distinct()
 
 
@@ -212,8 +219,8 @@ def clustered(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) ->
     doc_id get the component's smallest id, null if there is none. Equal fingerprints are one node, so copies are joined by a sum
     before any linking, and no pairs of documents are made.
     """
-    if radius not in (0, 2, 4):
-        raise ValueError("the radius has to be 0, 2 or 4")
+    if radius not in range(9):
+        raise ValueError("the radius has to be from 0 to 8")
     rows = written(fingerprints(docs, shingle), "fingerprints")
     nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     edges = links(nodes, nodes.count(), radius)
