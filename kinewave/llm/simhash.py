@@ -10,11 +10,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, partitions, small_batches, text_of, written
+from .common import map_rows, small_batches, text_of, written
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 #: Entries (a half's variant, a fingerprint) that one task sorts at a time.
-BUCKET_ENTRIES = 4_000_000
+BUCKET_ENTRIES = 2_000_000
 #: Entries that are dealt to buckets at a time.
 BATCH_ENTRIES = 2_000_000
 #: Members of a variant beyond which sets, not members, are compared.
@@ -142,11 +142,12 @@ def links(fps: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
     """a, b: verified links between distinct fingerprints (column fp), enough to connect all that are within the radius.
 
     Every fingerprint emits its variants, as numbers of fingerprint and mask, packed by bucket in each Arrow batch; a
-    bucket is sorted in one task, its size held by the number of buckets, which grows with n, the number of fingerprints.
+    bucket is sorted in one task, its size held by the number of buckets, which follows n, the number of fingerprints, and
+    not the number of partitions: a bucket gives a link for each member of a group, so fewer buckets give fewer links.
     """
     spark = fps.sparkSession
     masks = masks_of(radius)
-    buckets = max(partitions(spark), n * 2 * len(masks) // BUCKET_ENTRIES + 1)
+    buckets = n * 2 * len(masks) // BUCKET_ENTRIES + 1
     each = min(1 << 16, max(1, BATCH_ENTRIES // len(masks)))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
