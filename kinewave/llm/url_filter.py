@@ -15,6 +15,7 @@ LINK = r"""(?is)<a\s[^>]*?href\s*=\s*["']?(?:[a-z][a-z0-9+.-]*:)?//([^/"'?#\s>]+
 ROUNDS, WRITE_EVERY, DAMPING = 8, 4, 0.85
 #: A host is blocked at this many times the even share of distrust, if its trust is less.
 LEAST_DISTRUST = 2.0
+SALTS = 32
 
 
 def lower_ascii(column: Column) -> Column:
@@ -97,6 +98,8 @@ def judge(pages: DataFrame, rules=RULES, rounds: int = ROUNDS) -> DataFrame:
         F.sum(F.when(F.col("kind") == "trust", F.col("score")).otherwise(0.0)).alias("trust"),
     )
     bad = scores.where((F.col("distrust") > F.col("trust")) & (F.col("distrust") * F.lit(float(n_hosts)) >= LEAST_DISTRUST)).select("host", F.lit(True).alias("_bad"))
-    out = ruled.join(bad, "host", "left")
+    # a host may have a large share of all pages: its pages are dealt to SALTS keys, and bad hosts are repeated for each
+    salted = ruled.withColumn("_salt", F.pmod(F.xxhash64("page_id", "path"), F.lit(SALTS)))
+    out = salted.join(bad.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["host", "_salt"], "left")
     blocks_it = F.coalesce(F.col("_blocks"), F.col("_bad"), F.lit(False))
     return out.select("page_id", "host", "path", "rule", F.when(blocks_it, "block").otherwise("allow").alias("verdict"))
