@@ -8,9 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from kinewave.llm import packing, secrets, simhash, substring_dedup, toxicity
 from kinewave.llm.common import written
 
-#: Near-duplicates of the pipeline: shingles of five words, and fingerprints that differ in 8 of 64 bits at most, as those
-#: of texts with a similarity of 0.8 or more differ in about 5 to 13.
-SHINGLE, RADIUS = 5, 8
+#: Near-duplicates of the pipeline: shingles of five words, and a similarity of their sets of 0.8 or more.
+SHINGLE, SIMILARITY = 5, 0.8
 
 
 def toxic_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,13 +19,13 @@ def toxic_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest doc_id stays; texts without words are no group."""
-    found = simhash.clustered(docs, RADIUS, SHINGLE)
-    gone = found.where("fp != 0 and doc_id != component_id").select("doc_id").distinct()
+    found = simhash.similar_groups(docs, SHINGLE, SIMILARITY)
+    gone = found.where("doc_id != component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each string of 200 bytes or more that occurs more than once, the bytes go from all texts but the first that has it."""
+    """Bytes that a repeated 200-byte string covers go, wherever it occurs, as in the operator's own query; documents stay."""
     return substring_dedup.without_repeats(docs)
 
 
