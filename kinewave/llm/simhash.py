@@ -20,6 +20,8 @@ BATCH_ENTRIES = 2_000_000
 #: Where similarity counts: independent fingerprints of a text, and the levels at which 128 of their bits are compared;
 #: texts of a similarity of 0.8 differ in 19 of 128 bits (standard deviation 4).
 WORDS, LEVELS = 24, (12, 20, 32)
+#: Rows of such a sketch's part that a bucket is to hold at most, 25 bytes each.
+BUCKET_ROWS = 2_000_000
 #: Members of a variant beyond which sets, not members, are compared.
 LARGE = 64
 EMITTED = "bucket int, upper int, fps binary, owners binary, masks binary"
@@ -207,7 +209,7 @@ def links(fps: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
     return packed.groupBy("bucket").applyInArrow(join, "a long, b long").distinct()
 
 
-def nearest_links(keys: np.ndarray, rows: np.ndarray, checks: np.ndarray, node: np.ndarray, levels: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+def nearest_links(keys: np.ndarray, rows: np.ndarray, checks: np.ndarray, node: np.ndarray, sets: Sets, levels: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
     """Direct links between nodes that share a key, a row being a node's entry with its check words (checks[row]).
 
     Links are taken by ascending level of distance, and only between sets that are not joined yet, so a link that is
@@ -222,7 +224,7 @@ def nearest_links(keys: np.ndarray, rows: np.ndarray, checks: np.ndarray, node:
     sizes = np.diff(np.append(heads, len(keys)))
     left = np.repeat(heads + sizes, sizes) - np.arange(len(keys))
     small = np.flatnonzero(np.repeat(sizes <= LARGE, sizes) & (left > 1))
-    sets, out = Sets(int(node.max()) + 1 if len(node) else 0), [[np.empty(0, np.int64)], [np.empty(0, np.int64)]]
+    out: list[list] = [[np.empty(0, np.int64)], [np.empty(0, np.int64)]]
 
     def take(x: np.ndarray, y: np.ndarray) -> None:
         x, y = node[x], node[y]
@@ -259,54 +261,69 @@ def nearest_links(keys: np.ndarray, rows: np.ndarray, checks: np.ndarray, node:
     return np.concatenate(out[0]), np.concatenate(out[1])
 
 
+def variants(keys: np.ndarray, home: np.ndarray, bits: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(variant, row) of the keys and, where home, of their flips in the lower `bits` bits, about `most` at a time.
+
+    A pass takes the variants with given upper bits of these: a key of the pass gives all flips of the rest, a key one
+    bit off gives one variant. So equal variants are always in one pass.
+    """
+    upper = max(0, min(bits, (len(keys) * (bits + 1) // most).bit_length()))
+    low = bits - upper
+    flips = np.array([0, *(1 << k for k in range(low))], np.uint32)
+    at = (keys >> np.uint32(low)) & np.uint32((1 << upper) - 1)
+    for q in range(1 << upper):
+        here = at == q
+        full, alone = np.flatnonzero(here & home), np.flatnonzero(here & ~home)
+        off = at ^ np.uint32(q)
+        by = np.flatnonzero(home & (np.bitwise_count(off) == 1))
+        made = [(keys[full][:, None] ^ flips[None, :]).ravel(), keys[alone], keys[by] ^ (off[by] << np.uint32(low))]
+        yield np.concatenate(made), np.concatenate([np.repeat(full, len(flips)), alone, by])
+
+
 def candidates(nodes: DataFrame, n: int) -> DataFrame:
     """a, b: links between nodes (node, sketch) that share a variant of one 32-bit part and are near in 128 bits.
 
-    Every part of the sketch emits its variants within one bit, so parts that differ in two bits at most meet. At a
-    similarity of 0.8 a part does so with a chance of 0.116, any of the 48 with 0.997.
+    Every part of the sketch has its variants within one bit, so parts that differ in two bits at most meet. At a
+    similarity of 0.8 a part does so with a chance of 0.116, any of the 48 with 0.997. A bucket is a part and the upper
+    bits of a variant, as few as hold its rows at BUCKET_ROWS: a row goes to the bucket of its own part and to those one
+    upper bit off, and the variants are spelled out there, BUCKET_ENTRIES at a time.
     """
-    masks = ball(32, 1).astype(np.uint32)
     parts = 2 * WORDS
-    buckets = n * parts * len(masks) // BUCKET_ENTRIES + 1
-    each = min(1 << 16, BATCH_ENTRIES // len(masks))
-    schema = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("nodes", pa.binary()), ("checks", pa.binary()), ("owners", pa.binary()), ("masks", pa.binary())])
+    upper = (n // BUCKET_ROWS).bit_length()
+    low = 32 - upper
+    schema = pa.schema([("bucket", pa.int64()), ("nodes", pa.binary()), ("checks", pa.binary()), ("flips", pa.binary())])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        change = np.array([0, *(1 << k for k in range(upper))], np.int64)
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            node = batch.column(0).to_numpy(zero_copy_only=False)
             words = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64).reshape(-1, WORDS)
-            for s in range(0, len(ids), each):
-                node, some = ids[s : s + each], words[s : s + each]
-                rows: dict[str, list] = {name: [] for name in schema.names}
-                for part in range(parts):
-                    keys = (half(some[:, part // 2], part % 2)[:, None] ^ masks[None, :]).ravel()
-                    bucket = (keys * np.uint32(0x9E3779B1)).astype(np.uint64) * np.uint64(buckets) >> np.uint64(32)
-                    order = np.argsort(bucket, kind="stable")
-                    bucket = bucket[order]
-                    owner, mask = order // len(masks), (order % len(masks)).astype(np.uint8)
-                    check = some[:, [part // 2, (part // 2 + 1) % WORDS]]
-                    cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-                    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(bucket)], strict=True):
-                        own, place = np.unique(owner[a:b], return_inverse=True)
-                        for column, value in zip(rows.values(), (int(bucket[a]), part, node[own].tobytes(), check[own].tobytes(), place.astype(np.uint16).tobytes(), mask[a:b].tobytes()), strict=True):
-                            column.append(value)
-                yield pa.RecordBatch.from_pydict(rows, schema=schema)
+            rows: dict[str, list] = {name: [] for name in schema.names}
+            for part in range(parts):
+                own = half(words[:, part // 2], part % 2).astype(np.int64) >> low
+                bucket = (own[:, None] ^ change[None, :]).ravel()
+                order = np.argsort(bucket, kind="stable")
+                bucket, owner, flip = bucket[order], order // len(change), (order % len(change)).astype(np.uint8)
+                check = words[:, [part // 2, (part // 2 + 1) % WORDS]]
+                cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.empty(0, np.int64)
+                for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(bucket)], strict=False):
+                    for column, value in zip(rows.values(), ((part << 32) + int(bucket[a]), node[owner[a:b]].tobytes(), check[owner[a:b]].tobytes(), flip[a:b].tobytes()), strict=True):
+                        column.append(value)
+            yield pa.RecordBatch.from_pydict(rows, schema=schema)
 
     def join(table: pa.Table) -> pa.Table:
-        known, checks, keys, owners, at = [], [], [], [], 0
-        for part, ids, check, owner, mask in zip(*(table[c].to_pylist() for c in schema.names[1:]), strict=True):
-            known.append(np.frombuffer(ids, np.int64))
-            checks.append(np.frombuffer(check, np.uint64).reshape(-1, 2))
-            place = np.frombuffer(owner, np.uint16)
-            keys.append((half(checks[-1][:, 0], part % 2)[place] ^ masks[np.frombuffer(mask, np.uint8)]).astype(np.uint64) | np.uint64(part << 32))
-            owners.append((place + np.int64(at)).astype(np.int32))
-            at += len(known[-1])
-        distinct, number = np.unique(np.concatenate(known), return_inverse=True)
-        a, b = nearest_links(np.concatenate(keys), np.concatenate(owners), np.concatenate(checks), number, LEVELS)
+        whole = lambda name, kind: np.frombuffer(b"".join(table[name].to_pylist()), kind)
+        distinct, number = np.unique(whole("nodes", np.int64), return_inverse=True)
+        checks, flips = whole("checks", np.uint64).reshape(-1, 2), whole("flips", np.uint8).astype(np.int64)
+        keys = half(checks[:, 0], (table["bucket"][0].as_py() >> 32) % 2)
+        keys = keys ^ np.where(flips > 0, np.int64(1) << (low + flips - 1), 0).astype(np.uint32)
+        sets = Sets(len(distinct))
+        found = [nearest_links(key, row, checks, number, sets, LEVELS) for key, row in variants(keys, flips == 0, low, BUCKET_ENTRIES)]
+        a, b = (np.concatenate(x) for x in zip(*found, strict=True))
         return pa.table({"a": distinct[np.minimum(a, b)], "b": distinct[np.maximum(a, b)]})
 
     nodes.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
-    packed = nodes.select("node", "sketch").mapInArrow(emit, "bucket int, part int, nodes binary, checks binary, owners binary, masks binary")
+    packed = nodes.select("node", "sketch").mapInArrow(emit, "bucket long, nodes binary, checks binary, flips binary")
     return packed.groupBy("bucket").applyInArrow(join, "a long, b long").distinct()
 
 

@@ -51,7 +51,8 @@ def brute_groups(rows, least=0.8):
 @pytest.mark.parametrize("large", [3, 64])
 def test_similar_groups(spark, large, monkeypatch):
     monkeypatch.setattr(simhash, "LARGE", large)
-    monkeypatch.setattr(simhash, "BUCKET_ENTRIES", 20_000)
+    monkeypatch.setattr(simhash, "BUCKET_ENTRIES", 2_000)
+    monkeypatch.setattr(simhash, "BUCKET_ROWS", 40)
     rng = random.Random(3)
     words = [f"w{i}" for i in range(4000)]
     rows = []
@@ -71,6 +72,16 @@ def test_similar_groups(spark, large, monkeypatch):
     assert len(links) > 200 and np.mean(found) > 0.99
 
 
+def test_variants_are_spelled_out_once():
+    rng = np.random.default_rng(4)
+    keys, home = rng.integers(0, 1 << 32, 50, dtype=np.uint64).astype(np.uint32), rng.random(50) < 0.7
+    want = Counter((int(k) ^ f, i) for i, (k, h) in enumerate(zip(keys, home, strict=True)) for f in [0, *(1 << b for b in range(30) if h)])
+    for most in (10_000, 100):
+        passes = [set(zip(v.tolist(), r.tolist(), strict=True)) for v, r in simhash.variants(keys, home, 30, most)]
+        assert Counter(x for one in passes for x in one) == want
+        assert sum(len({v for v, _ in one}) for one in passes) == len({v for v, _ in want})
+
+
 def test_similar_groups_of_edge_rows(spark):
     docs = spark.createDataFrame([(i, t, 7, "x", "y") for i, t in EDGE], "doc_id long, text string, sketch int, shingles string, component_id string")
     got = Counter((r.doc_id, r.component_id) for r in simhash.similar_groups(docs).collect())
