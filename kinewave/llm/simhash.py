@@ -20,7 +20,9 @@ BATCH_ENTRIES = 2_000_000
 #: Where similarity counts: independent fingerprints of a text, and the levels at which 128 of their bits are compared;
 #: texts of a similarity of 0.8 differ in 19 of 128 bits (standard deviation 4).
 WORDS, LEVELS = 24, (12, 20, 32)
-#: Rows of such a sketch's part that a bucket is to hold at most, 25 bytes each.
+#: The first parts of the sketch are searched alone, and what they join is not searched again in the others.
+FIRST_PARTS = 8
+#: Rows of such a sketch's part that a bucket is to hold at most, 33 bytes each.
 BUCKET_ROWS = 2_000_000
 #: Members of a variant beyond which sets, not members, are compared.
 LARGE = 64
@@ -210,7 +212,7 @@ def links(fps: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
 
 
 def nearest_links(keys: np.ndarray, rows: np.ndarray, checks: np.ndarray, node: np.ndarray, sets: Sets, levels: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """Direct links between nodes that share a key, a row being a node's entry with its check words (checks[row]).
+    """Direct links (pairs of rows) between those that share a key; a row has check words (checks[row]) and a number in `sets`.
 
     Links are taken by ascending level of distance, and only between sets that are not joined yet, so a link that is
     left out has a path of links that are about as near or nearer.
@@ -227,11 +229,11 @@ def nearest_links(keys: np.ndarray, rows: np.ndarray, checks: np.ndarray, node:
     out: list[list] = [[np.empty(0, np.int64)], [np.empty(0, np.int64)]]
 
     def take(x: np.ndarray, y: np.ndarray) -> None:
-        x, y = node[x], node[y]
-        lone = np.unique(np.minimum(sets.top[x], sets.top[y]) * len(sets.top) + np.maximum(sets.top[x], sets.top[y]), return_index=True)[1]
+        a, b = sets.top[node[x]], sets.top[node[y]]
+        lone = np.unique(np.minimum(a, b) * len(sets.top) + np.maximum(a, b), return_index=True)[1]
         out[0].append(x[lone])
         out[1].append(y[lone])
-        sets.join(x[lone], y[lone])
+        sets.join(a[lone], b[lone])
 
     for level in levels:
         live, step = small, 1
@@ -280,26 +282,27 @@ def variants(keys: np.ndarray, home: np.ndarray, bits: int, most: int) -> Iterat
         yield np.concatenate(made), np.concatenate([np.repeat(full, len(flips)), alone, by])
 
 
-def candidates(nodes: DataFrame, n: int) -> DataFrame:
-    """a, b: links between nodes (node, sketch) that share a variant of one 32-bit part and are near in 128 bits.
+def candidates(nodes: DataFrame, n: int, parts: range) -> DataFrame:
+    """a, b: links between nodes (node, group, sketch) that share a variant of one of the parts and are near in 128 bits.
+
+    Nodes of one group are linked already, and get no more links.
 
     Every part of the sketch has its variants within one bit, so parts that differ in two bits at most meet. At a
     similarity of 0.8 a part does so with a chance of 0.116, any of the 48 with 0.997. A bucket is a part and the upper
     bits of a variant, as few as hold its rows at BUCKET_ROWS: a row goes to the bucket of its own part and to those one
     upper bit off, and the variants are spelled out there, BUCKET_ENTRIES at a time.
     """
-    parts = 2 * WORDS
     upper = (n // BUCKET_ROWS).bit_length()
     low = 32 - upper
-    schema = pa.schema([("bucket", pa.int64()), ("nodes", pa.binary()), ("checks", pa.binary()), ("flips", pa.binary())])
+    schema = pa.schema([("bucket", pa.int64()), ("nodes", pa.binary()), ("groups", pa.binary()), ("checks", pa.binary()), ("flips", pa.binary())])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         change = np.array([0, *(1 << k for k in range(upper))], np.int64)
         for batch in batches:
-            node = batch.column(0).to_numpy(zero_copy_only=False)
-            words = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64).reshape(-1, WORDS)
+            node, group = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            words = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64).reshape(-1, WORDS)
             rows: dict[str, list] = {name: [] for name in schema.names}
-            for part in range(parts):
+            for part in parts:
                 own = half(words[:, part // 2], part % 2).astype(np.int64) >> low
                 bucket = (own[:, None] ^ change[None, :]).ravel()
                 order = np.argsort(bucket, kind="stable")
@@ -307,23 +310,24 @@ def candidates(nodes: DataFrame, n: int) -> DataFrame:
                 check = words[:, [part // 2, (part // 2 + 1) % WORDS]]
                 cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.empty(0, np.int64)
                 for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(bucket)], strict=False):
-                    for column, value in zip(rows.values(), ((part << 32) + int(bucket[a]), node[owner[a:b]].tobytes(), check[owner[a:b]].tobytes(), flip[a:b].tobytes()), strict=True):
+                    for column, value in zip(rows.values(), ((part << 32) + int(bucket[a]), node[owner[a:b]].tobytes(), group[owner[a:b]].tobytes(), check[owner[a:b]].tobytes(), flip[a:b].tobytes()), strict=True):
                         column.append(value)
             yield pa.RecordBatch.from_pydict(rows, schema=schema)
 
     def join(table: pa.Table) -> pa.Table:
         whole = lambda name, kind: np.frombuffer(b"".join(table[name].to_pylist()), kind)
-        distinct, number = np.unique(whole("nodes", np.int64), return_inverse=True)
+        node = whole("nodes", np.int64)
+        groups, number = np.unique(whole("groups", np.int64), return_inverse=True)
         checks, flips = whole("checks", np.uint64).reshape(-1, 2), whole("flips", np.uint8).astype(np.int64)
         keys = half(checks[:, 0], (table["bucket"][0].as_py() >> 32) % 2)
         keys = keys ^ np.where(flips > 0, np.int64(1) << (low + flips - 1), 0).astype(np.uint32)
-        sets = Sets(len(distinct))
+        sets = Sets(len(groups))
         found = [nearest_links(key, row, checks, number, sets, LEVELS) for key, row in variants(keys, flips == 0, low, BUCKET_ENTRIES)]
         a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-        return pa.table({"a": distinct[np.minimum(a, b)], "b": distinct[np.maximum(a, b)]})
+        return pa.table({"a": np.minimum(node[a], node[b]), "b": np.maximum(node[a], node[b])})
 
     nodes.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
-    packed = nodes.select("node", "sketch").mapInArrow(emit, "bucket long, nodes binary, checks binary, flips binary")
+    packed = nodes.select("node", "group", "sketch").mapInArrow(emit, "bucket long, nodes binary, groups binary, checks binary, flips binary")
     return packed.groupBy("bucket").applyInArrow(join, "a long, b long").distinct()
 
 
@@ -429,8 +433,11 @@ def similar_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> Dat
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     rows = written(map_rows(texts, make, "doc_id long, node long, sketch binary, shingles binary"), "sketches")
     nodes = written(rows.select("node", "sketch", "shingles").dropDuplicates(["node"]), "nodes")
-    pairs = written(candidates(nodes, nodes.count()), "candidates")
-    roots = components(similar_enough(pairs, nodes, least))
+    n, roots = nodes.count(), docs.sparkSession.range(0).select(F.col("id").alias("node"), F.col("id").alias("root"))
+    for parts in (range(FIRST_PARTS), range(FIRST_PARTS, 2 * WORDS)):
+        grouped = nodes.select("node", "sketch").join(roots, "node", "left").withColumn("group", F.coalesce("root", "node"))
+        pairs = written(candidates(grouped, n, parts), "candidates")
+        roots = components(similar_enough(pairs, nodes, least).unionByName(roots.select(F.col("root").alias("a"), F.col("node").alias("b"))))
     least_ids = rows.groupBy("node").agg(F.min("doc_id").alias("least"))
     rooted = written(least_ids.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
