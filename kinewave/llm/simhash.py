@@ -17,11 +17,15 @@ SHINGLE, SEED, RADIUS = 4, 42, 4
 BUCKET_ENTRIES = 2_000_000
 #: Entries that are dealt to buckets at a time.
 BATCH_ENTRIES = 2_000_000
-#: Where similarity counts: independent fingerprints of a text, and the levels at which 128 of their bits are compared;
+#: Where similarity counts: the levels at which 128 bits of a text's independent fingerprints are compared;
 #: texts of a similarity of 0.8 differ in 19 of 128 bits (standard deviation 4).
-WORDS, LEVELS = 24, (12, 20, 32)
-#: The first parts of the sketch are searched alone, and what they join is not searched again in the others.
+LEVELS = (12, 20, 32)
+#: The parts of the sketch that are searched; what they miss or hide is found by rare shingles (see prefix_pairs()).
 FIRST_PARTS = 8
+#: Shingles are counted in so many slots; a slot is common from COMMON + 8 times the mean count on.
+SLOTS, COMMON = 1 << 20, 64
+#: Entries (a shingle of a node) that one task compares at a time, and those of one shingle that are dealt to one block.
+PREFIX_ENTRIES, BLOCK = 1_000_000, 20_000
 #: Rows of such a sketch's part that a bucket is to hold at most, 33 bytes each.
 BUCKET_ROWS = 2_000_000
 #: Members of a variant beyond which sets, not members, are compared.
@@ -287,8 +291,9 @@ def candidates(nodes: DataFrame, n: int, parts: range) -> DataFrame:
 
     Nodes of one group are linked already, and get no more links.
 
-    Every part of the sketch has its variants within one bit, so parts that differ in two bits at most meet. At a
-    similarity of 0.8 a part does so with a chance of 0.116, any of the 48 with 0.997. A bucket is a part and the upper
+    A search by chance, to join large groups cheaply: sets are joined here by links that may be rejected later, so true
+    pairs can be hidden. Every part of the sketch has its variants within one bit, so parts that differ in two bits at
+    most meet, at a similarity of 0.8 with a chance of 0.116 each. A bucket is a part and the upper
     bits of a variant, as few as hold its rows at BUCKET_ROWS: a row goes to the bucket of its own part and to those one
     upper bit off, and the variants are spelled out there, BUCKET_ENTRIES at a time.
     """
@@ -300,14 +305,14 @@ def candidates(nodes: DataFrame, n: int, parts: range) -> DataFrame:
         change = np.array([0, *(1 << k for k in range(upper))], np.int64)
         for batch in batches:
             node, group = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            words = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64).reshape(-1, WORDS)
+            words = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64).reshape(-1, FIRST_PARTS // 2 + 1)
             rows: dict[str, list] = {name: [] for name in schema.names}
             for part in parts:
                 own = half(words[:, part // 2], part % 2).astype(np.int64) >> low
                 bucket = (own[:, None] ^ change[None, :]).ravel()
                 order = np.argsort(bucket, kind="stable")
                 bucket, owner, flip = bucket[order], order // len(change), (order % len(change)).astype(np.uint8)
-                check = words[:, [part // 2, (part // 2 + 1) % WORDS]]
+                check = words[:, [part // 2, part // 2 + 1]]
                 cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.empty(0, np.int64)
                 for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(bucket)], strict=False):
                     for column, value in zip(rows.values(), ((part << 32) + int(bucket[a]), node[owner[a:b]].tobytes(), group[owner[a:b]].tobytes(), check[owner[a:b]].tobytes(), flip[a:b].tobytes()), strict=True):
@@ -331,6 +336,124 @@ def candidates(nodes: DataFrame, n: int, parts: range) -> DataFrame:
     return packed.groupBy("bucket").applyInArrow(join, "a long, b long").distinct()
 
 
+def common_slots(nodes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Slots of the shingles that many nodes have, with their counts; SLOTS / 8 at most, whatever the corpus."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            every = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint32)
+            total += np.bincount(every & np.uint32(SLOTS - 1), minlength=SLOTS)
+        slot = np.flatnonzero(total)
+        for s in range(0, len(slot), 1 << 16):
+            some = slot[s : s + (1 << 16)]
+            yield pa.RecordBatch.from_pydict({"slot": pa.array(some, pa.int64()), "n": pa.array(total[some], pa.int64())})
+
+    counts = written(nodes.select("shingles").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")), "slots")
+    whole = counts.agg(F.sum("n")).first()[0] or 0
+    found = counts.where(F.col("n") >= COMMON + 8 * whole / SLOTS).toArrow()
+    return found["slot"].to_numpy().astype(np.int64), found["n"].to_numpy().astype(np.int64)
+
+
+def pairs_of_keys(keys: np.ndarray, node: np.ndarray, group: np.ndarray, size: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs of nodes of different groups that share a key, each no larger than the other allows (`most`)."""
+    order = np.lexsort((group, keys))
+    keys, node, group, size, most = (x[order] for x in (keys, node, group, size, most))
+    new = np.concatenate([[True], keys[1:] != keys[:-1]])
+    heads = np.flatnonzero(new)
+    sizes = np.diff(np.append(heads, len(keys)))
+    left = np.repeat(heads + sizes, sizes) - np.arange(len(keys))
+    mixed = np.repeat(group[heads] != group[heads + sizes - 1], sizes)
+    out = [np.empty((0, 2), np.int64)]
+
+    def keep(x: np.ndarray, y: np.ndarray) -> None:
+        out.append(np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y])], axis=1))
+        if sum(map(len, out[1:])) > PREFIX_ENTRIES:
+            out[:] = [np.unique(np.concatenate(out), axis=0), np.empty((0, 2), np.int64)]
+
+    live, step = np.flatnonzero(mixed & np.repeat(sizes <= LARGE, sizes) & (left > 1)), 1
+    while len(live):
+        x, y = live, live + step
+        ok = (group[x] != group[y]) & (size[y] <= most[x]) & (size[x] <= most[y])
+        keep(x[ok], y[ok])
+        step += 1
+        live = live[left[live] > step]
+    for g in np.flatnonzero((sizes > LARGE) & mixed[heads]):
+        at = np.arange(heads[g], heads[g] + sizes[g])
+        at = at[most[at] >= size[at].min()]
+        ends = np.searchsorted(group[at], group[at], "right")  # members are in order of group: the rest begins after one's own
+        for s in range(0, len(at), 256):
+            some, rest = at[s : s + 256], at[ends[s] :]
+            if len(rest):
+                ok = (group[some][:, None] < group[rest][None]) & (size[rest][None] <= most[some][:, None]) & (size[some][:, None] <= most[rest][None])
+                x, y = np.nonzero(ok)
+                keep(some[x], rest[y])
+    found = np.unique(np.concatenate(out), axis=0)
+    return found[:, 0], found[:, 1]
+
+
+def prefix_pairs(nodes: DataFrame, least: float) -> DataFrame:
+    """a, b: every pair of nodes (node, group, shingles) of different groups that may have a similarity of `least`.
+
+    Exact, by a prefix filter: shingles have one order, rare ones first. If a pair's first common shingle is the i-th of n,
+    at most n - i are common, so the other set has at most (n - i)(1 + least) / least - n. A node has an entry for each
+    shingle that leaves room for a set of least * n, and two that share such a shingle are a pair if each fits the other.
+    Nothing is joined here. A shingle of more than BLOCK nodes is dealt to salted blocks, and each two blocks meet.
+    """
+    slots, counts = common_slots(nodes)
+    longest = nodes.agg(F.sum(F.octet_length("shingles") / 4)).first()[0] or 0
+    buckets = int(longest * (1 - least)) // PREFIX_ENTRIES + 1
+    schema = pa.schema([("bucket", pa.int64()), *((k, pa.binary()) for k in ("keys", "nodes", "groups", "sizes", "most"))])
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(SLOTS, np.uint64)
+        table[slots] = counts.astype(np.uint64)
+        for batch in batches:
+            node, group = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            made: list[tuple] = []
+            for k, raw in enumerate(batch.column(2).to_pylist()):
+                own = np.frombuffer(raw, np.uint32)
+                n = len(own)
+                often = table[own & np.uint32(SLOTS - 1)]
+                order = np.argsort(np.minimum(often, np.uint64(0xFFFFFFFF)) << np.uint64(32) | own.astype(np.uint64))
+                room = np.floor((n - np.arange(n)) * ((1 + least) / least) - n + 1e-6).astype(np.int64)
+                first = order[: int((room >= least * n - 1e-6).sum())]
+                made.append((own[first].astype(np.uint64) << np.uint64(32), np.full(len(first), k), room[: len(first)], np.full(len(first), n), -(-often[first].astype(np.int64) // BLOCK)))
+            if not made:
+                continue
+            key, owner, most, size, blocks = (np.concatenate(x) for x in zip(*made, strict=True))
+            hot = np.flatnonzero(blocks > 1)
+            if len(hot):
+                times = blocks[hot]
+                other = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                again = np.repeat(hot, times)
+                mine = ((node[owner[again]].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % blocks[again]
+                salt = (np.minimum(mine, other) << 16 | np.maximum(mine, other)).astype(np.uint64)
+                alone = np.flatnonzero(blocks <= 1)
+                place = np.concatenate([alone, again])
+                key = np.concatenate([key[alone], key[again] | salt])
+                owner, most, size = owner[place], most[place], size[place]
+            bucket = ((key ^ key >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(33)).astype(np.int64) % buckets
+            order = np.argsort(bucket, kind="stable")
+            bucket, key, owner, most, size = (x[order] for x in (bucket, key, owner, most, size))
+            cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])).tolist()
+            rows: dict[str, list] = {name: [] for name in schema.names}
+            for a, b in zip(cuts, [*cuts[1:], len(bucket)], strict=True):
+                values = (key[a:b], node[owner[a:b]], group[owner[a:b]], size[a:b].astype(np.int32), most[a:b].astype(np.int32))
+                for column, value in zip(rows.values(), (int(bucket[a]), *(v.tobytes() for v in values)), strict=True):
+                    column.append(value)
+            yield pa.RecordBatch.from_pydict(rows, schema=schema)
+
+    def join(table: pa.Table) -> pa.Table:
+        whole = lambda name, kind: np.frombuffer(b"".join(table[name].to_pylist()), kind)
+        a, b = pairs_of_keys(whole("keys", np.uint64), whole("nodes", np.int64), whole("groups", np.int64), whole("sizes", np.int32), whole("most", np.int32))
+        return pa.table({"a": a, "b": b})
+
+    small_batches(nodes.sparkSession, 5_000)
+    packed = nodes.select("node", "group", "shingles").mapInArrow(emit, "bucket long, keys binary, nodes binary, groups binary, sizes binary, most binary")
+    return packed.groupBy("bucket").applyInArrow(join, "a long, b long").distinct()
+
+
 def similar_enough(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     """The links a, b whose sets of shingles (column shingles of nodes) have a similarity of `least` or more."""
 
@@ -404,41 +527,51 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     return clustered(docs, radius, shingle).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def similar_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
-    """doc_id, component_id for every row of docs (doc_id, text) that has words.
+def similar_rows(docs: DataFrame, shingle: int = 5, least: float = 0.8, key: str | None = None) -> DataFrame:
+    """doc_id, root for every row of docs (doc_id, text) that has words, and the column `key` if one is named.
 
-    Texts whose sets of word shingles have a similarity (intersection over union) of `least` or more are linked, and
-    component_id is the smallest doc_id reachable. Links come from ball hashing over several fingerprints, which finds a
-    pair of that similarity with a chance (see candidates()); each link is then verified on the whole sets. Texts of
-    equal sets are one node. Null, empty and blank texts have no row; rows with a null doc_id get their group's smallest
-    id, null if there is none; repeated rows are copies.
+    Texts whose sets of word shingles have a similarity (intersection over union) of `least` or more are linked, and rows
+    that are connected have one root. A first search over sketches joins most, and hides pairs behind links that are
+    rejected; all pairs that are still apart then come from an exact filter (prefix_pairs()). Each link is verified on
+    the whole sets before it joins anything for good. Texts of equal sets are one node. Null, empty and blank texts have no row.
     """
     small_batches(docs.sparkSession)
+    keys = [key] if key else []
 
     def make():
         import xxhash
 
         def each(cols: dict) -> dict:
-            out: dict[str, list] = {"doc_id": [], "node": [], "sketch": [], "shingles": []}
-            for doc, text in zip(cols["doc_id"], cols["text"], strict=True):
+            out: dict[str, list] = {name: [] for name in ("doc_id", *keys, "node", "sketch", "shingles")}
+            own = zip(*(cols[name] for name in ("doc_id", *keys)), strict=True)
+            for ids, text in zip(own, cols["text"], strict=True):
                 hashes = np.unique(shingle_hashes(text, shingle))
                 if len(hashes):
                     short = np.unique((hashes >> np.uint64(32)).astype(np.uint32))
-                    for column, value in zip(out.values(), (doc, xxhash.xxh64_intdigest(hashes.tobytes()) - (1 << 63), sketch(hashes, WORDS).tobytes(), short.tobytes()), strict=True):
+                    for column, value in zip(out.values(), (*ids, xxhash.xxh64_intdigest(hashes.tobytes()) - (1 << 63), sketch(hashes, FIRST_PARTS // 2 + 1).tobytes(), short.tobytes()), strict=True):
                         column.append(value)
             return out
 
         return each
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    rows = written(map_rows(texts, make, "doc_id long, node long, sketch binary, shingles binary"), "sketches")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keys, text_of().alias("text"))
+    rows = written(map_rows(texts, make, f"doc_id long, {''.join(f'{k} long, ' for k in keys)}node long, sketch binary, shingles binary"), "sketches")
     nodes = written(rows.select("node", "sketch", "shingles").dropDuplicates(["node"]), "nodes")
-    n, roots = nodes.count(), docs.sparkSession.range(0).select(F.col("id").alias("node"), F.col("id").alias("root"))
-    for parts in (range(FIRST_PARTS), range(FIRST_PARTS, 2 * WORDS)):
-        grouped = nodes.select("node", "sketch").join(roots, "node", "left").withColumn("group", F.coalesce("root", "node"))
-        pairs = written(candidates(grouped, n, parts), "candidates")
-        roots = components(similar_enough(pairs, nodes, least).unionByName(roots.select(F.col("root").alias("a"), F.col("node").alias("b"))))
-    least_ids = rows.groupBy("node").agg(F.min("doc_id").alias("least"))
-    rooted = written(least_ids.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.select("doc_id", "node").join(rooted.join(ids, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
+    first = nodes.select("node", F.col("node").alias("group"), "sketch")
+    pairs = written(candidates(first, nodes.count(), range(FIRST_PARTS)), "candidates")
+    roots = components(similar_enough(pairs, nodes, least))
+    grouped = nodes.select("node", "shingles").join(roots, "node", "left").withColumn("group", F.coalesce("root", "node"))
+    more = written(prefix_pairs(grouped, least).join(pairs, ["a", "b"], "left_anti"), "candidates")
+    roots = components(similar_enough(more, nodes, least).unionByName(roots.select(F.col("root").alias("a"), F.col("node").alias("b"))))
+    return rows.select("doc_id", *keys, "node").join(roots, "node", "left").select("doc_id", *keys, F.coalesce("root", "node").alias("root"))
+
+
+def similar_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
+    """doc_id, component_id for every row of docs (doc_id, text) that has words; see similar_rows().
+
+    component_id is the smallest doc_id of the connected rows. Rows with a null doc_id get their group's smallest id, null
+    if there is none; repeated rows are copies.
+    """
+    rows = written(similar_rows(docs, shingle, least), "rooted")
+    ids = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return rows.join(ids, "root").select("doc_id", "component_id")

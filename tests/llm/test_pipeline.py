@@ -72,6 +72,33 @@ def test_similar_groups(spark, large, monkeypatch):
     assert len(links) > 200 and np.mean(found) > 0.99
 
 
+def test_similar_pairs_within_a_family_of_a_template(spark, monkeypatch):
+    """All of 1,000 texts have a similarity of 0.778, but planted pairs 0.81: links that are rejected hide none of these."""
+    if hasattr(simhash, "BLOCK"):
+        monkeypatch.setattr(simhash, "BLOCK", 300)
+    core, rows = [f"core{i}" for i in range(179)], []
+    for i in range(1000):
+        own = [f"own{i}x{k}" for k in range(25)]
+        if i < 60:
+            own[:4] = [f"both{i // 2}x{k}" for k in range(4)]
+        rows.append((i, " ".join(core + own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(docs).collect()}
+    assert got == {i: i - i % 2 if i < 60 else i for i in range(1000)}
+
+
+def test_pairs_of_keys_are_all_pairs_of_different_groups():
+    rng = np.random.default_rng(5)
+    keys, node = rng.integers(0, 4, 600).astype(np.uint64), np.arange(600)
+    group, size, most = rng.integers(0, 200, 600), rng.integers(10, 20, 600), rng.integers(8, 20, 600)
+    group[rng.random(600) < 0.5] = 7
+    want = {(i, j) for j in range(600) for i in range(j) if keys[i] == keys[j] and group[i] != group[j] and size[i] <= most[j] and size[j] <= most[i]}
+    for large in (3, 1000):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(simhash, "LARGE", large)
+            assert set(zip(*map(np.ndarray.tolist, simhash.pairs_of_keys(keys, node, group, size, most)), strict=True)) == want
+
+
 def test_variants_are_spelled_out_once():
     rng = np.random.default_rng(4)
     keys, home = rng.integers(0, 1 << 32, 50, dtype=np.uint64).astype(np.uint32), rng.random(50) < 0.7
