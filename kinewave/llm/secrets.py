@@ -16,19 +16,19 @@ HEX = r"[0-9a-f]{24,}"
 ASSIGN_LEAST = 6
 KINDS = ("assign", "access", "hex", "entropy")
 
-#: Candidates of the entropy scan: maximal runs of the widest class, with a digit and a letter.
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
+#: Candidates of the entropy scan: maximal runs of the widest class, with a digit and a letter, WINDOW long with padding.
+#: A run ends at "=", which counts as padding only at its end, so that in NAME=value the value is judged alone.
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{18,}+(?:={1,2}(?![A-Za-z0-9+/_=-]))?"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 WINDOW = 20
 #: Least entropy in bits a character, by class; a window of 20 has 4.32 at most.
 LIMITS = {"hex": 3.1, "alnum": 3.7, "base64": 3.9}
-#: Allow-list: what looks random but is no secret (UUIDs, dates and paths, words joined by marks, stand-ins).
+#: Allow-list: what looks random but is no secret (UUIDs, dates and paths, words joined by marks, values made up of stand-ins).
 ALLOW = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     r"^[0-9_=/+-]+$",
     r"^[A-Za-z]*[-_/][A-Za-z/_-]+[0-9]{0,4}$",
-    r"(?i:example|sample|placeholder|xxxx|changeme)",
-    r"^=+|=+[A-Za-z]",
+    r"^(?i:(?:example|sample|placeholder|x{4,}+|changeme)[-_/+]*+[0-9]{0,4}+[-_/+]*+)++=*$",
 )
 
 
@@ -87,7 +87,7 @@ def entropy_spans(text: Column) -> Column:
 
     def secret(x: Column) -> Column:
         value = x.value
-        mixed = value.rlike("[0-9]") & value.rlike("[A-Za-z]")
+        mixed = (F.length(value) >= WINDOW) & value.rlike("[0-9]") & value.rlike("[A-Za-z]")
         allowed = F.lit(False)
         for pattern in ALLOW:
             allowed = allowed | value.rlike(pattern)

@@ -180,6 +180,20 @@ def test_secrets(name, request):
         assert clean[16] == "key [secret] end" and clean[1] is None and "AKIA" not in clean[14] and clean[4] == LONG
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("AWS_ACCESS_KEY=wJalrXUtnFEMI/K7MDENG/bPxRfiCYzQ8tLm end", "AWS_ACCESS_KEY=[secret] end"), ("client_key=Zx8LqPt4VbN2wRk7TyHs9", "client_key=[secret]"),
+        ("https://a.io/?sig=kQ9fK2xLq8Zt4VbN7wRp&x=1", "https://a.io/?sig=[secret]&x=1"), ("client_key=9fK2xLq8Zt4VbN7wRpYs", "client_key=[secret]"),
+        ("k=kQ9fK2xLq8Zt4VbN7w== end", "k=[secret] end"), ("x=kQ9fK2xLq8sampleZt4VbN7wRpxxxx", "x=[secret]"),
+        ("key=example_sample_placeholder_1234", "key=example_sample_placeholder_1234"), ("key=xxxxxxxxxxxxxxxxxxxxxxxx1", "key=xxxxxxxxxxxxxxxxxxxxxxxx1"),
+        ("sample" * 20_000 + "!", "sample" * 20_000 + "!"), ("id=123e4567-e89b-12d3-a456-426614174000", "id=123e4567-e89b-12d3-a456-426614174000"),
+    ],
+)
+def test_value_of_an_assignment_is_judged_alone(spark, text, want):
+    assert secrets.redacted(spark.createDataFrame([(text,)], "text string")).first().text == want
+
+
 def test_entropy_by_incremental_counts(spark):
     import math
 
