@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,9 +14,11 @@ RULES = (("net", "/", True), ("example.net", "/en/", False), ("example.com", "/d
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 LINK = r"""(?is)<a\s[^>]*?href\s*=\s*["']?(?:[a-z][a-z0-9+.-]*:)?//([^/"'?#\s>]+)"""
-ROUNDS, WRITE_EVERY, DAMPING = 8, 4, 0.85
+WRITE_EVERY, DAMPING = 4, 0.85
 #: A host is blocked at this many times the even share of distrust, if its trust is less.
 LEAST_DISTRUST = 2.0
+#: Ranks are spread until, of this limit, the summed change in WRITE_EVERY rounds is less than so much.
+TOLERANCE = 0.001
 SALTS = 32
 
 
@@ -58,24 +62,38 @@ def shares(edges: DataFrame) -> DataFrame:
     return both.join(total, ["src", "kind"]).select("src", "dst", "kind", (F.col("n") / F.col("total")).alias("share"))
 
 
-def spread(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """host, kind, score: personalised PageRank of both kinds, seeds (host, kind, seed) summing to 1 for each kind."""
-    rank = seeds.select("host", "kind", F.col("seed").alias("score"))
+def changed(before: DataFrame, after: DataFrame) -> float:
+    """The larger of the two kinds' summed changes of scores."""
+    both = after.unionByName(before.withColumn("score", -F.col("score"))).groupBy("host", "kind").agg(F.abs(F.sum("score")).alias("change"))
+    return both.groupBy("kind").agg(F.sum("change").alias("change")).agg(F.max("change")).first()[0] or 0.0
+
+
+def spread(edges: DataFrame, seeds: DataFrame, rounds: int | None = None, tolerance: float = 1e-6) -> DataFrame:
+    """host, kind, score: personalised PageRank of both kinds, seeds (host, kind, seed) summing to 1 for each kind.
+
+    Rounds go on until WRITE_EVERY of them change less than `tolerance` in sum, or for the given number of rounds. A round
+    shrinks a change to DAMPING of it at least, so the scores are then off by about the tolerance in sum at most.
+    """
+    rank = before = seeds.select("host", "kind", F.col("seed").alias("score"))
     start = seeds.select("host", "kind", ((1 - DAMPING) * F.col("seed")).alias("score"))
-    for k in range(1, rounds + 1):
+    most = rounds or math.ceil(math.log(tolerance / 2) / math.log(DAMPING)) + 2 * WRITE_EVERY  # a change is 2 at first
+    for k in range(1, most + 1):
         moved = rank.withColumnRenamed("host", "src").join(edges, ["src", "kind"]).select(F.col("dst").alias("host"), "kind", (DAMPING * F.col("score") * F.col("share")).alias("score"))
         rank = moved.unionByName(start).groupBy("host", "kind").agg(F.sum("score").alias("score"))
-        if k % WRITE_EVERY == 0 and k < rounds:
+        if k % WRITE_EVERY == 0 and k < most:
             rank = written(rank, "host-rank")
+            if rounds is None and changed(before, rank) < tolerance:
+                break
+            before = rank
     return rank
 
 
-def judge(pages: DataFrame, rules=RULES, rounds: int = ROUNDS) -> DataFrame:
+def judge(pages: DataFrame, rules=RULES, rounds: int | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict for every row of pages (page_id, url, html).
 
     The longest rule that fits an url decides. Else the host decides: trust spreads along links from hosts with allowed
-    pages, distrust against links from hosts with blocked pages, both by personalised PageRank with the seeds' shares of
-    allowed and blocked pages; a host with at least LEAST_DISTRUST even shares of distrust and more distrust than trust
+    pages, distrust against links from hosts with blocked pages, both by personalised PageRank, spread until it
+    settles, with the seeds' shares of allowed and blocked pages; a host with at least LEAST_DISTRUST even shares of distrust and more distrust than trust
     is blocked. A null url or one without :// has an empty host and path, no rule and the verdict allow; null html has
     no links. Repeated rows are judged row by row. Links are summed by host pair before any shuffle, and only hosts, not
     pages, take part in the rounds.
@@ -92,7 +110,7 @@ def judge(pages: DataFrame, rules=RULES, rounds: int = ROUNDS) -> DataFrame:
         hosts.select("host", F.lit("distrust").alias("kind"), (F.col("blocked") / F.col("n") / F.lit(blocked or 1.0)).alias("seed"))
     ).where("seed > 0")
     edges = written(shares(host_edges(base)), "host-links") if "html" in base.columns else None
-    ranks = spread(edges, seeds, rounds) if edges is not None else seeds.withColumnRenamed("seed", "score")
+    ranks = spread(edges, seeds, rounds, TOLERANCE * LEAST_DISTRUST / max(n_hosts, 1)) if edges is not None else seeds.withColumnRenamed("seed", "score")
     scores = ranks.groupBy("host").agg(
         F.sum(F.when(F.col("kind") == "distrust", F.col("score")).otherwise(0.0)).alias("distrust"),
         F.sum(F.when(F.col("kind") == "trust", F.col("score")).otherwise(0.0)).alias("trust"),

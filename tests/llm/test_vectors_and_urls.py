@@ -112,6 +112,20 @@ def test_distrust_goes_against_links_and_trust_along(spark):
     assert got["feeder.io"] == "block" and got["friend.io"] == "allow" and got["other3.io"] == "allow" and got["bad.net"] == "block"
 
 
+def test_distrust_reaches_hosts_of_a_long_chain(spark):
+    pages = [(0, "http://bad.net/", "")] + [(k, f"http://h{k}.io/", f'<a href="https://{"bad.net" if k == 1 else f"h{k - 1}.io"}/">l</a>') for k in range(1, 13)]
+    pages += [(100 + i, f"http://other{i}.io/", "") for i in range(120)]
+    got = {r.host: r.verdict for r in url_filter.judge(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert {h for h, v in got.items() if v == "block"} == {"bad.net", *(f"h{k}.io" for k in range(1, 13))}
+
+
+def test_spread_settles(spark):
+    edges = url_filter.shares(spark.createDataFrame([("a", "b", 2), ("a", "c", 2), ("b", "a", 1), ("c", "a", 1)], "src string, dst string, n long"))
+    seeds = spark.createDataFrame([("a", "trust", 1.0)], "host string, kind string, seed double")
+    got = {r.host: r.score for r in url_filter.spread(edges, seeds, tolerance=1e-4).collect()}
+    assert abs(got["a"] - 0.15 / (1 - 0.85**2)) < 1.2e-4 and abs(sum(got.values()) - 1) < 1.2e-4
+
+
 def test_spread_keeps_the_seeds_mass(spark):
     edges = url_filter.shares(spark.createDataFrame([("a", "b", 2), ("a", "c", 2), ("b", "a", 1), ("c", "a", 1)], "src string, dst string, n long"))
     seeds = spark.createDataFrame([("a", "trust", 1.0)], "host string, kind string, seed double")
