@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from kinewave.llm import packing, secrets, simhash, substring_dedup, toxicity
 from kinewave.llm.common import written
@@ -18,10 +19,17 @@ def toxic_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id stays; texts without words are no group."""
-    found = simhash.similar_groups(docs, SHINGLE, SIMILARITY)
-    gone = found.where("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of near-duplicates one row stays: that of the smallest doc_id, nulls last, whatever ids the others have.
+
+    Rows are told apart by a key of their own, so repeated rows are copies, and of two texts under one doc_id each is
+    judged by itself. Among rows of one doc_id any one stays. Texts without words are no group.
+    """
+    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    found = written(simhash.similar_rows(rows, SHINGLE, SIMILARITY, "_row"), "rooted")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
+    stays = found.groupBy("root").agg(F.min_by("_row", order).alias("stays"))
+    gone = found.join(stays, "root").where("_row != stays").select("_row")
+    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

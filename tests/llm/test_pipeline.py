@@ -160,6 +160,15 @@ def test_stages(spark, sf):
         assert at == len(ids)
 
 
+def test_near_duplicate_stage_tells_rows_apart(spark, sf):
+    """Null, repeated and shared ids: one row of each group stays, and what is in no group."""
+    a, b, c, d, e = (" ".join(f"{k}{i}" for i in range(30)) for k in "abcde")
+    rows = [(None, a), (None, a), (1, b), (1, b), (5, c), (2, c + " more"), (5, d), (None, c), (7, e), (None, e), (8, None), (8, None), (None, " "), (9, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter((r.doc_id, r.text) for r in corpus_pipeline.near_duplicate_stage(spark, docs, sf).collect())
+    assert got == Counter([(None, a), (1, b), (2, c + " more"), (5, d), (7, e), (8, None), (8, None), (None, " "), (9, "")])
+
+
 def test_stages_of_empty_tables(spark, tmp_path):
     for table, schema in (("documents", "doc_id long, text string, lang string, source string, n_chars long"), ("labels", "doc_id long, quality int, toxic int")):
         spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{table}.parquet")
