@@ -277,13 +277,38 @@ def _groups(root):
 
 
 def test_toxicity_holds_out_a_fold(spark):
-    sf = "/root/testdata/sf0.01"
+    """Precision, recall and average precision on the fold that is never fitted; an all-negative answer has recall 0."""
+    sf = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     rows = toxicity.scored(docs, labels).join(labels, "doc_id").collect()
     held = [r for r in rows if r.held_out]
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)
-    right = np.mean([r.predicted == r.toxic for r in held])
-    assert len(held) > 50 and right > 0.9
+    right = sum(r.predicted and r.toxic for r in held)
+    precision, recall = right / sum(r.predicted for r in held), right / sum(r.toxic for r in held)
+    ranked = [r.toxic for r in sorted(held, key=lambda r: -r.score)]
+    average = np.mean([sum(ranked[: i + 1]) / (i + 1) for i, y in enumerate(ranked) if y])
+    assert len(held) > 900 and precision > 0.9 and recall > 0.85 and average > 0.9
+
+
+def test_toxicity_learns_from_votes_not_from_labels(spark):
+    """The posteriors that train the classifier differ from the labels, and do not move when half of the labels are turned."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    chosen, _, model = toxicity.fit(docs, labels)
+    noisy = labels.withColumn("toxic", F.when(F.col("doc_id") % 2 == 0, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    _, _, other = toxicity.fit(docs, noisy)
+    voters = toxicity.Voters(chosen)
+    votes = voters.votes(voters.counts(["you idiot, you moron", "a plain text", "one idiot"]))
+    assert model.posterior(votes)[0] > 0.9 > 0.3 > model.posterior(votes)[1]
+    k = len(toxicity.SEED_LEXICON)
+    assert len(chosen) >= k and other.rate.shape[0] == 2 and model.correlations.shape == (votes.shape[1],) * 2
+
+
+def test_repeated_labelled_rows_are_bounded(spark):
+    docs = spark.range(3000).selectExpr("id % 2 as doc_id", "case when id % 2 = 0 then 'you idiot' else 'a fine day' end as text")
+    labels = spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, toxic int")
+    chosen, weights, _ = toxicity.fit(docs, labels, rows=100)
+    assert len(weights) and "idiot 1" in chosen
 
 
 def test_toxicity_edges(edge, spark):
@@ -295,14 +320,16 @@ def test_toxicity_edges(edge, spark):
     assert [r.predicted for r in toxicity.scored(toxic, labels.limit(0)).orderBy("doc_id").collect()] == [1, 0]
 
 
-def test_label_model_weighs_voters():
+def test_label_model_estimates_accuracies_and_correlations():
+    """Five copies of one weak voter must not outvote four good ones; no label is given."""
     rng = np.random.default_rng(0)
-    y = rng.random(4000) < 0.2
-    good = (rng.random((4000, 4)) < np.where(y[:, None], 0.8, 0.02)).astype(float)
-    copies = np.repeat((rng.random((4000, 1)) < np.where(y[:, None], 0.5, 0.3)).astype(float), 5, axis=1)
-    votes = np.concatenate([good, copies], axis=1)
-    model = toxicity.LabelModel(votes, np.clip(votes[:, :4].mean(axis=1), 0.02, 0.98), np.ones(9))
-    assert np.abs(model.yes[:4] - 0.8).max() < 0.1 and model.weight[4:].max() < 0.4
+    y = rng.random(6000) < 0.2
+    good = (rng.random((6000, 4)) < np.where(y[:, None], 0.8, 0.02)).astype(float)
+    copies = np.repeat((rng.random((6000, 1)) < np.where(y[:, None], 0.5, 0.3)).astype(float), 5, axis=1)
+    votes = np.concatenate([good, copies, (rng.random((6000, 1)) < 0.05).astype(float)], axis=1)
+    model = toxicity.LabelModel(votes, np.ones(10), 0.2, 10)
+    assert np.abs(model.rate[1, :4] - 0.8).max() < 0.1 and model.rate[0, :4].max() < 0.1
+    assert (model.correlations[4:9, 4:9] > 0.9).all() and (model.parent[4:9] >= 4).sum() >= 4
     assert ((model.posterior(votes) > 0.5) == y).mean() > 0.97
 
 
