@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, written
+from .common import partitions, small_batches, written
 from .vectors import best_of, distinct, flat_ids, paired, query_blocks, sharded, valid
 
 DEGREE, EF_BUILD, EF_SEARCH, SHARD_SIZE, MAX_LEVEL = 16, 64, 96, 4096, 4
@@ -177,6 +177,6 @@ def neighbours(vectors: DataFrame, every: int = 20, k: int = 20, size: int = SHA
                             column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["query_id", "vec_id", "score"])
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    small_batches(spark)
     pairs = paired(blocks, index).repartition(partitions(spark), "shard", "block")
     return best_of(pairs.mapInArrow(run, RESULT), k)

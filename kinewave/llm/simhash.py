@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 from itertools import combinations
 
 import numpy as np
@@ -10,28 +11,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, small_batches, text_of, written
+from .common import discard, map_rows, small_batches, text_of, written
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
-#: Entries (a half's variant, a fingerprint) that one task sorts at a time.
-BUCKET_ENTRIES = 2_000_000
-#: Entries that are dealt to buckets at a time.
-BATCH_ENTRIES = 2_000_000
-#: Where similarity counts: the levels at which 128 bits of a text's independent fingerprints are compared;
-#: texts of a similarity of 0.8 differ in 19 of 128 bits (standard deviation 4).
-LEVELS = (12, 20, 32)
-#: The parts of the sketch that are searched; what they miss or hide is found by rare shingles (see prefix_pairs()).
-FIRST_PARTS = 8
-#: Shingles are counted in so many slots; a slot is common from COMMON + 8 times the mean count on.
-SLOTS, COMMON = 1 << 20, 64
+#: Variants that a task spells out and sorts at a time.
+VARIANTS = 4_000_000
+#: Fingerprints that one bucket may hold; while all fit, a fingerprint goes to each of 2**LEAST_BITS buckets once.
+BUCKET_FPS, LEAST_BITS = 1 << 24, 5
+#: Bytes that a fingerprint may add to the shuffle of one pass; the buckets are dealt to passes accordingly.
+PASS_BYTES = 1024
+#: Shingles are counted in so many slots; a slot is common from COMMON + 8 times the mean count of a task on.
+SLOTS, COMMON = 1 << 20, 16
 #: Entries (a shingle of a node) that one task compares at a time, and those of one shingle that are dealt to one block.
 PREFIX_ENTRIES, BLOCK = 1_000_000, 20_000
-#: Rows of such a sketch's part that a bucket is to hold at most, 33 bytes each.
-BUCKET_ROWS = 2_000_000
-#: Members of a variant beyond which sets, not members, are compared.
+#: Shingles of a node by which the first, inexact looks for similar nodes go.
+LOOKS = (4, 16)
+#: Members of a shingle beyond which pairs are made row by row.
 LARGE = 64
-EMITTED = "bucket int, upper int, fps binary, owners binary, masks binary"
-_EMITTED = pa.schema([("bucket", pa.int32()), ("upper", pa.int32()), ("fps", pa.binary()), ("owners", pa.binary()), ("masks", pa.binary())])
 
 
 def shingle_hashes(text: str, shingle: int = SHINGLE) -> np.ndarray:
@@ -49,27 +45,17 @@ def shingle_hashes(text: str, shingle: int = SHINGLE) -> np.ndarray:
     return np.fromiter((digest(joined[s:e], SEED) for s, e in zip(starts, stops, strict=True)), np.uint64, len(starts))
 
 
-def fingerprint(text: str, shingle: int = SHINGLE) -> int:
-    """Bits set in over half of the hashes of the text's shingles; zero for a text without words."""
-    hashes = shingle_hashes(text, shingle)
+def majority(hashes: np.ndarray) -> np.ndarray:
+    """The bits set in over half of the hashes, as one unsigned number; zero for none."""
     counts, n = np.zeros(64, np.int64), len(hashes)
     for a in range(0, n, 65_536):
         counts += np.unpackbits(hashes[a : a + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)[0])
+    return np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)
 
 
-def sketch(hashes: np.ndarray, words: int) -> np.ndarray:
-    """That many independent fingerprints of 64 bits, from remixed hashes."""
-    salts = np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    counts = np.zeros(64 * words, np.int64)
-    for a in range(0, len(hashes), 255):  # so that counts fit in a byte
-        h = (hashes[a : a + 255, None] ^ salts[None, :]) * np.uint64(0xBF58476D1CE4E5B9)
-        h ^= h >> np.uint64(31)
-        h *= np.uint64(0x94D049BB133111EB)
-        h ^= h >> np.uint64(29)
-        bits = np.unpackbits(h.view(np.uint8), axis=1, bitorder="little")
-        counts += np.add.reduce(bits, axis=0, dtype=np.uint8)
-    return np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)
+def fingerprint(text: str, shingle: int = SHINGLE) -> int:
+    """Bits set in over half of the hashes of the text's shingles; zero for a text without words."""
+    return int(majority(shingle_hashes(text, shingle))[0])
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -88,20 +74,25 @@ def ball(bits: int, radius: int) -> np.ndarray:
 
 
 def masks_of(radius: int) -> np.ndarray:
-    """Masks of a half: each half of each fingerprint is emitted with every variant within half of what a half may differ.
-
-    Of two fingerprints within the radius, one half differs in radius // 2 bits at most, so the two share a variant of it
-    within half of that, rounded up.
-    """
-    return ball(32, (radius // 2 + 1) // 2).astype(np.uint32)
+    """The ball of half the radius around a fingerprint: of two that differ in `radius` bits at most, it holds a common variant."""
+    return ball(64, radius // 2)
 
 
-def half(fps: np.ndarray, upper: int) -> np.ndarray:
-    return (fps >> np.uint64(32 * upper)).astype(np.uint32)
+@cache
+def _bytes_hash(bits: int) -> np.ndarray:
+    """For each of the 8 bytes and its values, the exclusive or of random numbers of `bits` bits that belong to its set bits."""
+    own = np.random.default_rng(17).integers(0, 1 << bits, (8, 8, 1), dtype=np.int64)
+    on = np.arange(256)[None, None, :] >> np.arange(8)[None, :, None] & 1
+    return np.bitwise_xor.reduce(own * on, axis=1)
 
 
-def near(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
-    return np.bitwise_count(a ^ b) <= radius
+def linear(fps: np.ndarray, bits: int) -> np.ndarray:
+    """A hash of which linear(a ^ b) is linear(a) ^ linear(b), so the bucket of a variant follows from fingerprint and mask."""
+    own = np.ascontiguousarray(fps).view(np.uint8).reshape(-1, 8)
+    table, out = _bytes_hash(bits), np.zeros(len(own), np.int64)
+    for k in range(8):
+        out ^= table[k, own[:, k]]
+    return out
 
 
 class Sets:
@@ -120,241 +111,139 @@ class Sets:
             x, y = self.top[x], self.top[y]
 
 
-def join_large(fps: np.ndarray, members: np.ndarray, sets: Sets, radius: int) -> None:
-    """Join what is near within a large group: a set grows by those of the rest that are near its new members.
+    def spanning(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Numbers of links, of those given, that join all that they connect and that is not joined yet."""
+        out, at = [np.empty(0, np.int64)], np.arange(len(a))
+        while len(at):
+            x, y = self.top[a[at]], self.top[b[at]]
+            at, x, y = at[x != y], x[x != y], y[x != y]
+            low, high = np.minimum(x, y), np.maximum(x, y)
+            high, first = np.unique(high, return_index=True)  # each set joins one smaller set, so there is no circle
+            out.append(at[first])
+            self.join(low[first], high)
+        return np.concatenate(out)
+
 
-    Who is in the same set already is never compared, so a dense group costs one look at its sets.
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links of those given, enough to connect what they all connect."""
+    ends, number = np.unique(np.concatenate([a, b]), return_inverse=True)
+    kept = Sets(len(ends)).spanning(number[: len(a)], number[len(a) :])
+    return a[kept], b[kept]
+
+
+def bucket_links(fps: np.ndarray, bucket: int, masks: np.ndarray, low: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Direct links among distinct fps that share a variant of this bucket, enough to connect all that do.
+
+    The variants are spelled out in 2**low parts of the bucket, so that as many are sorted at a time as memory allows.
+    All that share a variant lie within twice the ball's radius of each other, so each of them is linked to one of them.
     """
-    while len(members):
-        tops = sets.top[members]
-        in_set = tops == tops[0]
-        fresh, rest = members[in_set], members[~in_set]
-        while len(rest) and len(fresh):
-            reached = np.zeros(len(rest), bool)
-            for s in range(0, len(fresh), 256):
-                reached |= near(fps[rest][:, None], fps[fresh[s : s + 256]][None, :], radius).any(axis=1)
-            new = np.isin(sets.top[rest], sets.top[rest[reached]])  # with all of their sets
-            sets.join(rest[reached], np.full(int(reached.sum()), members[0]))
-            fresh, rest = rest[new], rest[~new]
-        members = rest
-
-
-def bucket_links(keys: np.ndarray, owners: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (smaller, larger) that connect what verified links connect, among fingerprints fps[owners] that share a key."""
-    order = np.argsort(keys)
-    keys, owners = keys[order], owners[order]
-    new = np.concatenate([[True], keys[1:] != keys[:-1]])
-    shared = ~(new & np.concatenate([new[1:], [True]]))
-    keys, owners, new = keys[shared], owners[shared], new[shared]
-    sets = Sets(len(fps))
-    heads = np.flatnonzero(new)
-    sizes = np.diff(np.append(heads, len(keys)))
-    left = np.repeat(heads + sizes, sizes) - np.arange(len(keys))  # members from here to the end of the key
-    live = np.flatnonzero(np.repeat(sizes <= LARGE, sizes) & (left > 1))
-    step = 1
-    while len(live):
-        x, y = owners[live], owners[live + step]
-        ok = sets.top[x] != sets.top[y]
-        x, y = x[ok], y[ok]
-        ok = near(fps[x], fps[y], radius)
-        sets.join(x[ok], y[ok])
-        step += 1
-        live = live[left[live] > step]
-    for g in np.flatnonzero(sizes > LARGE):
-        join_large(fps, owners[heads[g] : heads[g] + sizes[g]], sets, radius)
-    child = np.flatnonzero(sets.top != np.arange(len(fps)))
-    return fps[sets.top[child]], fps[child]
+    classes = linear(masks, bits)
+    order = np.argsort(classes, kind="stable")
+    classes, masks = classes[order], masks[order]
+    own, which = np.unique(linear(fps, bits), return_inverse=True)
+    a, b = np.empty(0, np.int64), np.empty(0, np.int64)
+    for part in range(1 << low):
+        wanted = own ^ (bucket << low | part)
+        first = np.searchsorted(classes, wanted)
+        counts = (np.searchsorted(classes, wanted, side="right") - first)[which]
+        owner = np.repeat(np.arange(len(fps)), counts)
+        within = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+        variant = fps[owner] ^ masks[first[which][owner] + within]
+        order = np.argsort(variant)
+        variant, owner = variant[order], owner[order]
+        new = np.concatenate([[True], variant[1:] != variant[:-1]]) if len(variant) else np.empty(0, bool)
+        head = owner[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
+        a, b = np.concatenate([a, head[~new]]), np.concatenate([b, owner[~new]])
+        if len(a) > VARIANTS or part == (1 << low) - 1:
+            a, b = forest(a, b)
+    return fps[a], fps[b]
 
 
 def links(fps: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
     """a, b: verified links between distinct fingerprints (column fp), enough to connect all that are within the radius.
 
-    Every fingerprint emits its variants, as numbers of fingerprint and mask, packed by bucket in each Arrow batch; a
-    bucket is sorted in one task, its size held by the number of buckets, which follows n, the number of fingerprints, and
-    not the number of partitions: a bucket gives a link for each member of a group, so fewer buckets give fewer links.
+    Meet in the middle: every fingerprint stands for all its variants within half the radius (2,081 at a radius of 4), and
+    two within the radius have one in common. Variants are shuffled by a linear hash, so that a fingerprint goes once to
+    each bucket that holds variants of it, and they are spelled out there; equal variants are always in one bucket. Members
+    of a variant are within the radius of each other, however many they are (2,081 at most); each link is checked again.
+    n is the number of fingerprints: beyond BUCKET_FPS buckets become more, up to one for each variant, and are dealt to
+    passes, each written before the next, so that the shuffle of a pass is bounded by PASS_BYTES a fingerprint.
     """
-    spark = fps.sparkSession
+    if radius not in (0, 2, 4, 6):
+        raise ValueError("the radius has to be 0, 2, 4 or 6")
+    small_batches(fps.sparkSession)
     masks = masks_of(radius)
-    buckets = n * 2 * len(masks) // BUCKET_ENTRIES + 1
-    each = min(1 << 16, max(1, BATCH_ENTRIES // len(masks)))
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            every = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for s in range(0, len(every), each):
-                some = every[s : s + each]
-                rows: dict[str, list] = {"bucket": [], "upper": [], "fps": [], "owners": [], "masks": []}
-                for upper in (0, 1):
-                    keys = (half(some, upper)[:, None] ^ masks[None, :]).ravel()
-                    bucket = ((keys * np.uint32(0x9E3779B1)).astype(np.uint64) * np.uint64(buckets) >> np.uint64(32)).astype(np.uint16 if buckets < 1 << 16 else np.uint32)
+    top = LEAST_BITS
+    while n * min(1.0, len(masks) / 2**top) > BUCKET_FPS:
+        top += 1
+    low = max(0, (n * len(masks) // VARIANTS).bit_length() - top)
+    bits = top + low
+    moves = np.unique(linear(masks, bits) >> low)
+    passes = -(-8 * len(moves) // PASS_BYTES)
+    schema = pa.schema([("bucket", pa.int64()), ("fps", pa.binary())])
+
+    def step(turn: int) -> DataFrame:
+        def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                every = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+                for s in range(0, len(every), 1 << 14):
+                    some = every[s : s + (1 << 14)]
+                    bucket = (linear(some, bits) >> low)[:, None] ^ moves[None, :]
+                    owner, move = np.nonzero(bucket % passes == turn)
+                    bucket = bucket[owner, move]
                     order = np.argsort(bucket, kind="stable")
-                    bucket = bucket[order]
-                    owner, mask = order // len(masks), (order % len(masks)).astype(np.uint16)
-                    cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-                    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(bucket)], strict=True):
-                        own, place = np.unique(owner[a:b], return_inverse=True)
-                        for column, value in zip(rows.values(), (int(bucket[a]), upper, some[own].tobytes(), place.astype(np.uint16).tobytes(), mask[a:b].tobytes()), strict=True):
-                            column.append(value)
-                yield pa.RecordBatch.from_pydict(rows, schema=_EMITTED)
+                    bucket, owner = bucket[order], owner[order]
+                    cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.empty(0, np.int64)
+                    ends = [*cuts[1:].tolist(), len(bucket)]
+                    yield pa.RecordBatch.from_pydict({"bucket": bucket[cuts], "fps": [some[owner[a:b]].tobytes() for a, b in zip(cuts.tolist(), ends, strict=False)]}, schema=schema)
 
-    def join(table: pa.Table) -> pa.Table:
-        known, keys, owners, at = [], [], [], 0
-        for row in table.to_batches():
-            for upper, fp, owner, mask in zip(*(row.column(c).to_pylist() for c in ("upper", "fps", "owners", "masks")), strict=True):
-                own, place = np.frombuffer(fp, np.uint64), np.frombuffer(owner, np.uint16)
-                known.append(own)
-                keys.append((half(own, upper)[place] ^ masks[np.frombuffer(mask, np.uint16)]).astype(np.uint64) | np.uint64(upper << 32))
-                owners.append((place + np.int64(at)).astype(np.int32))
-                at += len(own)
-        distinct, number = np.unique(np.concatenate(known), return_inverse=True)
-        a, b = bucket_links(np.concatenate(keys), number[np.concatenate(owners)], distinct, radius)
-        return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
-
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
-    packed = fps.select("fp").mapInArrow(emit, EMITTED)
-    return packed.groupBy("bucket").applyInArrow(join, "a long, b long").distinct()
+        def join(table: pa.Table) -> pa.Table:
+            own = np.unique(np.frombuffer(b"".join(table["fps"].to_pylist()), np.uint64))
+            a, b = bucket_links(own, table["bucket"][0].as_py(), masks, low, bits)
+            ok = np.bitwise_count(a ^ b) <= radius
+            return pa.table({"a": a[ok].view(np.int64), "b": b[ok].view(np.int64)})
 
+        return fps.select("fp").mapInArrow(emit, "bucket long, fps binary").groupBy("bucket").applyInArrow(join, "a long, b long")
 
-def nearest_links(keys: np.ndarray, rows: np.ndarray, checks: np.ndarray, node: np.ndarray, sets: Sets, levels: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """Direct links (pairs of rows) between those that share a key; a row has check words (checks[row]) and a number in `sets`.
-
-    Links are taken by ascending level of distance, and only between sets that are not joined yet, so a link that is
-    left out has a path of links that are about as near or nearer.
-    """
-    order = np.argsort(keys)
-    keys, rows = keys[order], rows[order]
-    new = np.concatenate([[True], keys[1:] != keys[:-1]])
-    shared = ~(new & np.concatenate([new[1:], [True]]))
-    keys, rows, new = keys[shared], rows[shared], new[shared]
-    heads = np.flatnonzero(new)
-    sizes = np.diff(np.append(heads, len(keys)))
-    left = np.repeat(heads + sizes, sizes) - np.arange(len(keys))
-    small = np.flatnonzero(np.repeat(sizes <= LARGE, sizes) & (left > 1))
-    out: list[list] = [[np.empty(0, np.int64)], [np.empty(0, np.int64)]]
-
-    def take(x: np.ndarray, y: np.ndarray) -> None:
-        a, b = sets.top[node[x]], sets.top[node[y]]
-        lone = np.unique(np.minimum(a, b) * len(sets.top) + np.maximum(a, b), return_index=True)[1]
-        out[0].append(x[lone])
-        out[1].append(y[lone])
-        sets.join(a[lone], b[lone])
-
-    for level in levels:
-        live, step = small, 1
-        while len(live):
-            x, y = rows[live], rows[live + step]
-            ok = sets.top[node[x]] != sets.top[node[y]]
-            x, y = x[ok], y[ok]
-            ok = np.bitwise_count(checks[x] ^ checks[y]).sum(axis=1) <= level
-            take(x[ok], y[ok])
-            step += 1
-            live = live[left[live] > step]
-        for g in np.flatnonzero(sizes > LARGE):
-            members = rows[heads[g] : heads[g] + sizes[g]]
-            while len(members):
-                inside = sets.top[node[members]] == sets.top[node[members[0]]]
-                fresh, rest = members[inside], members[~inside]
-                while len(rest) and len(fresh):
-                    by = np.full(len(rest), -1)
-                    for s in range(0, len(fresh), 256):
-                        some = fresh[s : s + 256]
-                        close = sum(np.bitwise_count(checks[rest, w][:, None] ^ checks[some, w][None, :]).astype(np.uint16) for w in range(checks.shape[1])) <= level
-                        by = np.where((by < 0) & close.any(axis=1), some[close.argmax(axis=1)], by)
-                    take(rest[by >= 0], by[by >= 0])
-                    reached = sets.top[node[rest]] == sets.top[node[members[0]]]
-                    fresh, rest = rest[reached], rest[~reached]
-                members = rest
-    return np.concatenate(out[0]), np.concatenate(out[1])
-
-
-def variants(keys: np.ndarray, home: np.ndarray, bits: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(variant, row) of the keys and, where home, of their flips in the lower `bits` bits, about `most` at a time.
-
-    A pass takes the variants with given upper bits of these: a key of the pass gives all flips of the rest, a key one
-    bit off gives one variant. So equal variants are always in one pass.
-    """
-    upper = max(0, min(bits, (len(keys) * (bits + 1) // most).bit_length()))
-    low = bits - upper
-    flips = np.array([0, *(1 << k for k in range(low))], np.uint32)
-    at = (keys >> np.uint32(low)) & np.uint32((1 << upper) - 1)
-    for q in range(1 << upper):
-        here = at == q
-        full, alone = np.flatnonzero(here & home), np.flatnonzero(here & ~home)
-        off = at ^ np.uint32(q)
-        by = np.flatnonzero(home & (np.bitwise_count(off) == 1))
-        made = [(keys[full][:, None] ^ flips[None, :]).ravel(), keys[alone], keys[by] ^ (off[by] << np.uint32(low))]
-        yield np.concatenate(made), np.concatenate([np.repeat(full, len(flips)), alone, by])
-
-
-def candidates(nodes: DataFrame, n: int, parts: range) -> DataFrame:
-    """a, b: links between nodes (node, group, sketch) that share a variant of one of the parts and are near in 128 bits.
-
-    Nodes of one group are linked already, and get no more links.
-
-    A search by chance, to join large groups cheaply: sets are joined here by links that may be rejected later, so true
-    pairs can be hidden. Every part of the sketch has its variants within one bit, so parts that differ in two bits at
-    most meet, at a similarity of 0.8 with a chance of 0.116 each. A bucket is a part and the upper
-    bits of a variant, as few as hold its rows at BUCKET_ROWS: a row goes to the bucket of its own part and to those one
-    upper bit off, and the variants are spelled out there, BUCKET_ENTRIES at a time.
-    """
-    upper = (n // BUCKET_ROWS).bit_length()
-    low = 32 - upper
-    schema = pa.schema([("bucket", pa.int64()), ("nodes", pa.binary()), ("groups", pa.binary()), ("checks", pa.binary()), ("flips", pa.binary())])
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        change = np.array([0, *(1 << k for k in range(upper))], np.int64)
-        for batch in batches:
-            node, group = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            words = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64).reshape(-1, FIRST_PARTS // 2 + 1)
-            rows: dict[str, list] = {name: [] for name in schema.names}
-            for part in parts:
-                own = half(words[:, part // 2], part % 2).astype(np.int64) >> low
-                bucket = (own[:, None] ^ change[None, :]).ravel()
-                order = np.argsort(bucket, kind="stable")
-                bucket, owner, flip = bucket[order], order // len(change), (order % len(change)).astype(np.uint8)
-                check = words[:, [part // 2, part // 2 + 1]]
-                cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.empty(0, np.int64)
-                for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(bucket)], strict=False):
-                    for column, value in zip(rows.values(), ((part << 32) + int(bucket[a]), node[owner[a:b]].tobytes(), group[owner[a:b]].tobytes(), check[owner[a:b]].tobytes(), flip[a:b].tobytes()), strict=True):
-                        column.append(value)
-            yield pa.RecordBatch.from_pydict(rows, schema=schema)
-
-    def join(table: pa.Table) -> pa.Table:
-        whole = lambda name, kind: np.frombuffer(b"".join(table[name].to_pylist()), kind)
-        node = whole("nodes", np.int64)
-        groups, number = np.unique(whole("groups", np.int64), return_inverse=True)
-        checks, flips = whole("checks", np.uint64).reshape(-1, 2), whole("flips", np.uint8).astype(np.int64)
-        keys = half(checks[:, 0], (table["bucket"][0].as_py() >> 32) % 2)
-        keys = keys ^ np.where(flips > 0, np.int64(1) << (low + flips - 1), 0).astype(np.uint32)
-        sets = Sets(len(groups))
-        found = [nearest_links(key, row, checks, number, sets, LEVELS) for key, row in variants(keys, flips == 0, low, BUCKET_ENTRIES)]
-        a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-        return pa.table({"a": np.minimum(node[a], node[b]), "b": np.maximum(node[a], node[b])})
-
-    nodes.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
-    packed = nodes.select("node", "group", "sketch").mapInArrow(emit, "bucket long, nodes binary, groups binary, checks binary, flips binary")
-    return packed.groupBy("bucket").applyInArrow(join, "a long, b long").distinct()
+    if passes == 1:
+        return step(0).distinct()
+    parts = [written(step(turn), "ball-links") for turn in range(passes)]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.distinct()
 
 
 def common_slots(nodes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Slots of the shingles that many nodes have, with their counts; SLOTS / 8 at most, whatever the corpus."""
+    """Slots of shingles that many nodes have, with their counts; SLOTS / COMMON a task at most, whatever the corpus.
+
+    A task passes on the slots that are common among its own nodes, so a count may be too small. The counts only decide in
+    which order shingles are looked at, never which pairs are found.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SLOTS, np.int64)
         for batch in batches:
             every = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint32)
             total += np.bincount(every & np.uint32(SLOTS - 1), minlength=SLOTS)
-        slot = np.flatnonzero(total)
-        for s in range(0, len(slot), 1 << 16):
-            some = slot[s : s + (1 << 16)]
-            yield pa.RecordBatch.from_pydict({"slot": pa.array(some, pa.int64()), "n": pa.array(total[some], pa.int64())})
-
-    counts = written(nodes.select("shingles").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")), "slots")
-    whole = counts.agg(F.sum("n")).first()[0] or 0
-    found = counts.where(F.col("n") >= COMMON + 8 * whole / SLOTS).toArrow()
+        slot = np.flatnonzero(total >= COMMON + 8 * total.mean())
+        yield pa.RecordBatch.from_pydict({"slot": pa.array(slot, pa.int64()), "n": pa.array(total[slot], pa.int64())})
+
+    counts = nodes.select("shingles").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    found = counts.orderBy(F.col("n").desc(), "slot").limit(SLOTS // COMMON).toArrow()
     return found["slot"].to_numpy().astype(np.int64), found["n"].to_numpy().astype(np.int64)
 
 
+def next_of_keys(keys: np.ndarray, node: np.ndarray, group: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the nodes that share a key each with the next by size, if that is of another group."""
+    order = np.lexsort((node, size, keys))
+    keys, node, group = keys[order], node[order], group[order]
+    on = (keys[1:] == keys[:-1]) & (group[1:] != group[:-1])
+    x, y = node[:-1][on], node[1:][on]
+    found = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
+    return found[:, 0], found[:, 1]
+
+
 def pairs_of_keys(keys: np.ndarray, node: np.ndarray, group: np.ndarray, size: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct pairs of nodes of different groups that share a key, each no larger than the other allows (`most`)."""
     order = np.lexsort((group, keys))
@@ -392,13 +281,16 @@ def pairs_of_keys(keys: np.ndarray, node: np.ndarray, group: np.ndarray, size: n
     return found[:, 0], found[:, 1]
 
 
-def prefix_pairs(nodes: DataFrame, least: float) -> DataFrame:
+def prefix_pairs(nodes: DataFrame, least: float, few: int | None = None) -> DataFrame:
     """a, b: every pair of nodes (node, group, shingles) of different groups that may have a similarity of `least`.
 
     Exact, by a prefix filter: shingles have one order, rare ones first. If a pair's first common shingle is the i-th of n,
     at most n - i are common, so the other set has at most (n - i)(1 + least) / least - n. A node has an entry for each
     shingle that leaves room for a set of least * n, and two that share such a shingle are a pair if each fits the other.
     Nothing is joined here. A shingle of more than BLOCK nodes is dealt to salted blocks, and each two blocks meet.
+
+    With `few`, only so many of a node's shingles count, blocks meet no others, and each node is paired with the next by size
+    only: a cheap first look, not an exact one, that makes few pairs of a large family of copies.
     """
     slots, counts = common_slots(nodes)
     longest = nodes.agg(F.sum(F.octet_length("shingles") / 4)).first()[0] or 0
@@ -417,17 +309,18 @@ def prefix_pairs(nodes: DataFrame, least: float) -> DataFrame:
                 often = table[own & np.uint32(SLOTS - 1)]
                 order = np.argsort(np.minimum(often, np.uint64(0xFFFFFFFF)) << np.uint64(32) | own.astype(np.uint64))
                 room = np.floor((n - np.arange(n)) * ((1 + least) / least) - n + 1e-6).astype(np.int64)
-                first = order[: int((room >= least * n - 1e-6).sum())]
+                first = order[: int((room >= least * n - 1e-6).sum())][:few]
                 made.append((own[first].astype(np.uint64) << np.uint64(32), np.full(len(first), k), room[: len(first)], np.full(len(first), n), -(-often[first].astype(np.int64) // BLOCK)))
             if not made:
                 continue
             key, owner, most, size, blocks = (np.concatenate(x) for x in zip(*made, strict=True))
             hot = np.flatnonzero(blocks > 1)
             if len(hot):
-                times = blocks[hot]
+                times = blocks[hot] if few is None else np.ones(len(hot), np.int64)
                 other = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
                 again = np.repeat(hot, times)
                 mine = ((node[owner[again]].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % blocks[again]
+                other = other if few is None else mine
                 salt = (np.minimum(mine, other) << 16 | np.maximum(mine, other)).astype(np.uint64)
                 alone = np.flatnonzero(blocks <= 1)
                 place = np.concatenate([alone, again])
@@ -446,10 +339,11 @@ def prefix_pairs(nodes: DataFrame, least: float) -> DataFrame:
 
     def join(table: pa.Table) -> pa.Table:
         whole = lambda name, kind: np.frombuffer(b"".join(table[name].to_pylist()), kind)
-        a, b = pairs_of_keys(whole("keys", np.uint64), whole("nodes", np.int64), whole("groups", np.int64), whole("sizes", np.int32), whole("most", np.int32))
+        keys, node, group, size, most = whole("keys", np.uint64), whole("nodes", np.int64), whole("groups", np.int64), whole("sizes", np.int32), whole("most", np.int32)
+        a, b = pairs_of_keys(keys, node, group, size, most) if few is None else next_of_keys(keys, node, group, size)
         return pa.table({"a": a, "b": b})
 
-    small_batches(nodes.sparkSession, 5_000)
+    small_batches(nodes.sparkSession)
     packed = nodes.select("node", "group", "shingles").mapInArrow(emit, "bucket long, keys binary, nodes binary, groups binary, sizes binary, most binary")
     return packed.groupBy("bucket").applyInArrow(join, "a long, b long").distinct()
 
@@ -462,28 +356,45 @@ def similar_enough(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFram
             ok = []
             for x, y in zip(cols["x"], cols["y"], strict=True):
                 x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
-                both = len(np.intersect1d(x, y, assume_unique=True))
+                both = np.sort(np.concatenate([x, y]))
+                both = int((both[1:] == both[:-1]).sum())
                 ok.append(both >= least * (len(x) + len(y) - both))
             return {"a": cols["a"], "b": cols["b"], "ok": ok}
 
         return each
 
-    small_batches(pairs.sparkSession, 200)
-    sizes = nodes.select("node", F.octet_length("shingles").alias("n"))
+    small_batches(pairs.sparkSession)
     of = lambda side, name: nodes.select(F.col("node").alias(side), F.col("shingles").alias(name))
-    short, long = F.least("n", "m"), F.greatest("n", "m")
-    fit = pairs.join(sizes.withColumnRenamed("node", "a"), "a").join(sizes.toDF("b", "m"), "b").where(short >= long * F.lit(least)).select("a", "b")
-    full = fit.join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", "x", "y")
+    full = pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", "x", "y")
     return map_rows(full, make, "a long, b long, ok boolean").where("ok").select("a", "b")
 
 
+def near_links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """a, b: links between nodes (node, fp) by ball hashing, two for each linked node at most, none verified on its set.
+
+    Nodes of one fingerprint are linked to the smallest of them. A node keeps its smallest partner and one by chance: what
+    that leaves apart is found by prefix_pairs(), so nothing hangs on it.
+    """
+    fps = written(nodes.groupBy("fp").agg(F.min("node").alias("rep")), "fps")
+    rep = lambda side: fps.select(F.col("fp").alias(side), F.col("rep").alias(f"r{side}"))
+    between = links(fps, fps.count(), radius).join(rep("a"), "a").join(rep("b"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    within = nodes.select("node", "fp").join(fps, "fp").where("node != rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
+    found = written(between.unionByName(within), "ball-links", fps)
+    both = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    two = both.groupBy("a").agg(F.array(F.min("b"), F.min_by("b", F.xxhash64("a", "b"))).alias("b")).select("a", F.explode("b").alias("b"))
+    return written(two.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-links", found)
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """node, root for every node of edges (a, b): the smallest node that it reaches.
 
     Large-star and small-star rounds, written to the shared folder, until no edge changes; a star's centre is found by
-    min() with partial sums, so that no task gathers a group.
+    min() with partial sums, so that no task gathers a group. Rounds grow with the logarithm of the longest path; beyond
+    `rounds` an error is raised.
     """
     now = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "edges")
+    count = F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
+    state = now.select(F.count("*"), count).first()
     for _ in range(rounds):
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -492,14 +403,15 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         least = large.groupBy(F.col("b").alias("u")).agg(F.min("a").alias("m"))
         small = large.join(least, large.b == least.u).select("m", F.col("a"), F.col("b"))
         out = small.select(F.explode(F.array(F.struct(F.col("m").alias("a"), F.col("a").alias("b")), F.struct(F.col("m").alias("a"), F.col("b").alias("b")))).alias("x")).select("x.a", "x.b")
-        after = written(out.where("a < b").distinct(), "edges")
-        same = now.select(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first() == after.select(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        now = after
-        if same:
+        now = written(out.where("a < b").distinct(), "edges", now)
+        before, state = state, now.select(F.count("*"), count).first()
+        if before == state:
             break
     else:
         raise RuntimeError("components did not settle")
-    return now.select(F.col("b").alias("node"), F.col("a").alias("root"))
+    out = now.select(F.col("b").alias("node"), F.col("a").alias("root"))
+    out._written_at = now._written_at
+    return out
 
 
 def clustered(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
@@ -510,8 +422,6 @@ def clustered(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) ->
     doc_id get the component's smallest id, null if there is none. Equal fingerprints are one node, so copies are joined by a sum
     before any linking, and no pairs of documents are made.
     """
-    if radius not in range(9):
-        raise ValueError("the radius has to be from 0 to 8")
     rows = written(fingerprints(docs, shingle), "fingerprints")
     nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     edges = links(nodes, nodes.count(), radius)
@@ -531,9 +441,10 @@ def similar_rows(docs: DataFrame, shingle: int = 5, least: float = 0.8, key: str
     """doc_id, root for every row of docs (doc_id, text) that has words, and the column `key` if one is named.
 
     Texts whose sets of word shingles have a similarity (intersection over union) of `least` or more are linked, and rows
-    that are connected have one root. A first search over sketches joins most, and hides pairs behind links that are
-    rejected; all pairs that are still apart then come from an exact filter (prefix_pairs()). Each link is verified on
-    the whole sets before it joins anything for good. Texts of equal sets are one node. Null, empty and blank texts have no row.
+    that are connected have one root. Ball hashing of fingerprints comes first, and joins most; no fingerprint of 64 bits
+    is sure to be near at such a similarity, so looks at a few shingles join more of large families, and all pairs that are
+    still apart then come from an exact filter on rare shingles (prefix_pairs()). Every link is verified on the whole sets before it joins anything. Texts of equal sets are
+    one node. Null, empty and blank texts have no row.
     """
     small_batches(docs.sparkSession)
     keys = [key] if key else []
@@ -542,28 +453,33 @@ def similar_rows(docs: DataFrame, shingle: int = 5, least: float = 0.8, key: str
         import xxhash
 
         def each(cols: dict) -> dict:
-            out: dict[str, list] = {name: [] for name in ("doc_id", *keys, "node", "sketch", "shingles")}
+            out: dict[str, list] = {name: [] for name in ("doc_id", *keys, "node", "fp", "shingles")}
             own = zip(*(cols[name] for name in ("doc_id", *keys)), strict=True)
             for ids, text in zip(own, cols["text"], strict=True):
-                hashes = np.unique(shingle_hashes(text, shingle))
+                hashes = shingle_hashes(text, shingle)
                 if len(hashes):
-                    short = np.unique((hashes >> np.uint64(32)).astype(np.uint32))
-                    for column, value in zip(out.values(), (*ids, xxhash.xxh64_intdigest(hashes.tobytes()) - (1 << 63), sketch(hashes, FIRST_PARTS // 2 + 1).tobytes(), short.tobytes()), strict=True):
+                    short = np.unique((np.unique(hashes) >> np.uint64(32)).astype(np.uint32))
+                    fp = int(majority(hashes).view(np.int64)[0])
+                    for column, value in zip(out.values(), (*ids, xxhash.xxh64_intdigest(np.unique(hashes).tobytes()) - (1 << 63), fp, short.tobytes()), strict=True):
                         column.append(value)
             return out
 
         return each
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keys, text_of().alias("text"))
-    rows = written(map_rows(texts, make, f"doc_id long, {''.join(f'{k} long, ' for k in keys)}node long, sketch binary, shingles binary"), "sketches")
-    nodes = written(rows.select("node", "sketch", "shingles").dropDuplicates(["node"]), "nodes")
-    first = nodes.select("node", F.col("node").alias("group"), "sketch")
-    pairs = written(candidates(first, nodes.count(), range(FIRST_PARTS)), "candidates")
-    roots = components(similar_enough(pairs, nodes, least))
-    grouped = nodes.select("node", "shingles").join(roots, "node", "left").withColumn("group", F.coalesce("root", "node"))
-    more = written(prefix_pairs(grouped, least).join(pairs, ["a", "b"], "left_anti"), "candidates")
-    roots = components(similar_enough(more, nodes, least).unionByName(roots.select(F.col("root").alias("a"), F.col("node").alias("b"))))
-    return rows.select("doc_id", *keys, "node").join(roots, "node", "left").select("doc_id", *keys, F.coalesce("root", "node").alias("root"))
+    sketches = written(map_rows(texts, make, f"doc_id long, {''.join(f'{k} long, ' for k in keys)}node long, fp long, shingles binary"), "sketches")
+    rows = written(sketches.select("doc_id", *keys, "node"), "rows")
+    nodes = written(sketches.select("node", "fp", "shingles").dropDuplicates(["node"]), "nodes", sketches)
+    found = written(similar_enough(near_links(nodes), nodes, least), "verified")
+    for few in (*LOOKS, None):
+        roots = components(found)
+        grouped = written(nodes.select("node", "shingles").join(roots, "node", "left").select("node", "shingles", F.coalesce("root", "node").alias("group")), "grouped")
+        pairs = written(prefix_pairs(grouped, least, few), "candidates")
+        known = roots.select(F.col("root").alias("a"), F.col("node").alias("b"))
+        found = written(similar_enough(pairs, grouped, least).unionByName(known), "verified", pairs, grouped, roots, found)
+    roots = components(found)
+    out = written(rows.join(roots, "node", "left").select("doc_id", *keys, F.coalesce("root", "node").alias("root")), "rooted", rows, nodes, roots, found)
+    return out
 
 
 def similar_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
@@ -572,6 +488,6 @@ def similar_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> Dat
     component_id is the smallest doc_id of the connected rows. Rows with a null doc_id get their group's smallest id, null
     if there is none; repeated rows are copies.
     """
-    rows = written(similar_rows(docs, shingle, least), "rooted")
+    rows = similar_rows(docs, shingle, least)
     ids = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return rows.join(ids, "root").select("doc_id", "component_id")

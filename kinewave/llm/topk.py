@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, written
+from .common import partitions, small_batches, written
 from .vectors import best_of, distinct, flat_ids, paired, query_blocks, sharded, valid
 
 SCALE, LEAF, SHARD_SIZE = 256, 64, 4096
@@ -169,6 +169,6 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, size: int = SHARD_SIZ
                             column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["query_id", "vec_id", "score"])
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    small_batches(spark)
     pairs = paired(blocks, packed).repartition(partitions(spark), "shard", "block")
     return best_of(pairs.mapInArrow(run, RESULT), k)

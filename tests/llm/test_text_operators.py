@@ -240,35 +240,40 @@ def test_simhash(name, request):
     same(simhash.near_duplicates(docs).collect(), want)
 
 
-@pytest.mark.parametrize("radius", [4, 8])
-@pytest.mark.parametrize("large", [3, 64])
-def test_ball_hashing_links_what_is_near(spark, large, radius, monkeypatch):
+@pytest.mark.parametrize(("radius", "fps", "pass_bytes"), [(4, 1 << 24, 1024), (4, 100, 4096), (2, 1 << 24, 64), (0, 1 << 24, 1024)])
+def test_ball_hashing_links_what_is_near(spark, radius, fps, pass_bytes, monkeypatch):
+    """With few and with many buckets, in one pass and in several: the components of all pairs by brute force."""
+    monkeypatch.setattr(simhash, "BUCKET_FPS", fps)
+    monkeypatch.setattr(simhash, "PASS_BYTES", pass_bytes)
+    monkeypatch.setattr(simhash, "VARIANTS", 100_000)
     rng = np.random.default_rng(2)
-    centres = rng.integers(0, 1 << 63, 30, dtype=np.uint64)
+    centres = rng.integers(0, 1 << 63, 20, dtype=np.uint64)
     fps = set(centres.tolist())
     for c in centres.tolist():
         for _ in range(25):
             x = c
-            for b in rng.choice(64, rng.integers(1, radius + 3), replace=False):
+            for b in rng.choice(64, rng.integers(1, 7), replace=False):
                 x ^= 1 << int(b)
             fps.add(x)
     fps = np.array(sorted(fps), np.uint64)
     want = brute_components(fps.tolist(), radius)
     groups = lambda f: Counter(tuple(sorted(g)) for g in _groups(f).values())
-    monkeypatch.setattr(simhash, "LARGE", large)
-    masks = simhash.masks_of(radius)
-    keys = np.concatenate([(simhash.half(fps, u)[:, None] ^ masks[None, :]).ravel().astype(np.uint64) | np.uint64(u << 32) for u in (0, 1)])
-    owners = np.tile(np.repeat(np.arange(len(fps)), len(masks)), 2)
-    a, b = simhash.bucket_links(keys, owners, fps, radius)
-    root = dict(zip(b.tolist(), a.tolist(), strict=True))
-    assert groups({x: root.get(x, x) for x in fps.tolist()}) == groups(want)
-    frame = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
+    frame = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long").repartition(3)
     edges = simhash.links(frame, len(fps), radius)
-    roots = {r.node: r.root for r in simhash.components(edges).collect()}
+    pairs = [(r.a, r.b) for r in edges.collect()]
+    assert all(((a ^ b) & (1 << 64) - 1).bit_count() <= radius for a, b in pairs)
+    roots = {r.node: r.root for r in simhash.components(edges).collect()} if pairs else {}
     signed = fps.view(np.int64).tolist()
     assert groups({s: roots.get(s, s) for s in signed}) == groups(dict(zip(signed, (want[x] for x in fps.tolist()), strict=True)))
 
 
+def test_every_variant_is_in_the_bucket_of_its_hash():
+    rng = np.random.default_rng(3)
+    masks, fps = simhash.masks_of(4), rng.integers(0, 1 << 63, 50, dtype=np.uint64)
+    assert len(masks) == 2081
+    assert (simhash.linear(fps[:, None] ^ masks[None, :], 9).reshape(50, -1) == simhash.linear(fps, 9)[:, None] ^ simhash.linear(masks, 9)[None, :]).all()
+
+
 def _groups(root):
     out = defaultdict(list)
     for x, r in root.items():
