@@ -25,10 +25,10 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     judged by itself. Among rows of one doc_id any one stays. Texts without words are no group.
     """
     rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    found = written(simhash.similar_rows(rows, SHINGLE, SIMILARITY, "_row"), "rooted")
+    found = simhash.similar_rows(rows, SHINGLE, SIMILARITY, "_row")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
     stays = found.groupBy("root").agg(F.min_by("_row", order).alias("stays"))
-    gone = found.join(stays, "root").where("_row != stays").select("_row")
+    gone = written(found.join(stays, "root").where("_row != stays").select("_row"), "gone", found)
     return rows.join(gone, "_row", "left_anti").select(*docs.columns)
 
 
