@@ -46,6 +46,26 @@ def written(df: DataFrame, name: str, *done: DataFrame) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, name: str, column: str, buckets: int) -> DataFrame:
+    """Write df to the shared folder in buckets of a column: groups and cogroups by it need no exchange of this side.
+
+    The table is known to the catalog only until it is read here; its files are those of written().
+    """
+    spark = df.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{table}"
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.repartition(buckets, column).write.bucketBy(buckets, column).option("path", path).option("compression", "zstd").saveAsTable(table)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")  # an external table: its files stay
+    out._written_at = path
+    return out
+
+
 def discard(*tables: DataFrame) -> None:
     """Remove tables that written() gave, once nothing reads them any more."""
     for table in tables:

@@ -1,4 +1,9 @@
-"""Repeated substrings of at least 200 bytes: cover-sample ranks by difference cover, then suffixes block by block."""
+"""Repeated substrings of at least 200 bytes: samples of a difference cover, then open suffixes block by block.
+
+In place of a rank, a cover sample has a name of 96 bits (two hashes of its bytes) that is equal for equal strings. A rank
+settles a tie of two suffixes at the one offset that both have a sample at, and that offset depends on both: a suffix would
+have to carry the ranks of all its 12 samples to its bucket, 48 to 96 bytes where an entry now has 16.
+"""
 
 from __future__ import annotations
 
@@ -11,20 +16,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, text_of, written
+from .common import bucketed, discard, partitions, text_of, written
 
 LENGTH = 200
 #: A perfect difference cover: every difference modulo PERIOD is that of two of its members.
 PERIOD = 133
 COVER = (1, 2, 4, 13, 21, 35, 39, 82, 89, 95, 105, 110)
 SHARD_BYTES = 4 << 20
+#: Shards in a bucket of the written table at most; one task reads them one after the other.
+BUCKET_SHARDS = 256
 #: Entries that one task sorts, and suffixes of a block as a share of all bytes.
 BUCKET_ENTRIES = 3_000_000
 BLOCK_SHARE = 0.1
 REPEATED = np.uint32(1 << 31)
 
-_BASE = 0x9E3779B97F4A7C15
-_TABLE = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64)
+#: Of the two hashes of a string: an odd number whose powers weigh its bytes, and the number for each byte.
+_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_TABLES = np.random.default_rng(7).integers(1, 1 << 63, (2, 256), dtype=np.uint64)
+#: An entry: 64 bits of one hash, 32 of the other, and the position.
+ENTRY = np.dtype([("h", "<u8"), ("g", "<u4"), ("p", "<u4")])
 
 
 WINDOW_BYTES = 1 << 16
@@ -52,37 +62,56 @@ def unpacked(data: bytes) -> np.ndarray:
 
 
 class Hashes:
-    """Hashes of the substrings of a buffer, from prefix sums modulo 2**64, a window of the buffer at a time.
+    """Two hashes, of 64 and 32 bits, of the substrings of a buffer, from prefix sums modulo 2**64, a window at a time.
 
-    A hash depends on the bytes only, not on where they stand, so windows and shards agree.
+    A hash depends on the bytes only, not on where they stand, so windows and shards agree. The two have bases and tables
+    of their own, so that strings are taken for equal by 96 bits.
     """
 
     longest = PERIOD + LENGTH
 
     def __init__(self, data: np.ndarray) -> None:
         self.data = data
-        self.power, self.back = powers(_BASE), powers(pow(_BASE, -1, 1 << 64))
+        self.powers = [(powers(base), powers(pow(base, -1, 1 << 64))) for base in _BASES]
 
     def at(self, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-        """Hashes of data[start:stop] for ascending starts."""
-        out = np.empty(len(starts), np.uint64)
+        """Entries of data[start:stop] for ascending starts."""
+        out = np.empty(len(starts), ENTRY)
+        out["p"] = starts
         for low in range(0, len(self.data), WINDOW_BYTES):
             i, j = np.searchsorted(starts, [low, low + WINDOW_BYTES])
             if i == j:
                 continue
             part = self.data[low : low + WINDOW_BYTES + self.longest]
-            sums = np.zeros(len(part) + 1, np.uint64)
-            np.cumsum(_TABLE[part] * self.power[: len(part)], out=sums[1:])
-            a = starts[i:j] - low
-            h = (sums[stops[i:j] - low] - sums[a]) * self.back[a]
-            h ^= h >> np.uint64(31)
-            h *= np.uint64(0xBF58476D1CE4E5B9)
-            h ^= h >> np.uint64(29)
-            h *= np.uint64(0x94D049BB133111EB)
-            out[i:j] = h ^ (h >> np.uint64(32))
+            a, b = starts[i:j] - low, stops[i:j] - low
+            for name, table, (power, back) in zip(("h", "g"), _TABLES, self.powers, strict=True):
+                sums = np.zeros(len(part) + 1, np.uint64)
+                np.cumsum(table[part] * power[: len(part)], out=sums[1:])
+                h = (sums[b] - sums[a]) * back[a]
+                h ^= h >> np.uint64(31)
+                h *= np.uint64(0xBF58476D1CE4E5B9)
+                if name == "h":
+                    h ^= h >> np.uint64(29)
+                    h *= np.uint64(0x94D049BB133111EB)
+                out[name][i:j] = h ^ (h >> np.uint64(32)) if name == "h" else h >> np.uint64(32)
         return out
 
 
+def by_hash(entries: np.ndarray) -> np.ndarray:
+    """The order of entries by both hashes; the second is looked at only where the first alone does not tell."""
+    order = np.argsort(entries["h"])
+    h, g = entries["h"][order], entries["g"][order]
+    if ((h[1:] == h[:-1]) & (g[1:] != g[:-1])).any():
+        order = np.lexsort((entries["g"], entries["h"]))
+    return order
+
+
+def firsts(entries: np.ndarray) -> np.ndarray:
+    """Of ordered entries, those that differ from the one before."""
+    h, g = entries["h"], entries["g"]
+    return np.concatenate([np.ones(min(1, len(h)), bool), (h[1:] != h[:-1]) | (g[1:] != g[:-1])])
+
+
 class Shard:
     """The texts of a shard in one buffer, in an order that any later reading of the shard gives again."""
 
@@ -119,59 +148,57 @@ class Shard:
         return np.maximum(low, positions - PERIOD + 1), np.minimum(positions, high - LENGTH)
 
 
-def deal(shard: int, hashes: np.ndarray, positions: np.ndarray, buckets: int) -> dict[str, list]:
-    """Rows (bucket, shard, h, p) of a shard's entries.
+def deal(shard: int, entries: np.ndarray, buckets: int) -> dict[str, list]:
+    """Rows (bucket, shard, e) of a shard's entries.
 
-    What is repeated within the shard is settled here: its positions go along in a row without hashes, and one entry,
+    What is repeated within the shard is settled here: its positions go along in a row of their own, and one entry,
     marked REPEATED, stands for them all. So a bucket gets one entry of a shard for a string, however common it is.
     """
-    rows: dict[str, list] = {"bucket": [], "shard": [], "h": [], "p": []}
-    order = np.argsort(hashes)
-    h, p = hashes[order], positions[order].astype(np.uint32)
-    if not len(h):
+    rows: dict[str, list] = {"bucket": [], "shard": [], "whole": [], "e": []}
+    if not len(entries):
         return rows
-    first = np.concatenate([[True], h[1:] != h[:-1]])
+    entries = entries[by_hash(entries)]
+    first = firsts(entries)
     inside = ~(first & np.concatenate([first[1:], [True]]))
+
+    def row(bucket: int, whole: bool, e: bytes) -> None:
+        for column, value in zip(rows.values(), (bucket, shard, whole, e), strict=True):
+            column.append(value)
+
     if inside.any():
-        rows["bucket"].append(shard % buckets)
-        rows["shard"].append(shard)
-        rows["h"].append(b"")
-        rows["p"].append(packed(np.sort(p[inside])))
-    h, p = h[first], np.where(inside, p | REPEATED, p)[first]
-    bucket = (h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)  # ranges of the order just made
+        row(shard % buckets, True, packed(np.sort(entries["p"][inside])))
+    entries["p"][inside] |= REPEATED
+    entries = entries[first]
+    bucket = (entries["h"] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)  # ranges of the order just made
     cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
     for s, e in zip(cuts, np.append(cuts[1:], len(bucket)), strict=True):
-        rows["bucket"].append(int(bucket[s]))
-        rows["shard"].append(shard)
-        rows["h"].append(h[s:e].tobytes())
-        rows["p"].append(p[s:e].tobytes())
+        row(int(bucket[s]), False, entries[s:e].tobytes())
     return rows
 
 
-DEALT = "bucket int, shard int, h binary, p binary"
+DEALT = "bucket int, shard int, whole boolean, e binary"
 FOUND = "shard int, kind int, p binary"
-_DEALT = pa.schema([("bucket", pa.int32()), ("shard", pa.int32()), ("h", pa.binary()), ("p", pa.binary())])
+_DEALT = pa.schema([("bucket", pa.int32()), ("shard", pa.int32()), ("whole", pa.bool_()), ("e", pa.binary())])
 _FOUND = pa.schema([("shard", pa.int32()), ("kind", pa.int32()), ("p", pa.binary())])
 
 
 def rank_bucket(table: pa.Table) -> pa.Table:
-    """Sort one bucket's suffixes; those with an equal neighbour are repeated: kind 0, and kind 1 for the first of each."""
+    """Sort one bucket's entries; those with an equal neighbour are repeated: kind 0, and kind 1 for the first of each."""
     out: dict[str, list] = {"shard": [], "kind": [], "p": []}
-    hs, ps, owners = [], [], []
-    for shard, h, p in zip(table["shard"].to_pylist(), table["h"].to_pylist(), table["p"].to_pylist(), strict=True):
-        if h:
-            hs.append(np.frombuffer(h, np.uint64))
-            ps.append(np.frombuffer(p, np.uint32))
-            owners.append(np.full(len(ps[-1]), shard, np.int32))
-        else:
-            for key, value in (("shard", shard), ("kind", 0), ("p", p)):
+    each, owners = [], []
+    for shard, whole, e in zip(*(table[name].to_pylist() for name in ("shard", "whole", "e")), strict=True):
+        if whole:
+            for key, value in (("shard", shard), ("kind", 0), ("p", e)):
                 out[key].append(value)
-    if hs:
-        h, p, owner = np.concatenate(hs), np.concatenate(ps), np.concatenate(owners)
-        del hs, ps, owners
-        order = np.argsort(h)
-        h, p, owner = h[order], p[order], owner[order]
-        first = np.concatenate([[True], h[1:] != h[:-1]])
+        else:
+            each.append(np.frombuffer(e, ENTRY))
+            owners.append(np.full(len(each[-1]), shard, np.int32))
+    if each:
+        entries, owner = np.concatenate(each), np.concatenate(owners)
+        del each, owners
+        order = by_hash(entries)
+        entries, owner = entries[order], owner[order]
+        first, p = firsts(entries), entries["p"]
         hit = ~(first & np.concatenate([first[1:], [True]])) | (p >= REPEATED)
         first, p, owner = first[hit], p[hit] & ~REPEATED, owner[hit]
         for kind, on in ((0, slice(None)), (1, first)):
@@ -225,18 +252,16 @@ def open_suffixes(shard: Shard, found: pa.Table) -> np.ndarray:
 
 
 class Repeats:
-    """The steps over one table of documents; each reads the texts again and leaves no shuffle files behind."""
+    """The steps over one table of documents, which is written once, in shards; each step reads the shards where they lie."""
 
     def __init__(self, docs: DataFrame) -> None:
         self.spark = docs.sparkSession
-        size = docs.agg(F.coalesce(F.sum(F.octet_length(text_of())), F.lit(0)).alias("n")).first()["n"]
-        self.shards = int(size // SHARD_BYTES + 1)
-        self.size = int(size)
-        rows = docs.select(F.struct(*docs.columns).alias("_row"), text_of().alias("_text"), F.xxhash64(F.col("doc_id"), text_of()).alias("_key"))
-        rows = rows.select("_row", "_key", F.pmod(F.xxhash64(F.lit(3), "_key"), F.lit(self.shards)).cast("int").alias("_shard"), F.col("_text").cast("binary").alias("_bytes"))
-        self.texts = rows.drop("_row")
-        self.rows = rows.withColumn("_row", F.col("_row").dropFields("text"))
-        self.ids = rows.select(F.col("_row.doc_id").cast("long").alias("doc_id"), "_key", "_shard", "_bytes")
+        self.size = int(docs.agg(F.coalesce(F.sum(F.octet_length(text_of())), F.lit(0)).alias("n")).first()["n"])
+        self.shards = self.size // SHARD_BYTES + 1
+        rows = docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("_row"), text_of().cast("binary").alias("_bytes"), F.monotonically_increasing_id().alias("_key"))
+        rows = rows.withColumn("_shard", F.pmod(F.xxhash64(F.lit(3), "_key"), F.lit(self.shards)).cast("int"))
+        self.rows = bucketed(rows, "shards", "_shard", min(self.shards, max(partitions(self.spark), self.shards // BUCKET_SHARDS)))
+        self.texts = self.rows.drop("_row")
         self.empty = self.spark.range(0).select(F.lit(0).alias("shard"), F.lit(0).alias("kind"), F.lit(b"").alias("p"))
 
     def buckets(self, entries: float) -> int:
@@ -248,10 +273,9 @@ class Repeats:
 
         def dealt(texts: pa.Table, known: pa.Table) -> pa.Table:
             if not texts.num_rows:
-                return pa.table(deal(0, np.empty(0, np.uint64), np.empty(0, np.int64), buckets), schema=_DEALT)
+                return pa.table(deal(0, np.empty(0, ENTRY), buckets), schema=_DEALT)
             shard = Shard(texts)
-            hashes, positions = emit(shard, known)
-            return pa.table(deal(shard.shard, hashes, positions, buckets), schema=_DEALT)
+            return pa.table(deal(shard.shard, emit(shard, known), buckets), schema=_DEALT)
 
         out = self.texts.groupBy("_shard").cogroup(found.groupBy("shard")).applyInArrow(dealt, DEALT)
         return written(out.groupBy("bucket").applyInArrow(rank_bucket, FOUND), name)
@@ -260,16 +284,17 @@ class Repeats:
         """shard, kind, p: 10 and 11 repeated contexts of cover samples, 20 repeated starts outside them."""
         short = LENGTH - PERIOD + 1
 
-        def samples(shard: Shard, _: pa.Table):
+        def samples(shard: Shard, _: pa.Table) -> np.ndarray:
             at = shard.cover()
-            return Hashes(shard.data).at(at, at + short), at
+            return Hashes(shard.data).at(at, at + short)
 
-        def contexts(shard: Shard, known: pa.Table):
+        def contexts(shard: Shard, known: pa.Table) -> np.ndarray:
             at = positions_of(known, 0)
             low, high = shard.bounds(at)
-            whole = (at - PERIOD + 1 >= low) & (at + LENGTH <= high)
-            at = at[whole]
-            return Hashes(shard.data).at(at - PERIOD + 1, at + LENGTH), at
+            at = at[(at - PERIOD + 1 >= low) & (at + LENGTH <= high)]
+            entries = Hashes(shard.data).at(at - PERIOD + 1, at + LENGTH)
+            entries["p"] = at
+            return entries
 
         density = len(COVER) / PERIOD
         ranks = self.step("cover-ranks", self.empty, self.size * density, samples).where("kind = 0")
@@ -282,20 +307,21 @@ class Repeats:
 
         counts = written(self.texts.groupBy("_shard").cogroup(known.groupBy("shard")).applyInArrow(count, "n long"), "open-suffixes")
         total = counts.agg(F.sum("n")).first()[0] or 0
+        discard(counts)
         blocks = int(total // max(1.0, BLOCK_SHARE * self.size)) + 1
         for block in range(blocks):
 
-            def suffixes(shard: Shard, found: pa.Table, block=block):
+            def suffixes(shard: Shard, found: pa.Table, block=block) -> np.ndarray:
                 at = open_suffixes(shard, found)
                 at = at[leading(shard.data, at) % np.uint32(blocks) == block]
-                return Hashes(shard.data).at(at, at + LENGTH), at
+                return Hashes(shard.data).at(at, at + LENGTH)
 
             rest = self.step(f"block-{block}", ranks.unionByName(settled), total / blocks, suffixes).where("kind = 0")
             known = known.unionByName(rest.select("shard", F.lit(20).alias("kind"), "p"))
         return known.where("kind >= 10")
 
-    def apply(self, rows: DataFrame, found: DataFrame, each, schema) -> DataFrame:
-        """each(shard, mask) for every shard of rows, with the mask of removed bytes; gives a table."""
+    def apply(self, found: DataFrame, each, schema) -> DataFrame:
+        """each(shard, mask) for every shard, with the mask of removed bytes; gives a table."""
 
         def run(texts: pa.Table, known: pa.Table) -> pa.Table:
             shard = Shard(texts)
@@ -304,7 +330,7 @@ class Repeats:
             mask = interval_mask(shard.n, first, np.where(last >= first, last + LENGTH, first))
             return each(shard, mask | interval_mask(shard.n, more, more + LENGTH))
 
-        return rows.groupBy("_shard").cogroup(found.groupBy("shard")).applyInArrow(run, schema)
+        return self.rows.groupBy("_shard").cogroup(found.groupBy("shard")).applyInArrow(run, schema)
 
 
 def kept_and_spans(shard: Shard, mask: np.ndarray) -> tuple[list[bytes], list[int], list[int]]:
@@ -324,17 +350,18 @@ def repeated_substrings(docs: DataFrame) -> DataFrame:
     A byte goes if a 200-byte string over it also starts elsewhere, in any document or the same. Two equal strings have
     equal cover samples at one common offset below 133, so the first step sorts only the samples' 68-byte prefixes; the
     second settles long ties by whole contexts of samples; the third sorts the suffixes that stay open, one block at a
-    time, as many blocks as hold each below a fixed share of all bytes. Equality is by 64-bit hashes. A null or empty
+    time, as many blocks as hold each below a fixed share of all bytes. Strings of 96 equal bits of two hashes are taken for
+    equal (chance gives that to 0.02 pairs of 100 TB). A null or empty
     text has no bytes, nothing removed and the digest of no bytes; texts under 200 bytes stay whole; repeated rows are
     copies of each other.
     """
-    work = Repeats(docs)
+    work = Repeats(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
 
     def each(shard: Shard, mask: np.ndarray) -> pa.Table:
         kept, removed, spans = kept_and_spans(shard, mask)
         return pa.table(
             {
-                "doc_id": shard.table["doc_id"],
+                "doc_id": shard.table["_row"].combine_chunks().field("doc_id"),
                 "n_bytes": pa.array(shard.lengths, pa.int64()),
                 "n_removed": pa.array(removed, pa.int64()),
                 "n_spans": pa.array(spans, pa.int64()),
@@ -342,7 +369,7 @@ def repeated_substrings(docs: DataFrame) -> DataFrame:
             }
         )
 
-    return work.apply(work.ids, work.find(), each, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return work.apply(work.find(), each, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
@@ -367,7 +394,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                 out[field.name] = row.field(field.name)
         return pa.table(out)
 
-    return work.apply(work.rows, work.find(), each, docs.schema)
+    return work.apply(work.find(), each, docs.schema)
 
 
 if sys.byteorder != "little":
