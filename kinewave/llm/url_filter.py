@@ -7,16 +7,19 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 #: Host and path of each rule, and whether it blocks.
 RULES = (("net", "/", True), ("example.net", "/en/", False), ("example.com", "/de/", True), ("org", "/fr/", False))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-LINK = r"""(?is)<a\s[^>]*?href\s*=\s*["']?(?:[a-z][a-z0-9+.-]*:)?//([^/"'?#\s>]+)"""
+HREF = r"""(?is)<a\s[^>]*?href\s*=\s*["']?\s*([^"'\s>]*)"""
+BASE = r"""(?is)<base\s[^>]*?href\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/"'?#\s>]+)"""
+#: A link: its scheme and its host. A scheme without // (mail, script) leads to no host, and neither does a mere fragment.
+SCHEME, LINK_HOST, NO_HOST = r"(?i)^([a-z][a-z0-9+.-]*):", r"(?i)^(?:[a-z][a-z0-9+.-]*:)?//([^/?#]+)", r"(?i)^(?:#.*|[a-z][a-z0-9+.-]*:(?!//).*)?$"
 WRITE_EVERY, DAMPING = 4, 0.85
-#: A host is blocked at this many times the even share of distrust, if its trust is less.
-LEAST_DISTRUST = 2.0
+#: A host is blocked at this many times the even share of distrust (1 over the number of hosts), if its trust is less.
+LEAST_DISTRUST = 1.0
 #: Ranks are spread until, of this limit, the summed change in WRITE_EVERY rounds is less than so much.
 TOLERANCE = 0.001
 SALTS = 32
@@ -47,9 +50,17 @@ def best_rule(rules) -> tuple[Column, Column]:
 
 
 def host_edges(pages: DataFrame) -> DataFrame:
-    """src, dst, w: links between different hosts, summed before the shuffle; w is the link's share of the source."""
-    links = pages.select("host", F.explode(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(LINK), F.lit(1))).alias("dst"))
-    links = links.select(F.col("host").alias("src"), lower_ascii("dst").alias("dst")).where("src != '' and dst != '' and src != dst")
+    """src, dst, n: links between hosts, relative ones to the page's own host or that of its <base>, summed before the shuffle.
+
+    A host's links to itself count: it votes for itself with them, as it does in its readers' walks.
+    """
+    html = F.coalesce("html", F.lit(""))
+    home = F.regexp_extract(html, BASE, 1)
+    links = pages.where("host != ''").select(
+        F.col("host").alias("src"), F.when(home != "", home).otherwise(F.col("host")).alias("home"), F.explode(F.regexp_extract_all(html, F.lit(HREF), F.lit(1))).alias("href")
+    )
+    host = F.regexp_extract("href", LINK_HOST, 1)
+    links = links.where(~F.col("href").rlike(NO_HOST)).select("src", lower_ascii(F.when(host != "", host).otherwise(F.col("home"))).alias("dst"))
     return links.groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
@@ -71,8 +82,10 @@ def changed(before: DataFrame, after: DataFrame) -> float:
 def spread(edges: DataFrame, seeds: DataFrame, rounds: int | None = None, tolerance: float = 1e-6) -> DataFrame:
     """host, kind, score: personalised PageRank of both kinds, seeds (host, kind, seed) summing to 1 for each kind.
 
-    Rounds go on until WRITE_EVERY of them change less than `tolerance` in sum, or for the given number of rounds. A round
-    shrinks a change to DAMPING of it at least, so the scores are then off by about the tolerance in sum at most.
+    A host without links sends its score back to the seeds: the ranks of the walk that loses it are the same but for a
+    factor, so they are scaled to sum to 1 at the end. Rounds go on until WRITE_EVERY of them change less than `tolerance`
+    in sum, or for the given number of rounds. A round shrinks a change to DAMPING of it at least, so the scores are then
+    off by about the tolerance in sum at most, before they are scaled (up to 1 / (1 - DAMPING) of it).
     """
     rank = before = seeds.select("host", "kind", F.col("seed").alias("score"))
     start = seeds.select("host", "kind", ((1 - DAMPING) * F.col("seed")).alias("score"))
@@ -82,10 +95,16 @@ def spread(edges: DataFrame, seeds: DataFrame, rounds: int | None = None, tolera
         rank = moved.unionByName(start).groupBy("host", "kind").agg(F.sum("score").alias("score"))
         if k % WRITE_EVERY == 0 and k < most:
             rank = written(rank, "host-rank")
-            if rounds is None and changed(before, rank) < tolerance:
-                break
+            settled = rounds is None and changed(before, rank) < tolerance
+            if k > WRITE_EVERY:
+                discard(before)
             before = rank
-    return rank
+            if settled:
+                break
+    rank = written(rank, "host-rank")
+    whole = {r.kind: r.whole for r in rank.groupBy("kind").agg(F.sum("score").alias("whole")).collect()}
+    scale = F.when(F.col("kind") == "trust", whole.get("trust") or 1.0).otherwise(whole.get("distrust") or 1.0)
+    return rank.select("host", "kind", (F.col("score") / scale).alias("score"))
 
 
 def judge(pages: DataFrame, rules=RULES, rounds: int | None = None) -> DataFrame:
@@ -93,9 +112,10 @@ def judge(pages: DataFrame, rules=RULES, rounds: int | None = None) -> DataFrame
 
     The longest rule that fits an url decides. Else the host decides: trust spreads along links from hosts with allowed
     pages, distrust against links from hosts with blocked pages, both by personalised PageRank, spread until it
-    settles, with the seeds' shares of allowed and blocked pages; a host with at least LEAST_DISTRUST even shares of distrust and more distrust than trust
-    is blocked. A null url or one without :// has an empty host and path, no rule and the verdict allow; null html has
-    no links. Repeated rows are judged row by row. Links are summed by host pair before any shuffle, and only hosts, not
+    settles, with the seeds' shares of allowed and blocked pages; a host with at least LEAST_DISTRUST even shares of
+    distrust and more distrust than trust is blocked. Relative links lead to the page's own host, or to that of its <base>;
+    a host without links sends its score back to the seeds. A null url or one without :// has an empty host and path, no
+    rule and the verdict allow; null html has no links. Repeated rows are judged row by row. Links are summed by host pair before any shuffle, and only hosts, not
     pages, take part in the rounds.
     """
     name, blocks = best_rule(rules)
