@@ -24,6 +24,8 @@ PASS_BYTES = 1024
 SLOTS, COMMON = 1 << 20, 16
 #: Entries (a shingle of a node) that one task compares at a time, and those of one shingle that are dealt to one block.
 PREFIX_ENTRIES, BLOCK = 1_000_000, 20_000
+#: Buckets of shingles at least, and the parts by whose sizes two sets are compared before they meet.
+LEAST_BUCKETS, PARTS = 16, 64
 #: Shingles of a node by which the first, inexact looks for similar nodes go.
 LOOKS = (4, 16)
 #: Members of a shingle beyond which pairs are made row by row.
@@ -281,8 +283,8 @@ def pairs_of_keys(keys: np.ndarray, node: np.ndarray, group: np.ndarray, size: n
     return found[:, 0], found[:, 1]
 
 
-def prefix_pairs(nodes: DataFrame, least: float, few: int | None = None) -> DataFrame:
-    """a, b: every pair of nodes (node, group, shingles) of different groups that may have a similarity of `least`.
+def prefix_pairs(nodes: DataFrame, groups: DataFrame | None, least: float, few: int | None = None) -> DataFrame:
+    """a, b: every pair of nodes (node, shingles) of different groups (node, root) that may have a similarity of `least`.
 
     Exact, by a prefix filter: shingles have one order, rare ones first. If a pair's first common shingle is the i-th of n,
     at most n - i are common, so the other set has at most (n - i)(1 + least) / least - n. A node has an entry for each
@@ -294,7 +296,10 @@ def prefix_pairs(nodes: DataFrame, least: float, few: int | None = None) -> Data
     """
     slots, counts = common_slots(nodes)
     longest = nodes.agg(F.sum(F.octet_length("shingles") / 4)).first()[0] or 0
-    buckets = int(longest * (1 - least)) // PREFIX_ENTRIES + 1
+    buckets = max(LEAST_BUCKETS, int(longest * (1 - least)) // PREFIX_ENTRIES + 1)
+    grouped = nodes.select("node", F.col("node").alias("group"), "shingles")
+    if groups is not None:
+        grouped = nodes.select("node", "shingles").join(groups, "node", "left").select("node", F.coalesce("root", "node").alias("group"), "shingles")
     schema = pa.schema([("bucket", pa.int64()), *((k, pa.binary()) for k in ("keys", "nodes", "groups", "sizes", "most"))])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -344,14 +349,32 @@ def prefix_pairs(nodes: DataFrame, least: float, few: int | None = None) -> Data
         return pa.table({"a": a, "b": b})
 
     small_batches(nodes.sparkSession)
-    packed = nodes.select("node", "group", "shingles").mapInArrow(emit, "bucket long, keys binary, nodes binary, groups binary, sizes binary, most binary")
+    packed = grouped.mapInArrow(emit, "bucket long, keys binary, nodes binary, groups binary, sizes binary, most binary")
     return packed.groupBy("bucket").applyInArrow(join, "a long, b long").distinct()
 
 
+def sizes_of_parts(shingles: np.ndarray) -> np.ndarray:
+    """How many shingles are in each of PARTS ranges of hashes, 65,535 standing for more."""
+    return np.minimum(np.bincount(shingles >> np.uint32(26), minlength=PARTS), 65_535).astype("<u2")
+
+
 def similar_enough(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    """The links a, b whose sets of shingles (column shingles of nodes) have a similarity of `least` or more."""
+    """The links a, b whose sets of shingles (columns parts, shingles of nodes) have a similarity of `least` or more.
 
-    def make():
+    First the sizes of the sets' parts are compared: where they differ by d in all, sets of n and m shingles have at most
+    (n + m - d) / 2 in common. So the sets themselves go along only with pairs that may be similar.
+    """
+
+    def fits():
+        def each(cols: dict) -> dict:
+            x, y = (np.frombuffer(b"".join(cols[k]), "<u2").reshape(-1, PARTS).astype(np.int64) for k in ("x", "y"))
+            total = np.array(cols["n"]) + np.array(cols["m"])
+            ok = total - np.abs(x - y).sum(axis=1) >= 2 * least / (1 + least) * total - 1e-6
+            return {"a": cols["a"], "b": cols["b"], "ok": ok.tolist()}
+
+        return each
+
+    def same():
         def each(cols: dict) -> dict:
             ok = []
             for x, y in zip(cols["x"], cols["y"], strict=True):
@@ -364,9 +387,12 @@ def similar_enough(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFram
         return each
 
     small_batches(pairs.sparkSession)
-    of = lambda side, name: nodes.select(F.col("node").alias(side), F.col("shingles").alias(name))
-    full = pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", "x", "y")
-    return map_rows(full, make, "a long, b long, ok boolean").where("ok").select("a", "b")
+    n = F.octet_length("shingles") / 4
+    part = lambda side, *names: nodes.select(F.col("node").alias(side), F.col("parts").alias(names[0]), n.cast("long").alias(names[1]))
+    whole = lambda side, name: nodes.select(F.col("node").alias(side), F.col("shingles").alias(name))
+    some = map_rows(pairs.join(part("a", "x", "n"), "a").join(part("b", "y", "m"), "b"), fits, "a long, b long, ok boolean").where("ok").select("a", "b")
+    full = some.join(whole("a", "x"), "a").join(whole("b", "y"), "b").select("a", "b", "x", "y")
+    return map_rows(full, same, "a long, b long, ok boolean").where("ok").select("a", "b")
 
 
 def near_links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -453,30 +479,29 @@ def similar_rows(docs: DataFrame, shingle: int = 5, least: float = 0.8, key: str
         import xxhash
 
         def each(cols: dict) -> dict:
-            out: dict[str, list] = {name: [] for name in ("doc_id", *keys, "node", "fp", "shingles")}
+            out: dict[str, list] = {name: [] for name in ("doc_id", *keys, "node", "fp", "parts", "shingles")}
             own = zip(*(cols[name] for name in ("doc_id", *keys)), strict=True)
             for ids, text in zip(own, cols["text"], strict=True):
                 hashes = shingle_hashes(text, shingle)
                 if len(hashes):
                     short = np.unique((np.unique(hashes) >> np.uint64(32)).astype(np.uint32))
                     fp = int(majority(hashes).view(np.int64)[0])
-                    for column, value in zip(out.values(), (*ids, xxhash.xxh64_intdigest(np.unique(hashes).tobytes()) - (1 << 63), fp, short.tobytes()), strict=True):
+                    for column, value in zip(out.values(), (*ids, xxhash.xxh64_intdigest(np.unique(hashes).tobytes()) - (1 << 63), fp, sizes_of_parts(short).tobytes(), short.tobytes()), strict=True):
                         column.append(value)
             return out
 
         return each
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keys, text_of().alias("text"))
-    sketches = written(map_rows(texts, make, f"doc_id long, {''.join(f'{k} long, ' for k in keys)}node long, fp long, shingles binary"), "sketches")
+    sketches = written(map_rows(texts, make, f"doc_id long, {''.join(f'{k} long, ' for k in keys)}node long, fp long, parts binary, shingles binary"), "sketches")
     rows = written(sketches.select("doc_id", *keys, "node"), "rows")
-    nodes = written(sketches.select("node", "fp", "shingles").dropDuplicates(["node"]), "nodes", sketches)
+    nodes = written(sketches.select("node", "fp", "parts", "shingles").dropDuplicates(["node"]), "nodes", sketches)
     found = written(similar_enough(near_links(nodes), nodes, least), "verified")
     for few in (*LOOKS, None):
         roots = components(found)
-        grouped = written(nodes.select("node", "shingles").join(roots, "node", "left").select("node", "shingles", F.coalesce("root", "node").alias("group")), "grouped")
-        pairs = written(prefix_pairs(grouped, least, few), "candidates")
+        pairs = written(prefix_pairs(nodes, roots, least, few), "candidates")
         known = roots.select(F.col("root").alias("a"), F.col("node").alias("b"))
-        found = written(similar_enough(pairs, grouped, least).unionByName(known), "verified", pairs, grouped, roots, found)
+        found = written(similar_enough(pairs, nodes, least).unionByName(known), "verified", pairs, roots, found)
     roots = components(found)
     out = written(rows.join(roots, "node", "left").select("doc_id", *keys, F.coalesce("root", "node").alias("root")), "rooted", rows, nodes, roots, found)
     return out
