@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from kinewave.functions import scalars as S
 
-from .windows import KEYS, gathered, gold_segment
+from .windows import KEYS, gathered, gold_segment, move
 
 #: Pad levels (z + 1) whose first time is ranked, and how many labels get an exemplar.
 LEVELS = (1, 3, 4, 5)
@@ -28,18 +28,23 @@ def at_strongest(p: int, field: str) -> Column:
     return best[field]
 
 
-def flex_columns(c: int, name: str, advanced: bool) -> list[Column]:
-    v = channel(c)
-    out = {"mean": S.mean(v), "var": S.variance(v), "energy": S.energy(v)}
+def flex_sums(c: int, name: str, advanced: bool) -> list[Column]:
+    """Statistics of a channel as aggregates, which are summed before the shuffle."""
+    v = F.col("flex")[c]
+    out = {"mean": F.avg(v), "var": F.var_pop(v), "energy": F.sum(F.col("step")[c])}
     if advanced:
-        out |= {"max": F.array_max(v), "min": F.array_min(v), "sig_changes": S.trend_changes(v), "slope": S.slope(v)}
+        out |= {"max": F.max(v), "min": F.min(v), "slope": F.coalesce(F.regr_slope(v, F.col("t").cast("double")), F.lit(0.0))}
     return [x.alias(f"{name}_{k}") for k, x in out.items()]
 
 
-def first_times(pads: int) -> Column:
-    """For each pad and level the first t of that level, null if there is none; in order of pad, then level."""
-    one = lambda p, level: F.array_min(F.transform(F.filter("frames", lambda f: S.shift_z(f.z[p]) == level), lambda f: f.t))
-    return F.array(*[one(p, level) for p in range(pads) for level in LEVELS])
+def strongest(p: int) -> Column:
+    """z and r of a pad at the first frame of its largest z, as an aggregate."""
+    return F.max(F.struct(F.col("z")[p].alias("z"), (-F.col("t")).alias("first"), F.col("r")[p].alias("r")))
+
+
+def first_times(pads: int) -> list[Column]:
+    """For each pad and level the first t of that level, null if there is none, as aggregates; in order of pad, then level."""
+    return [F.min(F.when(S.shift_z(F.col("z")[p]) == level, F.col("t"))) for p in range(pads) for level in LEVELS]
 
 
 def ranks(times: Column) -> Column:
@@ -52,21 +57,34 @@ def ranks(times: Column) -> Column:
     )
 
 
+def with_steps(windows: DataFrame) -> DataFrame:
+    """windows with the column step of windows.sliding(), taken within each window."""
+    before = F.lag("flex").over(Window.partitionBy(*KEYS).orderBy("t"))
+    return windows.withColumn("step", F.coalesce(move(F.col("flex"), before), F.transform("flex", lambda x: x * 0)))
+
+
 def feature_table(windows: DataFrame, flex: int = 1, pads: int = 5, advanced: bool = True) -> DataFrame:
-    """A row for each window with `flex{c}_*` and `pad{p}_*` columns: one shuffle, then a projection.
+    """A row for each window with `flex{c}_*` and `pad{p}_*` columns: one shuffle of partial sums, then a projection.
 
     Basic: mean, var, energy, largest z and its r as read. Advanced: further statistics, z + 1, r in three bins, and the
-    rank of the first time of each pad and level.
+    rank of the first time of each pad and level. Only the fold of trend changes needs a window's values in order; where
+    its column is dropped, no frames are gathered.
     """
-    rows = gathered(windows)
-    columns = [x for c in range(flex) for x in flex_columns(c, f"flex{c}", advanced)]
+    names = [f"flex{c}" for c in range(flex)]
+    sums = [x for c, name in enumerate(names) for x in flex_sums(c, name, advanced)] + [strongest(p).alias(f"_pad{p}") for p in range(pads)]
+    if advanced:
+        sums.append(F.array(*first_times(pads)).alias("_times"))
+        sums += [F.transform(F.sort_array(F.collect_list(F.struct("t", F.col("flex")[c].alias("x")))), lambda f: f.x).alias(f"_{name}") for c, name in enumerate(names)]
+    rows = (windows if "step" in windows.columns else with_steps(windows)).groupBy(*KEYS).agg(*sums)
+    stats = ("mean", "var", "energy", "max", "min", "sig_changes", "slope") if advanced else ("mean", "var", "energy")
+    columns = [(S.trend_changes(F.col(f"_{name}")) if k == "sig_changes" else F.col(f"{name}_{k}")).alias(f"{name}_{k}") for name in names for k in stats]
     for p in range(pads):
-        z, r = at_strongest(p, "z"), at_strongest(p, "r")
+        z, r = F.col(f"_pad{p}.z"), F.col(f"_pad{p}.r")
         columns += [(S.shift_z(z) if advanced else z).alias(f"pad{p}_max_z"), (S.bin_r(r) if advanced else r).alias(f"pad{p}_corr_r")]
     if not advanced:
         return rows.select(*KEYS, *columns)
     order = [F.get("_ranks", F.lit(p * len(LEVELS) + k)).alias(f"pad{p}_{level}") for p in range(pads) for k, level in enumerate(LEVELS)]
-    return rows.withColumn("_ranks", ranks(first_times(pads))).select(*KEYS, *columns, *order)
+    return rows.withColumn("_ranks", ranks(F.col("_times"))).select(*KEYS, *columns, *order)
 
 
 def raw_table(windows: DataFrame, flex: int = 1, pads: int = 5) -> DataFrame:

@@ -40,25 +40,37 @@ def filled(short: DataFrame, offset: Column, width: int, flex: int, pads: int) -
     return rows.select(*KEYS, "t", *[c.alias(k) for c, k in zip(rest(flex, pads), ("flex", "z", "r"), strict=True)], F.lit(True).alias("is_rest"))
 
 
+def move(a: Column, b: Column) -> Column:
+    """Absolute differences of two frames' flex channels."""
+    return F.zip_with(a, b, lambda x, y: F.abs(x - y))
+
+
 def placements(n: Column, width: int) -> Column:
     return F.array_distinct(F.array(F.lit(0), F.floor((width - n) / 2).cast("int"), (width - n).cast("int")))
 
 
 def sliding(frames: DataFrame, width: int, overlap: float = 0.75, flex: int = 1, pads: int = 5) -> DataFrame:
-    """recording_id, label, start, t, flex, z, r, is_rest: windows of `width` frames.
+    """recording_id, label, start, t, flex, z, r, is_rest, step: windows of `width` frames.
 
     Longer recordings: every stride, and the tail. Others are placed at the start, middle and end of one window, rest
-    frames around them, and `start` is that place. An empty table gives no rows.
+    frames around them, and `start` is that place. `step` is how far each flex channel moved since the frame before in the
+    window, the moves from and to rest frames counted with the recording's own frame. An empty table gives no rows.
     """
     stride = stride_of(width, overlap)
-    rows = with_length(frames)
+    before = F.lag("flex").over(Window.partitionBy("recording_id").orderBy("t"))
+    rows = with_length(frames.withColumn("step", F.coalesce(move(F.col("flex"), before), F.array_repeat(F.lit(0.0), flex))))
     last = F.col("n") - width
     tail = F.when(F.col("t") >= last, F.array(last)).otherwise(F.array().cast("array<int>"))
     starts = F.when(F.col("n") > width, F.array_union(covering(F.col("t"), last, width, stride), tail)).otherwise(placements(F.col("n"), width))
     own = rows.withColumn("start", F.explode(starts))
-    own = own.select(*KEYS, F.when(F.col("n") > width, F.col("t") - F.col("start")).otherwise(F.col("t") + F.col("start")).alias("t"), "flex", "z", "r", F.lit(False).alias("is_rest"))
+    still = F.array_repeat(F.lit(0.0), flex)
+    edges = F.when((F.col("t") == 0) & (F.col("start") > 0), 1).otherwise(0) + F.when((F.col("t") == F.col("n") - 1) & (F.col("start") + F.col("n") < width), 1).otherwise(0)
+    to_rest = F.zip_with("step", move(F.col("flex"), rest(flex, pads)[0]), lambda a, b: a + b * edges)
+    step = F.when(F.col("n") <= width, to_rest).when(F.col("t") > F.col("start"), F.col("step")).otherwise(still)
+    place = F.when(F.col("n") > width, F.col("t") - F.col("start")).otherwise(F.col("t") + F.col("start"))
+    own = own.withColumn("step", step).select(*KEYS, place.alias("t"), "flex", "z", "r", F.lit(False).alias("is_rest"), "step")
     short = lengths(frames).where(F.col("n") < width).withColumn("start", F.explode(placements(F.col("n"), width)))
-    return own.unionByName(filled(short, F.col("start"), width, flex, pads))
+    return own.unionByName(filled(short, F.col("start"), width, flex, pads).withColumn("step", still))
 
 
 def gold_segment(frames: DataFrame, width: int, flex: int = 1, pads: int = 5) -> DataFrame:
