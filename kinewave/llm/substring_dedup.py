@@ -27,7 +27,7 @@ SHARD_BYTES = 4 << 20
 BUCKET_SHARDS = 256
 #: Entries that one task sorts, and suffixes of a block as a share of all bytes.
 BUCKET_ENTRIES = 3_000_000
-BLOCK_SHARE = 0.1
+BLOCK_SHARE = 0.07
 REPEATED = np.uint32(1 << 31)
 
 #: Of the two hashes of a string: an odd number whose powers weigh its bytes, and the number for each byte.
@@ -35,6 +35,8 @@ _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _TABLES = np.random.default_rng(7).integers(1, 1 << 63, (2, 256), dtype=np.uint64)
 #: An entry: 64 bits of one hash, 32 of the other, and the position.
 ENTRY = np.dtype([("h", "<u8"), ("g", "<u4"), ("p", "<u4")])
+#: What is left of it where a chance equality only means that more suffixes stay open.
+SHORT = np.dtype([("g", "<u4"), ("p", "<u4")])
 
 
 WINDOW_BYTES = 1 << 16
@@ -148,8 +150,8 @@ class Shard:
         return np.maximum(low, positions - PERIOD + 1), np.minimum(positions, high - LENGTH)
 
 
-def deal(shard: int, entries: np.ndarray, buckets: int) -> dict[str, list]:
-    """Rows (bucket, shard, e) of a shard's entries.
+def deal(shard: int, entries: np.ndarray, buckets: int, kind: np.dtype) -> dict[str, list]:
+    """Rows (bucket, shard, whole, e) of a shard's entries, e holding them as `kind`.
 
     What is repeated within the shard is settled here: its positions go along in a row of their own, and one entry,
     marked REPEATED, stands for them all. So a bucket gets one entry of a shard for a string, however common it is.
@@ -171,8 +173,11 @@ def deal(shard: int, entries: np.ndarray, buckets: int) -> dict[str, list]:
     entries = entries[first]
     bucket = (entries["h"] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)  # ranges of the order just made
     cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+    slim = np.empty(len(entries), kind)
+    for name in kind.names:
+        slim[name] = entries[name]
     for s, e in zip(cuts, np.append(cuts[1:], len(bucket)), strict=True):
-        row(int(bucket[s]), False, entries[s:e].tobytes())
+        row(int(bucket[s]), False, slim[s:e].tobytes())
     return rows
 
 
@@ -182,7 +187,7 @@ _DEALT = pa.schema([("bucket", pa.int32()), ("shard", pa.int32()), ("whole", pa.
 _FOUND = pa.schema([("shard", pa.int32()), ("kind", pa.int32()), ("p", pa.binary())])
 
 
-def rank_bucket(table: pa.Table) -> pa.Table:
+def rank_bucket(table: pa.Table, entry: np.dtype) -> pa.Table:
     """Sort one bucket's entries; those with an equal neighbour are repeated: kind 0, and kind 1 for the first of each."""
     out: dict[str, list] = {"shard": [], "kind": [], "p": []}
     each, owners = [], []
@@ -191,11 +196,16 @@ def rank_bucket(table: pa.Table) -> pa.Table:
             for key, value in (("shard", shard), ("kind", 0), ("p", e)):
                 out[key].append(value)
         else:
-            each.append(np.frombuffer(e, ENTRY))
+            each.append(np.frombuffer(e, entry))
             owners.append(np.full(len(each[-1]), shard, np.int32))
     if each:
-        entries, owner = np.concatenate(each), np.concatenate(owners)
+        slim, owner = np.concatenate(each), np.concatenate(owners)
         del each, owners
+        entries = np.zeros(len(slim), ENTRY)
+        for name in entry.names:
+            entries[name] = slim[name]
+        if "h" not in entry.names:
+            entries["h"] = slim["g"]
         order = by_hash(entries)
         entries, owner = entries[order], owner[order]
         first, p = firsts(entries), entries["p"]
@@ -267,18 +277,18 @@ class Repeats:
     def buckets(self, entries: float) -> int:
         return max(partitions(self.spark), int(entries // BUCKET_ENTRIES) + 1)
 
-    def step(self, name: str, found: DataFrame, entries: float, emit) -> DataFrame:
+    def step(self, name: str, found: DataFrame, entries: float, emit, kind: np.dtype = ENTRY) -> DataFrame:
         """Emit entries from each shard with what is found of it so far, and sort them bucket by bucket."""
         buckets = self.buckets(entries)
 
         def dealt(texts: pa.Table, known: pa.Table) -> pa.Table:
             if not texts.num_rows:
-                return pa.table(deal(0, np.empty(0, ENTRY), buckets), schema=_DEALT)
+                return pa.table(deal(0, np.empty(0, ENTRY), buckets, kind), schema=_DEALT)
             shard = Shard(texts)
-            return pa.table(deal(shard.shard, emit(shard, known), buckets), schema=_DEALT)
+            return pa.table(deal(shard.shard, emit(shard, known), buckets, kind), schema=_DEALT)
 
         out = self.texts.groupBy("_shard").cogroup(found.groupBy("shard")).applyInArrow(dealt, DEALT)
-        return written(out.groupBy("bucket").applyInArrow(rank_bucket, FOUND), name)
+        return written(out.groupBy("bucket").applyInArrow(lambda table: rank_bucket(table, kind), FOUND), name)
 
     def find(self) -> DataFrame:
         """shard, kind, p: 10 and 11 repeated contexts of cover samples, 20 repeated starts outside them."""
@@ -297,7 +307,7 @@ class Repeats:
             return entries
 
         density = len(COVER) / PERIOD
-        ranks = self.step("cover-ranks", self.empty, self.size * density, samples).where("kind = 0")
+        ranks = self.step("cover-ranks", self.empty, self.size * density, samples, SHORT).where("kind = 0")
         settled = self.step("contexts", ranks, self.size * density / 2, contexts).select("shard", (F.col("kind") + 10).alias("kind"), "p")
         known = ranks.unionByName(settled)
 
