@@ -10,10 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, small_batches, written
+from .common import small_batches, written
 from .vectors import best_of, distinct, flat_ids, paired, query_blocks, sharded, valid
 
-DEGREE, EF_BUILD, EF_SEARCH, SHARD_SIZE, MAX_LEVEL = 16, 64, 96, 4096, 4
+DEGREE, EF_BUILD, EF_SEARCH, SHARD_SIZE, MAX_LEVEL = 16, 64, 128, 16_384, 5
 RESULT = "query_id long, vec_id long, score double"
 
 
@@ -116,7 +116,11 @@ class Graph:
 
 
 def lifted(v: np.ndarray) -> np.ndarray:
-    """One component more, so that all have one length: the nearest by inner product are then the nearest by distance."""
+    """One component more, so that all have one length: the nearest by inner product are then the nearest by distance.
+
+    The largest component is scaled to 1 first, so that no finite vector overflows in single precision.
+    """
+    v = v / (np.abs(v).max(initial=0.0) or 1.0)
     squares = (v * v).sum(axis=1)
     return np.concatenate([v, np.sqrt(np.maximum(squares.max(initial=0.0) - squares, 0))[:, None]], axis=1).astype(np.float32)
 
@@ -148,7 +152,9 @@ def neighbours(vectors: DataFrame, every: int = 20, k: int = 20, size: int = SHA
     Candidates are all rows but the query's own, found by the graphs of all shards (approximate: the graph may miss some;
     scores are exact in double precision). Equal vectors are one node with their k + 1 smallest ids. Null vectors, zero
     vectors and those with null or non-finite components take no part; vectors meet those of their length only; a row
-    of a repeated vec_id counts as itself. Queries go to shards in packed blocks.
+    of a repeated vec_id counts as itself. Queries go to shards in packed blocks; every block meets every shard, so the
+    search grows with queries times shards, and shards are as large as a task can build. Vectors of any finite size are
+    searched (in single precision, the shard's largest component being 1); a score beyond double precision is infinite.
     """
     spark = vectors.sparkSession
     rows = valid(vectors, allow_zero=False)
@@ -169,7 +175,7 @@ def neighbours(vectors: DataFrame, every: int = 20, k: int = 20, size: int = SHA
                 qids, qs = np.frombuffer(row["qids"], np.int64), np.frombuffer(row["qs"], np.float64).reshape(-1, dim)
                 out: tuple[list, list, list] = ([], [], [])
                 for q, query in zip(qids.tolist(), qs, strict=True):
-                    found = graph.search(np.append(query, 0).astype(np.float32), k + 1, ef)
+                    found = graph.search(np.append(query / np.abs(query).max(), 0).astype(np.float32), k + 1, ef)
                     scores = (v[found] * query).sum(axis=1)
                     some = [(s, i) for s, f in zip(scores.tolist(), found, strict=True) for i in ids[cuts[f] : cuts[f + 1]].tolist() if i != q]
                     for s, i in sorted(some, key=lambda x: (-x[0], x[1]))[:k]:
@@ -178,5 +184,4 @@ def neighbours(vectors: DataFrame, every: int = 20, k: int = 20, size: int = SHA
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["query_id", "vec_id", "score"])
 
     small_batches(spark)
-    pairs = paired(blocks, index).repartition(partitions(spark), "shard", "block")
-    return best_of(pairs.mapInArrow(run, RESULT), k)
+    return best_of(paired(blocks, index).mapInArrow(run, RESULT), k)

@@ -9,77 +9,95 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, small_batches, written
+from .common import map_rows, small_batches, written
 from .vectors import best_of, distinct, flat_ids, paired, query_blocks, sharded, valid
 
-SCALE, LEAF, SHARD_SIZE = 256, 64, 4096
+SCALE, LEAF, SHARD_SIZE = 256, 64, 16_384
 RESULT = "query_id long, vec_id long, score long"
+#: Whole numbers below this are exact in double precision, and so are their sums.
+EXACT = 2.0**53
+#: Points that a group of queries is scored against at a time.
+SCORED = 4096
+NODE = np.dtype([("centre", "<i8"), ("start", "<i8"), ("stop", "<i8"), ("parent", "<i8"), ("radius", "<f8")])
 
 
 class CoverTree:
-    """Nodes in flat arrays. A node's centre is within `radius` of all points below it; children's centres are farther
-    apart than half of that, and within it (a cover); points of a node are one slice of `order`."""
-
-    def __init__(self, points: np.ndarray, leaf: int = LEAF) -> None:
-        self.points = points
-        self.order = np.arange(len(points))
-        self.centre: list[int] = []
-        self.radius: list[float] = []
-        self.slice: list[tuple[int, int]] = []
-        self.children: list[list[int]] = []
-        stack = [(0, len(points), -1)] if len(points) else []
-        while stack:
-            a, b, parent = stack.pop()
-            node = self.node(a, b)
+    """Levels of balls, each half as wide as the one above: the centres of a node's children are farther apart than half of
+    its width (separation), and every point of the node is within half of its width of a child's centre (covering).
+
+    Nodes are rows of one flat array; points of a node are one slice of `order`, and `radius` is the largest distance that
+    they have from the centre, so bounds are as tight as the points allow. A node of few points, or one that would need
+    more children than `most`, has no children: where all distances are alike, as in many dimensions, balls tell nothing.
+    """
+
+    def __init__(self, points: np.ndarray, order: np.ndarray, nodes: np.ndarray) -> None:
+        self.points, self.order, self.nodes = points, order, nodes
+        self.centres, self.radii = points[nodes["centre"]], nodes["radius"]
+        self.norms = np.sqrt((self.centres**2).sum(axis=1))
+        self.slice = list(zip(nodes["start"].tolist(), nodes["stop"].tolist(), strict=True))
+        self.children: list[list[int]] = [[] for _ in nodes]
+        for n, parent in enumerate(nodes["parent"].tolist()):
             if parent >= 0:
-                self.children[parent].append(node)
-            if b - a > leaf and self.radius[node] > 0:
-                stack += [(s, e, node) for s, e in self.cover(a, b, self.radius[node] / 2, leaf)]
-        self.centres = points[self.centre] if len(points) else points
-        self.radii = np.array(self.radius)
-        self.norms = np.linalg.norm(self.centres, axis=1) if len(points) else self.radii
-
-    def node(self, a: int, b: int) -> int:
-        some = self.points[self.order[a:b]]
-        middle = int(np.argmin(((some - some.mean(axis=0)) ** 2).sum(axis=1)))
-        self.centre.append(int(self.order[a + middle]))
-        self.radius.append(float(np.sqrt(((some - some[middle]) ** 2).sum(axis=1).max())))
-        self.slice.append((a, b))
-        self.children.append([])
-        return len(self.centre) - 1
-
-    def cover(self, a: int, b: int, reach: float, leaf: int) -> list[tuple[int, int]]:
-        """Slices of a cover by balls of radius `reach`: always the farthest point becomes the next centre. The cover ends
-        early, with larger balls, at as many balls as leaves would be needed anyway; the radii are measured, so bounds hold."""
-        some = self.points[self.order[a:b]]
-        most = max(2, (b - a) // max(1, leaf // 2))
-        dist = np.full(b - a, np.inf)
-        owner = np.zeros(b - a, np.int64)
-        far, balls = 0, 0
-        while balls < most and dist[far] > reach:
-            d = np.sqrt(((some - some[far]) ** 2).sum(axis=1))
-            nearer = d < dist
-            dist[nearer], owner[nearer] = d[nearer], balls
-            balls += 1
-            far = int(dist.argmax())
-        order = np.argsort(owner, kind="stable")
-        self.order[a:b] = self.order[a:b][order]
-        ends = a + np.cumsum(np.bincount(owner, minlength=balls))
-        cuts = [(int(s), int(e)) for s, e in zip([a, *ends[:-1]], ends, strict=True) if e > s]
-        return cuts if len(cuts) > 1 else [(a, (a + b) // 2), ((a + b) // 2, b)]
+                self.children[parent].append(n)
+
+    @classmethod
+    def built(cls, points: np.ndarray, leaf: int = LEAF) -> CoverTree:
+        order, rows = np.arange(len(points)), []
+        stack = []
+        if len(points):
+            far = np.sqrt(((points - points[0]) ** 2).sum(axis=1).max())
+            stack = [(0, len(points), 0, -1, float(far))]  # slice, centre, parent, width
+        while stack:
+            a, b, centre, parent, width = stack.pop()
+            some = points[order[a:b]]
+            rows.append((centre, a, b, parent, np.sqrt(((some - points[centre]) ** 2).sum(axis=1).max())))
+            if b - a <= leaf or width <= 0:
+                continue
+            centres, owner = cover(some, int(np.flatnonzero(order[a:b] == centre)[0]), width / 2, max(leaf, (b - a) // leaf))
+            if centres is None:
+                continue
+            mine = order[a:b]
+            heads = mine[centres]
+            order[a:b] = mine[np.argsort(owner, kind="stable")]
+            ends = a + np.cumsum(np.bincount(owner, minlength=len(centres)))
+            stack += [(int(s), int(e), int(h), len(rows) - 1, width / 2) for s, e, h in zip([a, *ends[:-1]], ends, heads, strict=True)]
+        return cls(points, order, np.array(rows, NODE))
+
+    @classmethod
+    def read(cls, points: np.ndarray, order: bytes, nodes: bytes) -> CoverTree:
+        return cls(points, np.frombuffer(order, np.int64), np.frombuffer(nodes, NODE))
+
+
+def cover(points: np.ndarray, first: int, reach: float, most: int) -> tuple[np.ndarray | None, np.ndarray]:
+    """Places of centres and the centre of each point: the farthest point becomes the next centre, until all are within reach
+    of one. No centres if `most` do not cover the points, or one does."""
+    dist, owner = np.full(len(points), np.inf), np.zeros(len(points), np.int64)
+    centres, far = [], first
+    while not centres or dist[far] > reach:
+        if len(centres) >= most:
+            return None, owner
+        d = np.sqrt(((points - points[far]) ** 2).sum(axis=1))
+        nearer = d < dist
+        dist[nearer], owner[nearer] = d[nearer], len(centres)
+        centres.append(far)
+        far = int(dist.argmax())
+    # one ball is the node again, half as wide
+    return np.array(centres), owner
 
 
 class Best:
-    """The k best (score, smallest id) of each query so far."""
+    """The k best (score, smallest id) of each query so far; `floor` is a score that the kth best of a query reaches elsewhere."""
 
-    def __init__(self, n: int, k: int) -> None:
+    def __init__(self, n: int, k: int, floor: np.ndarray | None = None) -> None:
+        self.floor, self.scored = np.full(n, -np.inf) if floor is None else floor, 0
         self.score, self.id, self.row = np.full((n, k), -np.inf), np.full((n, k), np.iinfo(np.int64).max), np.full((n, k), -1)
 
     def worst(self, queries: np.ndarray) -> float:
-        return float(self.score[queries, -1].min())
+        return float(np.maximum(self.score[queries, -1], self.floor[queries]).min())
 
     def add(self, queries: np.ndarray, rows: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
         k = self.score.shape[1]
+        self.scored += scores.size
         score = np.concatenate([self.score[queries], scores], axis=1)
         id_ = np.concatenate([self.id[queries], np.broadcast_to(ids, scores.shape)], axis=1)
         row = np.concatenate([self.row[queries], np.broadcast_to(rows, scores.shape)], axis=1)
@@ -87,13 +105,13 @@ class Best:
         self.score[queries], self.id[queries], self.row[queries] = (np.take_along_axis(x, order, axis=1) for x in (score, id_, row))
 
 
-def dual_search(queries: CoverTree, data: CoverTree, least_ids: np.ndarray, k: int) -> Best:
+def dual_search(queries: CoverTree, data: CoverTree, least_ids: np.ndarray, k: int, floor: np.ndarray | None = None) -> Best:
     """Visit node pairs, best bound first; a pair goes once its bound is below the query group's worst kth score.
 
     For centres c, d and radii r, s every inner product of the pair is at most c.d + |c| s + |d| r + r s. Whole numbers
     below 2**53 are exact in double precision, so are the scores; bounds have a slack for their roots.
     """
-    best = Best(len(queries.points), k)
+    best = Best(len(queries.points), k, floor)
     stack = [(0, np.array([0]))] if len(queries.points) and len(data.points) else []
     while stack:
         q, front = stack.pop()
@@ -121,8 +139,8 @@ def dual_search(queries: CoverTree, data: CoverTree, least_ids: np.ndarray, k: i
             some, nodes = nodes[:8], nodes[8:]
             nodes += [x for n in some for x in data.children[n]]
             ends = [data.slice[n] for n in some if not data.children[n]]
-            if ends:
-                rows = np.concatenate([data.order[s:e] for s, e in ends])
+            for s in range(0, sum(e - s for s, e in ends), SCORED):
+                rows = np.concatenate([data.order[s:e] for s, e in ends])[s : s + SCORED]
                 best.add(group, rows, least_ids[rows], queries.points[group] @ data.points[rows].T)
     return best
 
@@ -132,43 +150,79 @@ def whole(rows: DataFrame) -> DataFrame:
     return rows.withColumn("v", F.transform("v", lambda x: F.floor(x * SCALE).cast("double")))
 
 
+def exact_search(queries: np.ndarray, data: np.ndarray, least_ids: np.ndarray, k: int) -> Best:
+    """All products in whole numbers of any size, for vectors too long for double precision; scores beyond a long are cut to it."""
+    best = Best(len(queries), k)
+    best.score = best.score.astype(object)
+    whole = [[int(x) for x in v] for v in data]
+    for n, q in enumerate(queries):
+        q = [int(x) for x in q]
+        scores = np.array([max(-(1 << 63), min((1 << 63) - 1, sum(a * b for a, b in zip(q, v, strict=True)))) for v in whole], object)
+        order = sorted(range(len(data)), key=lambda i: (-scores[i], least_ids[i]))[:k]
+        best.score[n, : len(order)], best.row[n, : len(order)] = scores[order], order
+    return best
+
+
 def top_k(vectors: DataFrame, every: int = 50, k: int = 5, size: int = SHARD_SIZE) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose vec_id is divisible by `every`, the k largest integer products.
 
     Candidates are all rows but the query's own; ties go to the smaller vec_id; fewer than k candidates give as many
-    rows. Exact: node pairs are left out only where their bound is below the kth score. Equal vectors are one point with
-    their k + 1 smallest ids. Null vectors and those with null or non-finite components take no part, zero vectors do;
-    vectors meet those of their length only.
+    rows. Exact: node pairs are left out only where their bound is below the kth score, or below the kth score that the
+    query has in shard 0, which is searched first. Trees are built once for each shard and block, and written. Equal
+    vectors are one point with their k + 1 smallest ids. Null vectors and those with null or non-finite components take no
+    part, zero vectors do; vectors meet those of their length only. Products that double precision does not hold are
+    summed as whole numbers, and cut to a long.
     """
     spark = vectors.sparkSession
+    small_batches(spark)
     rows = whole(valid(vectors, allow_zero=True))
     classes = sharded(written(distinct(rows, k + 1), "vectors"), size)
-    blocks = written(query_blocks(rows, every), "queries")
 
     def build(table: pa.Table) -> pa.Table:
         v = np.array(table["v"].to_pylist(), np.float64)
         ids, cuts = flat_ids(table["ids"].to_pylist())
+        tree = CoverTree.built(v)
         return pa.table(
-            {"dim": pa.array([v.shape[1]], pa.int32()), "shard": pa.array([table["shard"][0].as_py()], pa.int32()), "n": pa.array([len(v)], pa.int32()), "vectors": [v.tobytes()], "ids": [ids.tobytes()], "cuts": [cuts.tobytes()]}
-        )
-
-    packed = written(classes.groupBy("dim", "shard").applyInArrow(build, "dim int, shard int, n int, vectors binary, ids binary, cuts binary"), "shards")
+            {
+                "dim": pa.array([v.shape[1]], pa.int32()), "shard": pa.array([table["shard"][0].as_py()], pa.int32()), "n": pa.array([len(v)], pa.int32()), "vectors": [v.tobytes()],
+                "ids": [ids.tobytes()], "cuts": [cuts.tobytes()], "order": [tree.order.tobytes()], "nodes": [tree.nodes.tobytes()],
+            }
+        )
+
+    def plant(cols: dict) -> dict:
+        trees = [CoverTree.built(np.frombuffer(q, np.float64).reshape(-1, dim)) for q, dim in zip(cols["qs"], cols["dim"], strict=True)]
+        return cols | {"q_order": [t.order.tobytes() for t in trees], "q_nodes": [t.nodes.tobytes() for t in trees]}
+
+    packed = written(classes.groupBy("dim", "shard").applyInArrow(build, "dim int, shard int, n int, vectors binary, ids binary, cuts binary, order binary, nodes binary"), "shards")
+    asked = "dim int, block int, qids binary, qs binary, q_order binary, q_nodes binary"
+    blocks = written(map_rows(query_blocks(rows, every), lambda: plant, asked), "queries")
+
+    def found(row: dict) -> Best:
+        v, q = (np.frombuffer(row[x], np.float64).reshape(-1, row["dim"]) for x in ("vectors", "qs"))
+        least = np.frombuffer(row["ids"], np.int64)[np.frombuffer(row["cuts"], np.int64)[:-1]]
+        longest = np.abs(v).max(initial=0.0) * np.abs(q).max(initial=0.0) * row["dim"]
+        if not longest < EXACT:
+            return exact_search(q, v, least, k + 1)
+        floor = np.frombuffer(row["floor"], np.float64) if row.get("floor") else None
+        return dual_search(CoverTree.read(q, row["q_order"], row["q_nodes"]), CoverTree.read(v, row["order"], row["nodes"]), least, k + 1, floor)
+
+    def floors(cols: dict) -> dict:
+        each = [dict(zip(cols, values, strict=True)) for values in zip(*cols.values(), strict=True)]
+        worst = [np.array(found(row).score[:, -1], np.float64).tobytes() for row in each]
+        return {"dim": cols["dim"], "block": cols["block"], "floor": worst}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                v = np.frombuffer(row["vectors"], np.float64).reshape(row["n"], row["dim"])
-                ids, cuts = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["cuts"], np.int64)
-                qids, qs = np.frombuffer(row["qids"], np.int64), np.frombuffer(row["qs"], np.float64).reshape(-1, row["dim"])
-                best = dual_search(CoverTree(qs), CoverTree(v), ids[cuts[:-1]], k + 1)
+                ids, cuts, qids = (np.frombuffer(row[x], np.int64) for x in ("ids", "cuts", "qids"))
+                best = found(row)
                 out: tuple[list, list, list] = ([], [], [])
-                for q, scores, found in zip(qids.tolist(), best.score, best.row, strict=True):
-                    some = [(s, i) for s, f in zip(scores.tolist(), found.tolist(), strict=True) if f >= 0 for i in ids[cuts[f] : cuts[f + 1]].tolist() if i != q]
+                for q, scores, rows_ in zip(qids.tolist(), best.score, best.row, strict=True):
+                    some = [(s, i) for s, f in zip(scores.tolist(), rows_.tolist(), strict=True) if f >= 0 for i in ids[cuts[f] : cuts[f + 1]].tolist() if i != q]
                     for s, i in sorted(some, key=lambda x: (-x[0], x[1]))[:k]:
                         for column, value in zip(out, (q, i, int(s)), strict=True):
                             column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["query_id", "vec_id", "score"])
 
-    small_batches(spark)
-    pairs = paired(blocks, packed).repartition(partitions(spark), "shard", "block")
-    return best_of(pairs.mapInArrow(run, RESULT), k)
+    first = written(map_rows(paired(blocks, packed.where("shard = 0")), lambda: floors, "dim int, block int, floor binary"), "floors")
+    return best_of(paired(blocks.join(first, ["dim", "block"], "left"), packed).mapInArrow(run, RESULT), k)

@@ -7,7 +7,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-QUERY_BLOCK = 4096
+from .common import partitions
+
+QUERY_BLOCK = 1024
 
 
 def valid(vectors: DataFrame, allow_zero: bool) -> DataFrame:
@@ -57,9 +59,15 @@ def query_blocks(rows: DataFrame, every: int) -> DataFrame:
 
 
 def paired(blocks: DataFrame, shards: DataFrame) -> DataFrame:
-    """Each packed query block with each shard of its length: the stated queries against all rows, in blocks."""
-    last = shards.agg(F.coalesce(F.max("shard"), F.lit(0))).first()[0]
-    return blocks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(last)))).join(shards, ["dim", "shard"])
+    """Each packed query block with each shard of its length: the stated queries against all rows, in blocks.
+
+    A shard goes to `parts` tasks, as many as keep the cluster busy, and meets a part of the blocks in each; so shards are
+    shipped a few times in all, and only the blocks, which are small, go to every shard.
+    """
+    last, n_blocks = shards.agg(F.coalesce(F.max("shard"), F.lit(0))).first()[0], blocks.agg(F.coalesce(F.max("block"), F.lit(0))).first()[0] + 1
+    parts = min(n_blocks, 2 * partitions(blocks.sparkSession) // (last + 1) + 1)
+    some = blocks.withColumn("part", F.col("block") % parts).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(last))))
+    return some.join(shards.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))), ["dim", "shard", "part"])
 
 
 def flat_ids(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:

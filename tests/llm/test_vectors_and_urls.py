@@ -62,29 +62,59 @@ def test_neighbours_recall_and_ties(odd):
         assert found == sorted(found, key=lambda x: (-x[1], x[0]))
 
 
-def test_neighbours_over_the_table(spark):
-    frame = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+def test_neighbours_over_shards_of_a_large_table(spark):
+    """Recall over 25,000 vectors of 64 dimensions in two shards, queries of every 400th."""
+    frame = spark.read.parquet("/root/testdata/check_l/embeddings.parquet").where("vec_id % 2 = 0")
     rows = [(r.vec_id, np.array(r.embedding, float)) for r in frame.collect()]
     ids, all_ = np.array([i for i, _ in rows]), np.stack([v for _, v in rows])
-    got = by_query(ann.neighbours(frame).collect())
+    assert len(rows) > 20_000 and ann.SHARD_SIZE < len(rows)
+    got = by_query(ann.neighbours(frame, every=400).collect())
     recall = []
     for q, found in got.items():
         s = all_ @ all_[np.flatnonzero(ids == q)[0]]
         s[ids == q] = -np.inf
-        recall.append(len({i for i, _ in found} & set(ids[np.argsort(-s)[:20]].tolist())) / 20)
-    assert len(got) == len([i for i in ids if i % 20 == 0]) and np.mean(recall) >= 0.9
+        recall.append(np.mean([x >= np.sort(s)[-20] - 1e-9 for _, x in found]))
+        assert len(found) == 20
+    assert len(got) == len([i for i in ids if i % 400 == 0]) and np.mean(recall) >= 0.9
+
+
+def test_neighbours_of_huge_vectors(spark):
+    rows = [(0, [1e200] * 8), (20, [2.8] + [0.0] * 7), (1, [0.28] * 8), (2, [1.5] * 8), (3, [-1e200] * 8), (4, [1e100] + [0.0] * 7)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = by_query(ann.neighbours(frame).collect())
+    assert [i for i, _ in got[0]] == [4, 2, 20, 1, 3] and got[20][0] == (0, pytest.approx(2.8e200))
+
+
+def test_top_k_of_products_beyond_double_precision(spark):
+    rows = [(0, [2.0**30, 1.0]), (1, [2.0**12, 0.0]), (2, [2.0**12, 1 / 256]), (3, [2.0**12, -1 / 256]), (4, [2.0**90, 0.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = by_query(topk.top_k(frame).collect())
+    assert got[0] == [(4, (1 << 63) - 1), (2, (1 << 58) + 256), (1, 1 << 58), (3, (1 << 58) - 256)]
 
 
-def test_cover_tree_holds_its_radii():
+def test_cover_tree_holds_its_levels():
+    """Covering and separation at every level, and radii that hold; clusters are told apart, and pairs are pruned."""
     rng = np.random.default_rng(4)
-    points = np.floor(np.concatenate([rng.normal(c, 20, (200, 8)) for c in (0, 300, -300)]))
-    tree = topk.CoverTree(points, leaf=16)
+    points = np.floor(np.concatenate([rng.normal(c, 20, (300, 8)) for c in rng.normal(0, 2000, (12, 8))]))
+    tree = topk.CoverTree.built(points, leaf=16)
+    width = {0: np.linalg.norm(points - points[0], axis=1).max()}
     for n, (a, b) in enumerate(tree.slice):
         d = np.linalg.norm(points[tree.order[a:b]] - tree.centres[n], axis=1)
-        assert d.max() <= tree.radii[n] + 1e-9
-        for child in tree.children[n]:
+        assert d.max() <= tree.radii[n] + 1e-9 and tree.radii[n] <= width[n] + 1e-9
+        below = tree.children[n]
+        for child in below:
+            width[child] = width[n] / 2
             assert a <= tree.slice[child][0] and tree.slice[child][1] <= b
-    assert sorted(tree.order.tolist()) == list(range(len(points)))
+        if len(below) > 1:
+            apart = np.linalg.norm(tree.centres[below][:, None] - tree.centres[below][None], axis=2)
+            assert apart[~np.eye(len(below), dtype=bool)].min() > width[n] / 2
+    assert sorted(tree.order.tolist()) == list(range(len(points))) and max(map(len, tree.children)) > 2
+    queries = topk.CoverTree.built(points[::50])
+    best = topk.dual_search(queries, tree, np.arange(len(points)), 5)
+    assert best.scored < 0.5 * len(points) * len(queries.points)
+    assert (best.score == -np.sort(-(points[::50] @ points.T), axis=1)[:, :5]).all()
+    kth = best.score[:, -1].copy()
+    assert (topk.dual_search(queries, tree, np.arange(len(points)), 5, kth).score == best.score).all()
 
 
 PAGES = [
