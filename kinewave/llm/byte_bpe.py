@@ -14,12 +14,15 @@ from .common import map_rows, safe_cuts, small_batches, text_of
 CHUNK_CHARS = 32_768
 
 
+def load_ranks(rank_path: str) -> dict[bytes, int]:
+    with open(rank_path, "rb") as file:
+        return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in file if line.strip())}
+
+
 def load_encoding(rank_path: str, pattern: str):
     import tiktoken
 
-    with open(rank_path, "rb") as file:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in file if line.strip())}
-    return tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=load_ranks(rank_path), special_tokens={})
 
 
 def word_cut(text: str, i: int) -> bool:

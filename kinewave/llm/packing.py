@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -11,14 +13,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .byte_bpe import encode_ids, load_encoding
+from .byte_bpe import encode_ids, load_encoding, load_ranks
 from .common import map_rows, partitions, small_batches, text_of, written
 
 DIMS, BITS, FEATURES = 4, 8, 1024
 SEQUENCE = 1024
+#: Standard deviations from the mean at which a coordinate's cells end.
+SPREAD = 2.5
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-#: Fixed value: the one special string of the vocabulary, and its id.
-SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
 
 
 def projection() -> np.ndarray:
@@ -54,45 +56,89 @@ def hilbert_key(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key
 
 
-def cells_of(vectors: np.ndarray) -> np.ndarray:
-    """Unit vectors, each coordinate in [-1, 1] dealt to 2**BITS cells; the zero vector stays in the middle."""
-    norm = np.linalg.norm(vectors, axis=1, keepdims=True)
-    unit = np.divide(vectors, norm, out=np.zeros_like(vectors), where=norm > 0)
+def cells_of(places: np.ndarray, mean: np.ndarray, spread: np.ndarray) -> np.ndarray:
+    """Coordinates as integers below 2**BITS: SPREAD deviations to either side of the mean, what is beyond at the edge."""
+    unit = np.divide(places - mean, SPREAD * spread, out=np.zeros_like(places), where=spread > 0)
     return np.clip(((unit + 1) / 2 * (1 << BITS)).astype(np.int64), 0, (1 << BITS) - 1)
 
 
-def tokenizer_ids(encoding, text: str) -> np.ndarray:
-    """As the tokenizer file encodes by default: its special string inside a text becomes its id."""
-    if SPECIAL not in text:
+def characters() -> dict[str, int]:
+    """The character that stands for each byte in a byte-level vocabulary: itself if it is printable, else one from 256 on."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
+
+
+def specials_of(tokenizer_path: str, rank_path: str) -> dict[str, int]:
+    """The special strings of a tokenizer file and their ids; an error if its vocabulary, merges or splitting are not those
+    of the ranks, by which texts are encoded here in less than half of the time."""
+    with open(tokenizer_path, encoding="utf-8") as file:
+        own = json.load(file)
+    special = {t["content"]: t["id"] for t in own["added_tokens"]}
+    back, ranks = characters(), load_ranks(rank_path)
+    vocab, merges = own["model"]["vocab"], [m if isinstance(m, list) else m.split(" ") for m in own["model"]["merges"]]
+    same = {bytes(back[c] for c in t): i for t, i in vocab.items() if t not in special} == ranks
+    ordered = all(vocab["".join(m)] == 256 + k for k, m in enumerate(merges)) and len(merges) + 256 == len(ranks)
+    splits = own["pre_tokenizer"]
+    if not (same and ordered and splits["type"] == "ByteLevel" and not splits["add_prefix_space"] and own["normalizer"] is None):
+        raise ValueError("the tokenizer file and the ranks are of different tokenizers")
+    return special
+
+
+def tokenizer_ids(encoding, text: str, special: dict[str, int]) -> np.ndarray:
+    """As the tokenizer file encodes by default: its special strings inside a text become their ids."""
+    found = [s for s in special if s in text]
+    if not found:
         return encode_ids(encoding, text)
     parts: list[np.ndarray] = []
-    for k, part in enumerate(text.split(SPECIAL)):
-        if k:
-            parts.append(np.array([SPECIAL_ID], np.uint32))
-        parts.append(encode_ids(encoding, part))
+    for part in re.split("(" + "|".join(map(re.escape, found)) + ")", text):
+        parts.append(np.array([special[part]], np.uint32) if part in special else encode_ids(encoding, part))
     return np.concatenate(parts)
 
 
-def tokenised(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
-    """doc_id, ids (binary, little-endian unsigned 16-bit, with the final id 0) and curve (the Hilbert key)."""
+def tokenised(docs: DataFrame, tokenizer_path: str, rank_path: str, pattern: str) -> DataFrame:
+    """doc_id, ids (binary, little-endian unsigned 16-bit, with the final id 0) and place (binary: DIMS doubles).
+
+    The place is the document's unit vector of token counts, hashed to FEATURES components, projected to DIMS.
+    """
     small_batches(docs.sparkSession)
+    special = specials_of(tokenizer_path, rank_path)
 
     def make():
         encoding = load_encoding(rank_path, pattern)
-        if encoding.n_vocab > 1 << 16:
+        if max(encoding.n_vocab, *special.values(), 0) > 1 << 16:
             raise ValueError("the vocabulary needs more than 16 bits an id")
         plane = projection()
         hashed = (np.arange(1 << 16, dtype=np.uint64) * np.uint64(2654435761) >> np.uint64(7)).astype(np.int64) % FEATURES
 
         def each(cols: dict) -> dict:
-            ids = [np.append(tokenizer_ids(encoding, t), 0).astype("<u2") for t in cols["text"]]
-            vectors = np.stack([np.sqrt(np.bincount(hashed[x], minlength=FEATURES)) for x in ids]) @ plane
-            return {"doc_id": cols["doc_id"], "ids": [x.tobytes() for x in ids], "curve": hilbert_key(cells_of(vectors)).tolist()}
+            ids = [np.append(tokenizer_ids(encoding, t, special), 0).astype("<u2") for t in cols["text"]]
+            counts = np.stack([np.sqrt(np.bincount(hashed[x], minlength=FEATURES)) for x in ids])
+            places = counts / np.linalg.norm(counts, axis=1, keepdims=True) @ plane
+            return {"doc_id": cols["doc_id"], "ids": [x.tobytes() for x in ids], **{f"x{d}": places[:, d].tolist() for d in range(DIMS)}}
 
         return each
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    return map_rows(rows, make, "doc_id long, ids binary, curve long")
+    return map_rows(rows, make, f"doc_id long, ids binary, {', '.join(f'x{d} double' for d in range(DIMS))}")
+
+
+def along_curve(rows: DataFrame) -> DataFrame:
+    """doc_id, ids, curve of tokenised rows: the Hilbert key of the place, in cells laid around the mean of all places.
+
+    The mean and deviation of each coordinate are all that is taken from the corpus, by partial sums.
+    """
+    names = [f"x{d}" for d in range(DIMS)]
+    stats = rows.agg(*[F.avg(n).alias(f"m{n}") for n in names], *[F.stddev_pop(n).alias(f"s{n}") for n in names]).first()
+    mean, spread = (np.array([stats[f"{k}{n}"] or 0.0 for n in names]) for k in "ms")
+    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("curve", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places = np.column_stack([batch.column(2 + d).to_numpy(zero_copy_only=False) for d in range(DIMS)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hilbert_key(cells_of(places, mean, spread)), pa.int64())], schema=schema)
+
+    return rows.select("doc_id", "ids", *names).mapInArrow(run, "doc_id long, ids binary, curve long")
 
 
 class Sequences:
@@ -145,7 +191,7 @@ class Sequences:
         return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], names=names)
 
 
-def pack(docs: DataFrame, rank_path: str, pattern: str, size: int = SEQUENCE) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, rank_path: str, pattern: str, size: int = SEQUENCE) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Documents are tokenised once and written; a range sort by (Hilbert key, doc_id) then puts neighbours on the curve
@@ -154,7 +200,7 @@ def pack(docs: DataFrame, rank_path: str, pattern: str, size: int = SEQUENCE) ->
     by doc_id; repeated rows are packed row by row. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    rows = written(tokenised(docs, rank_path, pattern), "tokens")
+    rows = along_curve(written(tokenised(docs, tokenizer_path, rank_path, pattern), "tokens"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         deal = Sequences(TaskContext.get().partitionId() << 40, size)

@@ -24,8 +24,10 @@ PASS_BYTES = 1024
 SLOTS, COMMON = 1 << 20, 16
 #: Entries (a shingle of a node) that one task compares at a time, and those of one shingle that are dealt to one block.
 PREFIX_ENTRIES, BLOCK = 1_000_000, 20_000
-#: Buckets of shingles at least, and the parts by whose sizes two sets are compared before they meet.
-LEAST_BUCKETS, PARTS = 16, 64
+#: Buckets of shingles at least.
+LEAST_BUCKETS = 16
+#: The parts by whose sizes two sets are compared before they meet: so many bits of a hash for sets below so many shingles.
+PART_BITS = ((400, 6), (6_000, 9), (1 << 62, 12))
 #: Shingles of a node by which the first, inexact looks for similar nodes go.
 LOOKS = (4, 16)
 #: Members of a shingle beyond which pairs are made row by row.
@@ -354,8 +356,19 @@ def prefix_pairs(nodes: DataFrame, groups: DataFrame | None, least: float, few:
 
 
 def sizes_of_parts(shingles: np.ndarray) -> np.ndarray:
-    """How many shingles are in each of PARTS ranges of hashes, 65,535 standing for more."""
-    return np.minimum(np.bincount(shingles >> np.uint32(26), minlength=PARTS), 65_535).astype("<u2")
+    """How many shingles are in each of 2**bits ranges of hashes, 65,535 standing for more."""
+    bits = next(b for limit, b in PART_BITS if len(shingles) < limit)
+    return np.minimum(np.bincount(shingles >> np.uint32(32 - bits), minlength=1 << bits), 65_535).astype("<u2")
+
+
+def may_be_similar(x: bytes, y: bytes, total: int, least: float) -> bool:
+    """Whether sets of these sizes of parts, of `total` shingles in all, may have a similarity of `least`."""
+    p, q = np.frombuffer(x, "<u2").astype(np.int64), np.frombuffer(y, "<u2").astype(np.int64)
+    if max(p.max(), q.max()) >= 65_535:
+        return True
+    k = min(len(p), len(q))
+    apart = int(np.abs(p.reshape(k, -1).sum(axis=1) - q.reshape(k, -1).sum(axis=1)).sum())
+    return total - apart >= 2 * least / (1 + least) * total - 1e-6
 
 
 def similar_enough(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
@@ -367,10 +380,8 @@ def similar_enough(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFram
 
     def fits():
         def each(cols: dict) -> dict:
-            x, y = (np.frombuffer(b"".join(cols[k]), "<u2").reshape(-1, PARTS).astype(np.int64) for k in ("x", "y"))
-            total = np.array(cols["n"]) + np.array(cols["m"])
-            ok = total - np.abs(x - y).sum(axis=1) >= 2 * least / (1 + least) * total - 1e-6
-            return {"a": cols["a"], "b": cols["b"], "ok": ok.tolist()}
+            ok = [may_be_similar(x, y, n + m, least) for x, y, n, m in zip(*(cols[k] for k in "xynm"), strict=True)]
+            return {"a": cols["a"], "b": cols["b"], "ok": ok}
 
         return each
 

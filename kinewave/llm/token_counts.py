@@ -49,7 +49,7 @@ def counter(model_path: str):
             for piece in pieces_of(text, limit):
                 held.append(piece)
                 owners.append(k)
-                size += len(piece)
+                size += len(piece.encode())
                 if size >= BATCH_BYTES:
                     flush()
         if held:

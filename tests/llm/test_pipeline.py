@@ -128,6 +128,22 @@ def test_next_of_keys_pairs_neighbours_of_different_groups():
     assert set(zip(*map(np.ndarray.tolist, simhash.next_of_keys(keys, node, group, size)), strict=True)) == {(1, 2), (0, 2), (3, 4)}
 
 
+def test_sizes_of_parts_never_rule_out_similar_sets():
+    rng = np.random.default_rng(2)
+    ruled_out = 0
+    for n in (1, 5, 390, 410, 3000, 5990, 7000):
+        for changed in (0.02, 0.1, 0.12, 0.5):
+            x = np.unique(rng.integers(0, 1 << 32, n, dtype=np.uint64).astype(np.uint32))
+            y = np.unique(np.concatenate([x[: int(len(x) * (1 - changed))], rng.integers(0, 1 << 32, int(n * changed * rng.random()), dtype=np.uint64).astype(np.uint32)]))
+            if not len(y):
+                continue
+            both = len(np.intersect1d(x, y))
+            may = simhash.may_be_similar(simhash.sizes_of_parts(x).tobytes(), simhash.sizes_of_parts(y).tobytes(), len(x) + len(y), 0.8)
+            assert may or both < 0.8 * (len(x) + len(y) - both)
+            ruled_out += not may
+    assert ruled_out >= 4
+
+
 def test_similar_groups_of_edge_rows(spark):
     docs = spark.createDataFrame([(i, t, 7, "x", "y") for i, t in EDGE], "doc_id long, text string, sketch int, shingles string, component_id string")
     got = Counter((r.doc_id, r.component_id) for r in simhash.similar_groups(docs).collect())

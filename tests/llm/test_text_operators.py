@@ -78,7 +78,7 @@ def test_packing(name, request):
 
     docs = request.getfixturevalue(name)
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    rows = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).collect()
+    rows = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).collect()
     sequences, texts = defaultdict(list), defaultdict(list)
     for r in rows:
         sequences[r.sequence_id].append((r.offset, r.length))
@@ -102,6 +102,28 @@ def test_packing(name, request):
     assert got == want
 
 
+def test_neighbours_on_the_curve_are_alike(spark):
+    """Documents next to each other in the packed order share more of their tokens than documents at random."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = packing.along_curve(packing.tokenised(docs, *(public_tokenizers.path(f"byte_bpe_50k.{k}") for k in ("json", "tiktoken")), public_tokenizers.PATTERN)).collect()
+    counts = np.stack([np.bincount(np.frombuffer(r.ids, "<u2"), minlength=50_257) for r in sorted(rows, key=lambda r: (r.curve, r.doc_id))]).astype(float)
+    unit = np.sqrt(counts) / np.linalg.norm(np.sqrt(counts), axis=1, keepdims=True)
+    near, order = (unit[1:] * unit[:-1]).sum(axis=1).mean(), np.random.default_rng(1).permutation(len(unit))
+    assert near > 1.3 * (unit[order[1:]] * unit[order[:-1]]).sum(axis=1).mean() and len({r.curve for r in rows}) > 0.5 * len(rows)
+
+
+def test_a_tokenizer_file_of_other_ranks_is_refused(tmp_path):
+    path = lambda k: public_tokenizers.path(f"byte_bpe_50k.{k}")
+    assert packing.specials_of(path("json"), path("tiktoken")) == {"<|endoftext|>": 50_256}
+    other = tmp_path / "other.json"
+    text = open(path("json"), encoding="utf-8").read()
+    other.write_text(text.replace('"type":"ByteLevel"', '"type":"Whitespace"').replace('"type": "ByteLevel"', '"type": "Whitespace"'), encoding="utf-8")
+    with pytest.raises(ValueError, match="different tokenizers"):
+        packing.specials_of(str(other), path("tiktoken"))
+    with pytest.raises(ValueError, match="different tokenizers"):
+        packing.specials_of(path("json"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
 def test_hilbert_curve_steps_to_neighbours():
     bits, dims = 2, 4
     cells = np.array(np.meshgrid(*[range(1 << bits)] * dims)).reshape(dims, -1).T
