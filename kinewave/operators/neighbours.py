@@ -26,11 +26,37 @@ def packed(rows: DataFrame, key: str, size: int) -> DataFrame:
     return dealt.groupBy(key).applyInArrow(pack, f"{key} int, {key}_v binary, {key}_id binary, {key}_class binary")
 
 
-def nearest(test: DataFrame, train: DataFrame, k: int) -> DataFrame:
-    """id, rank, neighbour, class_id, distance: the k nearest training rows of each test row (id, class_id, v).
+def squared(x: np.ndarray, t: np.ndarray) -> np.ndarray:
+    return ((t - x) ** 2).sum(axis=1)
+
+
+def warped(widths: list[int]):
+    """Distances of a vector to many: its first parts, as wide as given, are channels, which are compared by time warping
+    (over the sum of lengths); the rest are pad values, whose Euclidean distance is added."""
+
+    def distances(x: np.ndarray, t: np.ndarray) -> np.ndarray:
+        out, at = np.zeros(len(t)), 0
+        for width in widths:
+            a, b = x[at : at + width], t[:, at : at + width]
+            row = np.full((width + 1, len(t)), np.inf)
+            row[0] = 0
+            for v in a:
+                cost, best = np.abs(b - v).T, np.minimum(row[1:], row[:-1])
+                row[0] = np.inf
+                for j in range(width):
+                    row[j + 1] = cost[j] + np.minimum(best[j], row[j])
+            out += row[width] / (2 * width)
+            at += width
+        return out + np.sqrt(((t[:, at:] - x[at:]) ** 2).sum(axis=1))
+
+    return distances
+
 
-    Squared distances are rounded to 9 digits, ties go to the smaller id. Each packed block of test rows meets each
-    packed shard of training rows and sends on k rows a query; vectors with nulls have to be gone.
+def found_by(test: DataFrame, train: DataFrame, k: int, distances) -> DataFrame:
+    """id, rank, neighbour, class_id, d of each test row (id, class_id, v): the k training rows of least distances(x, rows).
+
+    Distances are rounded to 9 digits, ties go to the smaller id. Each packed block of test rows meets each packed shard of
+    training rows and sends on k rows a query; vectors with nulls have to be gone.
     """
     blocks, shards = packed(test, "block", BLOCK), packed(train, "shard", SHARD)
     count = train.count() // SHARD + 1
@@ -43,15 +69,25 @@ def nearest(test: DataFrame, train: DataFrame, k: int) -> DataFrame:
                 q, t = np.frombuffer(row["block_v"]).reshape(len(qid), -1), np.frombuffer(row["shard_v"]).reshape(len(tid), -1)
                 out: list[list] = [[], [], [], []]
                 for i, x in zip(qid.tolist(), q, strict=True):
-                    d = np.round(((t - x) ** 2).sum(axis=1), 9)
+                    d = np.round(distances(x, t), 9)
                     best = np.lexsort((tid, d))[:k]
                     for column, values in zip(out, ([i] * len(best), tid[best].tolist(), tclass[best].tolist(), d[best].tolist()), strict=True):
                         column += values
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.float64())], names=["id", "neighbour", "class_id", "d2"])
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.float64())], names=["id", "neighbour", "class_id", "d"])
+
+    found = pairs.mapInArrow(run, "id long, neighbour long, class_id long, d double")
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("d", "neighbour"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def nearest(test: DataFrame, train: DataFrame, k: int) -> DataFrame:
+    """id, rank, neighbour, class_id, distance: the k nearest training rows by Euclidean distance; see found_by()."""
+    return found_by(test, train, k, squared).select("id", "rank", "neighbour", "class_id", F.sqrt("d").alias("distance"))
+
 
-    found = pairs.mapInArrow(run, "id long, neighbour long, class_id long, d2 double")
-    rank = F.row_number().over(Window.partitionBy("id").orderBy("d2", "neighbour"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("id", "rank", "neighbour", "class_id", F.sqrt("d2").alias("distance"))
+def nearest_warped(test: DataFrame, train: DataFrame, k: int, widths: list[int]) -> DataFrame:
+    """As nearest(), by the combined distance of channels and pads (scalars.combined_distance); see warped()."""
+    return found_by(test, train, k, warped(widths)).select("id", "rank", "neighbour", "class_id", F.col("d").alias("distance"))
 
 
 def votes(neighbours: DataFrame, weighted: bool = False) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -46,15 +46,27 @@ def split_by_remainder(rows: DataFrame, key: str, every: int = 5) -> DataFrame:
 
 
 def three_way(raw: DataFrame, train: float = 0.7, validation: float = 0.15, seed: int = 42) -> DataFrame:
-    """Column part of raw (recording_id, label): by class if every class has three rows or more, else over all rows.
+    """Column part of raw (recording_id, label): exact shares of each class if every class has three rows or more, else of all.
 
-    A row's place in its class is its share of hashes below its own, so that no class is sorted in one task; the shares
-    hold on average.
+    Of the n rows of a class, in order of a hash, the first round(n * (1 - train)) are left out of training, and of these
+    the first half, rounded up, is the validation part (for equal shares), the rest the test part. Sorting is by class, as
+    places in a class are counted; a class spills, and is not collected.
     """
-    least = raw.groupBy("label").count().agg(F.min("count")).first()[0] or 0
-    key = F.xxhash64(F.lit(seed), "recording_id", *(["label"] if least >= 3 else []))
-    u = F.pmod(key, F.lit(1_000_003)) / 1_000_003.0
-    return raw.withColumn("part", F.when(u < train, "train").when(u < train + validation, "validation").otherwise("test"))
+    key = [F.col("label")] if (raw.groupBy("label").count().agg(F.min("count")).first()[0] or 0) >= 3 else [F.lit(0)]
+    order = F.md5(F.concat_ws(":", F.lit(seed), "recording_id").cast("binary"))
+    rows = raw.withColumn("_place", F.row_number().over(Window.partitionBy(*key).orderBy(order, "recording_id"))).withColumn("_n", F.count("*").over(Window.partitionBy(*key)))
+    out = F.floor(F.col("_n") * F.lit(1 - train) + 0.5)
+    valid = F.ceil(out * F.lit(round(validation / (1 - train), 9)))
+    return rows.withColumn("part", F.when(F.col("_place") > out, "train").when(F.col("_place") <= valid, "validation").otherwise("test")).drop("_place", "_n")
+
+
+def write_scaler(fitted: DataFrame, path: str) -> None:
+    """pos, mean, std, a row a component; scaled() takes what read_scaler() gives."""
+    fitted.select("pos", "mean", "std").write.mode("overwrite").parquet(path)
+
+
+def read_scaler(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("pos int, mean double, std double").parquet(path)
 
 
 def with_copies(raw: DataFrame, copies: DataFrame) -> DataFrame:

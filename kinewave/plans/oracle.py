@@ -84,6 +84,33 @@ f AS (SELECT session, CAST(-1 AS BIGINT) AS t, 0 AS wait, -1 AS last, false AS e
 SELECT session, CAST(t AS INTEGER) AS window_id, CAST(last AS INTEGER) AS class_id, {r6("confidence")} AS confidence FROM f WHERE emitted"""
 
 
+RECOGNISED = 7
+STATS6 = ("mean", "var", "energy", "hi", "lo", "slope")
+
+
+def emitted(k: int, size: int, threshold: str, cooldown: int) -> str:
+    """f: the fold of class probabilities p (session, t, p0 ..), strict, gated windows counting as zeros in the mean."""
+    top, fails = f"greatest({', '.join(f'm{i}' for i in range(k))})", f"(NOT (q.top > {threshold}) OR (f.wait > 0 AND q.best = f.last))"
+    best = "CASE " + " ".join(f"WHEN m{i} = {top} THEN {i}" for i in range(k)) + " END"
+    return f"""g AS (SELECT *, greatest({', '.join(f'p{i}' for i in range(k))}) < {threshold} AS gated FROM p),
+m AS (SELECT session, t, {", ".join(f"sum(CASE WHEN gated THEN CAST(0 AS DOUBLE) ELSE p{i} END) OVER w / {size} AS m{i}" for i in range(k))}
+  FROM g WINDOW w AS (PARTITION BY session ORDER BY t ROWS {size - 1} PRECEDING)),
+q AS (SELECT session, t, {top} AS top, {best} AS best FROM m),
+f AS (SELECT session, CAST(-1 AS BIGINT) AS t, 0 AS wait, -1 AS last, false AS emitted, CAST(0 AS DOUBLE) AS confidence FROM (SELECT DISTINCT session FROM q)
+  UNION ALL SELECT f.session, q.t, CASE WHEN q.t < {size - 1} THEN f.wait WHEN {fails} THEN greatest(0, f.wait - 1) ELSE {cooldown} END,
+    CASE WHEN q.t < {size - 1} OR {fails} THEN f.last ELSE q.best END, NOT (q.t < {size - 1} OR {fails}), q.top
+  FROM f JOIN q ON q.session = f.session AND q.t = f.t + 1)"""
+
+
+PROBABILITIES = """, l AS (SELECT id, class_id, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM train),
+fl AS (SELECT 1e-9 * max(s) AS e FROM (SELECT var_pop(x) AS s FROM l GROUP BY pos)),
+mv AS (SELECT class_id, pos, avg(x) AS m, var_pop(x) + (SELECT e FROM fl) AS s FROM l GROUP BY 1, 2),
+pr AS (SELECT class_id, count(*) / (SELECT count(*) FROM train) AS prior FROM train GROUP BY 1),
+tt AS (SELECT id, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM test),
+sc AS (SELECT tt.id, mv.class_id, any_value(ln(prior)) + sum(-0.5 * ln(2 * pi() * s) - (x - m) * (x - m) / (2 * s)) AS score FROM tt JOIN mv USING (pos) JOIN pr USING (class_id) GROUP BY 1, 2),
+ex AS (SELECT id, class_id, exp(score - max(score) OVER (PARTITION BY id)) AS e FROM sc), shares AS (SELECT id, class_id, e / sum(e) OVER (PARTITION BY id) AS prob FROM ex)"""
+
+
 SQL = {
     "window_features": f"""{windows("40")}, a AS (SELECT {KEYS}, {STATS}, max(x) AS hi, min(x) AS lo, regr_slope(x, t) AS slope, {STRONGEST}, {FIRST} FROM wd GROUP BY ALL)
 SELECT {KEYS}, flex0_mean, flex0_var, flex0_energy, {r6("hi")} AS flex0_max, {r6("lo")} AS flex0_min, {r6("coalesce(slope, 0)")} AS flex0_slope,
@@ -98,14 +125,14 @@ f AS (SELECT {KEYS}, t, x AS ref, 0 AS way, 0 AS changes FROM wf WHERE t = 0
     f.changes + CASE WHEN (f.way <= 0 AND w.x - f.ref >= CAST(0.4 AS DOUBLE)) OR (f.way >= 0 AND f.ref - w.x >= CAST(0.4 AS DOUBLE)) THEN 1 ELSE 0 END
   FROM f JOIN wf w ON w.recording_id = f.recording_id AND w.start = f.start AND w.t = f.t + 1)
 SELECT {KEYS}, CAST(changes AS BIGINT) AS changes FROM f WHERE t = 39""",
-    "raw_vectors": f"""{windows("40")}, a AS (SELECT {KEYS}, sum(x) AS x, {STRONGEST} FROM wf GROUP BY ALL)
-SELECT {KEYS}, CAST(50 AS BIGINT) AS size, {r6("x + " + " + ".join(f"z{i} + 1 + {bin_of(f'r{i}')}" for i in range(5)))} AS total FROM a""",
+    "raw_vectors": f"""{windows("40")}, a AS (SELECT {KEYS}, sum(x * (t + 1)) AS x, {STRONGEST} FROM wf GROUP BY ALL)
+SELECT {KEYS}, CAST(50 AS BIGINT) AS size, {r6("x + " + " + ".join(f"(z{i} + 1) * {41 + 2 * i} + ({bin_of(f'r{i}')}) * {42 + 2 * i}" for i in range(5)))} AS weighted FROM a""",
     "stream_windows": f"""WITH {FRAMES}, st AS (SELECT recording_id, label, unnest(range(0, n - 39, 10)) AS start FROM n WHERE n >= 40)
-SELECT st.recording_id, st.label, CAST(start AS INTEGER) AS start, count(*) AS n, {r6("sum(x)")} AS total FROM st JOIN fr ON fr.recording_id = st.recording_id AND t >= start AND t < start + 40 GROUP BY ALL""",
+SELECT st.recording_id, st.label, CAST(start AS INTEGER) AS start, count(*) AS n, {r6("sum(x * (t - start + 1))")} AS weighted FROM st JOIN fr ON fr.recording_id = st.recording_id AND t >= start AND t < start + 40 GROUP BY ALL""",
     "aligned_windows": f"""WITH {FRAMES}, st AS (SELECT recording_id, label, n, unnest(range(0, n, 10)) AS start FROM n)
 SELECT st.recording_id, st.label, CAST(start AS INTEGER) AS start, CAST(40 AS BIGINT) AS n, count(*) AS real, {r6("sum(x * (t - start + 40 - least(40, n - start)))")} AS weighted
 FROM st JOIN fr ON fr.recording_id = st.recording_id AND t >= start AND t < start + 40 GROUP BY ALL""",
-    "padded": f"""WITH {FRAMES} SELECT recording_id, fr.label, CAST(78 AS BIGINT) AS n, greatest(0, 78 - any_value(n.n)) AS padding, {r6("coalesce(sum(x) FILTER (WHERE t < 78), 0)")} AS total
+    "padded": f"""WITH {FRAMES} SELECT recording_id, fr.label, CAST(78 AS BIGINT) AS n, greatest(0, 78 - any_value(n.n)) AS padding, {r6("coalesce(sum(x * (t + 1)) FILTER (WHERE t < 78), 0)")} AS weighted
 FROM fr JOIN n USING (recording_id) GROUP BY ALL""",
     "smoothed_flex": f"WITH {FRAMES} SELECT recording_id, CAST(t AS INTEGER) AS t, {r6('avg(x) OVER (PARTITION BY recording_id ORDER BY t ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)')} AS x FROM fr",
     "normalised_pads": f"""WITH {FRAMES}, p AS (SELECT recording_id, t, i AS no, CASE WHEN pad = ['click','error','purchase','signup','view'][i + 1] THEN z ELSE -1 END AS z,
@@ -114,7 +141,7 @@ SELECT recording_id, CAST(t AS INTEGER) AS t, CAST(no AS INTEGER) AS pad, {r6("g
     "channel_ranges": f"""WITH {FRAMES} SELECT 0 AS channel, count(*) AS n, {r6("min(x)")} AS min, {r6("max(x)")} AS max, {r6("avg(x)")} AS mean, {r6("stddev_pop(x)")} AS std, min(x) >= -1e-5 AND max(x) <= 1 + 1e-5 AS in_range FROM fr""",
     "top_labels": "SELECT source AS label, count(*) AS n, min(doc_id) AS first_seen FROM documents GROUP BY 1 ORDER BY n DESC, first_seen LIMIT 20",
     "exemplar_sizes": f"""WITH {FRAMES}, first AS (SELECT label, min(recording_id) AS recording_id FROM n GROUP BY 1)
-SELECT f.label, greatest(78, count(*)) AS n, {r6("sum(x)")} AS total FROM first f JOIN fr USING (recording_id) GROUP BY 1""",
+SELECT f.label, greatest(78, any_value(n.n)) AS n, {r6("sum(x * (t + greatest(0, (78 - n.n) // 2) + 1))")} AS weighted FROM first f JOIN fr USING (recording_id) JOIN n USING (recording_id) GROUP BY 1""",
     "label_codes": "SELECT doc_id, source AS label, CASE WHEN source IS NOT NULL THEN dense_rank() OVER (ORDER BY source NULLS LAST) - 1 END AS class_id FROM documents",
     "one_hot": "SELECT vec_id, CAST(i AS INTEGER) AS pos, CAST(i = label AS INTEGER) AS hot FROM embeddings, range(0, 10) g(i)",
     "scaled_vectors": f"""WITH {VECTORS}, l AS (SELECT id, id % 5 = 0 AS is_test, unnest(v) AS x, generate_subscripts(v, 1) - 1 AS pos FROM v),
@@ -146,4 +173,23 @@ JOIN sq a ON a.recording_id = p.recording_id AND a.t = CAST(floor(p.p) AS BIGINT
 SELECT recording_id, shift, greatest(0, CASE WHEN shift >= 0 THEN least(n, 78 - shift) ELSE n + shift END) AS n,
   {r6("coalesce(sum(x * (t + shift)) FILTER (WHERE t + shift BETWEEN 0 AND 77), 0)")} AS weighted FROM s GROUP BY recording_id, share, shift, n""",
     "augmented": f"WITH {FRAMES} SELECT recording_id, CAST(128 AS BIGINT) AS copies FROM n",
+    "ranked_probabilities": f"""WITH {VECTORS}{PROBABILITIES}, o AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY prob DESC, class_id) AS rank, class_id, prob FROM shares)
+SELECT id, CAST(rank AS INTEGER) AS rank, class_id, {r6("prob")} AS prob FROM o WHERE rank <= 3""",
+    "decoded_labels": "SELECT doc_id, source AS label, CASE WHEN source IS NOT NULL THEN dense_rank() OVER (ORDER BY source NULLS LAST) - 1 END AS class_id FROM documents",
+    "emission_summary": f"""WITH e AS ({debounce(4, True).replace(r6("confidence") + " AS confidence", "confidence")})
+SELECT class_id, count(*) AS n, count(DISTINCT session) AS sessions, {r6("avg(confidence)")} AS confidence, min(window_id) AS first_window FROM e GROUP BY 1""",
+    "split_parts": """WITH d AS (SELECT doc_id AS recording_id, source AS label, count(*) OVER (PARTITION BY source) AS n FROM documents WHERE source IS NOT NULL),
+k AS (SELECT *, CASE WHEN (SELECT min(n) FROM d) >= 3 THEN label ELSE '' END AS part_of FROM d),
+o AS (SELECT recording_id, label, row_number() OVER (PARTITION BY part_of ORDER BY md5('42:' || CAST(recording_id AS VARCHAR)), recording_id) AS place, floor(count(*) OVER (PARTITION BY part_of) * 0.3::DOUBLE + 0.5) AS gone FROM k)
+SELECT recording_id, label, CASE WHEN place > gone THEN 'train' WHEN place <= ceil(gone * 0.5) THEN 'validation' ELSE 'test' END AS part FROM o""",
+    "recognised": f"""{windows("40").replace("WITH ", "WITH RECURSIVE ", 1)}, a AS (SELECT {KEYS}, avg(x) AS mean, var_pop(x) AS var, sum(abs(d)) AS energy, max(x) AS hi, min(x) AS lo, coalesce(regr_slope(x, t), 0) AS slope, {STRONGEST} FROM wd GROUP BY ALL),
+raw AS (SELECT recording_id, label AS class_id, start, [{", ".join(STATS6)}, {", ".join(f"z{i} + 1, {bin_of(f'r{i}')}" for i in range(5))}]::DOUBLE[] AS v FROM a),
+rl AS (SELECT recording_id, class_id, start, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM raw),
+scl AS (SELECT pos, avg(x) AS mu, CASE WHEN stddev_pop(x) > 0 THEN stddev_pop(x) ELSE 1 END AS sd FROM rl WHERE recording_id % 5 <> 0 GROUP BY 1),
+v AS (SELECT recording_id * 1048576 + start AS id, recording_id, class_id, start, list((x - mu) / sd ORDER BY pos) AS v FROM rl JOIN scl USING (pos) GROUP BY ALL),
+test AS (SELECT * FROM v WHERE recording_id % 5 = 0), train AS (SELECT * FROM v WHERE recording_id % 5 <> 0){PROBABILITIES},
+num AS (SELECT id, recording_id AS session, row_number() OVER (PARTITION BY recording_id ORDER BY start) - 1 AS t FROM test),
+p AS (SELECT session, t, {", ".join(f"max(CASE WHEN class_id = {i} THEN prob END) AS p{i}" for i in range(RECOGNISED))} FROM num JOIN shares USING (id) GROUP BY 1, 2),
+{emitted(RECOGNISED, 2, "0.16", 2)}
+SELECT session, CAST(t AS INTEGER) AS window_id, last AS label, {r6("confidence")} AS confidence FROM f WHERE emitted""",
 }

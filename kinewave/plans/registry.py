@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinewave.functions import scalars as S
-from kinewave.operators import augment, debounce, features, frames, metrics, neighbours, prep, windows
+from kinewave.operators import augment, debounce, features, frames, inference, metrics, neighbours, prep, windows
 
 WIDTH, STRIDE = 40, 10
 PADS = len(frames.EVENT_PADS)
@@ -50,12 +50,12 @@ def trend_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raw_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = features.raw_table(windows.sliding(glove(spark, sf_dir), WIDTH))
-    return rows.select(*windows.KEYS, F.size("vector").cast("long").alias("size"), r6(S.total(F.col("vector"))).alias("total"))
+    return rows.select(*windows.KEYS, F.size("vector").cast("long").alias("size"), r6(S.total(F.transform("vector", lambda x, i: x * (i + 1)))).alias("weighted"))
 
 
 def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = windows.full_windows(glove(spark, sf_dir), WIDTH, STRIDE)
-    return rows.groupBy(*windows.KEYS).agg(F.count("*").alias("n"), r6(F.sum(F.col("flex")[0])).alias("total"))
+    return rows.groupBy(*windows.KEYS).agg(F.count("*").alias("n"), r6(F.sum(F.col("flex")[0] * (F.col("t") + 1))).alias("weighted"))
 
 
 def aligned_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +67,7 @@ def aligned_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def padded(spark: SparkSession, sf_dir: str) -> DataFrame:
     flat = frames.flattened(glove(spark, sf_dir), grouped=True)
     rows = windows.pad_or_truncate(flat, 78, 1 + 2 * PADS)
-    return rows.groupBy("recording_id", "label").agg(F.count("*").alias("n"), F.count_if(~F.col("mask")).alias("padding"), r6(F.sum(F.col("flat")[0])).alias("total"))
+    return rows.groupBy("recording_id", "label").agg(F.count("*").alias("n"), F.count_if(~F.col("mask")).alias("padding"), r6(F.sum(F.col("flat")[0] * (F.col("t") + 1))).alias("weighted"))
 
 
 def smoothed_flex(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,7 +90,7 @@ def top_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def exemplar_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     gold = features.exemplars(glove(spark, sf_dir), 78)
-    return gold.select("label", F.size("gold").cast("long").alias("n"), r6(S.total(F.transform("gold", lambda f: f[0]))).alias("total"))
+    return gold.select("label", F.size("gold").cast("long").alias("n"), r6(S.total(F.transform("gold", lambda f, i: f[0] * (i + 1)))).alias("weighted"))
 
 
 def anchor_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -199,11 +199,50 @@ def augmented(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("recording_id").agg(F.count("*").alias("copies"))
 
 
+def bayes_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    test, train = parts(spark, sf_dir)
+    return neighbours.softmax(neighbours.bayes_scores(test, neighbours.bayes_fit(train)))
+
+
+def ranked_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(inference.ranked(bayes_probabilities(spark, sf_dir)).where("rank <= 3"))
+
+
+def decoded_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("label"))
+    return inference.decoded(prep.encoded(rows).select("doc_id", "class_id"), prep.label_codes(rows)).select("doc_id", "label", F.col("class_id").cast("long").alias("class_id"))
+
+
+def emission_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(inference.summary(debounce.debounced(window_probabilities(spark, sf_dir), threshold=0.5, size=4, cooldown=4, strict=True)))
+
+
+def split_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").where("source is not null").select(F.col("doc_id").alias("recording_id"), F.col("source").alias("label"))
+    return prep.three_way(rows).select("recording_id", "label", "part")
+
+
+def recognised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fitted on the windows of four recordings in five, and run over the others, from frames to debounced labels."""
+    rows = glove(spark, sf_dir)
+    fitted = inference.fit(inference.window_vectors(rows.where("recording_id % 5 != 0"), WIDTH))
+    out = inference.recognised(rows.where("recording_id % 5 = 0"), fitted, WIDTH, threshold=0.16, size=2, cooldown=2, strict=True)
+    return rounded(out)
+
+
+def warped_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest training windows by warping distance of the flex channel plus distance of the pads' values."""
+    rows = features.raw_table(windows.full_windows(glove(spark, sf_dir), WIDTH, WIDTH))
+    rows = rows.select((F.col("recording_id") * 1000 + F.col("start")).alias("id"), F.col("label").cast("long").alias("class_id"), F.col("vector").alias("v"), "recording_id")
+    return rounded(neighbours.nearest_warped(rows.where("recording_id % 5 = 0"), rows.where("recording_id % 5 != 0"), 5, [WIDTH]))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         window_features, quantile_window_features, trend_changes, raw_vectors, stream_windows, aligned_windows, padded, smoothed_flex, normalised_pads,
         channel_ranges, top_labels, exemplar_sizes, anchor_distances, wide_anchor_distances, label_codes, one_hot, scaled_vectors, knn_neighbours, knn_predictions,
         knn_weighted, bayes_predictions, class_report, confusion, metric_summary, debounced_mean, debounced_gate, time_warp, temporal_shift, augmented,
+        ranked_probabilities, decoded_labels, emission_summary, split_parts, recognised, warped_neighbours,
     )
     return {f.__name__: f for f in every}
 

@@ -212,7 +212,34 @@ def test_metrics(spark):
 def test_splits(spark):
     raw = spark.createDataFrame([(i, i % 3) for i in range(300)], "recording_id long, label int")
     parts = {r.part: r["count"] for r in prep.three_way(raw).groupBy("part").count().collect()}
-    assert sum(parts.values()) == 300 and 180 < parts["train"] < 240
+    assert parts == {"train": 210, "validation": 45, "test": 45}
+    each = {(r.label, r.part): r["count"] for r in prep.three_way(raw).groupBy("label", "part").count().collect()}
+    assert {each[k, "train"] for k in range(3)} == {70} and {each[k, "test"] for k in range(3)} == {15}
     both = prep.with_copies(prep.three_way(raw), raw.select("recording_id", "label"))
     assert both.where("is_copy and part != 'train'").count() == 0 and both.where("is_copy").count() == parts["train"]
     assert prep.split_by_hash(raw, "recording_id").where("is_test").count() < 100
+
+
+def test_scaler_is_kept(spark, tmp_path):
+    rows = spark.createDataFrame([(i, [float(i), 2.0, -i / 3]) for i in range(9)], "id long, v array<double>")
+    fitted = prep.scaler(rows, "v")
+    prep.write_scaler(fitted, str(tmp_path / "scaler"))
+    again = prep.scaled(rows, prep.read_scaler(spark, str(tmp_path / "scaler")), "v")
+    assert sorted(again.collect()) == sorted(prep.scaled(rows, fitted, "v").collect())
+
+
+def test_nearest_by_warping(spark):
+    """The combined distance of the expression form, over all pairs."""
+    rng = np.random.default_rng(6)
+    data = [(i, i % 3, np.round(rng.random(14), 3).tolist()) for i in range(40)]
+    rows = spark.createDataFrame(data, "id long, class_id long, v array<double>")
+    got = {(r.id, r["rank"]): (r.neighbour, r.distance) for r in neighbours.nearest_warped(rows.where("id < 6"), rows.where("id >= 6"), 3, [5, 5]).collect()}
+    parts = lambda c: (F.array(F.slice(c, 1, 5), F.slice(c, 6, 5)), F.slice(c, 11, 4))
+    (ca, pa_), (cb, pb) = parts("v"), parts("w")
+    pairs = rows.where("id < 6").crossJoin(rows.where("id >= 6").select(F.col("id").alias("other"), F.col("v").alias("w")))
+    want = {}
+    for r in pairs.select("id", "other", S.combined_distance(ca, cb, pa_, pb).alias("d")).collect():
+        want.setdefault(r.id, []).append((round(r.d, 9), r.other))
+    for i, some in want.items():
+        for k, (d, other) in enumerate(sorted(some)[:3]):
+            assert got[i, k + 1] == (other, pytest.approx(d, abs=1e-8))
