@@ -16,6 +16,8 @@ from .windows import KEYS, gathered, gold_segment, move
 #: Pad levels (z + 1) whose first time is ranked, and how many labels get an exemplar.
 LEVELS = (1, 3, 4, 5)
 TOP_LABELS = 20
+#: Frames that all exemplars of anchor_distances() may have together: some 20 MB, as they come along with the tasks.
+MOST_FRAMES = 200_000
 
 
 def channel(c: int) -> Column:
@@ -102,12 +104,22 @@ def top_labels(recordings: DataFrame, k: int = TOP_LABELS) -> DataFrame:
     return recordings.groupBy("label").agg(F.count("*").alias("n"), F.min("recording_id").alias("first_seen")).orderBy(F.desc("n"), "first_seen").limit(k)
 
 
-def exemplars(frames: DataFrame, width: int, k: int = TOP_LABELS, flex: int = 1, pads: int = 5) -> DataFrame:
-    """label, gold: the first recording of each of the k top labels, its frames flattened; k rows at most."""
+def exemplar_frames(frames: DataFrame, width: int, k: int = TOP_LABELS, flex: int = 1, pads: int = 5) -> DataFrame:
+    """Frames, one row each, of the first recording of each of the k top labels, as gold_segment() gives them: all of a long one."""
     ids = frames.groupBy("recording_id").agg(F.first("label").alias("label"))
     first = top_labels(ids, k).select(F.col("first_seen").alias("recording_id"))
-    own = frames.join(F.broadcast(first), "recording_id", "left_semi")
-    return gathered(gold_segment(own, width, flex, pads)).select("label", F.transform("frames", flat).alias("gold"))
+    return gold_segment(frames.join(F.broadcast(first), "recording_id", "left_semi"), width, flex, pads)
+
+
+def exemplars(frames: DataFrame, width: int, k: int = TOP_LABELS, flex: int = 1, pads: int = 5) -> DataFrame:
+    """label, gold: the exemplars with their frames flattened in one array each; k rows at most.
+
+    An error if they have more than MOST_FRAMES frames in all, which is counted before any frame is gathered.
+    """
+    own = exemplar_frames(frames, width, k, flex, pads)
+    if (n := own.count()) > MOST_FRAMES:
+        raise ValueError(f"exemplars of {n} frames are too long to go along with each task; cut the recordings first")
+    return gathered(own).select("label", F.transform("frames", flat).alias("gold"))
 
 
 def flat(f: Column) -> Column:

@@ -89,8 +89,8 @@ def top_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def exemplar_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gold = features.exemplars(glove(spark, sf_dir), 78)
-    return gold.select("label", F.size("gold").cast("long").alias("n"), r6(S.total(F.transform("gold", lambda f, i: f[0] * (i + 1)))).alias("weighted"))
+    rows = features.exemplar_frames(glove(spark, sf_dir), 78)
+    return rows.groupBy("label").agg(F.count("*").alias("n"), r6(F.sum(F.col("flex")[0] * (F.col("t") + 1))).alias("weighted"))
 
 
 def anchor_distances(spark: SparkSession, sf_dir: str) -> DataFrame:

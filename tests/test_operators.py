@@ -243,3 +243,11 @@ def test_nearest_by_warping(spark):
     for i, some in want.items():
         for k, (d, other) in enumerate(sorted(some)[:3]):
             assert got[i, k + 1] == (other, pytest.approx(d, abs=1e-8))
+
+
+def test_exemplars_too_long_to_ship_are_refused(spark, monkeypatch):
+    rows = spark.createDataFrame(recording(85), SCHEMA)
+    assert features.exemplars(rows, 40, pads=2).count() == 1 and features.exemplar_frames(rows, 40, pads=2).count() == 85
+    monkeypatch.setattr(features, "MOST_FRAMES", 84)
+    with pytest.raises(ValueError, match="too long"):
+        features.exemplars(rows, 40, pads=2)
