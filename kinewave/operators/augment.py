@@ -24,8 +24,10 @@ def time_warp(rows: DataFrame, width: int, channels: int, factors: tuple[float,
     """
     each = rows.withColumn("factor", F.explode(F.array(*[F.lit(float(f)) for f in factors]))).withColumnRenamed("real_len", "_n")
     n = F.col("_n")  # a name of its own, as a select would take the new real_len in lambdas
-    m = F.greatest(F.lit(2), F.least(F.lit(width), F.bround(n * F.col("factor")).cast("int")))
-    real = F.slice("seq", 1, n)
+    size = F.greatest(F.lit(2), F.least(F.lit(width), F.bround(n * F.col("factor")).cast("int")))
+    # columns of their own, as a lambda evaluates what stands in it for every frame
+    each = each.withColumn("_m", size).withColumn("_real", F.slice("seq", 1, n))
+    m, real = F.col("_m"), F.col("_real")
 
     def at(i: Column) -> Column:
         p = i * (n - 1) / (m - 1)
