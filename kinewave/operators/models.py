@@ -117,12 +117,13 @@ def bagged(rows: DataFrame, estimator, samples: int = 10, thin=undersampled, see
 
 
 def ensemble_votes(rows: DataFrame, models: list) -> DataFrame:
-    """id, class_id, prob: shares of the weighted votes."""
-    total, out = sum(w for w, _ in models), None
-    for w, m in models:
-        said = m.transform(vectors(rows)).select("id", F.col("prediction").cast("long").alias("class_id"), F.lit(w / total).alias("w"))
-        out = said if out is None else out.unionByName(said)
-    return out.groupBy("id", "class_id").agg(F.sum("w").alias("prob"))
+    """id, class_id, prob: shares of the weighted votes; all models score a row in one pass over the table."""
+    total, out = sum(w for w, _ in models), vectors(rows)
+    for k, (_, model) in enumerate(models):
+        names = {"predictionCol": f"_said{k}", "rawPredictionCol": f"_raw{k}", "probabilityCol": f"_prob{k}"}
+        out = model.copy({model.getParam(n): v for n, v in names.items() if model.hasParam(n)}).transform(out)
+    said = F.array(*[F.struct(F.col(f"_said{k}").cast("long").alias("class_id"), F.lit(w / total).alias("w")) for k, (w, _) in enumerate(models)])
+    return out.select("id", F.explode(said).alias("x")).groupBy("id", "x.class_id").agg(F.sum("x.w").alias("prob"))
 
 
 def probabilities(scored: DataFrame) -> DataFrame:
