@@ -23,11 +23,13 @@ PASS_BYTES = 1024
 #: Shingles are counted in so many slots; a slot is common from COMMON + 8 times the mean count of a task on.
 SLOTS, COMMON = 1 << 20, 16
 #: Entries (a shingle of a node) that one task compares at a time, and those of one shingle that are dealt to one block.
-PREFIX_ENTRIES, BLOCK = 1_000_000, 20_000
+PREFIX_ENTRIES, BLOCK = 2_000_000, 20_000
 #: Buckets of shingles at least.
-LEAST_BUCKETS = 16
+LEAST_BUCKETS = 1
 #: The parts by whose sizes two sets are compared before they meet: so many bits of a hash for sets below so many shingles.
 PART_BITS = ((400, 6), (6_000, 9), (1 << 62, 12))
+#: As many of them as go to the buckets of shingles with a node.
+COARSE = 4096
 #: Shingles of a node by which the first, inexact looks for similar nodes go.
 LOOKS = (4, 16)
 #: Members of a shingle beyond which pairs are made row by row.
@@ -290,19 +292,21 @@ def prefix_pairs(nodes: DataFrame, groups: DataFrame | None, least: float, few:
 
     Exact, by a prefix filter: shingles have one order, rare ones first. If a pair's first common shingle is the i-th of n,
     at most n - i are common, so the other set has at most (n - i)(1 + least) / least - n. A node has an entry for each
-    shingle that leaves room for a set of least * n, and two that share such a shingle are a pair if each fits the other.
+    shingle that leaves room for a set of least * n, and two that share such a shingle are a pair if each fits the other,
+    and if the sizes of their parts do not rule it out: where these differ by d in all, sets of n and m shingles have at
+    most (n + m - d) / 2 in common.
     Nothing is joined here. A shingle of more than BLOCK nodes is dealt to salted blocks, and each two blocks meet.
 
     With `few`, only so many of a node's shingles count, blocks meet no others, and each node is paired with the next by size
     only: a cheap first look, not an exact one, that makes few pairs of a large family of copies.
     """
     slots, counts = common_slots(nodes)
-    longest = nodes.agg(F.sum(F.octet_length("shingles") / 4)).first()[0] or 0
+    longest = nodes.agg(F.sum("n")).first()[0] or 0
     buckets = max(LEAST_BUCKETS, int(longest * (1 - least)) // PREFIX_ENTRIES + 1)
-    grouped = nodes.select("node", F.col("node").alias("group"), "shingles")
+    grouped = nodes.select("node", F.col("node").alias("group"), "shingles", "parts")
     if groups is not None:
-        grouped = nodes.select("node", "shingles").join(groups, "node", "left").select("node", F.coalesce("root", "node").alias("group"), "shingles")
-    schema = pa.schema([("bucket", pa.int64()), *((k, pa.binary()) for k in ("keys", "nodes", "groups", "sizes", "most"))])
+        grouped = nodes.select("node", "shingles", "parts").join(groups, "node", "left").select("node", F.coalesce("root", "node").alias("group"), "shingles", "parts")
+    schema = pa.schema([("bucket", pa.int64()), *((k, pa.binary()) for k in ("keys", "nodes", "groups", "sizes", "most")), ("own", pa.binary()), ("parts", pa.list_(pa.binary()))])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(SLOTS, np.uint64)
@@ -338,9 +342,11 @@ def prefix_pairs(nodes: DataFrame, groups: DataFrame | None, least: float, few:
             bucket, key, owner, most, size = (x[order] for x in (bucket, key, owner, most, size))
             cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])).tolist()
             rows: dict[str, list] = {name: [] for name in schema.names}
+            parts = [coarse(x) for x in batch.column(3).to_pylist()]
             for a, b in zip(cuts, [*cuts[1:], len(bucket)], strict=True):
+                own = np.unique(owner[a:b])
                 values = (key[a:b], node[owner[a:b]], group[owner[a:b]], size[a:b].astype(np.int32), most[a:b].astype(np.int32))
-                for column, value in zip(rows.values(), (int(bucket[a]), *(v.tobytes() for v in values)), strict=True):
+                for column, value in zip(rows.values(), (int(bucket[a]), *(v.tobytes() for v in values), node[own].tobytes(), [parts[k] for k in own]), strict=True):
                     column.append(value)
             yield pa.RecordBatch.from_pydict(rows, schema=schema)
 
@@ -348,10 +354,15 @@ def prefix_pairs(nodes: DataFrame, groups: DataFrame | None, least: float, few:
         whole = lambda name, kind: np.frombuffer(b"".join(table[name].to_pylist()), kind)
         keys, node, group, size, most = whole("keys", np.uint64), whole("nodes", np.int64), whole("groups", np.int64), whole("sizes", np.int32), whole("most", np.int32)
         a, b = pairs_of_keys(keys, node, group, size, most) if few is None else next_of_keys(keys, node, group, size)
+        order = np.argsort(node, kind="stable")
+        of = lambda x: size[order[np.searchsorted(node, x, sorter=order)]].astype(np.int64)
+        own = dict(zip(whole("own", np.int64).tolist(), (x for row in table["parts"].to_pylist() for x in row), strict=True))
+        fit = coarse_fit(own, a, b, of(a) + of(b), least)
+        a, b = a[fit], b[fit]
         return pa.table({"a": a, "b": b})
 
     small_batches(nodes.sparkSession)
-    packed = grouped.mapInArrow(emit, "bucket long, keys binary, nodes binary, groups binary, sizes binary, most binary")
+    packed = grouped.mapInArrow(emit, "bucket long, keys binary, nodes binary, groups binary, sizes binary, most binary, own binary, parts array<binary>")
     return packed.groupBy("bucket").applyInArrow(join, "a long, b long").distinct()
 
 
@@ -361,30 +372,41 @@ def sizes_of_parts(shingles: np.ndarray) -> np.ndarray:
     return np.minimum(np.bincount(shingles >> np.uint32(32 - bits), minlength=1 << bits), 65_535).astype("<u2")
 
 
-def may_be_similar(x: bytes, y: bytes, total: int, least: float) -> bool:
-    """Whether sets of these sizes of parts, of `total` shingles in all, may have a similarity of `least`."""
-    p, q = np.frombuffer(x, "<u2").astype(np.int64), np.frombuffer(y, "<u2").astype(np.int64)
-    if max(p.max(), q.max()) >= 65_535:
-        return True
-    k = min(len(p), len(q))
-    apart = int(np.abs(p.reshape(k, -1).sum(axis=1) - q.reshape(k, -1).sum(axis=1)).sum())
-    return total - apart >= 2 * least / (1 + least) * total - 1e-6
+def coarse(parts: bytes) -> bytes:
+    """sizes_of_parts() in a byte each, 255 standing for more, and in COARSE parts at most."""
+    p = np.frombuffer(parts, "<u2").astype(np.int64)
+    return np.minimum(p.reshape(min(len(p), COARSE), -1).sum(axis=1), 255).astype(np.uint8).tobytes()
+
+
+def coarse_fit(own: dict[int, bytes], a: np.ndarray, b: np.ndarray, total: np.ndarray, least: float) -> np.ndarray:
+    """Which pairs of nodes (of `total` shingles together) may have a similarity of `least`, by coarse() of each node."""
+    nodes = np.array(sorted(own), np.int64)
+    every = [np.frombuffer(own[n], np.uint8) for n in nodes.tolist()]
+    full, widths = np.array([x.max() == 255 for x in every], bool), np.array([len(x) for x in every], np.int64)
+    levels = []
+    for width in np.unique(widths).tolist():
+        place = np.full(len(every), -1)
+        place[widths >= width] = np.arange(int((widths >= width).sum()))
+        levels.append((place, np.array([x.reshape(width, -1).sum(axis=1, dtype=np.int16) for x in every if len(x) >= width], np.int16)))
+    out = np.ones(len(a), bool)
+    for s in range(0, len(a), 2048):
+        i, j = np.searchsorted(nodes, a[s : s + 2048]), np.searchsorted(nodes, b[s : s + 2048])
+        apart = np.zeros(len(i), np.int64)
+        for place, sizes in levels:
+            both = np.flatnonzero((place[i] >= 0) & (place[j] >= 0))
+            if len(both):
+                apart[both] = np.abs(sizes[place[i[both]]] - sizes[place[j[both]]]).sum(axis=1, dtype=np.int64)
+        t = total[s : s + 2048]
+        out[s : s + 2048] = (t - apart >= 2 * least / (1 + least) * t - 1e-6) | full[i] | full[j]
+    return out
 
 
 def similar_enough(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    """The links a, b whose sets of shingles (columns parts, shingles of nodes) have a similarity of `least` or more.
+    """The links a, b whose sets of shingles (column shingles of nodes) have a similarity of `least` or more.
 
-    First the sizes of the sets' parts are compared: where they differ by d in all, sets of n and m shingles have at most
-    (n + m - d) / 2 in common. So the sets themselves go along only with pairs that may be similar.
+    pairs is a table of written(), distinct, which is removed here; what is returned is one as well.
     """
 
-    def fits():
-        def each(cols: dict) -> dict:
-            ok = [may_be_similar(x, y, n + m, least) for x, y, n, m in zip(*(cols[k] for k in "xynm"), strict=True)]
-            return {"a": cols["a"], "b": cols["b"], "ok": ok}
-
-        return each
-
     def same():
         def each(cols: dict) -> dict:
             ok = []
@@ -398,12 +420,9 @@ def similar_enough(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFram
         return each
 
     small_batches(pairs.sparkSession)
-    n = F.octet_length("shingles") / 4
-    part = lambda side, *names: nodes.select(F.col("node").alias(side), F.col("parts").alias(names[0]), n.cast("long").alias(names[1]))
-    whole = lambda side, name: nodes.select(F.col("node").alias(side), F.col("shingles").alias(name))
-    some = map_rows(pairs.join(part("a", "x", "n"), "a").join(part("b", "y", "m"), "b"), fits, "a long, b long, ok boolean").where("ok").select("a", "b")
-    full = some.join(whole("a", "x"), "a").join(whole("b", "y"), "b").select("a", "b", "x", "y")
-    return map_rows(full, same, "a long, b long, ok boolean").where("ok").select("a", "b")
+    of = lambda side, name: nodes.select(F.col("node").alias(side), F.col("shingles").alias(name))
+    full = pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", "x", "y")
+    return written(map_rows(full, same, "a long, b long, ok boolean").where("ok").select("a", "b"), "similar", pairs)
 
 
 def near_links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -506,13 +525,13 @@ def similar_rows(docs: DataFrame, shingle: int = 5, least: float = 0.8, key: str
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keys, text_of().alias("text"))
     sketches = written(map_rows(texts, make, f"doc_id long, {''.join(f'{k} long, ' for k in keys)}node long, fp long, parts binary, shingles binary"), "sketches")
     rows = written(sketches.select("doc_id", *keys, "node"), "rows")
-    nodes = written(sketches.select("node", "fp", "parts", "shingles").dropDuplicates(["node"]), "nodes", sketches)
-    found = written(similar_enough(near_links(nodes), nodes, least), "verified")
+    nodes = written(sketches.select("node", "fp", "parts", (F.octet_length("shingles") / 4).cast("long").alias("n"), "shingles").dropDuplicates(["node"]), "nodes", sketches)
+    found = similar_enough(near_links(nodes), nodes, least)
     for few in (*LOOKS, None):
         roots = components(found)
-        pairs = written(prefix_pairs(nodes, roots, least, few), "candidates")
+        more = similar_enough(written(prefix_pairs(nodes, roots, least, few), "candidates"), nodes, least)
         known = roots.select(F.col("root").alias("a"), F.col("node").alias("b"))
-        found = written(similar_enough(pairs, nodes, least).unionByName(known), "verified", pairs, roots, found)
+        found = written(more.unionByName(known), "verified", more, roots, found)
     roots = components(found)
     out = written(rows.join(roots, "node", "left").select("doc_id", *keys, F.coalesce("root", "node").alias("root")), "rooted", rows, nodes, roots, found)
     return out

@@ -138,7 +138,8 @@ def test_sizes_of_parts_never_rule_out_similar_sets():
             if not len(y):
                 continue
             both = len(np.intersect1d(x, y))
-            may = simhash.may_be_similar(simhash.sizes_of_parts(x).tobytes(), simhash.sizes_of_parts(y).tobytes(), len(x) + len(y), 0.8)
+            own = {k: simhash.coarse(simhash.sizes_of_parts(v).tobytes()) for k, v in ((3, x), (8, y))}
+            may = bool(simhash.coarse_fit(own, np.array([3]), np.array([8]), np.array([len(x) + len(y)]), 0.8)[0])
             assert may or both < 0.8 * (len(x) + len(y) - both)
             ruled_out += not may
     assert ruled_out >= 4
