@@ -85,6 +85,28 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+#: Classes that hold this part of all rows, or more, count as hot: as many of them as this says can exist, so they are broadcast.
+HOT = 1000
+
+
+def joined_back(rows: DataFrame, classes: DataFrame, key: str) -> DataFrame:
+    """rows with what `classes` (key, copies, ...: one row a key, copies the rows that have it) says of their key.
+
+    Classes with a thousandth of all rows or more come by broadcast: there are a thousand at most. Their rows pass the
+    shuffled join under salts that match nothing, so no task gets more than a thousandth of all rows for one key. Rows
+    are read once; those whose key is null or unknown get nulls.
+    """
+    total = classes.agg(F.sum("copies")).first()[0] or 0
+    told = [c for c in classes.columns if c not in (key, "copies")]
+    classes = classes.withColumn("_told", F.struct(*told))
+    hot, rest = (classes.where(f"copies * {HOT} {sign} {total}") for sign in (">=", "<"))
+    out = rows.join(F.broadcast(hot.select(key, F.col("_told").alias("_hot"))), key, "left")
+    spread = F.col("_hot").isNull() & F.col(key).isNotNull()
+    out = out.withColumn("_salt", F.when(spread, 0).otherwise(1 + F.monotonically_increasing_id() % 100_000))
+    out = out.join(rest.select(key, "_told", F.lit(0).cast("long").alias("_salt")), [key, "_salt"], "left")
+    return out.select(*rows.columns, F.coalesce("_hot", "_told").alias("_told")).select(*rows.columns, *[F.col(f"_told.{c}") for c in told])
+
+
 def text_of(column: str = "text") -> Column:
     """A null text counts as the empty text."""
     return F.coalesce(F.col(column), F.lit(""))

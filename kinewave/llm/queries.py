@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, byte_bpe, packing, secrets, simhash, substring_dedup, token_counts, topk, toxicity, url_filter
+from . import ann, byte_bpe, centroids, oracle, packing, resampling, secrets, simhash, substring_dedup, token_counts, topk, toxicity, url_filter, warc
 
 BPE_RANKS, BPE_FILE = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
 PIECES = "piece_bpe_32k.model"
@@ -67,10 +67,25 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors of 64 components in 40 clusters, after five rounds."""
+    return centroids.clusters(table(spark, sf_dir, "embeddings"))
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as records of normalised archives, read back by their index."""
+    return warc.archived(table(spark, sf_dir, "pages"))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents weighted towards the benchmark texts, and a tenth of those of 20 words or more drawn."""
+    return resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_toxicity, op2_token_counts, op3_substring_dedup, op4_packing, op5_url_filter, op6_byte_bpe, op7_ann, op8_secrets, op9_topk, op10_simhash)
+    every = (op1_toxicity, op2_token_counts, op3_substring_dedup, op4_packing, op5_url_filter, op6_byte_bpe, op7_ann, op8_secrets, op9_topk, op10_simhash, op11_centroids, op12_warc, op13_resampling)
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracle.SQL)
