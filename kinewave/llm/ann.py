@@ -11,9 +11,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches, written
-from .vectors import best_of, distinct, flat_ids, paired, query_blocks, sharded, valid
+from .vectors import best_of, distinct, flat_ids, paired, query_blocks, valid
 
-DEGREE, EF_BUILD, EF_SEARCH, SHARD_SIZE, MAX_LEVEL = 16, 64, 128, 16_384, 5
+DEGREE, EF_BUILD, EF_SEARCH, SHARD_SIZE, MAX_LEVEL = 16, 64, 256, 16_384, 5
+#: Vectors of a shard have largest components within this power of two of each other.
+BAND = 8
 RESULT = "query_id long, vec_id long, score double"
 
 
@@ -118,11 +120,28 @@ class Graph:
 def lifted(v: np.ndarray) -> np.ndarray:
     """One component more, so that all have one length: the nearest by inner product are then the nearest by distance.
 
-    The largest component is scaled to 1 first, so that no finite vector overflows in single precision.
+    The largest component is scaled to 1 first, so that no finite vector overflows. Lengths of a shard are within one band,
+    so in double precision the added component does not swamp the others.
     """
     v = v / (np.abs(v).max(initial=0.0) or 1.0)
     squares = (v * v).sum(axis=1)
-    return np.concatenate([v, np.sqrt(np.maximum(squares.max(initial=0.0) - squares, 0))[:, None]], axis=1).astype(np.float32)
+    return np.concatenate([v, np.sqrt(np.maximum(squares.max(initial=0.0) - squares, 0))[:, None]], axis=1)
+
+
+def banded(classes: DataFrame, size: int) -> DataFrame:
+    """classes with a shard: shards of about `size` vectors, each of vectors whose largest components are within 2**BAND of
+    each other. Counts of bands come to the driver: double precision has 2,100 powers of two, so some 260 bands at most."""
+    rows = classes.withColumn("band", F.floor(F.log2(F.array_max(F.transform("v", F.abs))) / BAND).cast("int"))
+    first, count, parts = [], 0, {}
+    for r in rows.groupBy("band").count().orderBy("band").collect():
+        parts[r.band] = r["count"] // size + 1
+        first.append((r.band, count))
+        count += parts[r.band]
+    if not first:
+        return rows.withColumn("shard", F.lit(0)).drop("band")
+    of = F.create_map(*[F.lit(x) for band, at in first for x in (band, f"{at}:{parts[band]}")])[F.col("band")]
+    place = F.split(of, ":").cast("array<int>")
+    return rows.withColumn("shard", (place[0] + F.pmod(F.xxhash64(F.lit(5), "v"), place[1])).cast("int")).drop("band")
 
 
 INDEX = "dim int, shard int, n int, vectors binary, ids binary, cuts binary, links binary, widths array<int>, entry int"
@@ -142,7 +161,7 @@ def build_index(vectors: DataFrame, keep: int, size: int = SHARD_SIZE) -> DataFr
         }
         return pa.table(row)
 
-    shards = sharded(written(distinct(vectors, keep), "vectors"), size)
+    shards = banded(written(distinct(vectors, keep), "vectors"), size)
     return shards.groupBy("dim", "shard").applyInArrow(build, INDEX)
 
 
@@ -154,7 +173,7 @@ def neighbours(vectors: DataFrame, every: int = 20, k: int = 20, size: int = SHA
     vectors and those with null or non-finite components take no part; vectors meet those of their length only; a row
     of a repeated vec_id counts as itself. Queries go to shards in packed blocks; every block meets every shard, so the
     search grows with queries times shards, and shards are as large as a task can build. Vectors of any finite size are
-    searched (in single precision, the shard's largest component being 1); a score beyond double precision is infinite.
+    searched, in shards by bands of size; a score beyond double precision is infinite.
     """
     spark = vectors.sparkSession
     rows = valid(vectors, allow_zero=False)
@@ -175,7 +194,7 @@ def neighbours(vectors: DataFrame, every: int = 20, k: int = 20, size: int = SHA
                 qids, qs = np.frombuffer(row["qids"], np.int64), np.frombuffer(row["qs"], np.float64).reshape(-1, dim)
                 out: tuple[list, list, list] = ([], [], [])
                 for q, query in zip(qids.tolist(), qs, strict=True):
-                    found = graph.search(np.append(query / np.abs(query).max(), 0).astype(np.float32), k + 1, ef)
+                    found = graph.search(np.append(query / np.abs(query).max(), 0), k + 1, ef)
                     scores = (v[found] * query).sum(axis=1)
                     some = [(s, i) for s, f in zip(scores.tolist(), found, strict=True) for i in ids[cuts[f] : cuts[f + 1]].tolist() if i != q]
                     for s, i in sorted(some, key=lambda x: (-x[0], x[1]))[:k]:
