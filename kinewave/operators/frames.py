@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .numbering import MOST, numbered_within
+
 #: Channel names of a recording, and the rest frame's values.
 FLEX = tuple(f"flex{i}" for i in range(8, 16))
 PADS = tuple(f"PAD_CH{i}" for i in range(7))
@@ -38,15 +40,18 @@ def from_recordings(recordings: DataFrame, by_name: bool = True) -> DataFrame:
     return rows.select("recording_id", "label", "t", flex.alias("flex"), z.alias("z"), r.alias("r"))
 
 
-def from_events(events: DataFrame) -> DataFrame:
-    """Frames of an event table: a user is a recording, its value the flex channel, the event type the pad that is touched."""
+def from_events(events: DataFrame, most: int = MOST) -> DataFrame:
+    """Frames of an event table: a user is a recording, its value the flex channel, the event type the pad that is touched.
+
+    Events of a user are numbered by event_id; users of more than `most` events by ranges, see numbering.numbered_within().
+    """
     k = F.get_json_object("props", "$.k").cast("int")
-    t = (F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1).cast("int")
+    events = numbered_within(events.select("user_id", "event_id", "event_type", "value", "props"), ["user_id"], [F.col("event_id")], "t", most)
     touched = lambda value, default: F.array(*[F.when(F.col("event_type") == p, value).otherwise(F.lit(default)) for p in EVENT_PADS])
     return events.select(
         F.col("user_id").alias("recording_id"),
         (F.col("user_id") % 7).cast("int").alias("label"),
-        t.alias("t"),
+        F.col("t").cast("int").alias("t"),
         F.array(F.least(F.col("value") / 100, F.lit(1.0))).alias("flex"),
         touched(k % 6 - 1, REST_Z).alias("z"),
         touched(k * 20, REST_R).alias("r"),

@@ -33,13 +33,14 @@ def numbered(rows: DataFrame, order: list[Column], column: str, parts: int | Non
     return placed.join(F.broadcast(offsets), "_part").withColumn(column, F.col("_before") + F.col("_pos")).drop("_part", "_pos", "_before")
 
 
-def numbered_within(rows: DataFrame, keys: list[str], order: list[Column], column: str, most: int = MOST, parts: int | None = None) -> DataFrame:
-    """rows with their number among those of equal keys in `order` from 0 (long).
+def numbered_within(rows: DataFrame, keys: list[str], order: list[Column], column: str, most: int = MOST, parts: int | None = None, largest: int | None = None) -> DataFrame:
+    """rows with their number among those of equal keys in `order` from 0 (long). largest: rows of the largest key, if known.
 
     Where no key has more than `most` rows, a window by key sorts them. Else rows go by ranges of (keys, order): only the
     first run of a partition can continue a key, so what earlier partitions hold of it is a row per partition.
     """
-    largest = rows.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    if largest is None:
+        largest = rows.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
     if largest <= most:
         return rows.withColumn(column, (F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1).cast("long"))
     placed = ranged(rows, [*map(F.col, keys), *order], parts)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .frames import rest
+from .numbering import segmented
 
 KEYS = ("recording_id", "label", "start")
 
@@ -57,8 +58,9 @@ def sliding(frames: DataFrame, width: int, overlap: float = 0.75, flex: int = 1,
     window, the moves from and to rest frames counted with the recording's own frame. An empty table gives no rows.
     """
     stride = stride_of(width, overlap)
-    before = F.lag("flex").over(Window.partitionBy("recording_id").orderBy("t"))
-    rows = with_length(frames.withColumn("step", F.coalesce(move(F.col("flex"), before), F.array_repeat(F.lit(0.0), flex))))
+    before = F.lag("flex").over(Window.partitionBy("recording_id", "_seg").orderBy("t"))
+    moved = segmented(frames, "t", before=1).withColumn("step", F.coalesce(move(F.col("flex"), before), F.array_repeat(F.lit(0.0), flex)))
+    rows = with_length(moved.where("_own").drop("_seg", "_own"))
     last = F.col("n") - width
     tail = F.when(F.col("t") >= last, F.array(last)).otherwise(F.array().cast("array<int>"))
     starts = F.when(F.col("n") > width, F.array_union(covering(F.col("t"), last, width, stride), tail)).otherwise(placements(F.col("n"), width))
@@ -109,8 +111,9 @@ def pad_or_truncate(frames: DataFrame, width: int, channels: int) -> DataFrame:
 
 def smoothed(frames: DataFrame, channels: int = 1) -> DataFrame:
     """Flex as the mean of a frame and its two neighbours, as far as there are any."""
-    near = Window.partitionBy("recording_id").orderBy("t").rowsBetween(-1, 1)
-    return frames.withColumn("flex", F.array(*[F.avg(F.col("flex")[c]).over(near) for c in range(channels)]))
+    near = Window.partitionBy("recording_id", "_seg").orderBy("t").rowsBetween(-1, 1)
+    means = F.array(*[F.avg(F.col("flex")[c]).over(near) for c in range(channels)])
+    return segmented(frames, "t", before=1, after=1).withColumn("flex", means).where("_own").drop("_seg", "_own")
 
 
 def gathered(windows: DataFrame) -> DataFrame:

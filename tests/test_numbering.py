@@ -51,3 +51,15 @@ def test_windows_over_segments_equal_windows_over_keys(rows):
     want = sorted(map(tuple, placed.withColumns(make(whole)).select("id", "sum", "lag", "lead").collect()))
     got = segmented(placed, "t", before=2, after=1, length=16).withColumns(make(part)).where("_own").select("id", "sum", "lag", "lead").collect()
     assert sorted(map(tuple, got)) == want
+
+
+def test_frames_of_one_recording_of_all_events(spark, sf):
+    """One user has all events: frames and windows do not change when numbering goes by ranges and windows by segments."""
+    from kinewave.operators import frames, windows
+
+    events = spark.read.parquet(f"{sf}/events.parquet").withColumn("user_id", F.lit(3).cast("long"))
+    plain = sorted(map(str, frames.from_events(events).collect()))
+    hot = frames.from_events(events, most=0)
+    assert sorted(map(str, hot.collect())) == plain and len(plain) == events.count()
+    moves = [windows.sliding(f, 40).agg(F.round(F.sum(F.col("step")[0]), 6)).first() for f in (hot, frames.from_events(events))]
+    assert moves[0] == moves[1]
