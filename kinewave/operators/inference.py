@@ -2,48 +2,90 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinewave.functions import scalars as S
+
 from . import debounce, features, neighbours, prep, windows
 
 #: Features of a window that the classifier sees, by flex channel.
 STATS = ("mean", "var", "energy", "max", "min", "slope")
 
 
-def window_vectors(frames: DataFrame, width: int, flex: int = 1, pads: int = 5) -> DataFrame:
-    """id, recording_id, label, window_id, v: the vector of each window, numbered by start in its recording.
+#: How recordings are cut: windows at every stride and the tail, short recordings placed; full windows only; or windows at
+#: every stride to the end, right-aligned with zeros before them, of normalised channels.
+CUTS = ("sliding", "full", "aligned")
+
+
+def normalised(frames: DataFrame) -> DataFrame:
+    """recording_id, label, t, flat: all channels within 0 to 1, grouped (flex, z, r)."""
+    unit = F.concat("flex", F.transform("z", S.unit_z), F.transform("r", S.unit_r))
+    return frames.select("recording_id", "label", "t", F.transform(unit, lambda x: S.clip(x)).alias("flat"))
+
 
-    id is a number of its own for each window: recording and start in one (starts are below 2**20).
+def window_vectors(frames: DataFrame, width: int, flex: int = 1, pads: int = 5, cut: str = "sliding", smooth: bool = False) -> DataFrame:
+    """id, recording_id, label, window_id, v: the vector of each window, numbered by start in its recording; see CUTS.
+
+    v is a window's features, or for aligned windows all their frames in a row. smooth: flex is the mean of a frame and its
+    neighbours first. id is a number of its own for each window: recording and start in one (starts are below 2**20).
     """
-    table = features.feature_table(windows.sliding(frames, width, flex=flex, pads=pads), flex, pads)
-    names = [f"flex{c}_{k}" for c in range(flex) for k in STATS] + [f"pad{p}_{k}" for p in range(pads) for k in ("max_z", "corr_r")]
+    frames = windows.smoothed(frames, flex) if smooth else frames
+    if cut == "aligned":
+        rows = windows.right_aligned(normalised(frames), width, windows.stride_of(width), flex + 2 * pads).groupBy(*windows.KEYS)
+        table = rows.agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("t", "flat"))), lambda f: f.flat)).alias("v"))
+        values = F.col("v")
+    else:
+        rows = windows.sliding(frames, width, flex=flex, pads=pads) if cut == "sliding" else windows.full_windows(frames, width, windows.stride_of(width))
+        table = features.feature_table(rows, flex, pads)
+        values = F.array(*[F.col(n).cast("double") for n in [f"flex{c}_{k}" for c in range(flex) for k in STATS] + [f"pad{p}_{k}" for p in range(pads) for k in ("max_z", "corr_r")]])
     number = F.row_number().over(Window.partitionBy("recording_id").orderBy("start")) - 1
     own = F.shiftleft(F.col("recording_id").cast("long"), 20) + F.col("start")
-    return table.select(own.alias("id"), "recording_id", "label", number.alias("window_id"), F.array(*[F.col(n).cast("double") for n in names]).alias("v"))
+    return table.select(own.alias("id"), "recording_id", "label", number.alias("window_id"), values.alias("v"))
 
 
 @dataclass
 class Fitted:
-    """What recognition needs of training: class codes, the scaler, and means and variances of each class."""
+    """What recognition needs of training: class codes, the scaler, and a classifier: means and variances of each class
+    (bayes), or a function from scaled vectors (id, v) to id, class_id, prob."""
 
     codes: DataFrame
     scaler: DataFrame
-    bayes: DataFrame
+    bayes: DataFrame | None = None
+    classify: Callable[[DataFrame], DataFrame] | None = None
 
 
-def fit(vectors: DataFrame) -> Fitted:
-    """Codes, scaler and classifier of window vectors; a row for each class and component."""
+def fit(vectors: DataFrame, classifier: Callable[[DataFrame], Callable[[DataFrame], DataFrame]] | None = None) -> Fitted:
+    """Codes, scaler and classifier of window vectors. classifier: from scaled training rows (id, class_id, v) to what
+    Fitted.classify is, naive Bayes by default; e.g. by_neighbours()."""
     scaler = prep.scaler(vectors, "v")
-    coded = prep.encoded(vectors).where("class_id is not null")
-    return Fitted(prep.label_codes(vectors), scaler, neighbours.bayes_fit(prep.scaled(coded, scaler, "v")))
+    coded = prep.scaled(prep.encoded(vectors).where("class_id is not null"), scaler, "v")
+    codes = prep.label_codes(vectors)
+    return Fitted(codes, scaler, classify=classifier(coded)) if classifier else Fitted(codes, scaler, neighbours.bayes_fit(coded))
+
+
+def by_neighbours(k: int = 5, widths: list[int] | None = None, weighted: bool = True) -> Callable[[DataFrame], Callable[[DataFrame], DataFrame]]:
+    """A classifier for fit(): shares of the votes of the k nearest training windows, by warping of parts of these widths
+    (and the distance of the rest), or without widths by Euclidean distance."""
+
+    def fitted(train: DataFrame) -> Callable[[DataFrame], DataFrame]:
+        near = (lambda rows: neighbours.nearest_warped(rows, train, k, widths)) if widths else (lambda rows: neighbours.nearest(rows, train, k))
+        return lambda rows: neighbours.votes(near(rows.withColumn("class_id", F.lit(-1).cast("long"))), weighted)
+
+    return fitted
 
 
 def class_probabilities(vectors: DataFrame, fitted: Fitted) -> DataFrame:
-    """id, probs: an array of class probabilities in order of class_id."""
-    each = neighbours.softmax(neighbours.bayes_scores(prep.scaled(vectors, fitted.scaler, "v"), fitted.bayes))
+    """id, probs: an array of class probabilities in order of class_id; classes that a classifier does not name have 0."""
+    rows = prep.scaled(vectors, fitted.scaler, "v")
+    if fitted.classify:
+        each, n = fitted.classify(rows.select("id", "v")), fitted.codes.count()
+        named = each.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("class_id").cast("int"), "prob"))).alias("p"))
+        return named.select("id", F.transform(F.sequence(F.lit(0), F.lit(max(n, 1) - 1)), lambda c: F.coalesce(F.element_at("p", c), F.lit(0.0))).alias("probs"))
+    each = neighbours.softmax(neighbours.bayes_scores(rows, fitted.bayes))
     return each.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("class_id", "prob"))), lambda x: x.prob).alias("probs"))
 
 
@@ -58,9 +100,18 @@ def decoded(rows: DataFrame, codes: DataFrame, column: str = "class_id") -> Data
     return rows.join(codes.select(F.col("class_id").alias(column), "label"), column, "left")
 
 
-def recognised(frames: DataFrame, fitted: Fitted, width: int, flex: int = 1, pads: int = 5, **settings) -> DataFrame:
-    """session, window_id, label, confidence: what each recording emits, window by window, after debouncing."""
-    vectors = window_vectors(frames, width, flex, pads)
+def recognised(frames: DataFrame, fitted: Fitted, width: int, flex: int = 1, pads: int = 5, cut: str = "sliding", smooth: bool = False, **settings) -> DataFrame:
+    """session, window_id, label, confidence: what each recording emits, window by window, after debouncing.
+
+    See window_vectors() for cut and smooth, which have to be those of training, and debounce.debounced() for the settings;
+    streaming.recognise gives the same from a stream of frames.
+    """
+    vectors = window_vectors(frames, width, flex, pads, cut, smooth)
+    return emitted(vectors, fitted, **settings)
+
+
+def emitted(vectors: DataFrame, fitted: Fitted, **settings) -> DataFrame:
+    """session, window_id, label, confidence of window vectors (id, recording_id, window_id, v)."""
     rows = vectors.join(class_probabilities(vectors, fitted), "id").select(F.col("recording_id").alias("session"), "window_id", "probs")
     return decoded(debounce.debounced(rows, **settings), fitted.codes).select("session", "window_id", "label", "confidence")
 
