@@ -28,9 +28,13 @@ def bin_of(x: str) -> str:
     return f"CASE WHEN {x} = 0 THEN 0 WHEN {x} < 900 THEN 1 ELSE 2 END"
 
 
-def windows(width: str) -> str:
+SMOOTHED = FRAMES.replace("fr AS", "plain AS", 1).replace("FROM fr GROUP", "FROM plain GROUP") + """,
+fr AS (SELECT recording_id, label, t, avg(x) OVER (PARTITION BY recording_id ORDER BY t ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS x, pad, z, r FROM plain)"""
+
+
+def windows(width: str, frames: str = FRAMES) -> str:
     """wf: frames of sliding windows; width is a number or a query."""
-    return f"""WITH {FRAMES}, par AS (SELECT w, greatest(1, CAST(floor(w * 0.25) AS BIGINT)) AS s FROM (SELECT ({width}) AS w)),
+    return f"""WITH {frames}, par AS (SELECT w, greatest(1, CAST(floor(w * 0.25) AS BIGINT)) AS s FROM (SELECT ({width}) AS w)),
 st AS (SELECT recording_id, label, n, w, unnest(CASE WHEN n > w THEN list_distinct(list_append(range(0, n - w + 1, s), n - w)) ELSE list_distinct([0, (w - n) // 2, w - n]) END) AS start FROM n, par),
 wf AS (SELECT st.recording_id, st.label, CAST(st.start AS INTEGER) AS start, g.t, coalesce(fr.x, 0) AS x, fr.pad, fr.z, fr.r
   FROM st JOIN LATERAL (SELECT unnest(range(0, st.w)) AS t) g ON true
@@ -88,17 +92,18 @@ RECOGNISED = 7
 STATS6 = ("mean", "var", "energy", "hi", "lo", "slope")
 
 
-def emitted(k: int, size: int, threshold: str, cooldown: int) -> str:
-    """f: the fold of class probabilities p (session, t, p0 ..), strict, gated windows counting as zeros in the mean."""
-    top, fails = f"greatest({', '.join(f'm{i}' for i in range(k))})", f"(NOT (q.top > {threshold}) OR (f.wait > 0 AND q.best = f.last))"
+def emitted(k: int, size: int, threshold: str, cooldown: int, strict: bool = True) -> str:
+    """f: the fold of class probabilities p (session, t, p0 ..), gated windows counting as zeros in the mean; not strict: as in debounce()."""
+    top, gate = f"greatest({', '.join(f'm{i}' for i in range(k))})", "false" if strict else "q.gated"
+    fails = f"(NOT (q.top {'>' if strict else '>='} {threshold}) OR (f.wait > 0 AND q.best = f.last))"
     best = "CASE " + " ".join(f"WHEN m{i} = {top} THEN {i}" for i in range(k)) + " END"
     return f"""g AS (SELECT *, greatest({', '.join(f'p{i}' for i in range(k))}) < {threshold} AS gated FROM p),
-m AS (SELECT session, t, {", ".join(f"sum(CASE WHEN gated THEN CAST(0 AS DOUBLE) ELSE p{i} END) OVER w / {size} AS m{i}" for i in range(k))}
+m AS (SELECT session, t, gated, {", ".join(f"sum(CASE WHEN gated THEN CAST(0 AS DOUBLE) ELSE p{i} END) OVER w / {size} AS m{i}" for i in range(k))}
   FROM g WINDOW w AS (PARTITION BY session ORDER BY t ROWS {size - 1} PRECEDING)),
-q AS (SELECT session, t, {top} AS top, {best} AS best FROM m),
+q AS (SELECT session, t, gated, {top} AS top, {best} AS best FROM m),
 f AS (SELECT session, CAST(-1 AS BIGINT) AS t, 0 AS wait, -1 AS last, false AS emitted, CAST(0 AS DOUBLE) AS confidence FROM (SELECT DISTINCT session FROM q)
-  UNION ALL SELECT f.session, q.t, CASE WHEN q.t < {size - 1} THEN f.wait WHEN {fails} THEN greatest(0, f.wait - 1) ELSE {cooldown} END,
-    CASE WHEN q.t < {size - 1} OR {fails} THEN f.last ELSE q.best END, NOT (q.t < {size - 1} OR {fails}), q.top
+  UNION ALL SELECT f.session, q.t, CASE WHEN {gate} THEN greatest(0, f.wait - 1) WHEN q.t < {size - 1} THEN f.wait WHEN {fails} THEN greatest(0, f.wait - 1) ELSE {cooldown} END,
+    CASE WHEN {gate} OR q.t < {size - 1} OR {fails} THEN f.last ELSE q.best END, NOT ({gate} OR q.t < {size - 1} OR {fails}), q.top
   FROM f JOIN q ON q.session = f.session AND q.t = f.t + 1)"""
 
 
@@ -111,6 +116,31 @@ sc AS (SELECT tt.id, mv.class_id, any_value(ln(prior)) + sum(-0.5 * ln(2 * pi()
 ex AS (SELECT id, class_id, exp(score - max(score) OVER (PARTITION BY id)) AS e FROM sc), shares AS (SELECT id, class_id, e / sum(e) OVER (PARTITION BY id) AS prob FROM ex)"""
 
 
+FEATURES = f""", a AS (SELECT {KEYS}, avg(x) AS mean, var_pop(x) AS var, sum(abs(d)) AS energy, max(x) AS hi, min(x) AS lo, coalesce(regr_slope(x, t), 0) AS slope, {STRONGEST} FROM wd GROUP BY ALL),
+raw AS (SELECT recording_id, label AS class_id, start, [{", ".join(STATS6)}, {", ".join(f"z{i} + 1, {bin_of(f'r{i}')}" for i in range(5))}]::DOUBLE[] AS v FROM a WHERE chosen)"""
+ALIGNED = f"""WITH {SMOOTHED}, st AS (SELECT recording_id, label, n, unnest(range(0, n, 10)) AS start FROM n),
+wf AS (SELECT st.recording_id, st.label, CAST(start AS INTEGER) AS start, t - start + 40 - least(40, n - start) AS t, x, pad, z, r
+  FROM st JOIN fr ON fr.recording_id = st.recording_id AND t >= start AND t < start + 40)"""
+CHANNELS = ["x", *(f"(({z(p)}) + 1) / CAST(5 AS DOUBLE)" for p in PADS), *(f"CASE WHEN ({r(p)}) >= 900 THEN 1 WHEN ({r(p)}) > 0 THEN 0.5 ELSE 0 END" for p in PADS)]
+ALIGNED_RAW = f""", lw AS (SELECT {KEYS}, unnest([{", ".join(f"{{'pos': t * 11 + {i}, 'x': greatest(0, least(1, CAST({c} AS DOUBLE)))}}" for i, c in enumerate(CHANNELS))}]) AS e FROM wf),
+own AS (SELECT {KEYS}, map_from_entries(list({{'k': e.pos, 'v': e.x}})) AS m FROM lw GROUP BY ALL),
+raw AS (SELECT recording_id, label AS class_id, start, list_transform(range(0, 440), lambda i: coalesce(m[i], CAST(0 AS DOUBLE))) AS v FROM own)"""
+
+
+def recognised(cut: str, chosen: str = "true", settings: tuple = (2, "0.16", 2, True), raw: str = FEATURES) -> str:
+    """Scaler and naive Bayes of the windows of four recordings in five, emissions of the others."""
+    size, threshold, cooldown, strict = settings
+    return f"""{cut.replace("WITH ", "WITH RECURSIVE ", 1)}{raw.replace("chosen", chosen)},
+rl AS (SELECT recording_id, class_id, start, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM raw),
+scl AS (SELECT pos, avg(x) AS mu, CASE WHEN stddev_pop(x) > 0 THEN stddev_pop(x) ELSE 1 END AS sd FROM rl WHERE recording_id % 5 <> 0 GROUP BY 1),
+v AS (SELECT recording_id * 1048576 + start AS id, recording_id, class_id, start, list((x - mu) / sd ORDER BY pos) AS v FROM rl JOIN scl USING (pos) GROUP BY ALL),
+test AS (SELECT * FROM v WHERE recording_id % 5 = 0), train AS (SELECT * FROM v WHERE recording_id % 5 <> 0){PROBABILITIES},
+num AS (SELECT id, recording_id AS session, row_number() OVER (PARTITION BY recording_id ORDER BY start) - 1 AS t FROM test),
+p AS (SELECT session, t, {", ".join(f"max(CASE WHEN class_id = {i} THEN prob END) AS p{i}" for i in range(RECOGNISED))} FROM num JOIN shares USING (id) GROUP BY 1, 2),
+{emitted(RECOGNISED, size, threshold, cooldown, strict)}
+SELECT session, CAST(t AS INTEGER) AS window_id, last AS label, {r6("confidence")} AS confidence FROM f WHERE emitted"""
+
+
 SQL = {
     "window_features": f"""{windows("40")}, a AS (SELECT {KEYS}, {STATS}, max(x) AS hi, min(x) AS lo, regr_slope(x, t) AS slope, {STRONGEST}, {FIRST} FROM wd GROUP BY ALL)
 SELECT {KEYS}, flex0_mean, flex0_var, flex0_energy, {r6("hi")} AS flex0_max, {r6("lo")} AS flex0_min, {r6("coalesce(slope, 0)")} AS flex0_slope,
@@ -182,14 +212,7 @@ SELECT class_id, count(*) AS n, count(DISTINCT session) AS sessions, {r6("avg(co
 k AS (SELECT *, CASE WHEN (SELECT min(n) FROM d) >= 3 THEN label ELSE '' END AS part_of FROM d),
 o AS (SELECT recording_id, label, row_number() OVER (PARTITION BY part_of ORDER BY md5('42:' || CAST(recording_id AS VARCHAR)), recording_id) AS place, floor(count(*) OVER (PARTITION BY part_of) * 0.3::DOUBLE + 0.5) AS gone FROM k)
 SELECT recording_id, label, CASE WHEN place > gone THEN 'train' WHEN place <= ceil(gone * 0.5) THEN 'validation' ELSE 'test' END AS part FROM o""",
-    "recognised": f"""{windows("40").replace("WITH ", "WITH RECURSIVE ", 1)}, a AS (SELECT {KEYS}, avg(x) AS mean, var_pop(x) AS var, sum(abs(d)) AS energy, max(x) AS hi, min(x) AS lo, coalesce(regr_slope(x, t), 0) AS slope, {STRONGEST} FROM wd GROUP BY ALL),
-raw AS (SELECT recording_id, label AS class_id, start, [{", ".join(STATS6)}, {", ".join(f"z{i} + 1, {bin_of(f'r{i}')}" for i in range(5))}]::DOUBLE[] AS v FROM a),
-rl AS (SELECT recording_id, class_id, start, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM raw),
-scl AS (SELECT pos, avg(x) AS mu, CASE WHEN stddev_pop(x) > 0 THEN stddev_pop(x) ELSE 1 END AS sd FROM rl WHERE recording_id % 5 <> 0 GROUP BY 1),
-v AS (SELECT recording_id * 1048576 + start AS id, recording_id, class_id, start, list((x - mu) / sd ORDER BY pos) AS v FROM rl JOIN scl USING (pos) GROUP BY ALL),
-test AS (SELECT * FROM v WHERE recording_id % 5 = 0), train AS (SELECT * FROM v WHERE recording_id % 5 <> 0){PROBABILITIES},
-num AS (SELECT id, recording_id AS session, row_number() OVER (PARTITION BY recording_id ORDER BY start) - 1 AS t FROM test),
-p AS (SELECT session, t, {", ".join(f"max(CASE WHEN class_id = {i} THEN prob END) AS p{i}" for i in range(RECOGNISED))} FROM num JOIN shares USING (id) GROUP BY 1, 2),
-{emitted(RECOGNISED, 2, "0.16", 2)}
-SELECT session, CAST(t AS INTEGER) AS window_id, last AS label, {r6("confidence")} AS confidence FROM f WHERE emitted""",
+    "recognised": recognised(windows("40")),
+    "recognised_smooth": recognised(windows("40", SMOOTHED), "start % 10 = 0 AND (SELECT n FROM n WHERE n.recording_id = a.recording_id) >= 40", (2, "0.2", 2, True)),
+    "recognised_aligned": recognised(ALIGNED, settings=(3, "0.9", 2, False), raw=ALIGNED_RAW),
 }

@@ -230,6 +230,20 @@ def recognised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out)
 
 
+def recognised_smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As a stream gives it: smoothed frames, full windows only."""
+    rows = glove(spark, sf_dir)
+    fitted = inference.fit(inference.window_vectors(rows.where("recording_id % 5 != 0"), WIDTH, cut="full", smooth=True))
+    return rounded(inference.recognised(rows.where("recording_id % 5 = 0"), fitted, WIDTH, cut="full", smooth=True, threshold=0.2, size=2, cooldown=2, strict=True))
+
+
+def recognised_aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows to the end of a recording, right-aligned, of normalised channels; gated windows end there."""
+    rows = glove(spark, sf_dir)
+    fitted = inference.fit(inference.window_vectors(rows.where("recording_id % 5 != 0"), WIDTH, cut="aligned", smooth=True))
+    return rounded(inference.recognised(rows.where("recording_id % 5 = 0"), fitted, WIDTH, cut="aligned", smooth=True, threshold=0.9, size=3, cooldown=2, strict=False))
+
+
 def warped_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nearest training windows by warping distance of the flex channel plus distance of the pads' values."""
     rows = features.raw_table(windows.full_windows(glove(spark, sf_dir), WIDTH, WIDTH))
@@ -242,7 +256,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         window_features, quantile_window_features, trend_changes, raw_vectors, stream_windows, aligned_windows, padded, smoothed_flex, normalised_pads,
         channel_ranges, top_labels, exemplar_sizes, anchor_distances, wide_anchor_distances, label_codes, one_hot, scaled_vectors, knn_neighbours, knn_predictions,
         knn_weighted, bayes_predictions, class_report, confusion, metric_summary, debounced_mean, debounced_gate, time_warp, temporal_shift, augmented,
-        ranked_probabilities, decoded_labels, emission_summary, split_parts, recognised, warped_neighbours,
+        ranked_probabilities, decoded_labels, emission_summary, split_parts, recognised, recognised_smooth, recognised_aligned, warped_neighbours,
     )
     return {f.__name__: f for f in every}
 
