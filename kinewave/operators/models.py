@@ -15,7 +15,7 @@ from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .neighbours import nearest
+from .neighbours import nearest_within
 
 
 def vectors(rows: DataFrame, column: str = "v") -> DataFrame:
@@ -71,25 +71,25 @@ def undersampled(rows: DataFrame, seed: int = 42) -> DataFrame:
 def smote(rows: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
     """rows (id, class_id, v) and, for each smaller class, points between a row and one of its k nearest of the class.
 
-    Each row of a class gets as many points as bring the class to about the largest one's size; new rows have a null id.
+    Each row of a class gets as many points as bring the class to about the largest one's size; new rows have a null id, and
+    classes of one row stay as they are. Neighbours of all classes are found in one pass, and one plan makes all points; a
+    count per class comes to the driver.
     """
     counts = {r["class_id"]: r["count"] for r in rows.groupBy("class_id").count().collect()}
-    out, most = rows, max(counts.values(), default=0)
-    for c, n in counts.items():
-        if not 1 < n < most:
-            continue
-        own = rows.where(F.col("class_id") == c)
-        near = nearest(own, own, k + 1).where(F.col("id") != F.col("neighbour"))
-        wanted = F.lit((most - n) / n)
-        draw = lambda s, *x: F.pmod(F.xxhash64(F.lit(seed + s), *x), F.lit(1 << 30)) / float(1 << 30)
-        copies = own.withColumn("copy", F.explode(F.sequence(F.lit(0), F.floor(wanted + draw(0, "id")).cast("int")))).where("copy > 0")
-        choice = near.groupBy("id").agg(F.sort_array(F.collect_list("neighbour")).alias("around"))
-        chosen = copies.join(choice, "id").withColumn("neighbour", F.get("around", F.pmod(F.xxhash64(F.lit(seed + 1), "id", "copy"), F.size("around")).cast("int")))
-        other = own.select(F.col("id").alias("neighbour"), F.col("v").alias("w"))
-        u = draw(2, "id", "copy")
-        made = chosen.join(other, "neighbour").withColumn("u", u).select(F.lit(None).cast("long").alias("id"), "class_id", F.zip_with("v", "w", lambda a, b: a + (b - a) * F.col("u")).alias("v"))
-        out = out.unionByName(made)
-    return out
+    most = max(counts.values(), default=0)
+    small = {c: (most - n) / n for c, n in counts.items() if 1 < n < most}
+    if not small:
+        return rows
+    wanted = F.create_map(*[F.lit(x) for pair in small.items() for x in pair])[F.col("class_id")]
+    own = rows.where(F.col("class_id").isin(list(small)))
+    near = nearest_within(own, k + 1).where(F.col("id") != F.col("neighbour")).where(F.col("rank") <= k + 1)
+    draw = lambda s, *x: F.pmod(F.xxhash64(F.lit(seed + s), *x), F.lit(1 << 30)) / float(1 << 30)
+    copies = own.withColumn("copy", F.explode(F.sequence(F.lit(0), F.floor(wanted + draw(0, "id")).cast("int")))).where("copy > 0")
+    choice = near.groupBy("id").agg(F.sort_array(F.collect_list("neighbour")).alias("around"))
+    chosen = copies.join(choice, "id").withColumn("neighbour", F.get("around", F.pmod(F.xxhash64(F.lit(seed + 1), "id", "copy"), F.size("around")).cast("int")))
+    other = own.select(F.col("id").alias("neighbour"), F.col("v").alias("w"))
+    made = chosen.join(other, "neighbour").withColumn("u", draw(2, "id", "copy")).select(F.lit(None).cast("long").alias("id"), "class_id", F.zip_with("v", "w", lambda a, b: a + (b - a) * F.col("u")).alias("v"))
+    return rows.unionByName(made)
 
 
 def adaboost(rows: DataFrame, classes: int, rounds: int = 10, depth: int = 1, balanced: bool = False, seed: int = 42) -> list:

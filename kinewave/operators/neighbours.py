@@ -12,55 +12,107 @@ from pyspark.sql import functions as F
 BLOCK, SHARD = 1024, 4096
 
 
-def packed(rows: DataFrame, key: str, size: int) -> DataFrame:
-    """One row for about `size` vectors (id, class_id, v); rows of one dimension are expected."""
-    n = rows.count() // size + 1
-    dealt = rows.withColumn(key, F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(n)).cast("int"))
+def packed(rows: DataFrame, key: str, size: int, within: dict | None = None) -> DataFrame:
+    """One row for about `size` vectors (id, class_id, v); rows of one dimension are expected. within: rows by class, whose
+    vectors are packed apart."""
+    if within is None:
+        n = F.lit(rows.count() // size + 1)
+    else:
+        n = F.create_map(*[F.lit(x) for c, count in within.items() for x in (c, count // size + 1)])[F.col("class_id")]
+    dealt = rows.withColumn(key, F.pmod(F.xxhash64(F.lit(1), "id"), n).cast("int")).withColumn("apart", (F.lit(0) if within is None else F.col("class_id")).cast("long"))
 
     def pack(table: pa.Table) -> pa.Table:
         table = table.sort_by("id")
         v = np.array(table["v"].to_pylist(), np.float64)
         ids, classes = (np.array(table[c].to_pylist(), np.int64) for c in ("id", "class_id"))
-        return pa.table({key: pa.array([table[key][0].as_py()], pa.int32()), f"{key}_v": [v.tobytes()], f"{key}_id": [ids.tobytes()], f"{key}_class": [classes.tobytes()]})
+        return pa.table({key: pa.array([table[key][0].as_py()], pa.int32()), "apart": pa.array([table["apart"][0].as_py()], pa.int64()), f"{key}_v": [v.tobytes()], f"{key}_id": [ids.tobytes()], f"{key}_class": [classes.tobytes()]})
 
-    return dealt.groupBy(key).applyInArrow(pack, f"{key} int, {key}_v binary, {key}_id binary, {key}_class binary")
+    return dealt.groupBy(key, "apart").applyInArrow(pack, f"{key} int, apart long, {key}_v binary, {key}_id binary, {key}_class binary")
 
 
 def squared(x: np.ndarray, t: np.ndarray) -> np.ndarray:
     return ((t - x) ** 2).sum(axis=1)
 
 
-def warped(widths: list[int]):
+class Warped:
     """Distances of a vector to many: its first parts, as wide as given, are channels, which are compared by time warping
     (over the sum of lengths); the rest are pad values, whose Euclidean distance is added."""
 
-    def distances(x: np.ndarray, t: np.ndarray) -> np.ndarray:
-        out, at = np.zeros(len(t)), 0
-        for width in widths:
-            a, b = x[at : at + width], t[:, at : at + width]
+    def __init__(self, widths: list[int]) -> None:
+        self.parts = [(sum(widths[:i]), sum(widths[: i + 1])) for i in range(len(widths))]
+        self.rest = sum(widths)
+
+    def pads(self, x: np.ndarray, t: np.ndarray) -> np.ndarray:
+        return np.sqrt(((t[:, self.rest :] - x[self.rest :]) ** 2).sum(axis=1))
+
+    def __call__(self, x: np.ndarray, t: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(t))
+        for low, high in self.parts:
+            width, b = high - low, t[:, low:high]
             row = np.full((width + 1, len(t)), np.inf)
             row[0] = 0
-            for v in a:
+            for v in x[low:high]:
                 cost, best = np.abs(b - v).T, np.minimum(row[1:], row[:-1])
                 row[0] = np.inf
                 for j in range(width):
                     row[j + 1] = cost[j] + np.minimum(best[j], row[j])
             out += row[width] / (2 * width)
-            at += width
-        return out + np.sqrt(((t[:, at:] - x[at:]) ** 2).sum(axis=1))
-
-    return distances
-
-
-def found_by(test: DataFrame, train: DataFrame, k: int, distances) -> DataFrame:
+        return out + self.pads(x, t)
+
+    def bounds(self, x: np.ndarray, t: np.ndarray) -> np.ndarray:
+        """No distance is smaller: every value is warped to some value of the other side, so what it lies beyond the other's
+        envelope is paid, on either side; and the first and last pairs are paid whatever the way between."""
+        out = self.pads(x, t)
+        for low, high in self.parts:
+            a, b = x[low:high], t[:, low:high]
+            top, bottom = b.max(axis=1, keepdims=True), b.min(axis=1, keepdims=True)
+            mine = np.maximum(np.maximum(a - top, bottom - a), 0).sum(axis=1)
+            theirs = np.maximum(np.maximum(b - a.max(), a.min() - b), 0).sum(axis=1)
+            ends = np.abs(a[0] - b[:, 0]) + (np.abs(a[-1] - b[:, -1]) if high - low > 1 else 0)
+            out += np.maximum(np.maximum(mine, theirs), ends) / (2 * (high - low))
+        return out
+
+
+def closest(x: np.ndarray, t: np.ndarray, ids: np.ndarray, k: int, distances, step: int = 64) -> tuple[np.ndarray, np.ndarray, int]:
+    """Places and distances (nine digits) of the k rows of t nearest to x, ties to the smaller id; and how many were computed.
+
+    Where distances have lower bounds, rows are taken in their order, and none whose bound is beyond the kth best so far.
+    """
+    if not hasattr(distances, "bounds") or len(t) <= step:
+        d = np.round(distances(x, t), 9)
+        best = np.lexsort((ids, d))[:k]
+        return best, d[best], len(t)
+    bound = distances.bounds(x, t) - 1e-8
+    order = np.argsort(bound, kind="stable")
+    best, d, done = np.empty(0, np.int64), np.empty(0), 0
+    while done < len(t):
+        some = order[done : done + step]
+        if len(best) >= k:
+            some = some[bound[some] <= d[k - 1]]
+            if not len(some):
+                break
+        best, d = np.append(best, some), np.append(d, np.round(distances(x, t[some]), 9))
+        done += len(some)
+        chosen = np.lexsort((ids[best], d))[:k]
+        best, d = best[chosen], d[chosen]
+        if len(some) < step:
+            break
+    return best, d, done
+
+
+def found_by(test: DataFrame, train: DataFrame, k: int, distances, within: dict | None = None) -> DataFrame:
     """id, rank, neighbour, class_id, d of each test row (id, class_id, v): the k training rows of least distances(x, rows).
 
     Distances are rounded to 9 digits, ties go to the smaller id. Each packed block of test rows meets each packed shard of
-    training rows and sends on k rows a query; vectors with nulls have to be gone.
+    training rows (of its class, if `within` has the training rows of each) and sends on k rows a query; vectors with nulls
+    have to be gone.
     """
-    blocks, shards = packed(test, "block", BLOCK), packed(train, "shard", SHARD)
-    count = train.count() // SHARD + 1
-    pairs = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(count - 1)))).join(shards, "shard")
+    blocks, shards = packed(test, "block", BLOCK, within), packed(train, "shard", SHARD, within)
+    if within is None:
+        count = F.lit(train.count() // SHARD + 1)
+    else:
+        count = F.create_map(*[F.lit(x) for c, n in within.items() for x in (int(c), n // SHARD + 1)])[F.col("apart")]
+    pairs = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0), count - 1))).join(shards, ["shard", "apart"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -69,9 +121,8 @@ def found_by(test: DataFrame, train: DataFrame, k: int, distances) -> DataFrame:
                 q, t = np.frombuffer(row["block_v"]).reshape(len(qid), -1), np.frombuffer(row["shard_v"]).reshape(len(tid), -1)
                 out: list[list] = [[], [], [], []]
                 for i, x in zip(qid.tolist(), q, strict=True):
-                    d = np.round(distances(x, t), 9)
-                    best = np.lexsort((tid, d))[:k]
-                    for column, values in zip(out, ([i] * len(best), tid[best].tolist(), tclass[best].tolist(), d[best].tolist()), strict=True):
+                    best, d, _ = closest(x, t, tid, k, distances)
+                    for column, values in zip(out, ([i] * len(best), tid[best].tolist(), tclass[best].tolist(), d.tolist()), strict=True):
                         column += values
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.float64())], names=["id", "neighbour", "class_id", "d"])
 
@@ -85,9 +136,15 @@ def nearest(test: DataFrame, train: DataFrame, k: int) -> DataFrame:
     return found_by(test, train, k, squared).select("id", "rank", "neighbour", "class_id", F.sqrt("d").alias("distance"))
 
 
+def nearest_within(rows: DataFrame, k: int) -> DataFrame:
+    """As nearest(), of each row among those of its class, itself included; classes are blocks of their own in one pass."""
+    counts = {r["class_id"]: r["count"] for r in rows.groupBy("class_id").count().collect()}
+    return found_by(rows, rows, k, squared, counts or {0: 0}).select("id", "rank", "neighbour", "class_id", F.sqrt("d").alias("distance"))
+
+
 def nearest_warped(test: DataFrame, train: DataFrame, k: int, widths: list[int]) -> DataFrame:
-    """As nearest(), by the combined distance of channels and pads (scalars.combined_distance); see warped()."""
-    return found_by(test, train, k, warped(widths)).select("id", "rank", "neighbour", "class_id", F.col("d").alias("distance"))
+    """As nearest(), by the combined distance of channels and pads (scalars.combined_distance); see Warped."""
+    return found_by(test, train, k, Warped(widths)).select("id", "rank", "neighbour", "class_id", F.col("d").alias("distance"))
 
 
 def votes(neighbours: DataFrame, weighted: bool = False) -> DataFrame:

@@ -251,3 +251,22 @@ def test_exemplars_too_long_to_ship_are_refused(spark, monkeypatch):
     monkeypatch.setattr(features, "MOST_FRAMES", 84)
     with pytest.raises(ValueError, match="too long"):
         features.exemplars(rows, 40, pads=2)
+
+
+def test_warping_neighbours_skip_what_bounds_rule_out():
+    """Same neighbours as over all pairs, bounds that hold, and a part of the pairs only."""
+    rng = np.random.default_rng(8)
+    level = rng.normal(0, 2, (400, 1))
+    t = np.concatenate([level + rng.normal(0, 0.3, (400, 12)), -level + rng.normal(0, 0.3, (400, 5)), rng.integers(0, 3, (400, 2))], axis=1)
+    measure, ids, done = neighbours.Warped([12, 5]), rng.permutation(400), 0
+    for x in t[:40]:
+        every = np.round(measure(x, t), 9)
+        assert (measure.bounds(x, t) <= every + 1e-9).all()
+        best, d, n = neighbours.closest(x, t, ids, 5, measure)
+        want = np.lexsort((ids, every))[:5]
+        assert best.tolist() == want.tolist() and d.tolist() == every[want].tolist()
+        done += n
+    assert done < 0.5 * 40 * 400
+    same = np.zeros((300, 19))
+    best, d, _ = neighbours.closest(same[0], same, np.arange(300)[::-1], 3, measure)
+    assert best.tolist() == [299, 298, 297] and d.tolist() == [0, 0, 0]
