@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,41 +52,109 @@ def temporal_shift(rows: DataFrame, width: int, channels: int, shares: tuple[flo
     return each.select("recording_id", shift.alias("shift"), F.greatest(size, F.lit(0)).alias("real_len"), to_width(moved, width, channels).alias("seq"))
 
 
-def flex_noise(rows: DataFrame, flex: int, seed: int = 42, sigma: float = NOISE) -> DataFrame:
-    """Normal noise on the flex channels of real frames, clipped to 0 to 1; drawn from hashes, so retries give the same."""
-    def unit(i: Column, c: Column, k: int) -> Column:
-        return (F.pmod(F.xxhash64(F.lit(seed + k), "recording_id", i, c), F.lit(1 << 30)) + 0.5) / float(1 << 30)
+def drawn(key: Column, seed: int, *place: Column) -> Column:
+    """A whole number below 2**32, by a hash of key, seed and place: retries draw the same."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), key.cast("string"), *[p.cast("string") for p in place]).cast("binary")), 1, 8), 16, 10).cast("long")
+
 
-    def noisy(frame: Column, i: Column) -> Column:
+def noisy(seq: Column, n: Column, key: Column, flex: int, seed: int = 42, sigma: float = NOISE) -> Column:
+    """seq with normal noise on the flex channels of its n real frames, clipped to 0 to 1."""
+    unit = lambda i, c, k: (drawn(key, seed + k, i, c) + 0.5) / float(1 << 32)
+
+    def frame(f: Column, i: Column) -> Column:
         def one(x: Column, c: Column) -> Column:
             g = F.sqrt(-2 * F.log(unit(i, c, 0))) * F.cos(6.283185307179586 * unit(i, c, 1))
-            return F.when((c < flex) & (i < F.col("real_len")), F.greatest(F.lit(0.0), F.least(F.lit(1.0), x + sigma * g))).otherwise(x)
+            return F.when((c < flex) & (i < n), F.greatest(F.lit(0.0), F.least(F.lit(1.0), x + sigma * g))).otherwise(x)
 
-        return F.transform(frame, one)
+        return F.transform(f, one)
 
-    return rows.withColumn("seq", F.transform("seq", noisy))
+    return F.transform(seq, frame)
 
 
-def frame_dropout(rows: DataFrame, channels: int, seed: int = 42) -> DataFrame:
-    """One to three real frames in a row become zero; sequences of fewer than four real frames stay."""
-    draw = lambda k, n: F.pmod(F.xxhash64(F.lit(seed + k), "recording_id"), n)
-    n = F.col("real_len")
-    size = (1 + draw(2, F.lit(MOST_DROPPED))).cast("int")
-    room = n - size
-    first = draw(3, F.greatest(room, F.lit(1))).cast("int")
+def dropped(seq: Column, n: Column, key: Column, channels: int, seed: int = 42) -> Column:
+    """seq with one to three real frames in a row at zero; sequences of fewer than four real frames stay."""
+    size = (1 + drawn(key, seed + 2) % MOST_DROPPED).cast("int")
+    first = (drawn(key, seed + 3) % F.greatest(n - size, F.lit(1))).cast("int")
+    gone = F.transform(F.sequence(F.lit(0), F.size(seq) - 1), lambda i: (i >= first) & (i < first + size))
     zero = F.array_repeat(F.lit(0.0), channels)
-    dropped = F.transform("seq", lambda f, i: F.when((i >= first) & (i < first + size), zero).otherwise(f))
-    return rows.withColumn("seq", F.when((n >= 4) & (room >= 1), dropped).otherwise(F.col("seq")))
-
-
-def augmented(rows: DataFrame, width: int, channels: int, flex: int, repeats: int = REPEATS) -> DataFrame:
-    """recording_id, copy, real_len, seq: repeats x warps x shifts copies of each row, noise and dropout drawn per copy."""
-    each = rows.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    key = F.struct("recording_id", "repeat")
-    warped = time_warp(each.select(key.alias("recording_id"), "real_len", "seq"), width, channels)
-    warped = warped.select(F.struct("recording_id", "factor").alias("recording_id"), "real_len", "seq")
-    shifted = temporal_shift(warped, width, channels)
-    shifted = shifted.select(F.struct("recording_id", "shift").alias("recording_id"), "real_len", "seq")
-    out = frame_dropout(flex_noise(shifted, flex), channels)
-    inner = F.col("recording_id.recording_id.recording_id")
-    return out.select(inner["recording_id"].alias("recording_id"), inner["repeat"].alias("repeat"), F.col("recording_id.recording_id.factor").alias("factor"), F.col("recording_id.shift").alias("shift"), "real_len", "seq")
+    return F.when((n >= 4) & (n - size >= 1), F.zip_with(seq, gone, lambda f, g: F.when(g, zero).otherwise(f))).otherwise(seq)
+
+
+def flex_noise(rows: DataFrame, flex: int, seed: int = 42, sigma: float = NOISE) -> DataFrame:
+    """Normal noise on the flex channels of real frames; see noisy()."""
+    return rows.withColumn("seq", noisy(F.col("seq"), F.col("real_len"), F.col("recording_id"), flex, seed, sigma))
+
+
+def frame_dropout(rows: DataFrame, channels: int, seed: int = 42) -> DataFrame:
+    """One to three real frames in a row become zero; see dropped()."""
+    return rows.withColumn("seq", dropped(F.col("seq"), F.col("real_len"), F.col("recording_id"), channels, seed))
+
+
+#: A transform gives, from rows (_key, _n, _seq, _real), an array of its copies (tag, n, seq); _real are the n real frames.
+Transform = Callable[[int, int, int, int], Column]
+
+
+def copy_of(tag: str, n: Column, seq: Column) -> Column:
+    return F.struct(F.lit(tag).alias("tag"), n.cast("int").alias("n"), seq.alias("seq"))
+
+
+def warps(width: int, channels: int, flex: int, seed: int, factors: tuple[float, ...] = WARPS) -> Column:
+    n, real = F.col("_n"), F.col("_real")
+
+    def one(k: int) -> Column:
+        m = F.greatest(F.lit(2), F.least(F.lit(width), F.bround(n * F.lit(float(factors[k]))).cast("int")))
+
+        def at(i: Column) -> Column:
+            p = i * (n - 1) / (m - 1)
+            low = F.floor(p).cast("int")
+            return F.zip_with(F.get(real, low), F.get(real, F.least(low + 1, n - 1)), lambda a, b: a + (b - a) * (p - low))
+
+        return copy_of(f"w{k}", F.when(n >= 2, m).otherwise(n), to_width(F.when(n >= 2, F.transform(F.sequence(F.lit(0), m - 1), at)).otherwise(F.col("_seq")), width, channels))
+
+    return F.array(*map(one, range(len(factors))))
+
+
+def shifts(width: int, channels: int, flex: int, seed: int, shares: tuple[float, ...] = SHIFTS) -> Column:
+    n, real = F.col("_n"), F.col("_real")
+
+    def one(k: int) -> Column:
+        by = (F.lit(float(shares[k])) * F.greatest(F.lit(LEAST_SHIFT), width - n)).cast("int")
+        zero = F.array_repeat(F.array_repeat(F.lit(0.0), channels), F.greatest(by, F.lit(0)))
+        moved = F.when(by >= 0, F.concat(zero, real)).otherwise(F.slice(real, 1 - F.least(by, F.lit(0)), F.greatest(n, F.lit(0))))
+        return copy_of(f"s{k}", F.greatest(F.when(by >= 0, F.least(n, width - by)).otherwise(n + by), F.lit(0)), to_width(moved, width, channels))
+
+    return F.array(*map(one, range(len(shares))))
+
+
+def noise_copy(width: int, channels: int, flex: int, seed: int) -> Column:
+    return F.array(copy_of("n", F.col("_n"), noisy(F.col("_seq"), F.col("_n"), F.col("_key"), flex, seed)))
+
+
+def dropout_copy(width: int, channels: int, flex: int, seed: int) -> Column:
+    return F.array(copy_of("d", F.col("_n"), dropped(F.col("_seq"), F.col("_n"), F.col("_key"), channels, seed)))
+
+
+TRANSFORMS = {"time_warp": warps, "flex_noise": noise_copy, "temporal_shift": shifts, "frame_dropout": dropout_copy}
+
+
+def augmented(rows: DataFrame, width: int, channels: int, flex: int, repeats: int = REPEATS, transforms: dict[str, Transform] | None = None, seed: int = 42) -> DataFrame:
+    """recording_id, repeat, path, real_len, seq: copies of each row by all transforms, in an order drawn for each repeat.
+
+    transforms: name to Transform, TRANSFORMS by default (4 warps x 4 shifts, noise and dropout: 16 copies a repeat). The
+    order of a row's repeat is that of hashes of the names. Each step makes all copies of the row's next transform, and path
+    (recording, repeat, then the tags of the steps) is the key of its draws, so that copies differ in noise and dropout. Rows
+    are exploded step by step, in one pass.
+    """
+    every = transforms or TRANSFORMS
+    key = F.concat_ws(":", F.col("recording_id").cast("string"), F.col("repeat").cast("string"))
+    out = rows.select("recording_id", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat"), F.col("real_len").cast("int").alias("_n"), F.col("seq").alias("_seq")).withColumn("_key", key)
+    order = F.sort_array(F.array(*[F.struct(drawn(F.col("_key"), seed, F.lit(name)).alias("h"), F.lit(name).alias("name")) for name in every]))
+    out = out.withColumn("_order", F.transform(order, lambda x: x["name"]))
+    for step in range(len(every)):
+        copies = None
+        for name, make in every.items():
+            own = make(width, channels, flex, seed)
+            copies = F.when(F.col("_order")[step] == name, own) if copies is None else copies.when(F.col("_order")[step] == name, own)
+        each = out.withColumn("_real", F.slice("_seq", 1, F.col("_n"))).select("recording_id", "repeat", "_key", "_order", F.explode(copies).alias("_x"))
+        out = each.select("recording_id", "repeat", F.concat_ws("|", "_key", "_x.tag").alias("_key"), "_order", F.col("_x.n").alias("_n"), F.col("_x.seq").alias("_seq"))
+    return out.select("recording_id", "repeat", F.col("_key").alias("path"), F.col("_n").alias("real_len"), F.col("_seq").alias("seq"))

@@ -141,6 +141,72 @@ p AS (SELECT session, t, {", ".join(f"max(CASE WHEN class_id = {i} THEN prob END
 SELECT session, CAST(t AS INTEGER) AS window_id, last AS label, {r6("confidence")} AS confidence FROM f WHERE emitted"""
 
 
+
+def dtw(a: str, b: str, cost: str) -> str:
+    """Warping distance of lists a (elements are lists) and b, as a fold whose state is the last row of the table; cost is of v and b[j]."""
+    row = f"list_transform(range(1, len({b}) + 1), lambda j: [{cost}, prev[j], prev[j + 1]])"
+    step = "list_append(cur, e[1] + least(e[2], e[3], cur[len(cur)]))"
+    first = f"list_prepend(CAST(0 AS DOUBLE), list_transform({b}, lambda q: CAST('inf' AS DOUBLE)))"
+    fold = f"list_reduce(list_prepend({first}, {a}), lambda prev, v: list_reduce(list_prepend([CAST('inf' AS DOUBLE)], {row}), lambda cur, e: {step}))"
+    return f"{fold}[len({b}) + 1] / (len({a}) + len({b}))"
+
+
+FRAME = f"[x, {', '.join(f'{z(p)}, {r(p)}' for p in PADS)}]::DOUBLE[]"
+ANCHORS = f"""{windows("40")}, seqs AS (SELECT {KEYS}, list({FRAME} ORDER BY t) AS a FROM (SELECT {KEYS}, t, x, coalesce(pad, '') AS pad, z, r FROM wf) GROUP BY ALL),
+first AS (SELECT label, min(recording_id) AS recording_id FROM n GROUP BY 1),
+gf AS (SELECT f.label, g.t, coalesce(fr.x, 0) AS x, coalesce(fr.pad, '') AS pad, fr.z, fr.r FROM first f JOIN n USING (recording_id) JOIN LATERAL (SELECT unnest(range(0, greatest(40, n.n))) AS t) g ON true
+  LEFT JOIN fr ON fr.recording_id = f.recording_id AND fr.t = g.t - greatest(0, (40 - n.n) // 2)),
+gold AS (SELECT label AS anchor, list({FRAME} ORDER BY t) AS b FROM gf GROUP BY 1),
+far AS MATERIALIZED (SELECT {KEYS}, anchor, {dtw("a", "b", "list_distance(v, b[j])")} AS distance FROM seqs, gold)"""
+WARPED = f"""WITH {FRAMES}, st AS (SELECT recording_id, label, unnest(range(0, n - 39, 40)) AS start FROM n WHERE n >= 40),
+ag AS (SELECT st.recording_id, st.label, start, list(x ORDER BY t) AS xs, {STRONGEST} FROM st JOIN fr ON fr.recording_id = st.recording_id AND t >= start AND t < start + 40 GROUP BY ALL),
+own AS (SELECT recording_id, recording_id * 1000 + start AS id, CAST(label AS BIGINT) AS class_id, xs, [{", ".join(f"z{i} + 1, {bin_of(f'r{i}')}" for i in range(5))}]::DOUBLE[] AS ps FROM ag),
+ds AS (SELECT q.id, o.id AS neighbour, o.class_id, round({dtw("list_transform(q.xs, lambda x: [x])", "o.xs", "abs(v[1] - o.xs[j])")} + list_distance(q.ps, o.ps), 9) AS d
+  FROM own q, own o WHERE q.recording_id % 5 = 0 AND o.recording_id % 5 <> 0),
+near AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, neighbour) AS rank FROM ds QUALIFY rank <= 5)"""
+SCALED_OWN = """plain AS (SELECT recording_id, recording_id * 1000 + start AS id, CAST(label AS BIGINT) AS class_id, list_concat(xs, [""" + ", ".join(f"z{i} + 1, {bin_of(f'r{i}')}" for i in range(5)) + """]::DOUBLE[]) AS v FROM ag),
+long AS (SELECT recording_id, id, class_id, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM plain),
+scl AS (SELECT pos, avg(x) AS mu, CASE WHEN stddev_pop(x) > 0 THEN stddev_pop(x) ELSE 1 END AS sd FROM long WHERE recording_id % 5 <> 0 GROUP BY 1),
+sv AS (SELECT recording_id, id, class_id, list((x - mu) / sd ORDER BY pos) AS v FROM long JOIN scl USING (pos) GROUP BY ALL),
+own AS (SELECT recording_id, id, class_id, v[1:40] AS xs, v[41:50] AS ps FROM sv),
+unscaled AS"""
+
+
+def draw(key: str, seed: str, *place: str) -> str:
+    return f"CAST('0x' || substr(md5(concat_ws(':', {', '.join((seed, key, *place))})), 1, 8) AS BIGINT)"
+
+
+def augmented_steps(width: int, repeats: int) -> str:
+    """s4: recording_id, repeat, path, n, seq after four steps, each by the transform that its row's order names."""
+    names = ("time_warp", "flex_noise", "temporal_shift", "frame_dropout")
+    order = ", ".join(f"{{'h': {draw('path', '42', repr(k))}, 'name': '{k}'}}" for k in names)
+    pad = f"list_resize(%s, {width}, CAST(0 AS DOUBLE))"
+    unit = lambda k: f"(({draw('path', str(42 + k), 'i - 1', '0')} + CAST(0.5 AS DOUBLE)) / 4294967296)"
+    noise = f"CASE WHEN i - 1 < n THEN greatest(0, least(1, x + CAST(0.01 AS DOUBLE) * sqrt(-2 * ln({unit(0)})) * cos(CAST(6.283185307179586 AS DOUBLE) * {unit(1)}))) ELSE x END"
+    at = "seq[q + 1] + (seq[least(q + 1, n - 1) + 1] - seq[q + 1]) * (p - q)"
+    at = at.replace("p - q", "i * (n - 1) / CAST(m - 1 AS DOUBLE) - i * (n - 1) // (m - 1)").replace("q + 1", "i * (n - 1) // (m - 1) + 1")
+    warped = pad % f"list_transform(range(0, m), lambda i: {at})"
+    moved = f"CASE WHEN delta >= 0 THEN list_concat(list_transform(range(0, delta), lambda i: CAST(0 AS DOUBLE)), seq[1:n]) ELSE seq[1 - delta:n] END"
+    size, first = f"(1 + {draw('path', '44')} % 3)", f"({draw('path', '45')} % greatest(n - size, 1))"
+
+    def step(k: int) -> str:
+        own = f"FROM s{k} WHERE ord[{k + 1}] = "
+        rest = "recording_id, repeat, ord"
+        return f"""s{k + 1} AS MATERIALIZED (
+  SELECT {rest}, path || '|w' || f AS path, CASE WHEN n >= 2 THEN m ELSE n END AS n, CASE WHEN n >= 2 THEN {warped} ELSE seq END AS seq
+    FROM (SELECT *, greatest(2, least({width}, CAST(round_even(n * [0.7::DOUBLE, 0.85, 1.15, 1.3][f + 1], 0) AS BIGINT))) AS m FROM (SELECT *, unnest([0, 1, 2, 3]) AS f {own}'time_warp'))
+  UNION ALL SELECT {rest}, path || '|s' || f, greatest(0, CASE WHEN delta >= 0 THEN least(n, {width} - delta) ELSE n + delta END), {pad % moved}
+    FROM (SELECT *, CAST(trunc([0.5::DOUBLE, 1, -0.5, -1][f + 1] * greatest(10, {width} - n)) AS BIGINT) AS delta FROM (SELECT *, unnest([0, 1, 2, 3]) AS f {own}'temporal_shift'))
+  UNION ALL SELECT {rest}, path || '|n', n, list_transform(seq, lambda x, i: {noise}) {own}'flex_noise'
+  UNION ALL SELECT {rest}, path || '|d', n, CASE WHEN n >= 4 AND n - size >= 1 THEN list_transform(seq, lambda x, i: CASE WHEN i - 1 >= first AND i - 1 < first + size THEN CAST(0 AS DOUBLE) ELSE x END) ELSE seq END
+    FROM (SELECT *, {first} AS first FROM (SELECT *, {size} AS size {own}'frame_dropout')))"""
+
+    return f"""{SEQUENCES}, whole AS (SELECT recording_id, any_value(n) AS n, list(x ORDER BY t) AS seq FROM sq GROUP BY 1),
+rp AS (SELECT recording_id, n, {pad % "seq"} AS seq, unnest(range(0, {repeats})) AS repeat FROM whole), pt AS (SELECT *, recording_id || ':' || repeat AS path FROM rp),
+s0 AS MATERIALIZED (SELECT recording_id, repeat, list_transform(list_sort([{order}]), lambda o: o.name) AS ord, path, n, seq FROM pt),
+{", ".join(step(k) for k in range(4))}"""
+
+
 SQL = {
     "window_features": f"""{windows("40")}, a AS (SELECT {KEYS}, {STATS}, max(x) AS hi, min(x) AS lo, regr_slope(x, t) AS slope, {STRONGEST}, {FIRST} FROM wd GROUP BY ALL)
 SELECT {KEYS}, flex0_mean, flex0_var, flex0_energy, {r6("hi")} AS flex0_max, {r6("lo")} AS flex0_min, {r6("coalesce(slope, 0)")} AS flex0_slope,
@@ -202,7 +268,17 @@ JOIN sq a ON a.recording_id = p.recording_id AND a.t = CAST(floor(p.p) AS BIGINT
     "temporal_shift": f"""{SEQUENCES}, s AS (SELECT *, CAST(trunc(share * greatest(10, 78 - n)) AS BIGINT) AS shift FROM sq, (SELECT unnest([0.5::DOUBLE, 1, -0.5, -1]) AS share))
 SELECT recording_id, shift, greatest(0, CASE WHEN shift >= 0 THEN least(n, 78 - shift) ELSE n + shift END) AS n,
   {r6("coalesce(sum(x * (t + shift)) FILTER (WHERE t + shift BETWEEN 0 AND 77), 0)")} AS weighted FROM s GROUP BY recording_id, share, shift, n""",
-    "augmented": f"WITH {FRAMES} SELECT recording_id, CAST(128 AS BIGINT) AS copies FROM n",
+    "augmented": f"""{augmented_steps(78, 8)}
+SELECT recording_id, CAST(repeat AS INTEGER) AS repeat, count(*) AS copies, CAST(sum(n) AS BIGINT) AS real, {r6("sum(list_sum(list_transform(seq, lambda x, i: x * i)))")} AS weighted, min(path) AS first_path FROM s4 GROUP BY 1, 2""",
+    "anchor_distances": f"{ANCHORS} SELECT {KEYS}, anchor, {r6('distance')} AS distance FROM far",
+    "wide_anchor_distances": f"{ANCHORS} SELECT {KEYS}, {', '.join(f'max(CASE WHEN anchor = {i} THEN ' + r6('distance') + f' END) AS dtw_{i}' for i in range(7))} FROM far GROUP BY ALL",
+    "warped_neighbours": f"{WARPED} SELECT id, CAST(rank AS INTEGER) AS rank, neighbour, class_id, {r6('d')} AS distance FROM near",
+    "knn_recognised": f"""{WARPED.replace("WITH ", "WITH RECURSIVE ", 1).replace("own AS", SCALED_OWN)},
+o AS (SELECT *, min(d) OVER (PARTITION BY id) = 0 AS zero FROM near), w AS (SELECT id, class_id, sum(CASE WHEN zero THEN CAST(d = 0 AS INTEGER) ELSE 1 / d END) AS s FROM o GROUP BY 1, 2),
+shares AS (SELECT id, class_id, s / sum(s) OVER (PARTITION BY id) AS prob FROM w),
+p AS (SELECT id // 1000 AS session, (id % 1000) // 40 AS t, {", ".join(f"coalesce(max(CASE WHEN class_id = {i} THEN prob END), 0) AS p{i}" for i in range(7))} FROM shares GROUP BY id),
+{emitted(7, 1, "0.2", 1)}
+SELECT session, CAST(t AS INTEGER) AS window_id, last AS label, {r6("confidence")} AS confidence FROM f WHERE emitted""",
     "ranked_probabilities": f"""WITH {VECTORS}{PROBABILITIES}, o AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY prob DESC, class_id) AS rank, class_id, prob FROM shares)
 SELECT id, CAST(rank AS INTEGER) AS rank, class_id, {r6("prob")} AS prob FROM o WHERE rank <= 3""",
     "decoded_labels": "SELECT doc_id, source AS label, CASE WHEN source IS NOT NULL THEN dense_rank() OVER (ORDER BY source NULLS LAST) - 1 END AS class_id FROM documents",

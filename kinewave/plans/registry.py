@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinewave.functions import scalars as S
-from kinewave.operators import augment, debounce, features, frames, inference, metrics, neighbours, prep, windows
+from kinewave.operators import augment, boosting, debounce, features, frames, inference, metrics, neighbours, prep, svm, windows
 
 WIDTH, STRIDE = 40, 10
 PADS = len(frames.EVENT_PADS)
@@ -195,8 +195,10 @@ def temporal_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def augmented(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies by place: what a value counts depends on where it came to stand."""
     out = augment.augmented(sequences(spark, sf_dir), 78, 1, 1)
-    return out.groupBy("recording_id").agg(F.count("*").alias("copies"))
+    place = S.total(F.transform("seq", lambda f, i: f[0] * (i + 1)))
+    return out.groupBy("recording_id", "repeat").agg(F.count("*").alias("copies"), F.sum("real_len").alias("real"), r6(F.sum(place)).alias("weighted"), F.min("path").alias("first_path"))
 
 
 def bayes_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -251,12 +253,33 @@ def warped_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(neighbours.nearest_warped(rows.where("recording_id % 5 = 0"), rows.where("recording_id % 5 != 0"), 5, [WIDTH]))
 
 
+def knn_recognised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Warped neighbours with distance weights, from frames to debounced labels: windows of 40 frames one after the other."""
+    rows = features.raw_table(windows.full_windows(glove(spark, sf_dir), WIDTH, WIDTH))
+    number = (F.col("start") / WIDTH).cast("int")
+    rows = rows.select((F.col("recording_id") * 1000 + F.col("start")).alias("id"), "recording_id", "label", number.alias("window_id"), F.col("vector").alias("v"))
+    fitted = inference.fit(rows.where("recording_id % 5 != 0"), inference.by_neighbours(5, [WIDTH]))
+    return rounded(inference.emitted(rows.where("recording_id % 5 = 0"), fitted, threshold=0.2, size=1, cooldown=1, strict=True))
+
+
+def kernel_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kernel machines of the training vectors on the others."""
+    test, train = parts(spark, sf_dir)
+    return rounded(neighbours.decided(svm.fit(train).probabilities(test)))
+
+
+def boosted_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boosted trees of the training vectors on the others."""
+    test, train = parts(spark, sf_dir)
+    return rounded(neighbours.decided(boosting.fit(train, rounds=5, depth=3, rate=0.3).probabilities(test)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         window_features, quantile_window_features, trend_changes, raw_vectors, stream_windows, aligned_windows, padded, smoothed_flex, normalised_pads,
         channel_ranges, top_labels, exemplar_sizes, anchor_distances, wide_anchor_distances, label_codes, one_hot, scaled_vectors, knn_neighbours, knn_predictions,
         knn_weighted, bayes_predictions, class_report, confusion, metric_summary, debounced_mean, debounced_gate, time_warp, temporal_shift, augmented,
-        ranked_probabilities, decoded_labels, emission_summary, split_parts, recognised, recognised_smooth, recognised_aligned, warped_neighbours,
+        ranked_probabilities, decoded_labels, emission_summary, split_parts, recognised, recognised_smooth, recognised_aligned, warped_neighbours, knn_recognised, kernel_predictions, boosted_predictions,
     )
     return {f.__name__: f for f in every}
 
