@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinewave.functions import scalars as S
@@ -16,6 +18,7 @@ from . import debounce, features, neighbours, prep, windows
 STATS = ("mean", "var", "energy", "max", "min", "slope")
 
 
+VERSIONS = "version int, folder string, settings string"
 #: How recordings are cut: windows at every stride and the tail, short recordings placed; full windows only; or windows at
 #: every stride to the end, right-aligned with zeros before them, of normalised channels.
 CUTS = ("sliding", "full", "aligned")
@@ -121,3 +124,36 @@ def summary(emissions: DataFrame) -> DataFrame:
     return emissions.groupBy("class_id").agg(
         F.count("*").alias("n"), F.count_distinct("session").alias("sessions"), F.avg("confidence").alias("confidence"), F.min("window_id").alias("first_window")
     )
+
+
+def save(fitted: Fitted, path: str, **settings) -> int:
+    """Write codes, scaler, classifier and settings (width, flex, pads, cut, smooth ...) as a new version; its number.
+
+    Tables of a version have a folder of their own; the line of the version comes last, so that what a lost writer left is
+    never read. Only the naive Bayes classifier is written; others are functions.
+    """
+    if fitted.bayes is None:
+        raise ValueError("this classifier is a function, which no table holds")
+    spark, folder = fitted.codes.sparkSession, f"{path}/{uuid.uuid4().hex}"
+    for name in ("codes", "scaler", "bayes"):
+        getattr(fitted, name).write.parquet(f"{folder}/{name}")
+    version = len(versions(spark, path)) + 1
+    spark.createDataFrame([(version, folder, json.dumps(settings, ensure_ascii=False))], VERSIONS).coalesce(1).write.mode("append").parquet(f"{path}/versions")
+    return version
+
+
+def versions(spark: SparkSession, path: str) -> list:
+    """Lines of what save() wrote, by version."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/versions")
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return []
+    return spark.read.schema(VERSIONS).parquet(f"{path}/versions").orderBy("version").collect()
+
+
+def load(spark: SparkSession, path: str, version: int | None = None) -> tuple[Fitted, dict]:
+    """What save() wrote: the last version or the one asked for, and its settings, for recognised(frames, fitted, **settings)."""
+    found = [r for r in versions(spark, path) if version in (None, r.version)]
+    if not found:
+        raise ValueError(f"{path} has no version {version or ''}")
+    tables = [spark.read.parquet(f"{found[-1].folder}/{name}") for name in ("codes", "scaler", "bayes")]
+    return Fitted(*tables), json.loads(found[-1].settings)

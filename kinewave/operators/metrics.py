@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -62,3 +65,34 @@ def stop_epoch(log: DataFrame, patience: int = 10) -> DataFrame:
         )
 
     return losses.select(F.aggregate("l", zero, step).alias("s")).select(F.col("s.at").alias("best_epoch"), F.expr("nullif(s.stop, -1)").alias("stop_epoch"))
+
+
+def schedule(log: DataFrame, start: float = 1e-3, factor: float = 0.5, patience: int = 5, least: float = 1e-6, delta: float = 1e-4, stop: int = 10) -> DataFrame:
+    """run, epoch, learning_rate, trained of training logs (run, epoch, val_loss): two patience counters over each run.
+
+    The rate is multiplied by `factor`, down to `least`, after `patience` epochs in a row whose loss is not below the best by
+    more than `delta`. Training stops after the epoch that is the `stop`-th in a row not below the best; later epochs are not
+    trained. Null losses are never better. Runs are sorted, and a task reads them in order with two counters as its state.
+    """
+    dealt = log.select(F.col("run").cast("long").alias("run"), F.col("epoch").cast("int").alias("epoch"), F.col("val_loss").cast("double").alias("val_loss")).repartition("run").sortWithinPartitions("run", "epoch")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: tuple | None = None
+        rate = best = low = wait = idle = 0.0
+        for batch in batches:
+            out: tuple[list, list, list, list] = ([], [], [], [])
+            for k, epoch, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if seen != (k,):
+                    seen, rate, best, low, wait, idle = (k,), start, float("inf"), float("inf"), 0, 0
+                for column, value in zip(out, (k, epoch, rate, idle < stop), strict=True):
+                    column.append(value)
+                if idle >= stop:
+                    continue
+                x = float("inf") if x is None else x
+                low, idle = (x, 0) if x < low else (low, idle + 1)
+                best, wait = (x, 0) if x < best - delta else (best, wait + 1)
+                if wait >= patience:
+                    rate, wait = max(rate * factor, least), 0
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.float64()), pa.array(out[3])], names=["run", "epoch", "learning_rate", "trained"])
+
+    return dealt.mapInArrow(run, "run long, epoch int, learning_rate double, trained boolean")

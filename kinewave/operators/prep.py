@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .numbering import numbered
 
-def label_codes(rows: DataFrame, label: str = "label") -> DataFrame:
-    """label, class_id: distinct labels in order, from 0. The labels, not the rows, are numbered in one sorted array."""
-    classes = rows.where(F.col(label).isNotNull()).select(label).distinct().agg(F.sort_array(F.collect_list(label)).alias("c"))
+#: Labels that are numbered in one array: some 10 MB.
+MOST_LABELS = 100_000
+
+
+def label_codes(rows: DataFrame, label: str = "label", most: int = MOST_LABELS) -> DataFrame:
+    """label, class_id: distinct labels in order, from 0. Up to `most` are numbered as one sorted array, more by ranges."""
+    distinct = rows.where(F.col(label).isNotNull()).select(label).distinct()
+    if distinct.limit(most + 1).count() > most:
+        return numbered(distinct, [F.col(label)], "class_id").select(label, F.col("class_id").cast("int").alias("class_id"))
+    classes = distinct.agg(F.sort_array(F.collect_list(label)).alias("c"))
     return classes.select(F.posexplode("c").alias("class_id", label)).select(label, "class_id")
 
 

@@ -288,6 +288,14 @@ SELECT class_id, count(*) AS n, count(DISTINCT session) AS sessions, {r6("avg(co
 k AS (SELECT *, CASE WHEN (SELECT min(n) FROM d) >= 3 THEN label ELSE '' END AS part_of FROM d),
 o AS (SELECT recording_id, label, row_number() OVER (PARTITION BY part_of ORDER BY md5('42:' || CAST(recording_id AS VARCHAR)), recording_id) AS place, floor(count(*) OVER (PARTITION BY part_of) * 0.3::DOUBLE + 0.5) AS gone FROM k)
 SELECT recording_id, label, CASE WHEN place > gone THEN 'train' WHEN place <= ceil(gone * 0.5) THEN 'validation' ELSE 'test' END AS part FROM o""",
+    "learning_rates": f"""WITH RECURSIVE {FRAMES},
+f AS (SELECT recording_id AS run, CAST(-1 AS BIGINT) AS epoch, CAST(0 AS DOUBLE) AS used, false AS trained, CAST(0.001 AS DOUBLE) AS rate, CAST('inf' AS DOUBLE) AS best, CAST('inf' AS DOUBLE) AS low, 0 AS wait, 0 AS idle FROM n
+  UNION ALL SELECT f.run, r.t, f.rate, f.idle < 10,
+    CASE WHEN f.idle < 10 AND NOT (r.x < f.best - 1e-4) AND f.wait = 4 THEN greatest(f.rate * CAST(0.5 AS DOUBLE), CAST(1e-6 AS DOUBLE)) ELSE f.rate END,
+    CASE WHEN f.idle < 10 AND r.x < f.best - 1e-4 THEN r.x ELSE f.best END, CASE WHEN f.idle < 10 AND r.x < f.low THEN r.x ELSE f.low END,
+    CASE WHEN r.x < f.best - 1e-4 OR f.wait = 4 THEN 0 ELSE f.wait + 1 END, CASE WHEN f.idle >= 10 THEN f.idle WHEN r.x < f.low THEN 0 ELSE f.idle + 1 END
+  FROM f JOIN fr r ON r.recording_id = f.run AND r.t = f.epoch + 1)
+SELECT run, CAST(epoch AS INTEGER) AS epoch, used AS learning_rate, trained FROM f WHERE epoch >= 0""",
     "recognised": recognised(windows("40")),
     "recognised_smooth": recognised(windows("40", SMOOTHED), "start % 10 = 0 AND (SELECT n FROM n WHERE n.recording_id = a.recording_id) >= 40", (2, "0.2", 2, True)),
     "recognised_aligned": recognised(ALIGNED, settings=(3, "0.9", 2, False), raw=ALIGNED_RAW),

@@ -253,6 +253,12 @@ def warped_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(neighbours.nearest_warped(rows.where("recording_id % 5 = 0"), rows.where("recording_id % 5 != 0"), 5, [WIDTH]))
 
 
+def learning_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plateaus of a series per recording, as if its values were an epoch's losses."""
+    log = glove(spark, sf_dir).select(F.col("recording_id").alias("run"), F.col("t").alias("epoch"), F.col("flex")[0].alias("val_loss"))
+    return metrics.schedule(log)
+
+
 def knn_recognised(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Warped neighbours with distance weights, from frames to debounced labels: windows of 40 frames one after the other."""
     rows = features.raw_table(windows.full_windows(glove(spark, sf_dir), WIDTH, WIDTH))
@@ -279,7 +285,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         window_features, quantile_window_features, trend_changes, raw_vectors, stream_windows, aligned_windows, padded, smoothed_flex, normalised_pads,
         channel_ranges, top_labels, exemplar_sizes, anchor_distances, wide_anchor_distances, label_codes, one_hot, scaled_vectors, knn_neighbours, knn_predictions,
         knn_weighted, bayes_predictions, class_report, confusion, metric_summary, debounced_mean, debounced_gate, time_warp, temporal_shift, augmented,
-        ranked_probabilities, decoded_labels, emission_summary, split_parts, recognised, recognised_smooth, recognised_aligned, warped_neighbours, knn_recognised, kernel_predictions, boosted_predictions,
+        ranked_probabilities, decoded_labels, emission_summary, split_parts, recognised, recognised_smooth, recognised_aligned, warped_neighbours, learning_rates, knn_recognised, kernel_predictions, boosted_predictions,
     )
     return {f.__name__: f for f in every}
 

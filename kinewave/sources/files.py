@@ -70,6 +70,12 @@ def write_tensors(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").partitionBy("part").parquet(path)
 
 
+def read_tensors(spark: SparkSession, path: str, part: str | None = None) -> DataFrame:
+    """What write_tensors() wrote; of one part, only its folder is read."""
+    rows = spark.read.parquet(path)
+    return rows if part is None else rows.where(F.col("part") == part).drop("part")
+
+
 def exemplar_json(gold: DataFrame, path: str) -> None:
     """label and gold (2-D list), one object a line."""
     gold.select("label", "gold").write.mode("overwrite").json(path)
@@ -95,6 +101,16 @@ def metadata(spark: SparkSession, **values) -> DataFrame:
     return spark.createDataFrame([{k: json.dumps(v, ensure_ascii=False) for k, v in values.items()}])
 
 
+def write_metadata(rows: DataFrame, path: str) -> None:
+    """The row of metadata() as one line of JSON, values as they were."""
+    rows.select(F.concat(F.lit("{"), F.concat_ws(", ", *[F.concat(F.lit(json.dumps(c) + ": "), F.col(c)) for c in rows.columns]), F.lit("}")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_metadata(spark: SparkSession, path: str) -> dict:
+    """Values by name; one small row comes to the driver."""
+    return json.loads(spark.read.text(path, wholetext=True).first()["value"])
+
+
 def training_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LOG).option("header", True).option("enforceSchema", False).csv(path) if path else spark.createDataFrame([], LOG)
 
