@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,14 +24,16 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Of each group of near-duplicates one row stays: that of the smallest doc_id, nulls last, whatever ids the others have.
 
     Rows are told apart by a key of their own, so repeated rows are copies, and of two texts under one doc_id each is
-    judged by itself. Among rows of one doc_id any one stays. Texts without words are no group.
+    judged by itself. Among rows of one doc_id any one stays. Texts without words are no group. The key's name is a new one,
+    so that no column of docs is lost.
     """
-    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    found = simhash.similar_rows(rows, SHINGLE, SIMILARITY, "_row")
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
-    stays = found.groupBy("root").agg(F.min_by("_row", order).alias("stays"))
-    gone = written(found.join(stays, "root").where("_row != stays").select("_row"), "gone", found)
-    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
+    key = f"row_{uuid.uuid4().hex}"
+    rows = written(docs.withColumn(key, F.monotonically_increasing_id()), "rows")
+    found = simhash.similar_rows(rows, SHINGLE, SIMILARITY, key)
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", key)
+    stays = found.groupBy("root").agg(F.min_by(key, order).alias("stays"))
+    gone = written(found.join(stays, "root").where(F.col(key) != F.col("stays")).select(key), "gone", found)
+    return rows.join(gone, key, "left_anti").select(*docs.columns)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -28,8 +28,8 @@ PREFIX_ENTRIES, BLOCK = 2_000_000, 20_000
 LEAST_BUCKETS = 1
 #: The parts by whose sizes two sets are compared before they meet: so many bits of a hash for sets below so many shingles.
 PART_BITS = ((400, 6), (6_000, 9), (1 << 62, 12))
-#: As many of them as go to the buckets of shingles with a node.
-COARSE = 4096
+#: Of them go to the buckets of shingles with a node: one for each four of its shingles, and so many at least and at most.
+COARSE = (64, 4096)
 #: Shingles of a node by which the first, inexact looks for similar nodes go.
 LOOKS = (4, 16)
 #: Members of a shingle beyond which pairs are made row by row.
@@ -373,9 +373,13 @@ def sizes_of_parts(shingles: np.ndarray) -> np.ndarray:
 
 
 def coarse(parts: bytes) -> bytes:
-    """sizes_of_parts() in a byte each, 255 standing for more, and in COARSE parts at most."""
+    """sizes_of_parts() in a byte each, 255 standing for more, joined to as many parts as COARSE says (a power of two).
+
+    They are sent along with each bucket of a node, so their number follows the node's own size.
+    """
     p = np.frombuffer(parts, "<u2").astype(np.int64)
-    return np.minimum(p.reshape(min(len(p), COARSE), -1).sum(axis=1), 255).astype(np.uint8).tobytes()
+    wanted = 1 << int(np.ceil(np.log2(min(max(p.sum() / 4, COARSE[0]), COARSE[1]))))
+    return np.minimum(p.reshape(min(len(p), wanted), -1).sum(axis=1), 255).astype(np.uint8).tobytes()
 
 
 def coarse_fit(own: dict[int, bytes], a: np.ndarray, b: np.ndarray, total: np.ndarray, least: float) -> np.ndarray:

@@ -209,3 +209,25 @@ def test_stages_of_empty_tables(spark, tmp_path):
     for table, schema in (("documents", "doc_id long, text string, lang string, source string, n_chars long"), ("labels", "doc_id long, quality int, toxic int")):
         spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{table}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_near_duplicates_keep_columns_of_any_name(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, text, 5), (2, text, 7), (3, "other words altogether here now", 9)], "doc_id long, text string, _row long")
+    got = corpus_pipeline.near_duplicate_stage(spark, docs, "")
+    assert sorted((r.doc_id, r._row) for r in got.collect()) == [(1, 5), (3, 9)]
+
+
+def test_coarse_parts_follow_the_size_of_a_set():
+    """Joined parts keep their sum; what they rule out is never similar enough."""
+    rng = np.random.default_rng(9)
+    for n in (3, 90, 399, 400, 1000, 5999, 6000, 30_000):
+        own = np.unique(rng.integers(0, 1 << 32, n).astype(np.uint32))
+        other = np.unique(np.concatenate([own[: int(0.92 * len(own))], rng.integers(0, 1 << 32, max(1, n // 20)).astype(np.uint32)]))
+        sets = {0: own, 1: other}
+        small = {k: simhash.coarse(simhash.sizes_of_parts(v).tobytes()) for k, v in sets.items()}
+        assert sum(small[0]) == len(own) or max(small[0]) == 255
+        assert len(small[0]) <= max(64, 2 * len(own))
+        both = len(np.intersect1d(own, other))
+        if both >= 0.8 * (len(own) + len(other) - both):
+            assert simhash.coarse_fit(small, np.array([0]), np.array([1]), np.array([len(own) + len(other)]), 0.8).all()
