@@ -10,7 +10,7 @@ from operator import add
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .numbering import MOST, numbered_within, segmented
+from .numbering import MOST, largest_of, numbered_within, segmented
 from .tables import stored
 
 EMISSIONS = "session long, window_id int, class_id int, confidence double"
@@ -57,7 +57,10 @@ def judged(rows: DataFrame, threshold: float, size: int, strict: bool, most: int
     """
     clean = F.transform("probs", lambda x: F.coalesce(x.cast("double"), F.lit(0.0)))
     own = rows.where("probs is not null and size(probs) > 0").select("session", "window_id", clean.alias("probs"))
-    largest = own.groupBy("session").count().agg(F.max("count")).first()[0] or 0
+    largest = largest_of(own, "window_id")
+    if largest is None:  # the rows may be dear to make, so they are made once
+        own = stored(own, "probabilities")
+        largest = own.groupBy("session").count().agg(F.max("count")).first()[0] or 0
     placed = segmented(numbered_within(own, ["session"], [F.col("window_id")], "place", most, largest=largest), "place", before=size - 1, length=length)
     gated = F.array_max("probs") < threshold
     near = Window.partitionBy("session", "_seg").orderBy("place").rowsBetween(1 - size, 0)

@@ -51,7 +51,7 @@ def from_events(events: DataFrame, most: int = MOST) -> DataFrame:
     return events.select(
         F.col("user_id").alias("recording_id"),
         (F.col("user_id") % 7).cast("int").alias("label"),
-        F.col("t").cast("int").alias("t"),
+        F.col("t").cast("int").alias("t", metadata=events.schema["t"].metadata),
         F.array(F.least(F.col("value") / 100, F.lit(1.0))).alias("flex"),
         touched(k % 6 - 1, REST_Z).alias("z"),
         touched(k * 20, REST_R).alias("r"),
