@@ -26,14 +26,16 @@ SLOTS, COMMON = 1 << 20, 16
 PREFIX_ENTRIES, BLOCK = 2_000_000, 20_000
 #: Buckets of shingles at least.
 LEAST_BUCKETS = 1
-#: The parts by whose sizes two sets are compared before they meet: so many bits of a hash for sets below so many shingles.
-PART_BITS = ((400, 6), (6_000, 9), (1 << 62, 12))
-#: Of them go to the buckets of shingles with a node: one for each four of its shingles, and so many at least and at most.
-COARSE = (64, 4096)
+#: Bits by whose parities two sets are compared before they meet: what a node sends to each of its buckets does not grow.
+PARITIES = 256
+#: Shingles before its own that an entry names, so that a pair that shares one of them is left to that one's bucket.
+EARLIER = 4
 #: Shingles of a node by which the first, inexact looks for similar nodes go.
 LOOKS = (4, 16)
-#: Members of a shingle beyond which pairs are made row by row.
-LARGE = 64
+#: Members of a shingle beyond which pairs are made row by row; pairs whose earlier shingles are compared at a time.
+LARGE, CHECKED = 64, 1 << 20
+#: Stands for no earlier shingle; a shingle of this hash leaves no pair to its bucket, so some pairs are made twice.
+NOTHING = np.uint32(0xFFFFFFFF)
 
 
 def shingle_hashes(text: str, shingle: int = SHINGLE) -> np.ndarray:
@@ -250,10 +252,23 @@ def next_of_keys(keys: np.ndarray, node: np.ndarray, group: np.ndarray, size: np
     return found[:, 0], found[:, 1]
 
 
-def pairs_of_keys(keys: np.ndarray, node: np.ndarray, group: np.ndarray, size: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct pairs of nodes of different groups that share a key, each no larger than the other allows (`most`)."""
+def share_earlier(mine: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Which rows of two tables (n, EARLIER) name a shingle in common; NOTHING is none."""
+    out = np.zeros(len(mine), bool)
+    for i in range(mine.shape[1]):
+        for j in range(other.shape[1]):
+            out |= (mine[:, i] == other[:, j]) & (mine[:, i] != NOTHING)
+    return out
+
+
+def pairs_of_keys(keys: np.ndarray, node: np.ndarray, group: np.ndarray, size: np.ndarray, most: np.ndarray, earlier: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs of nodes of different groups that share a key, each no larger than the other allows (`most`).
+
+    Two entries that name a shingle in common (`earlier`: what came just before, in each node's own order) make no pair: both
+    nodes have an entry for that shingle as well, with more room, and so are a pair there or, in turn, at one yet earlier.
+    """
     order = np.lexsort((group, keys))
-    keys, node, group, size, most = (x[order] for x in (keys, node, group, size, most))
+    keys, node, group, size, most, earlier = (x[order] for x in (keys, node, group, size, most, earlier))
     new = np.concatenate([[True], keys[1:] != keys[:-1]])
     heads = np.flatnonzero(new)
     sizes = np.diff(np.append(heads, len(keys)))
@@ -262,6 +277,8 @@ def pairs_of_keys(keys: np.ndarray, node: np.ndarray, group: np.ndarray, size: n
     out = [np.empty((0, 2), np.int64)]
 
     def keep(x: np.ndarray, y: np.ndarray) -> None:
+        first = np.concatenate([np.empty(0, bool), *(~share_earlier(earlier[x[s : s + CHECKED]], earlier[y[s : s + CHECKED]]) for s in range(0, len(x), CHECKED))])
+        x, y = x[first], y[first]
         out.append(np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y])], axis=1))
         if sum(map(len, out[1:])) > PREFIX_ENTRIES:
             out[:] = [np.unique(np.concatenate(out), axis=0), np.empty((0, 2), np.int64)]
@@ -293,8 +310,9 @@ def prefix_pairs(nodes: DataFrame, groups: DataFrame | None, least: float, few:
     Exact, by a prefix filter: shingles have one order, rare ones first. If a pair's first common shingle is the i-th of n,
     at most n - i are common, so the other set has at most (n - i)(1 + least) / least - n. A node has an entry for each
     shingle that leaves room for a set of least * n, and two that share such a shingle are a pair if each fits the other,
-    and if the sizes of their parts do not rule it out: where these differ by d in all, sets of n and m shingles have at
-    most (n + m - d) / 2 in common.
+    and if parities do not rule it out: a bit says whether a node has an odd number of shingles in a part of the hashes, and
+    where d bits differ, sets of n and m shingles have at most (n + m - d) / 2 in common. What goes to a bucket has one size
+    for each entry, however many buckets there are, and a pair is made in about one of the buckets that it shares.
     Nothing is joined here. A shingle of more than BLOCK nodes is dealt to salted blocks, and each two blocks meet.
 
     With `few`, only so many of a node's shingles count, blocks meet no others, and each node is paired with the next by size
@@ -303,10 +321,11 @@ def prefix_pairs(nodes: DataFrame, groups: DataFrame | None, least: float, few:
     slots, counts = common_slots(nodes)
     longest = nodes.agg(F.sum("n")).first()[0] or 0
     buckets = max(LEAST_BUCKETS, int(longest * (1 - least)) // PREFIX_ENTRIES + 1)
-    grouped = nodes.select("node", F.col("node").alias("group"), "shingles", "parts")
+    grouped = nodes.select("node", F.col("node").alias("group"), "shingles", "parities")
     if groups is not None:
-        grouped = nodes.select("node", "shingles", "parts").join(groups, "node", "left").select("node", F.coalesce("root", "node").alias("group"), "shingles", "parts")
-    schema = pa.schema([("bucket", pa.int64()), *((k, pa.binary()) for k in ("keys", "nodes", "groups", "sizes", "most")), ("own", pa.binary()), ("parts", pa.list_(pa.binary()))])
+        grouped = nodes.select("node", "shingles", "parities").join(groups, "node", "left").select("node", F.coalesce("root", "node").alias("group"), "shingles", "parities")
+    columns = ("shingle", "salts", "nodes", "groups", "sizes", "most", "earlier", "parities")
+    schema = pa.schema([("bucket", pa.int64()), *((k, pa.binary()) for k in columns)])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(SLOTS, np.uint64)
@@ -321,10 +340,13 @@ def prefix_pairs(nodes: DataFrame, groups: DataFrame | None, least: float, few:
                 order = np.argsort(np.minimum(often, np.uint64(0xFFFFFFFF)) << np.uint64(32) | own.astype(np.uint64))
                 room = np.floor((n - np.arange(n)) * ((1 + least) / least) - n + 1e-6).astype(np.int64)
                 first = order[: int((room >= least * n - 1e-6).sum())][:few]
-                made.append((own[first].astype(np.uint64) << np.uint64(32), np.full(len(first), k), room[: len(first)], np.full(len(first), n), -(-often[first].astype(np.int64) // BLOCK)))
+                before = np.full((len(first), EARLIER), NOTHING)
+                for back in range(1, EARLIER + 1):
+                    before[back:, back - 1] = own[first[: max(len(first) - back, 0)]]
+                made.append((own[first].astype(np.uint64) << np.uint64(32), np.full(len(first), k), room[: len(first)], np.full(len(first), n), before, -(-often[first].astype(np.int64) // BLOCK)))
             if not made:
                 continue
-            key, owner, most, size, blocks = (np.concatenate(x) for x in zip(*made, strict=True))
+            key, owner, most, size, earlier, blocks = (np.concatenate(x) for x in zip(*made, strict=True))
             hot = np.flatnonzero(blocks > 1)
             if len(hot):
                 times = blocks[hot] if few is None else np.ones(len(hot), np.int64)
@@ -336,72 +358,54 @@ def prefix_pairs(nodes: DataFrame, groups: DataFrame | None, least: float, few:
                 alone = np.flatnonzero(blocks <= 1)
                 place = np.concatenate([alone, again])
                 key = np.concatenate([key[alone], key[again] | salt])
-                owner, most, size = owner[place], most[place], size[place]
+                owner, most, size, earlier = owner[place], most[place], size[place], earlier[place]
             bucket = ((key ^ key >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(33)).astype(np.int64) % buckets
             order = np.argsort(bucket, kind="stable")
-            bucket, key, owner, most, size = (x[order] for x in (bucket, key, owner, most, size))
+            bucket, key, owner, most, size, earlier = (x[order] for x in (bucket, key, owner, most, size, earlier))
             cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])).tolist()
             rows: dict[str, list] = {name: [] for name in schema.names}
-            parts = [coarse(x) for x in batch.column(3).to_pylist()]
+            parities = batch.column(3).to_pylist()
             for a, b in zip(cuts, [*cuts[1:], len(bucket)], strict=True):
-                own = np.unique(owner[a:b])
-                values = (key[a:b], node[owner[a:b]], group[owner[a:b]], size[a:b].astype(np.int32), most[a:b].astype(np.int32))
-                for column, value in zip(rows.values(), (int(bucket[a]), *(v.tobytes() for v in values), node[own].tobytes(), [parts[k] for k in own]), strict=True):
+                at = owner[a:b]
+                own = at[np.unique(node[at], return_index=True)[1]]
+                values = (key[a:b] >> np.uint64(32), key[a:b] & NOTHING), (node[at], group[at]), (size[a:b], most[a:b])
+                packed = [x.astype(kind).tobytes() for pair, kind in zip(values, (np.uint32, np.int64, np.int32), strict=True) for x in pair]
+                for column, value in zip(rows.values(), (int(bucket[a]), *packed, earlier[a:b].tobytes(), b"".join(parities[k] for k in own)), strict=True):
                     column.append(value)
             yield pa.RecordBatch.from_pydict(rows, schema=schema)
 
     def join(table: pa.Table) -> pa.Table:
         whole = lambda name, kind: np.frombuffer(b"".join(table[name].to_pylist()), kind)
-        keys, node, group, size, most = whole("keys", np.uint64), whole("nodes", np.int64), whole("groups", np.int64), whole("sizes", np.int32), whole("most", np.int32)
-        a, b = pairs_of_keys(keys, node, group, size, most) if few is None else next_of_keys(keys, node, group, size)
-        order = np.argsort(node, kind="stable")
-        of = lambda x: size[order[np.searchsorted(node, x, sorter=order)]].astype(np.int64)
-        own = dict(zip(whole("own", np.int64).tolist(), (x for row in table["parts"].to_pylist() for x in row), strict=True))
-        fit = coarse_fit(own, a, b, of(a) + of(b), least)
-        a, b = a[fit], b[fit]
-        return pa.table({"a": a, "b": b})
+        keys = whole("shingle", np.uint32).astype(np.uint64) << np.uint64(32) | whole("salts", np.uint32)
+        node, group, size, most = whole("nodes", np.int64), whole("groups", np.int64), whole("sizes", np.int32), whole("most", np.int32)
+        a, b = pairs_of_keys(keys, node, group, size, most, whole("earlier", np.uint32).reshape(-1, EARLIER)) if few is None else next_of_keys(keys, node, group, size)
+        known = np.concatenate([np.unique(np.frombuffer(x, np.int64)) for x in table["nodes"].to_pylist()])  # as each row has its nodes' parities
+        order, places = np.argsort(known, kind="stable"), np.argsort(node, kind="stable")
+        of = lambda x: size[places[np.searchsorted(node, x, sorter=places)]].astype(np.int64)
+        at = lambda x: order[np.searchsorted(known, x, sorter=order)]
+        fit = may_be_similar(whole("parities", np.uint64).reshape(len(known), -1), at(a), at(b), of(a) + of(b), least)
+        return pa.table({"a": a[fit], "b": b[fit]})
 
     small_batches(nodes.sparkSession)
-    packed = grouped.mapInArrow(emit, "bucket long, keys binary, nodes binary, groups binary, sizes binary, most binary, own binary, parts array<binary>")
+    packed = grouped.mapInArrow(emit, "bucket long, " + ", ".join(f"{k} binary" for k in columns))
     return packed.groupBy("bucket").applyInArrow(join, "a long, b long").distinct()
 
 
-def sizes_of_parts(shingles: np.ndarray) -> np.ndarray:
-    """How many shingles are in each of 2**bits ranges of hashes, 65,535 standing for more."""
-    bits = next(b for limit, b in PART_BITS if len(shingles) < limit)
-    return np.minimum(np.bincount(shingles >> np.uint32(32 - bits), minlength=1 << bits), 65_535).astype("<u2")
+def parities_of(shingles: np.ndarray) -> np.ndarray:
+    """PARITIES bits: whether the set has an odd number of the hashes that leave this remainder."""
+    return np.packbits(np.bincount(shingles & np.uint32(PARITIES - 1), minlength=PARITIES) & 1)
 
 
-def coarse(parts: bytes) -> bytes:
-    """sizes_of_parts() in a byte each, 255 standing for more, joined to as many parts as COARSE says (a power of two).
+def may_be_similar(parities: np.ndarray, a: np.ndarray, b: np.ndarray, total: np.ndarray, least: float) -> np.ndarray:
+    """Which pairs (rows a and b of parities, of `total` shingles together) may have a similarity of `least`.
 
-    They are sent along with each bucket of a node, so their number follows the node's own size.
+    Each shingle that only one of the two sets has turns one bit, so as many bits differ as there are such shingles at most.
     """
-    p = np.frombuffer(parts, "<u2").astype(np.int64)
-    wanted = 1 << int(np.ceil(np.log2(min(max(p.sum() / 4, COARSE[0]), COARSE[1]))))
-    return np.minimum(p.reshape(min(len(p), wanted), -1).sum(axis=1), 255).astype(np.uint8).tobytes()
-
-
-def coarse_fit(own: dict[int, bytes], a: np.ndarray, b: np.ndarray, total: np.ndarray, least: float) -> np.ndarray:
-    """Which pairs of nodes (of `total` shingles together) may have a similarity of `least`, by coarse() of each node."""
-    nodes = np.array(sorted(own), np.int64)
-    every = [np.frombuffer(own[n], np.uint8) for n in nodes.tolist()]
-    full, widths = np.array([x.max() == 255 for x in every], bool), np.array([len(x) for x in every], np.int64)
-    levels = []
-    for width in np.unique(widths).tolist():
-        place = np.full(len(every), -1)
-        place[widths >= width] = np.arange(int((widths >= width).sum()))
-        levels.append((place, np.array([x.reshape(width, -1).sum(axis=1, dtype=np.int16) for x in every if len(x) >= width], np.int16)))
     out = np.ones(len(a), bool)
-    for s in range(0, len(a), 2048):
-        i, j = np.searchsorted(nodes, a[s : s + 2048]), np.searchsorted(nodes, b[s : s + 2048])
-        apart = np.zeros(len(i), np.int64)
-        for place, sizes in levels:
-            both = np.flatnonzero((place[i] >= 0) & (place[j] >= 0))
-            if len(both):
-                apart[both] = np.abs(sizes[place[i[both]]] - sizes[place[j[both]]]).sum(axis=1, dtype=np.int64)
-        t = total[s : s + 2048]
-        out[s : s + 2048] = (t - apart >= 2 * least / (1 + least) * t - 1e-6) | full[i] | full[j]
+    for s in range(0, len(a), CHECKED):
+        here = slice(s, s + CHECKED)
+        differ = np.bitwise_count(parities[a[here]] ^ parities[b[here]]).sum(axis=1, dtype=np.int64)
+        out[here] = total[here] - differ >= 2 * least / (1 + least) * total[here] - 1e-6
     return out
 
 
@@ -513,23 +517,23 @@ def similar_rows(docs: DataFrame, shingle: int = 5, least: float = 0.8, key: str
         import xxhash
 
         def each(cols: dict) -> dict:
-            out: dict[str, list] = {name: [] for name in ("doc_id", *keys, "node", "fp", "parts", "shingles")}
+            out: dict[str, list] = {name: [] for name in ("doc_id", *keys, "node", "fp", "parities", "shingles")}
             own = zip(*(cols[name] for name in ("doc_id", *keys)), strict=True)
             for ids, text in zip(own, cols["text"], strict=True):
                 hashes = shingle_hashes(text, shingle)
                 if len(hashes):
                     short = np.unique((np.unique(hashes) >> np.uint64(32)).astype(np.uint32))
                     fp = int(majority(hashes).view(np.int64)[0])
-                    for column, value in zip(out.values(), (*ids, xxhash.xxh64_intdigest(np.unique(hashes).tobytes()) - (1 << 63), fp, sizes_of_parts(short).tobytes(), short.tobytes()), strict=True):
+                    for column, value in zip(out.values(), (*ids, xxhash.xxh64_intdigest(np.unique(hashes).tobytes()) - (1 << 63), fp, parities_of(short).tobytes(), short.tobytes()), strict=True):
                         column.append(value)
             return out
 
         return each
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keys, text_of().alias("text"))
-    sketches = written(map_rows(texts, make, f"doc_id long, {''.join(f'{k} long, ' for k in keys)}node long, fp long, parts binary, shingles binary"), "sketches")
+    sketches = written(map_rows(texts, make, f"doc_id long, {''.join(f'{k} long, ' for k in keys)}node long, fp long, parities binary, shingles binary"), "sketches")
     rows = written(sketches.select("doc_id", *keys, "node"), "rows")
-    nodes = written(sketches.select("node", "fp", "parts", (F.octet_length("shingles") / 4).cast("long").alias("n"), "shingles").dropDuplicates(["node"]), "nodes", sketches)
+    nodes = written(sketches.select("node", "fp", "parities", (F.octet_length("shingles") / 4).cast("long").alias("n"), "shingles").dropDuplicates(["node"]), "nodes", sketches)
     found = similar_enough(near_links(nodes), nodes, least)
     for few in (*LOOKS, None):
         roots = components(found)

@@ -116,11 +116,12 @@ def test_pairs_of_keys_are_all_pairs_of_different_groups():
     keys, node = rng.integers(0, 4, 600).astype(np.uint64), np.arange(600)
     group, size, most = rng.integers(0, 200, 600), rng.integers(10, 20, 600), rng.integers(8, 20, 600)
     group[rng.random(600) < 0.5] = 7
+    none = np.full((600, simhash.EARLIER), simhash.NOTHING)
     want = {(i, j) for j in range(600) for i in range(j) if keys[i] == keys[j] and group[i] != group[j] and size[i] <= most[j] and size[j] <= most[i]}
     for large in (3, 1000):
         with pytest.MonkeyPatch.context() as patch:
             patch.setattr(simhash, "LARGE", large)
-            assert set(zip(*map(np.ndarray.tolist, simhash.pairs_of_keys(keys, node, group, size, most)), strict=True)) == want
+            assert set(zip(*map(np.ndarray.tolist, simhash.pairs_of_keys(keys, node, group, size, most, none)), strict=True)) == want
 
 
 def test_next_of_keys_pairs_neighbours_of_different_groups():
@@ -128,21 +129,42 @@ def test_next_of_keys_pairs_neighbours_of_different_groups():
     assert set(zip(*map(np.ndarray.tolist, simhash.next_of_keys(keys, node, group, size)), strict=True)) == {(1, 2), (0, 2), (3, 4)}
 
 
-def test_sizes_of_parts_never_rule_out_similar_sets():
-    rng = np.random.default_rng(2)
-    ruled_out = 0
-    for n in (1, 5, 390, 410, 3000, 5990, 7000):
+def test_pairs_are_left_to_the_bucket_of_an_earlier_shingle():
+    """A pair of the same shingles in a row is made at the first of them alone; one that only meets later, there."""
+    own = {0: [1, 2, 3, 4, 5, 6, 7], 1: [1, 2, 3, 4, 5, 6, 7], 2: [9, 11, 12, 13, 14, 15, 7], 3: [8, 2, 3]}
+    entries = [(k, n, [own[n][i - back] if i >= back else simhash.NOTHING for back in range(1, simhash.EARLIER + 1)]) for n in own for i, k in enumerate(own[n])]
+    made = []
+    for key in range(1, 16):
+        here = [e for e in entries if e[0] == key]
+        if here:
+            node, n = np.array([e[1] for e in here]), np.full(len(here), 10)
+            before = np.array([e[2] for e in here], np.uint32)
+            made += [(key, a, b) for a, b in zip(*map(np.ndarray.tolist, simhash.pairs_of_keys(np.full(len(here), key, np.uint64), node, node, n, n, before)), strict=True)]
+    assert made == [(1, 0, 1), (2, 0, 3), (2, 1, 3), (7, 0, 2), (7, 1, 2)]
+
+
+def test_parities_never_rule_out_similar_sets():
+    rng, ruled_out = np.random.default_rng(2), Counter()
+    for n in (1, 5, 90, 399, 400, 3000, 30_000):
         for changed in (0.02, 0.1, 0.12, 0.5):
             x = np.unique(rng.integers(0, 1 << 32, n, dtype=np.uint64).astype(np.uint32))
             y = np.unique(np.concatenate([x[: int(len(x) * (1 - changed))], rng.integers(0, 1 << 32, int(n * changed * rng.random()), dtype=np.uint64).astype(np.uint32)]))
-            if not len(y):
-                continue
-            both = len(np.intersect1d(x, y))
-            own = {k: simhash.coarse(simhash.sizes_of_parts(v).tobytes()) for k, v in ((3, x), (8, y))}
-            may = bool(simhash.coarse_fit(own, np.array([3]), np.array([8]), np.array([len(x) + len(y)]), 0.8)[0])
-            assert may or both < 0.8 * (len(x) + len(y) - both)
-            ruled_out += not may
-    assert ruled_out >= 4
+            if len(y):
+                both = len(np.intersect1d(x, y))
+                bits = np.stack([simhash.parities_of(v) for v in (x, y)]).view(np.uint64)
+                may = simhash.may_be_similar(bits, np.array([0]), np.array([1]), np.array([len(x) + len(y)]), 0.8)[0]
+                assert may or both < 0.8 * (len(x) + len(y) - both)
+                ruled_out[n] += not may
+    assert ruled_out[90] and ruled_out[399]
+
+
+def test_pairs_do_not_depend_on_the_number_of_buckets(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    found = []
+    for entries in (2_000_000, 500):
+        monkeypatch.setattr(simhash, "PREFIX_ENTRIES", entries)
+        found.append({r.doc_id: r.component_id for r in simhash.similar_groups(docs).collect()})
+    assert found[0] == found[1] and len(found[0]) > len(set(found[0].values()))
 
 
 def test_similar_groups_of_edge_rows(spark):
@@ -216,18 +238,3 @@ def test_near_duplicates_keep_columns_of_any_name(spark):
     docs = spark.createDataFrame([(1, text, 5), (2, text, 7), (3, "other words altogether here now", 9)], "doc_id long, text string, _row long")
     got = corpus_pipeline.near_duplicate_stage(spark, docs, "")
     assert sorted((r.doc_id, r._row) for r in got.collect()) == [(1, 5), (3, 9)]
-
-
-def test_coarse_parts_follow_the_size_of_a_set():
-    """Joined parts keep their sum; what they rule out is never similar enough."""
-    rng = np.random.default_rng(9)
-    for n in (3, 90, 399, 400, 1000, 5999, 6000, 30_000):
-        own = np.unique(rng.integers(0, 1 << 32, n).astype(np.uint32))
-        other = np.unique(np.concatenate([own[: int(0.92 * len(own))], rng.integers(0, 1 << 32, max(1, n // 20)).astype(np.uint32)]))
-        sets = {0: own, 1: other}
-        small = {k: simhash.coarse(simhash.sizes_of_parts(v).tobytes()) for k, v in sets.items()}
-        assert sum(small[0]) == len(own) or max(small[0]) == 255
-        assert len(small[0]) <= max(64, 2 * len(own))
-        both = len(np.intersect1d(own, other))
-        if both >= 0.8 * (len(own) + len(other) - both):
-            assert simhash.coarse_fit(small, np.array([0]), np.array([1]), np.array([len(own) + len(other)]), 0.8).all()
