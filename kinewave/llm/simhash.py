@@ -26,10 +26,11 @@ SLOTS, COMMON = 1 << 20, 16
 PREFIX_ENTRIES, BLOCK = 2_000_000, 20_000
 #: Buckets of shingles at least.
 LEAST_BUCKETS = 1
-#: Bits by whose parities two sets are compared before they meet: what a node sends to each of its buckets does not grow.
-PARITIES = 256
+#: Bits by whose parities two sets are compared before they meet, and the largest sets that send them: in larger ones, about
+#: half of the bits differ for any two sets, which rules out nothing.
+PARITIES, SMALL = 256, 576
 #: Shingles before its own that an entry names, so that a pair that shares one of them is left to that one's bucket.
-EARLIER = 4
+EARLIER = 3
 #: Shingles of a node by which the first, inexact looks for similar nodes go.
 LOOKS = (4, 16)
 #: Members of a shingle beyond which pairs are made row by row; pairs whose earlier shingles are compared at a time.
@@ -367,10 +368,11 @@ def prefix_pairs(nodes: DataFrame, groups: DataFrame | None, least: float, few:
             parities = batch.column(3).to_pylist()
             for a, b in zip(cuts, [*cuts[1:], len(bucket)], strict=True):
                 at = owner[a:b]
-                own = at[np.unique(node[at], return_index=True)[1]]
+                less = at[size[a:b] <= SMALL]
+                own = less[np.unique(node[less], return_index=True)[1]]
                 values = (key[a:b] >> np.uint64(32), key[a:b] & NOTHING), (node[at], group[at]), (size[a:b], most[a:b])
                 packed = [x.astype(kind).tobytes() for pair, kind in zip(values, (np.uint32, np.int64, np.int32), strict=True) for x in pair]
-                for column, value in zip(rows.values(), (int(bucket[a]), *packed, earlier[a:b].tobytes(), b"".join(parities[k] for k in own)), strict=True):
+                for column, value in zip(rows.values(), (int(bucket[a]), *packed, earlier[a:b].tobytes() if few is None else b"", b"".join(parities[k] for k in own)), strict=True):
                     column.append(value)
             yield pa.RecordBatch.from_pydict(rows, schema=schema)
 
@@ -379,11 +381,13 @@ def prefix_pairs(nodes: DataFrame, groups: DataFrame | None, least: float, few:
         keys = whole("shingle", np.uint32).astype(np.uint64) << np.uint64(32) | whole("salts", np.uint32)
         node, group, size, most = whole("nodes", np.int64), whole("groups", np.int64), whole("sizes", np.int32), whole("most", np.int32)
         a, b = pairs_of_keys(keys, node, group, size, most, whole("earlier", np.uint32).reshape(-1, EARLIER)) if few is None else next_of_keys(keys, node, group, size)
-        known = np.concatenate([np.unique(np.frombuffer(x, np.int64)) for x in table["nodes"].to_pylist()])  # as each row has its nodes' parities
-        order, places = np.argsort(known, kind="stable"), np.argsort(node, kind="stable")
-        of = lambda x: size[places[np.searchsorted(node, x, sorter=places)]].astype(np.int64)
-        at = lambda x: order[np.searchsorted(known, x, sorter=order)]
-        fit = may_be_similar(whole("parities", np.uint64).reshape(len(known), -1), at(a), at(b), of(a) + of(b), least)
+        order = np.argsort(node, kind="stable")
+        of = lambda x: size[order[np.searchsorted(node, x, sorter=order)]].astype(np.int64)
+        small = [np.frombuffer(x, np.int64)[np.frombuffer(n, np.int32) <= SMALL] for x, n in zip(table["nodes"].to_pylist(), table["sizes"].to_pylist(), strict=True)]
+        own = np.concatenate([np.unique(x) for x in small])  # as each row has the parities of its nodes
+        x, y, fit = placed(own, a), placed(own, b), np.ones(len(a), bool)
+        both = np.flatnonzero((x >= 0) & (y >= 0))
+        fit[both] = may_be_similar(whole("parities", np.uint64).reshape(-1, PARITIES // 64), x[both], y[both], of(a[both]) + of(b[both]), least)
         return pa.table({"a": a[fit], "b": b[fit]})
 
     small_batches(nodes.sparkSession)
@@ -391,6 +395,15 @@ def prefix_pairs(nodes: DataFrame, groups: DataFrame | None, least: float, few:
     return packed.groupBy("bucket").applyInArrow(join, "a long, b long").distinct()
 
 
+def placed(own: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """A place of each wanted value in own, -1 if it has none."""
+    if not len(own):
+        return np.full(len(wanted), -1)
+    order = np.argsort(own, kind="stable")
+    at = order[np.minimum(np.searchsorted(own, wanted, sorter=order), len(own) - 1)]
+    return np.where(own[at] == wanted, at, -1)
+
+
 def parities_of(shingles: np.ndarray) -> np.ndarray:
     """PARITIES bits: whether the set has an odd number of the hashes that leave this remainder."""
     return np.packbits(np.bincount(shingles & np.uint32(PARITIES - 1), minlength=PARITIES) & 1)
