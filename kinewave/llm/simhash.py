@@ -29,6 +29,8 @@ LEAST_BUCKETS = 1
 #: Bits by whose parities two sets are compared before they meet, and the largest sets that send them: in larger ones, about
 #: half of the bits differ for any two sets, which rules out nothing.
 PARITIES, SMALL = 256, 576
+#: Bits by whose parities a pair is compared before its whole sets are, at most.
+MOST_PARITIES = 1 << 15
 #: Shingles before its own that an entry names, so that a pair that shares one of them is left to that one's bucket.
 EARLIER = 3
 #: Shingles of a node by which the first, inexact looks for similar nodes go.
@@ -404,9 +406,37 @@ def placed(own: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(own[at] == wanted, at, -1)
 
 
-def parities_of(shingles: np.ndarray) -> np.ndarray:
-    """PARITIES bits: whether the set has an odd number of the hashes that leave this remainder."""
-    return np.packbits(np.bincount(shingles & np.uint32(PARITIES - 1), minlength=PARITIES) & 1)
+def parities_of(shingles: np.ndarray, bits: int = PARITIES) -> np.ndarray:
+    """So many bits (a power of two): whether the set has an odd number of the hashes that leave this remainder."""
+    return np.packbits(np.bincount(shingles & np.uint32(bits - 1), minlength=bits) & 1)
+
+
+def fine_bits(n: int) -> int:
+    """Parities by which a set of n shingles is compared once it is in a pair: as many as shingles, MOST_PARITIES at most."""
+    return min(max(PARITIES, 1 << (n - 1).bit_length()), MOST_PARITIES)
+
+
+def likely(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """The pairs a, b that fine parities (a bit a shingle, where the set itself has 32) do not rule out.
+
+    pairs is a table of written(), distinct, which is removed here; what is returned is one as well.
+    """
+
+    def same():
+        def each(cols: dict) -> dict:
+            ok = []
+            for x, y, total in zip(cols["x"], cols["y"], cols["total"], strict=True):
+                x, y = sorted((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)), key=len)
+                differ = int(np.bitwise_count(np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0) ^ x).sum())
+                ok.append(total - differ >= 2 * least / (1 + least) * total - 1e-6)
+            return {"a": cols["a"], "b": cols["b"], "ok": ok}
+
+        return each
+
+    small_batches(pairs.sparkSession)
+    of = lambda side, name: nodes.select(F.col("node").alias(side), F.col("fine").alias(name), F.col("n").alias(f"n{side}"))
+    full = pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", "x", "y", (F.col("na") + F.col("nb")).alias("total"))
+    return written(map_rows(full, same, "a long, b long, ok boolean").where("ok").select("a", "b"), "likely", pairs)
 
 
 def may_be_similar(parities: np.ndarray, a: np.ndarray, b: np.ndarray, total: np.ndarray, least: float) -> np.ndarray:
@@ -530,27 +560,28 @@ def similar_rows(docs: DataFrame, shingle: int = 5, least: float = 0.8, key: str
         import xxhash
 
         def each(cols: dict) -> dict:
-            out: dict[str, list] = {name: [] for name in ("doc_id", *keys, "node", "fp", "parities", "shingles")}
+            out: dict[str, list] = {name: [] for name in ("doc_id", *keys, "node", "fp", "parities", "fine", "shingles")}
             own = zip(*(cols[name] for name in ("doc_id", *keys)), strict=True)
             for ids, text in zip(own, cols["text"], strict=True):
                 hashes = shingle_hashes(text, shingle)
                 if len(hashes):
                     short = np.unique((np.unique(hashes) >> np.uint64(32)).astype(np.uint32))
                     fp = int(majority(hashes).view(np.int64)[0])
-                    for column, value in zip(out.values(), (*ids, xxhash.xxh64_intdigest(np.unique(hashes).tobytes()) - (1 << 63), fp, parities_of(short).tobytes(), short.tobytes()), strict=True):
+                    for column, value in zip(out.values(), (*ids, xxhash.xxh64_intdigest(np.unique(hashes).tobytes()) - (1 << 63), fp, parities_of(short).tobytes(), parities_of(short, fine_bits(len(short))).tobytes(), short.tobytes()), strict=True):
                         column.append(value)
             return out
 
         return each
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keys, text_of().alias("text"))
-    sketches = written(map_rows(texts, make, f"doc_id long, {''.join(f'{k} long, ' for k in keys)}node long, fp long, parities binary, shingles binary"), "sketches")
+    sketches = written(map_rows(texts, make, f"doc_id long, {''.join(f'{k} long, ' for k in keys)}node long, fp long, parities binary, fine binary, shingles binary"), "sketches")
     rows = written(sketches.select("doc_id", *keys, "node"), "rows")
-    nodes = written(sketches.select("node", "fp", "parities", (F.octet_length("shingles") / 4).cast("long").alias("n"), "shingles").dropDuplicates(["node"]), "nodes", sketches)
+    nodes = written(sketches.select("node", "fp", "parities", "fine", (F.octet_length("shingles") / 4).cast("long").alias("n"), "shingles").dropDuplicates(["node"]), "nodes", sketches)
     found = similar_enough(near_links(nodes), nodes, least)
     for few in (*LOOKS, None):
         roots = components(found)
-        more = similar_enough(written(prefix_pairs(nodes, roots, least, few), "candidates"), nodes, least)
+        pairs = written(prefix_pairs(nodes, roots, least, few), "candidates")
+        more = similar_enough(likely(pairs, nodes, least) if few is None else pairs, nodes, least)
         known = roots.select(F.col("root").alias("a"), F.col("node").alias("b"))
         found = written(more.unionByName(known), "verified", more, roots, found)
     roots = components(found)
