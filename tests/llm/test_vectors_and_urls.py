@@ -119,6 +119,58 @@ def test_cover_tree_holds_its_levels():
     assert (topk.dual_search(queries, tree, np.arange(len(points)), 5, kth).score == best.score).all()
 
 
+def test_cover_trees_of_the_table_have_nodes(spark, sf):
+    """In 64 dimensions, where no ball is half as wide, levels hold as well, and no query group loses a neighbour."""
+    points = np.unique(np.floor(np.array([r.embedding for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("embedding").collect()], float) * 256), axis=0)
+    tree = topk.CoverTree.built(points, leaf=8, base=topk.BASE)
+    inner = [n for n, below in enumerate(tree.children) if len(below) > 1]
+    assert inner and max(len(tree.children[n]) for n in inner) < len(points)
+    for n, (a, b) in enumerate(tree.slice):
+        own = points[tree.order[a:b]]
+        assert np.linalg.norm(own - tree.centres[n], axis=1).max() == pytest.approx(tree.radii[n])
+        cosines = own @ tree.centres[n] / np.linalg.norm(own, axis=1) / tree.norms[n]
+        assert np.arccos(np.clip(cosines.min(), -1, 1)) == pytest.approx(tree.nodes["angle"][n], abs=1e-6)
+    queries = topk.CoverTree.built(points[::7], leaf=8, base=topk.BASE)
+    best = topk.dual_search(queries, tree, np.arange(len(points)), 5)
+    assert (best.score == -np.sort(-(points[::7] @ points.T), axis=1)[:, :5]).all()
+
+
+def test_cones_prune_what_balls_do_not():
+    """Narrow beams of very unequal lengths: balls around them are wide, cones are not."""
+    rng = np.random.default_rng(6)
+    beams = rng.standard_normal((16, 24))
+    points = np.unique(np.floor(np.concatenate([(b / np.linalg.norm(b) + rng.normal(0, 0.004, (200, 24))) * rng.uniform(500, 2000, (200, 1)) for b in beams])), axis=0)
+    tree, queries = topk.CoverTree.built(points, leaf=16, base=topk.BASE), topk.CoverTree.built(points[::40], leaf=4, base=topk.BASE)
+    best = topk.dual_search(queries, tree, np.arange(len(points)), 5)
+    assert (best.score == -np.sort(-(points[::40] @ points.T), axis=1)[:, :5]).all()
+    flat = topk.CoverTree(tree.points, tree.order, tree.nodes.copy())
+    flat.nodes["angle"] = np.pi
+    balls = topk.dual_search(queries, flat, np.arange(len(points)), 5)
+    assert (balls.score == best.score).all() and best.scored < 0.8 * balls.scored
+
+
+@pytest.mark.parametrize("size", [2.0**24, 2.0**29, 2.0**33, 2.0**60])
+def test_top_k_of_large_vectors_by_trees(size):
+    """Whole numbers beyond double precision, below and beyond a long, with ties: as Python's integers give them."""
+    rng = np.random.default_rng(8)
+    points = np.floor(rng.standard_normal((400, 16)) * size)
+    points[:50] = np.floor(points[:50] / size * 1000)
+    points[60:90] = points[60]
+    points[60:90, 0] += np.repeat(np.arange(10), 3)
+    ids = rng.permutation(400)
+    tree, queries = topk.CoverTree.built(points, leaf=8, base=topk.BASE), topk.CoverTree.built(points[::9], base=topk.BASE)
+    whole = [[int(x) for x in v] for v in points]
+    want = []
+    for q in whole[::9]:
+        products = [max(-(1 << 63), min((1 << 63) - 1, sum(a * b for a, b in zip(q, v, strict=True)))) for v in whole]
+        want.append(sorted((-s, int(i)) for s, i in zip(products, ids, strict=True))[:6])
+    best = topk.exact_search(queries, tree, ids, 6)
+    assert [[(-int(s), int(i)) for s, i in zip(*x, strict=True)] for x in zip(best.score, best.id, strict=True)] == want
+    kth = np.nextafter(np.array(best.score[:, -1], float), -np.inf)
+    again = topk.exact_search(queries, tree, ids, 6, kth)
+    assert (again.score == best.score).all() and (again.id == best.id).all()
+
+
 PAGES = [
     (1, "https://WWW.Example.NET/en/1?x", None), (2, "http://a.net/z", ""), (3, "http://example.com/de/1#t", ""), (4, "http://example.com/de", ""), (5, "x.org/fr/", ""),
     (6, None, "<p>"), (7, "http://b.org/fr/1", ""), (8, "http://annet/", ""), (9, "://net", ""), (10, "a://b://c.net/en/", ""), (11, "http://EXAMPLE.com?q=/de/", ""), (1, "http://net/", ""),
