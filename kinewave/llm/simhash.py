@@ -16,8 +16,9 @@ from .common import discard, map_rows, small_batches, text_of, written
 SHINGLE, SEED, RADIUS = 4, 42, 4
 #: Variants that a task spells out and sorts at a time.
 VARIANTS = 4_000_000
-#: Fingerprints that one bucket may hold; while all fit, a fingerprint goes to each of 2**LEAST_BITS buckets once.
-BUCKET_FPS, LEAST_BITS = 1 << 24, 5
+#: Fingerprints that one bucket may hold, and variants that are spelled out in it, a task's work; while all fit, a fingerprint
+#: goes to each of 2**LEAST_BITS buckets once.
+BUCKET_FPS, BUCKET_VARIANTS, LEAST_BITS = 1 << 24, 1 << 27, 5
 #: Bytes that a fingerprint may add to the shuffle of one pass; the buckets are dealt to passes accordingly.
 PASS_BYTES = 1024
 #: Shingles are counted in so many slots; a slot is common from COMMON + 8 times the mean count of a task on.
@@ -177,7 +178,8 @@ def links(fps: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
     two within the radius have one in common. Variants are shuffled by a linear hash, so that a fingerprint goes once to
     each bucket that holds variants of it, and they are spelled out there; equal variants are always in one bucket. Members
     of a variant are within the radius of each other, however many they are (2,081 at most); each link is checked again.
-    n is the number of fingerprints: beyond BUCKET_FPS buckets become more, up to one for each variant, and are dealt to
+    n is the number of fingerprints: buckets become more with their variants (BUCKET_VARIANTS each) and beyond BUCKET_FPS
+    fingerprints, up to one for each variant of a fingerprint, and are dealt to
     passes, each written before the next, so that the shuffle of a pass is bounded by PASS_BYTES a fingerprint.
     """
     if radius not in (0, 2, 4, 6):
@@ -185,7 +187,7 @@ def links(fps: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
     small_batches(fps.sparkSession)
     masks = masks_of(radius)
     top = LEAST_BITS
-    while n * min(1.0, len(masks) / 2**top) > BUCKET_FPS:
+    while n * min(1.0, len(masks) / 2**top) > BUCKET_FPS or n * len(masks) > BUCKET_VARIANTS << top:
         top += 1
     low = max(0, (n * len(masks) // VARIANTS).bit_length() - top)
     bits = top + low
