@@ -167,7 +167,7 @@ class LabelModel:
         self.speaks, self.prior, self.parent = speaks, prior, np.full(k, -1)
         self.correlations = np.zeros((k, k))
         first = votes[:, :lead]
-        alike = np.abs(np.nan_to_num(np.corrcoef(first.T + 1e-12 * np.arange(n)))).reshape(lead, lead)
+        alike = np.abs(np.nan_to_num(np.corrcoef(first.T + 1e-12 * np.arange(n)))).reshape(lead, lead) if n > 1 else np.zeros((lead, lead))
         post = np.clip(2 * first @ (1 / np.maximum(alike.sum(axis=0), 1)), 0.01, 0.99)  # voters that always agree count as one
         for step in range(rounds):
             self.estimate(votes, post)

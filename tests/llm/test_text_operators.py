@@ -1,6 +1,7 @@
 """Operators on texts against brute force, over the smallest tables and over rows of edge cases."""
 
 import hashlib
+import json
 import math
 import random
 import re
@@ -122,6 +123,11 @@ def test_a_tokenizer_file_of_other_ranks_is_refused(tmp_path):
         packing.specials_of(str(other), path("tiktoken"))
     with pytest.raises(ValueError, match="different tokenizers"):
         packing.specials_of(path("json"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    own = json.loads(text)
+    own["added_tokens"][0]["lstrip"] = True
+    other.write_text(json.dumps(own), encoding="utf-8")
+    with pytest.raises(ValueError, match="special"):
+        packing.specials_of(str(other), path("tiktoken"))
 
 
 def test_hilbert_curve_steps_to_neighbours():
@@ -334,10 +340,14 @@ def test_simhash(name, request):
     same(simhash.near_duplicates(docs).collect(), want)
 
 
-@pytest.mark.parametrize(("radius", "fps", "pass_bytes"), [(4, 1 << 24, 1024), (4, 100, 4096), (2, 1 << 24, 64), (0, 1 << 24, 1024)])
-def test_ball_hashing_links_what_is_near(spark, radius, fps, pass_bytes, monkeypatch):
+@pytest.mark.parametrize(
+    ("radius", "fps", "variants", "pass_bytes"),
+    [(4, 1 << 24, 1 << 27, 1024), (4, 100, 1 << 27, 4096), (4, 1 << 24, 1 << 13, 1024), (2, 1 << 24, 1 << 27, 64), (0, 1 << 24, 1 << 27, 1024)],
+)
+def test_ball_hashing_links_what_is_near(spark, radius, fps, variants, pass_bytes, monkeypatch):
     """With few and with many buckets, in one pass and in several: the components of all pairs by brute force."""
     monkeypatch.setattr(simhash, "BUCKET_FPS", fps)
+    monkeypatch.setattr(simhash, "BUCKET_VARIANTS", variants)
     monkeypatch.setattr(simhash, "PASS_BYTES", pass_bytes)
     monkeypatch.setattr(simhash, "VARIANTS", 100_000)
     rng = np.random.default_rng(2)
