@@ -34,6 +34,8 @@ PARITIES, SMALL = 256, 576
 MOST_PARITIES = 1 << 15
 #: Shingles before its own that an entry names, so that a pair that shares one of them is left to that one's bucket.
 EARLIER = 3
+#: Nodes whose shared shingles are put in order together.
+CHUNK = 1 << 12
 #: Shingles of a node by which the first, inexact looks for similar nodes go.
 LOOKS = (4, 16)
 #: Members of a shingle beyond which pairs are made row by row; pairs whose earlier shingles are compared at a time.
@@ -309,93 +311,200 @@ def pairs_of_keys(keys: np.ndarray, node: np.ndarray, group: np.ndarray, size: n
     return found[:, 0], found[:, 1]
 
 
+def key_bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return ((keys ^ keys >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(33)).astype(np.int64) % buckets
+
+
+def runs_of(values: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Begin and end of each run of equal values."""
+    cuts = [*np.flatnonzero(np.diff(values, prepend=values[:1] - 1)).tolist(), len(values)]
+    return zip(cuts[:-1], cuts[1:], strict=True)
+
+
+def shared_shingles(nodes: DataFrame, slots: np.ndarray, counts: np.ndarray) -> DataFrame:
+    """chunk, numbers, keys, often: the shingles of each node (number) that another node has too, and how many have them.
+
+    A shingle goes with two bytes for its node to a bucket of about PREFIX_ENTRIES, where it is counted; one that no other
+    node has ends there, as it makes no pair. Within a bucket 32 bits tell shingles apart, and the bucket is drawn by 40, so
+    chance makes as few of them equal in many buckets as in one. Shingles of common slots count as often as their slot, and
+    are not gathered. numbers are those within the chunk.
+    """
+    buckets = max(LEAST_BUCKETS, (nodes.agg(F.sum("n")).first()[0] or 0) // PREFIX_ENTRIES + 1)
+    small = np.uint16 if buckets < 1 << 16 else np.int64  # short whole numbers are sorted in one pass
+
+    def gathered(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        number, shingles, more = batch.column(0).to_numpy(), batch.column(1).to_pylist(), b"".join(batch.column(2).to_pylist())
+        own = np.frombuffer(b"".join(shingles), np.uint32)
+        owner = np.repeat(number, [len(x) // 4 for x in shingles])
+        table = np.zeros(SLOTS, np.uint32)
+        table[slots] = np.minimum(counts, 0xFFFFFFFF)
+        often = table[own & np.uint32(SLOTS - 1)]
+        return owner, own, key_bucket(own.astype(np.uint64) << np.uint64(8) | np.frombuffer(more, np.uint8), buckets), often
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owner, own, bucket, often = gathered(batch)
+            owner, own, bucket = (x[often == 0] for x in (owner, own, bucket))
+            order = np.argsort(bucket.astype(small), kind="stable")
+            owner, own, bucket = owner[order], own[order], bucket[order]
+            base = owner >> 16
+            cuts = list(runs_of(np.cumsum((np.diff(bucket, prepend=bucket[:1]) != 0) | (np.diff(base, prepend=base[:1]) != 0))))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([int(bucket[x]) for x, _ in cuts], pa.int64()),
+                    pa.array([int(base[x]) for x, _ in cuts], pa.int64()),
+                    pa.array([(owner[x:y] & 0xFFFF).astype(np.uint16).tobytes() for x, y in cuts], pa.binary()),
+                    pa.array([own[x:y].tobytes() for x, y in cuts], pa.binary()),
+                ],
+                names=["bucket", "base", "numbers", "shingles"],
+            )
+
+    def chunks(owner: np.ndarray, keys: np.ndarray, often: np.ndarray) -> pa.Table:
+        order = np.argsort(owner // CHUNK, kind="stable")
+        owner, keys, often = owner[order], keys[order], often[order]
+        cuts = list(runs_of(owner // CHUNK))
+        columns = [pa.array([int(owner[x] // CHUNK) for x, _ in cuts], pa.int64())]
+        for values, kind in ((owner % CHUNK, np.uint16), (keys, np.uint64), (often, np.uint32)):
+            columns.append(pa.array([values[x:y].astype(kind).tobytes() for x, y in cuts], pa.binary()))
+        return pa.table(columns, names=["chunk", "numbers", "keys", "often"])
+
+    def count(table: pa.Table) -> pa.Table:
+        base, numbers = table["base"].to_numpy(), table["numbers"].to_pylist()
+        own = np.frombuffer(b"".join(table["shingles"].to_pylist()), np.uint32)
+        owner = (np.repeat(base, [len(x) // 2 for x in numbers]) << 16) + np.frombuffer(b"".join(numbers), np.uint16)
+        order = np.argsort(own, kind="stable")
+        own, owner = own[order], owner[order]
+        sizes = np.diff(np.append(np.flatnonzero(np.concatenate([np.ones(min(1, len(own)), bool), own[1:] != own[:-1]])), len(own)))
+        often = np.repeat(sizes, sizes)
+        twice = often > 1
+        return chunks(owner[twice], np.uint64(table["bucket"][0].as_py()) << np.uint64(32) | own[twice].astype(np.uint64), often[twice])
+
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owner, own, bucket, often = gathered(batch)
+            here = np.flatnonzero(often)
+            yield from chunks(owner[here], bucket[here].astype(np.uint64) << np.uint64(32) | own[here].astype(np.uint64), often[here]).combine_chunks().to_batches()
+
+    told, sets = "chunk long, numbers binary, keys binary, often binary", nodes.select("number", "shingles", "more")
+    rare = sets.mapInArrow(emit, "bucket long, base long, numbers binary, shingles binary").groupBy("bucket").applyInArrow(count, told)
+    return rare.unionByName(sets.mapInArrow(known, told))
+
+
+ENTRIES = {"shingle": np.uint64, "salts": np.uint32, "nodes": np.int64, "groups": np.int64, "sizes": np.int32, "most": np.int32, "earlier": np.uint64, "parities": np.uint8}
+
+
+def packed_entries(node: np.ndarray, group: np.ndarray, parities: list[bytes], entries: tuple[np.ndarray, ...], buckets: int, few: int | None) -> pa.RecordBatch:
+    """A row a bucket of entries: shingle, place of the node, most, size, shingles before, how many nodes have it."""
+    key, owner, most, size, earlier, often = entries
+    blocks, salt = -(-often.astype(np.int64) // BLOCK), np.zeros(len(key), np.uint64)
+    hot = np.flatnonzero(blocks > 1)
+    if len(hot):
+        times = blocks[hot] if few is None else np.ones(len(hot), np.int64)
+        other = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        again = np.repeat(hot, times)
+        mine = ((node[owner[again]].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % blocks[again]
+        other = other if few is None else mine
+        alone = np.flatnonzero(blocks <= 1)
+        place = np.concatenate([alone, again])
+        salt = np.concatenate([salt[alone], (np.minimum(mine, other) << 16 | np.maximum(mine, other)).astype(np.uint64)])
+        key, owner, most, size, earlier = (x[place] for x in (key, owner, most, size, earlier))
+    bucket = key_bucket(key * np.uint64(0x9E3779B97F4A7C15) ^ salt, buckets)
+    order = np.argsort(bucket, kind="stable")
+    bucket, key, salt, owner, most, size, earlier = (x[order] for x in (bucket, key, salt, owner, most, size, earlier))
+    rows: dict[str, list] = {name: [] for name in ("bucket", *ENTRIES)}
+    for a, b in runs_of(bucket):
+        at = owner[a:b]
+        less = at[size[a:b] <= SMALL]
+        own = less[np.unique(node[less], return_index=True)[1]]
+        values = (key[a:b], salt[a:b], node[at], group[at], size[a:b], most[a:b], earlier[a:b] if few is None else np.empty(0))
+        packed = [x.astype(kind).tobytes() for x, kind in zip(values, ENTRIES.values(), strict=False)]
+        for column, value in zip(rows.values(), (int(bucket[a]), *packed, b"".join(parities[k] for k in own)), strict=True):
+            column.append(value)
+    return pa.RecordBatch.from_pydict(rows, schema=pa.schema([("bucket", pa.int64()), *((k, pa.binary()) for k in ENTRIES)]))
+
+
 def prefix_pairs(nodes: DataFrame, groups: DataFrame | None, least: float, few: int | None = None) -> DataFrame:
     """a, b: every pair of nodes (node, shingles) of different groups (node, root) that may have a similarity of `least`.
 
-    Exact, by a prefix filter: shingles have one order, rare ones first. If a pair's first common shingle is the i-th of n,
-    at most n - i are common, so the other set has at most (n - i)(1 + least) / least - n. A node has an entry for each
-    shingle that leaves room for a set of least * n, and two that share such a shingle are a pair if each fits the other,
-    and if parities do not rule it out: a bit says whether a node has an odd number of shingles in a part of the hashes, and
-    where d bits differ, sets of n and m shingles have at most (n + m - d) / 2 in common. What goes to a bucket has one size
-    for each entry, however many buckets there are, and a pair is made in about one of the buckets that it shares.
-    Nothing is joined here. A shingle of more than BLOCK nodes is dealt to salted blocks, and each two blocks meet.
-
-    With `few`, only so many of a node's shingles count, blocks meet no others, and each node is paired with the next by size
-    only: a cheap first look, not an exact one, that makes few pairs of a large family of copies.
+    Exact, by a prefix filter: shingles have one order, rare ones first, by how many nodes have them. If a pair's first
+    common shingle is the i-th of n, at most n - i are common, so the other set has at most (n - i)(1 + least) / least - n.
+    A node has an entry for each shingle that leaves room for a set of least * n and that another node has too; those of one
+    node only come first, so a node with enough of them has no entry. Two that share such a shingle are a pair if each fits
+    the other, and if parities do not rule it out: a bit says whether a node has an odd number of shingles in a part of the
+    hashes, and where d bits differ, sets of n and m shingles have at most (n + m - d) / 2 in common. What goes to a bucket
+    has one size for each entry, however many buckets there are, and a pair is made in about one of the buckets that it
+    shares. Nothing is joined here. A shingle of more than BLOCK nodes is dealt to salted blocks, and each two blocks meet.
+
+    With `few`, only so many of a node's shingles count, in an order by common slots, blocks meet no others, and each node is
+    paired with the next by size only: a cheap first look, not an exact one, that makes few pairs of a large family of copies.
     """
     slots, counts = common_slots(nodes)
     longest = nodes.agg(F.sum("n")).first()[0] or 0
     buckets = max(LEAST_BUCKETS, int(longest * (1 - least)) // PREFIX_ENTRIES + 1)
-    grouped = nodes.select("node", F.col("node").alias("group"), "shingles", "parities")
+    columns = ("number", "node", "n", "parities") if few is None else ("node", "shingles", "parities")
+    grouped = nodes.select(*columns, F.col("node").alias("group"))
     if groups is not None:
-        grouped = nodes.select("node", "shingles", "parities").join(groups, "node", "left").select("node", F.coalesce("root", "node").alias("group"), "shingles", "parities")
-    columns = ("shingle", "salts", "nodes", "groups", "sizes", "most", "earlier", "parities")
-    schema = pa.schema([("bucket", pa.int64()), *((k, pa.binary()) for k in columns)])
+        grouped = nodes.select(*columns).join(groups, "node", "left").select(*columns, F.coalesce("root", "node").alias("group"))
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def room(n: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return np.floor((n - at) * ((1 + least) / least) - n + 1e-6).astype(np.int64)
+
+    def first_look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(SLOTS, np.uint64)
         table[slots] = counts.astype(np.uint64)
         for batch in batches:
-            node, group = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            node, group = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 3))
             made: list[tuple] = []
-            for k, raw in enumerate(batch.column(2).to_pylist()):
+            for k, raw in enumerate(batch.column(1).to_pylist()):
                 own = np.frombuffer(raw, np.uint32)
                 n = len(own)
                 often = table[own & np.uint32(SLOTS - 1)]
                 order = np.argsort(np.minimum(often, np.uint64(0xFFFFFFFF)) << np.uint64(32) | own.astype(np.uint64))
-                room = np.floor((n - np.arange(n)) * ((1 + least) / least) - n + 1e-6).astype(np.int64)
-                first = order[: int((room >= least * n - 1e-6).sum())][:few]
-                before = np.full((len(first), EARLIER), NOTHING)
-                for back in range(1, EARLIER + 1):
-                    before[back:, back - 1] = own[first[: max(len(first) - back, 0)]]
-                made.append((own[first].astype(np.uint64) << np.uint64(32), np.full(len(first), k), room[: len(first)], np.full(len(first), n), before, -(-often[first].astype(np.int64) // BLOCK)))
-            if not made:
-                continue
-            key, owner, most, size, earlier, blocks = (np.concatenate(x) for x in zip(*made, strict=True))
-            hot = np.flatnonzero(blocks > 1)
-            if len(hot):
-                times = blocks[hot] if few is None else np.ones(len(hot), np.int64)
-                other = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-                again = np.repeat(hot, times)
-                mine = ((node[owner[again]].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % blocks[again]
-                other = other if few is None else mine
-                salt = (np.minimum(mine, other) << 16 | np.maximum(mine, other)).astype(np.uint64)
-                alone = np.flatnonzero(blocks <= 1)
-                place = np.concatenate([alone, again])
-                key = np.concatenate([key[alone], key[again] | salt])
-                owner, most, size, earlier = owner[place], most[place], size[place], earlier[place]
-            bucket = ((key ^ key >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(33)).astype(np.int64) % buckets
-            order = np.argsort(bucket, kind="stable")
-            bucket, key, owner, most, size, earlier = (x[order] for x in (bucket, key, owner, most, size, earlier))
-            cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])).tolist()
-            rows: dict[str, list] = {name: [] for name in schema.names}
-            parities = batch.column(3).to_pylist()
-            for a, b in zip(cuts, [*cuts[1:], len(bucket)], strict=True):
-                at = owner[a:b]
-                less = at[size[a:b] <= SMALL]
-                own = less[np.unique(node[less], return_index=True)[1]]
-                values = (key[a:b] >> np.uint64(32), key[a:b] & NOTHING), (node[at], group[at]), (size[a:b], most[a:b])
-                packed = [x.astype(kind).tobytes() for pair, kind in zip(values, (np.uint32, np.int64, np.int32), strict=True) for x in pair]
-                for column, value in zip(rows.values(), (int(bucket[a]), *packed, earlier[a:b].tobytes() if few is None else b"", b"".join(parities[k] for k in own)), strict=True):
-                    column.append(value)
-            yield pa.RecordBatch.from_pydict(rows, schema=schema)
+                most = room(n, np.arange(n))
+                first = order[: int((most >= least * n - 1e-6).sum())][:few]
+                made.append((own[first].astype(np.uint64), np.full(len(first), k), most[: len(first)], np.full(len(first), n), np.zeros(len(first)), often[first]))
+            if made:
+                yield packed_entries(node, group, batch.column(2).to_pylist(), tuple(np.concatenate(x) for x in zip(*made, strict=True)), buckets, few)
+
+    def entries(table: pa.Table, shared: pa.Table) -> pa.Table:
+        table = table.sort_by("number")
+        node, n, group = (table[k].to_numpy() for k in ("node", "n", "group"))
+        numbers, keys, often = (np.frombuffer(b"".join(shared[k].to_pylist()), kind) for k, kind in (("numbers", np.uint16), ("keys", np.uint64), ("often", np.uint32)))
+        owner = np.searchsorted(table["number"].to_numpy() % CHUNK, numbers)
+        order = np.lexsort((keys, often, owner))
+        owner, keys, often = owner[order], keys[order], often[order]
+        has = np.bincount(owner, minlength=len(node))
+        rank = np.arange(len(owner)) - np.repeat(np.cumsum(has) - has, has)
+        most = room(n[owner], rank + (n - has)[owner])
+        before = np.full((len(owner), EARLIER), NOTHING, np.uint64)
+        for back in range(1, EARLIER + 1):
+            there = np.flatnonzero(rank >= back)
+            before[there, back - 1] = keys[there - back]
+        fit = np.flatnonzero(most >= least * n[owner] - 1e-6)
+        out = packed_entries(node, group, table["parities"].to_pylist(), tuple(x[fit] for x in (keys, owner, most, n[owner], before, often)), buckets, None)
+        return pa.Table.from_batches([out])
 
     def join(table: pa.Table) -> pa.Table:
-        whole = lambda name, kind: np.frombuffer(b"".join(table[name].to_pylist()), kind)
-        keys = whole("shingle", np.uint32).astype(np.uint64) << np.uint64(32) | whole("salts", np.uint32)
-        node, group, size, most = whole("nodes", np.int64), whole("groups", np.int64), whole("sizes", np.int32), whole("most", np.int32)
-        a, b = pairs_of_keys(keys, node, group, size, most, whole("earlier", np.uint32).reshape(-1, EARLIER)) if few is None else next_of_keys(keys, node, group, size)
+        whole = lambda name: np.frombuffer(b"".join(table[name].to_pylist()), ENTRIES[name])
+        keys = np.unique(whole("shingle"), return_inverse=True)[1].astype(np.uint64) << np.uint64(32) | whole("salts")
+        node, group, size, most = whole("nodes"), whole("groups"), whole("sizes"), whole("most")
+        a, b = pairs_of_keys(keys, node, group, size, most, whole("earlier").reshape(-1, EARLIER)) if few is None else next_of_keys(keys, node, group, size)
         order = np.argsort(node, kind="stable")
         of = lambda x: size[order[np.searchsorted(node, x, sorter=order)]].astype(np.int64)
         small = [np.frombuffer(x, np.int64)[np.frombuffer(n, np.int32) <= SMALL] for x, n in zip(table["nodes"].to_pylist(), table["sizes"].to_pylist(), strict=True)]
         own = np.concatenate([np.unique(x) for x in small])  # as each row has the parities of its nodes
         x, y, fit = placed(own, a), placed(own, b), np.ones(len(a), bool)
         both = np.flatnonzero((x >= 0) & (y >= 0))
-        fit[both] = may_be_similar(whole("parities", np.uint64).reshape(-1, PARITIES // 64), x[both], y[both], of(a[both]) + of(b[both]), least)
+        fit[both] = may_be_similar(whole("parities").view(np.uint64).reshape(-1, PARITIES // 64), x[both], y[both], of(a[both]) + of(b[both]), least)
         return pa.table({"a": a[fit], "b": b[fit]})
 
     small_batches(nodes.sparkSession)
-    packed = grouped.mapInArrow(emit, "bucket long, " + ", ".join(f"{k} binary" for k in columns))
+    schema = "bucket long, " + ", ".join(f"{k} binary" for k in ENTRIES)
+    if few is None:
+        chunked = grouped.withColumn("chunk", F.expr(f"number div {CHUNK}"))
+        packed = chunked.groupBy("chunk").cogroup(shared_shingles(nodes, slots, counts).groupBy("chunk")).applyInArrow(entries, schema)
+    else:
+        packed = grouped.mapInArrow(first_look, schema)
     return packed.groupBy("bucket").applyInArrow(join, "a long, b long").distinct()
 
 
@@ -562,23 +671,26 @@ def similar_rows(docs: DataFrame, shingle: int = 5, least: float = 0.8, key: str
         import xxhash
 
         def each(cols: dict) -> dict:
-            out: dict[str, list] = {name: [] for name in ("doc_id", *keys, "node", "fp", "parities", "fine", "shingles")}
+            out: dict[str, list] = {name: [] for name in ("doc_id", *keys, "node", "fp", "parities", "fine", "shingles", "more")}
             own = zip(*(cols[name] for name in ("doc_id", *keys)), strict=True)
             for ids, text in zip(own, cols["text"], strict=True):
                 hashes = shingle_hashes(text, shingle)
                 if len(hashes):
-                    short = np.unique((np.unique(hashes) >> np.uint64(32)).astype(np.uint32))
+                    distinct = np.unique(hashes)
+                    short, first = np.unique((distinct >> np.uint64(32)).astype(np.uint32), return_index=True)
+                    more = (distinct[first] >> np.uint64(24)).astype(np.uint8)
                     fp = int(majority(hashes).view(np.int64)[0])
-                    for column, value in zip(out.values(), (*ids, xxhash.xxh64_intdigest(np.unique(hashes).tobytes()) - (1 << 63), fp, parities_of(short).tobytes(), parities_of(short, fine_bits(len(short))).tobytes(), short.tobytes()), strict=True):
+                    for column, value in zip(out.values(), (*ids, xxhash.xxh64_intdigest(distinct.tobytes()) - (1 << 63), fp, parities_of(short).tobytes(), parities_of(short, fine_bits(len(short))).tobytes(), short.tobytes(), more.tobytes()), strict=True):
                         column.append(value)
             return out
 
         return each
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keys, text_of().alias("text"))
-    sketches = written(map_rows(texts, make, f"doc_id long, {''.join(f'{k} long, ' for k in keys)}node long, fp long, parities binary, fine binary, shingles binary"), "sketches")
+    sketches = written(map_rows(texts, make, f"doc_id long, {''.join(f'{k} long, ' for k in keys)}node long, fp long, parities binary, fine binary, shingles binary, more binary"), "sketches")
     rows = written(sketches.select("doc_id", *keys, "node"), "rows")
-    nodes = written(sketches.select("node", "fp", "parities", "fine", (F.octet_length("shingles") / 4).cast("long").alias("n"), "shingles").dropDuplicates(["node"]), "nodes", sketches)
+    sets = sketches.select("node", "fp", "parities", "fine", (F.octet_length("shingles") / 4).cast("long").alias("n"), "shingles", "more").dropDuplicates(["node"])
+    nodes = written(sets.withColumn("number", F.monotonically_increasing_id()), "nodes", sketches)
     found = similar_enough(near_links(nodes), nodes, least)
     for few in (*LOOKS, None):
         roots = components(found)

@@ -143,6 +143,40 @@ def test_pairs_are_left_to_the_bucket_of_an_earlier_shingle():
     assert made == [(1, 0, 1), (2, 0, 3), (2, 1, 3), (7, 0, 2), (7, 1, 2)]
 
 
+def test_long_texts_that_share_a_passage_each_make_no_pairs(spark, monkeypatch):
+    """Any two of 60 texts of 650 words share a passage of their own, and most of a text is nowhere else."""
+    rows = []
+    for i in range(60):
+        parts = [[f"both{min(i, j)}and{max(i, j)}x{k}" for k in range(5)] + [f"own{i}x{j}x{k}" for k in range(6)] for j in range(60) if j != i]
+        rows.append((i, " ".join(sum(parts, []))))
+    rows += [(60 + i, " ".join(t.split()[:-20])) for i, t in rows[:3]]
+    made, likely = [], simhash.likely
+
+    def counted(pairs, *rest):
+        made.append(pairs.count())
+        return likely(pairs, *rest)
+
+    monkeypatch.setattr(simhash, "likely", counted)
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == {i: i % 60 for i in range(63)} and made[0] < 10
+
+
+def test_shared_shingles_are_counted_over_all_nodes(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "PREFIX_ENTRIES", 40)
+    rng = np.random.default_rng(8)
+    sets = {(k % 3 << 33) + 4000 + k: np.unique(rng.integers(0, 400, 30)).astype(np.uint32) for k in range(60)}
+    rows = [(k, len(v), bytearray(v.tobytes()), bytearray((v % 7).astype(np.uint8).tobytes())) for k, v in sets.items()]
+    nodes = spark.createDataFrame(rows, "number long, n long, shingles binary, more binary").repartition(3)
+    for slots in ([], [5, 9]):
+        seen = defaultdict(dict)
+        for r in simhash.shared_shingles(nodes, np.array(slots, np.int64), np.full(len(slots), 1000)).collect():
+            numbers, keys, often = (np.frombuffer(x, kind).tolist() for x, kind in ((r.numbers, np.uint16), (r.keys, np.uint64), (r.often, np.uint32)))
+            for n, k, c in zip(numbers, keys, often, strict=True):
+                seen[r.chunk * simhash.CHUNK + n][k & 0xFFFFFFFF] = c
+        total = Counter(x for v in sets.values() for x in v.tolist())
+        assert seen == {k: x for k, v in sets.items() if (x := {s: 1000 if s in slots else total[s] for s in v.tolist() if total[s] > 1 or s in slots})}
+
+
 def test_parities_never_rule_out_similar_sets():
     rng, ruled_out = np.random.default_rng(2), Counter()
     for n in (1, 5, 90, 399, 400, 3000, 30_000):
