@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from .common import small_batches, written
 from .vectors import best_of, distinct, flat_ids, paired, query_blocks, valid
 
-DEGREE, EF_BUILD, EF_SEARCH, SHARD_SIZE, MAX_LEVEL = 16, 64, 256, 16_384, 5
+DEGREE, EF_BUILD, EF_SEARCH, SHARD_SIZE, MAX_LEVEL = 16, 64, 256, 32_768, 5
+#: Nodes that are linked at a time.
+ROWS = 512
 #: Vectors of a shard have largest components within this power of two of each other.
 BAND = 8
 RESULT = "query_id long, vec_id long, score double"
@@ -39,6 +41,9 @@ def search_layer(vectors: np.ndarray, links: np.ndarray, query: np.ndarray, entr
             continue
         seen[near] = True
         sims = vectors[near] @ query
+        if len(best) >= ef:
+            better = sims > best[0][0]
+            sims, near = sims[better], near[better]
         for s, e in zip(sims.tolist(), near.tolist(), strict=True):
             if len(best) < ef:
                 heapq.heappush(best, (s, e))
@@ -50,23 +55,78 @@ def search_layer(vectors: np.ndarray, links: np.ndarray, query: np.ndarray, entr
     return sorted(best, reverse=True)
 
 
-def select(vectors: np.ndarray, ranked: list[tuple[float, int]], m: int) -> list[int]:
-    """Up to m neighbours that no chosen one is closer to than the node itself; then the closest of the rest."""
-    if len(ranked) <= m:
-        return [e for _, e in ranked]
-    nodes = np.array([e for _, e in ranked])
-    among = vectors[nodes] @ vectors[nodes].T
-    chosen: list[int] = []
-    covered = np.full(len(nodes), -np.inf)
-    for i, (s, _) in enumerate(ranked):
-        if covered[i] < s:
-            chosen.append(i)
-            np.maximum(covered, among[i], out=covered)
-            if len(chosen) == m:
-                break
-    taken = set(chosen)
-    chosen += [i for i in range(len(nodes)) if i not in taken][: m - len(chosen)]
-    return nodes[chosen].tolist()
+def select(vectors: np.ndarray, ranked: np.ndarray, sims: np.ndarray, m: int) -> np.ndarray:
+    """Of each row's candidates (most similar first, -1 for none) up to m that no chosen one is closer to than the row's node
+    is; then the closest of the rest; -1 where there are no more."""
+    own = vectors[ranked]
+    among = own @ own.transpose(0, 2, 1)
+    there, count = ranked >= 0, np.zeros(len(ranked), np.int64)
+    chosen, covered = np.zeros(ranked.shape, bool), np.full(ranked.shape, -np.inf)
+    for i in range(ranked.shape[1]):
+        now = np.flatnonzero((covered[:, i] < sims[:, i]) & there[:, i] & (count < m))
+        chosen[now, i] = True
+        count[now] += 1
+        covered[now] = np.maximum(covered[now], among[now, i])
+    order = np.argsort(np.where(chosen, 0, np.where(there, 1, 2)), axis=1, kind="stable")[:, :m]
+    return np.take_along_axis(ranked, order, axis=1)
+
+
+def nearest(vectors: np.ndarray, a: int, b: int, end: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k most similar of the first `end` nodes to each of the nodes a to b, without itself, most similar first; sims."""
+    sims = vectors[a:b] @ vectors[:end].T
+    sims[np.arange(b - a), np.arange(a, b)] = -np.inf
+    k = min(k, end - 1)
+    ranked = np.argpartition(sims, end - k, axis=1)[:, end - k :]
+    near = np.take_along_axis(sims, ranked, axis=1)
+    order = np.argsort(-near, axis=1, kind="stable")
+    return np.take_along_axis(ranked, order, axis=1), np.take_along_axis(near, order, axis=1)
+
+
+def link_back(vectors: np.ndarray, links: np.ndarray, source: np.ndarray, target: np.ndarray) -> None:
+    """Targets get links to their sources: all while there is room, else select() decides among old and the closest new ones."""
+    sims = np.concatenate([(vectors[source[x : x + 65_536]] * vectors[target[x : x + 65_536]]).sum(axis=1) for x in range(0, len(source), 65_536)])
+    order = np.lexsort((-sims, target))
+    source, target = source[order], target[order]
+    every, first, counts = np.unique(target, return_index=True, return_counts=True)
+    rank = np.arange(len(target)) - np.repeat(first, counts)
+    row = np.repeat(np.arange(len(every)), counts)
+    width = links.shape[1]
+    for s in range(0, len(every), ROWS):
+        some = every[s : s + ROWS]
+        at = np.arange(*np.searchsorted(row, [s, s + len(some)]))
+        at = at[rank[at] < EF_BUILD]
+        new = np.full((len(some), EF_BUILD), -1, np.int64)
+        new[row[at] - s, rank[at]] = source[at]
+        both = np.sort(np.concatenate([links[some], new], axis=1), axis=1)
+        both[:, 1:][both[:, 1:] == both[:, :-1]] = -1
+        near = np.where(both >= 0, (vectors[both] @ vectors[some][:, :, None])[:, :, 0], -np.inf)
+        order = np.argsort(-near, axis=1, kind="stable")[:, : max(width, int((both >= 0).sum(axis=1).max()))]
+        ranked, near = np.take_along_axis(both, order, axis=1), np.take_along_axis(near, order, axis=1)
+        full = (ranked >= 0).sum(axis=1) > width
+        links[some[~full]] = ranked[~full, :width]
+        if full.any():
+            links[some[full]] = select(vectors, ranked[full], near[full], width)
+
+
+def linked(vectors: np.ndarray, width: int) -> np.ndarray:
+    """Neighbour array (n, width) of one level. Nodes come in rounds, each as many as came before: a node is linked with some
+    of the most similar of its round and those before, so early nodes keep links that reach far."""
+    n = len(vectors)
+    links = np.full((n, width), -1, np.int32)
+    a = 0
+    while a < n > 1:
+        end = min(n, max(2 * a, EF_BUILD))
+        source, target = [], []
+        for s in range(a, end, ROWS):
+            stop = min(s + ROWS, end)
+            chosen = select(vectors, *nearest(vectors, s, stop, end, EF_BUILD), DEGREE)
+            links[s:stop, : chosen.shape[1]] = chosen
+            row, column = np.nonzero(chosen >= 0)
+            source.append(s + row)
+            target.append(chosen[row, column])
+        link_back(vectors, links, np.concatenate(source), np.concatenate(target))
+        a = end
+    return links
 
 
 class Graph:
@@ -80,35 +140,13 @@ class Graph:
         n = len(vectors)
         draws = np.random.default_rng(3).random(n)
         levels = np.minimum((-np.log(1 - draws) / np.log(DEGREE)).astype(int), MAX_LEVEL)
-        links = [np.full((n, DEGREE * (2 if lv == 0 else 1)), -1, np.int32) for lv in range(levels.max() + 1)] if n else []
-        graph, entry, top = cls(vectors, links, 0), 0, -1
-        for node in range(n):
-            level = int(levels[node])
-            if node:
-                graph.insert(node, level, entry, top)
-            if level > top:
-                entry, top = node, level
-        graph.entry = entry
-        return graph
-
-    def insert(self, node: int, level: int, entry: int, top: int) -> None:
-        query, start = self.vectors[node], [entry]
-        for lv in range(top, -1, -1):
-            found = search_layer(self.vectors, self.links[lv], query, start, 1 if lv > level else EF_BUILD)
-            start = [e for _, e in found]
-            if lv > level:
-                continue
-            links = self.links[lv]
-            for other in (mine := select(self.vectors, found, DEGREE)):
-                row = links[other]
-                if (free := np.flatnonzero(row < 0)).size:
-                    row[free[0]] = node
-                else:
-                    both = np.append(row, node)
-                    sims = self.vectors[both] @ self.vectors[other]
-                    kept = select(self.vectors, sorted(zip(sims.tolist(), both.tolist(), strict=True), reverse=True), len(row))
-                    row[: len(kept)] = kept
-            links[node, : len(mine)] = mine
+        links = []
+        for lv in range(levels.max() + 1 if n else 0):
+            own = np.flatnonzero(levels >= lv).astype(np.int32)
+            among = linked(vectors[own], DEGREE * (2 if lv == 0 else 1))
+            links.append(np.full((n, among.shape[1]), -1, np.int32))
+            links[lv][own] = np.where(among >= 0, own[among], -1)
+        return cls(vectors, links, int(np.argmax(levels)) if n else 0)
 
     def search(self, query: np.ndarray, k: int, ef: int = EF_SEARCH) -> list[int]:
         start = [self.entry]
@@ -151,7 +189,7 @@ def build_index(vectors: DataFrame, keep: int, size: int = SHARD_SIZE) -> DataFr
     """One row per shard: original vectors, their ids, and the graph's neighbour arrays, all flat. Every vector is in it."""
 
     def build(table: pa.Table) -> pa.Table:
-        v = np.array(table["v"].to_pylist(), np.float64)
+        v = table["v"].combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1)
         ids, cuts = flat_ids(table["ids"].to_pylist())
         graph = Graph.built(lifted(v))
         row = {

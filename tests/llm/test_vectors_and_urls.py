@@ -80,6 +80,26 @@ def test_neighbours_over_shards_of_a_large_table(spark, longer):
     assert len(got) == 25 and np.mean(recall) >= 0.9
 
 
+def test_graph_is_built_in_rounds_and_finds_far_clusters(monkeypatch):
+    """Every node is found from the entry, in tight clusters far apart as well; links are of others, each once."""
+    rng = np.random.default_rng(9)
+    for centres, spread in ((1, 1.0), (40, 0.01)):
+        v = ann.lifted((rng.normal(0, 1, (centres, 16))[rng.integers(0, centres, 3000)] + spread * rng.normal(0, 1, (3000, 16))))
+        rounds, nearest = [], ann.nearest
+        monkeypatch.setattr(ann, "nearest", lambda *a: rounds.append(a[3]) or nearest(*a))
+        graph = ann.Graph.built(v)
+        monkeypatch.setattr(ann, "nearest", nearest)
+        assert {64, 128, 256, 512, 1024, 2048, 3000} <= set(rounds) and len(rounds) < 40  # nodes are linked many at a time
+        for row, own in enumerate(graph.links[0].tolist()):
+            own = [x for x in own if x >= 0]
+            assert own and row not in own and len(own) == len(set(own))
+        hits = [len(set(graph.search(q, 10)) & set(np.argsort(-(v @ q))[:10].tolist())) / 10 for q in v[::50]]
+        assert np.mean(hits) >= 0.95
+    for n in (0, 1, 2, 3, 65):
+        graph = ann.Graph.built(v[:n])
+        assert n == 0 or sorted(graph.search(v[0], n)) == list(range(n))
+
+
 def test_neighbours_of_huge_vectors(spark):
     rows = [(0, [1e200] * 8), (20, [2.8] + [0.0] * 7), (1, [0.28] * 8), (2, [1.5] * 8), (3, [-1e200] * 8), (4, [1e100] + [0.0] * 7)]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
