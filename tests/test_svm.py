@@ -90,3 +90,30 @@ def test_one_class_and_missing_classes(spark):
     gap = spark.createDataFrame([(i, 2 * (i % 2), [float(i % 2) * 3 + i / 100]) for i in range(30)], "id long, class_id int, v array<double>")
     best = svm.fit(gap, gamma=1.0, folds=3).probabilities(gap).groupBy("id").agg(F.max_by("class_id", "prob").alias("k")).collect()
     assert all(r.k == 2 * (r.id % 2) for r in best)
+
+
+def test_vectors_of_any_number(spark, monkeypatch):
+    """Vectors in several shards and a strip of the kernel in a task: no error, and the scores of whole kernels."""
+    monkeypatch.setattr(svm, "MOST_NUMBERS", 500)
+    monkeypatch.setattr(svm, "LARGEST", 30, raising=False)
+    k, v = points(5, 120, 3)
+    y, held, alone = np.where(k == 0, 1.0, -1.0), np.arange(120) % 3, svm.kernel(v, v, 0.2)
+    alphas, biases, whole = svm.solve_all(v, y, held, np.zeros((120, 4)), 10.0, 0.2)
+    for f in range(-1, 3):
+        own = held != f
+        alpha, bias = svm.solved(alone[np.ix_(own, own)], y[own], 10.0)
+        assert whole[f + 1] and np.allclose(alone @ (alphas[:, f + 1] * y) + biases[f + 1], alone[:, own] @ (alpha * y[own]) + bias, atol=1e-3)
+    monkeypatch.setattr(svm, "BLOCK", 32)
+    monkeypatch.setattr(svm, "VECTORS", 24)
+    frame = spark.createDataFrame([(i % 100, int(c), x.tolist()) for i, (c, x) in enumerate(zip(k, v, strict=True))], "id long, class_id int, v array<double>")
+    fitted = svm.fit(frame, 10.0, 0.2, folds=3, shard=16)
+    rows = spark.createDataFrame([(7, x.tolist(), -1, i) for i, x in enumerate(v)], "id long, v array<double>, k int, row long")
+    got = {(r.row, r.pair): r.s[0] + fitted.machines.biases[r.pair][0] for r in fitted.machines.scored(rows, False).collect()}
+    for number in range(3):
+        want = fitted.machines.scores((-1, number), v)
+        assert np.allclose([got[i, number] for i in range(120)], want, atol=1e-9)
+        a, b = svm.pairs_of(3)[number]
+        some = (k == a) | (k == b)
+        alpha, bias = svm.solved(svm.kernel(v[some], v[some], 0.2), np.where(k[some] == a, 1.0, -1.0), 10.0)
+        assert np.allclose(want, svm.kernel(v, v[some], 0.2) @ (alpha * np.where(k[some] == a, 1.0, -1.0)) + bias, atol=2e-3)
+    assert fitted.probabilities(rows).count() == 360
