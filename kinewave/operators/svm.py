@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import discarded, stored
+from .tables import bounded_batches, discarded, matrix, stored
 
 #: Rows of a shard of the cascade; numbers of a kernel that a task holds at once, and rows that one step of a solver may move.
 SHARD, MOST_NUMBERS, MOVED = 1500, 4_000_000, 256
@@ -109,12 +109,6 @@ def feasible(alpha: np.ndarray, y: np.ndarray) -> np.ndarray:
     return alpha * np.where(y > 0, min(1.0, down / up if up else 1.0), min(1.0, up / down if down else 1.0))
 
 
-def matrix(column: pa.ChunkedArray) -> np.ndarray:
-    """Rows of a column of arrays of one length without nulls."""
-    flat = column.combine_chunks().flatten()
-    return flat.to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
-
-
 def solve_all(v: np.ndarray, y: np.ndarray, held: np.ndarray, start: np.ndarray, c: float, gamma: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """alphas (rows, folds + 1), biases, and whether both classes are there, of the machine of all rows and of each fold.
 
@@ -219,6 +213,7 @@ class Machines:
         """row, pair, s: sums of kernels times weights, without bias, of rows (row, k, v). own: s has a sum for the machine of all
         rows and each fold, of the pairs that k is in; else one for the machine of all rows, of every pair. Rows that meet no
         vector are missing."""
+        bounded_batches(rows.sparkSession)
         shards, count = self.packed()
         width, classes, gamma, pairs = self.folds + 1 if own else 1, self.classes, self.gamma, pairs_of(self.classes)
         numbers = {p: i for i, p in enumerate(pairs)}

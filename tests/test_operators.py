@@ -270,3 +270,37 @@ def test_warping_neighbours_skip_what_bounds_rule_out():
     same = np.zeros((300, 19))
     best, d, _ = neighbours.closest(same[0], same, np.arange(300)[::-1], 3, measure)
     assert best.tolist() == [299, 298, 297] and d.tolist() == [0, 0, 0]
+
+
+def test_warping_neighbours_by_cells_of_equal_pads(spark, monkeypatch):
+    """Same neighbours as over all pairs: cells of many rows and of few, copies of vectors, ties, several blocks and shards."""
+    for name, value in {"BLOCK": 20, "SHARD": 30, "WIDE_BLOCK": 25, "WIDE_SHARD": 60}.items():
+        monkeypatch.setattr(neighbours, name, value, raising=False)
+    rng = np.random.default_rng(12)
+    v = np.concatenate([rng.random((260, 9)), rng.choice([0, 1, 2], (260, 2), p=[0.8, 0.15, 0.05])], axis=1)
+    v[200:] = v[rng.integers(0, 200, 60)]
+    v[250:, 9:] = [[7, 0.5]]
+    ids = rng.permutation(1000)[:260]
+    rows = spark.createDataFrame([(int(i), int(i) % 4, x.tolist(), n % 4 == 0) for n, (i, x) in enumerate(zip(ids, v, strict=True))], "id long, class_id long, v array<double>, is_test boolean")
+    got = {(r.id, r["rank"]): (r.neighbour, r.class_id, r.distance) for r in neighbours.nearest_warped(rows.where("is_test"), rows.where("not is_test"), 5, [6, 3]).collect()}
+    test = np.arange(260) % 4 == 0
+    measure, tid = neighbours.Warped([6, 3]), ids[~test]
+    assert len(got) == 5 * test.sum()
+    for i, x in zip(ids[test], v[test], strict=True):
+        d = np.round(measure(x, v[~test]), 9)
+        for rank, j in enumerate(np.lexsort((tid, d))[:5]):
+            assert got[i, rank + 1] == (tid[j], tid[j] % 4, d[j])
+
+
+def test_pads_rule_out_pairs_before_they_are_warped(monkeypatch):
+    rng = np.random.default_rng(13)
+    t = np.concatenate([rng.random((2000, 40)), rng.integers(0, 4, (2000, 3))], axis=1)
+    measure, count = neighbours.Warped([40]), []
+    whole = measure.of_pairs
+    monkeypatch.setattr(measure, "of_pairs", lambda a, b: count.append(len(a)) or whole(a, b))
+    rows, columns, d = neighbours.searched(t[:50], t, np.arange(2000), 5, measure, lambda a, b: np.ones((b - a, 2000), bool), np.full(50, np.inf))
+    assert sum(count) < 0.03 * 50 * 2000
+    for i in range(50):
+        every = np.round(measure(t[i], t), 9)
+        want = np.lexsort((np.arange(2000), every))[:5]
+        assert columns[rows == i].tolist() == want.tolist() and d[rows == i].tolist() == every[want].tolist()
