@@ -304,3 +304,18 @@ def test_pads_rule_out_pairs_before_they_are_warped(monkeypatch):
         every = np.round(measure(t[i], t), 9)
         want = np.lexsort((np.arange(2000), every))[:5]
         assert columns[rows == i].tolist() == want.tolist() and d[rows == i].tolist() == every[want].tolist()
+
+
+def test_copies_in_numpy_are_those_of_the_expressions(spark):
+    """All copies, also of recordings of few frames, two channels, and names so long that messages take two blocks."""
+    rng = np.random.default_rng(14)
+    names = ["a", "b" * 60, "c" * 45, None, "e", "f"]
+    rows = [(name, n, [[float(x) if t < n else 0.0 for x in rng.random(2)] for t in range(12)]) for name, n in zip(names, (12, 9, 4, 3, 1, 0), strict=True)]
+    table = spark.createDataFrame(rows, "recording_id string, real_len int, seq array<array<double>>")
+    of = lambda seq: seq.sum(axis=(1, 2))
+    value = {(r.path, r.repeat): r.value for r in augment.augmented(table, 12, 2, 1, 2, of=of).collect()}
+    got, want = ({(r.path, r.repeat): (r.recording_id, r.real_len, r.seq) for r in augment.augmented(table, 12, 2, 1, 2, given).collect()} for given in (None, augment.TRANSFORMS))
+    assert len(got) == 6 * 2 * 16 and set(got) == set(want) == set(value)
+    for key, (name, n, seq) in want.items():
+        assert got[key][:2] == (name, n) and np.allclose(got[key][2], seq, rtol=0, atol=1e-12)
+        assert value[key] == pytest.approx(np.sum(seq))
